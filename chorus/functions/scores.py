@@ -140,67 +140,76 @@ def category_raw_score(combined_lower: Column, toks: Column, keywords) -> Column
     return total
 
 
-def classify_columns(title, content, lexicon=None, positive=None, negative=None,
-                     threshold: float = LX.CONFIDENCE_THRESHOLD) -> dict[str, Column]:
+def add_classification(df, title="title", content="content", lexicon=None, positive=None, negative=None,
+                       threshold: float = LX.CONFIDENCE_THRESHOLD, keep_helpers: bool = False):
     """Topic scores, primary category, confidence, sentiment and keywords.
 
-    Returns a dict of named columns; empty combined text gives
-    ``unclassified, {}, 0.0, neutral, 0.0, []``.
+    Built as a few stacked projections so the tokens, the scores and their
+    maximum are computed once per row (Catalyst does not collapse a project
+    into one that references a costly expression several times).  Empty
+    combined text gives ``unclassified, {}, 0.0, neutral, 0.0, []``.
     """
     lexicon = lexicon or LX.TOPIC_LEXICON
     positive = LX.POSITIVE_WEIGHTS if positive is None else positive
     negative = LX.NEGATIVE_WEIGHTS if negative is None else negative
     cats = list(lexicon)
+    score_names = [f"_s{i}" for i in range(len(cats))]
 
-    combined = py_strip(F.concat(F.coalesce(col(title), F.lit("")), F.lit(" "), F.coalesce(col(content), F.lit(""))))
-    low = F.lower(combined)
-    toks = tokens(combined)
-    n_words = ws_word_count(combined)
+    df = df.withColumn("_combined", py_strip(F.concat(F.coalesce(col(title), F.lit("")), F.lit(" "),
+                                                      F.coalesce(col(content), F.lit("")))))
+    df = df.withColumns({"_toks": tokens("_combined"), "_low": F.lower("_combined"),
+                         "_nw": ws_word_count("_combined")})
+    toks, low, n_words = F.col("_toks"), F.col("_low"), F.col("_nw")
     denom = n_words * F.lit(0.1) + F.lit(1.0)
 
-    scores = [F.when(n_words > 0, F.least(category_raw_score(low, toks, lexicon[c]) / denom, F.lit(1.0)))
-              .otherwise(F.lit(0.0)) for c in cats]
-    mx = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    arg = F.coalesce(*[F.when(s == mx, F.lit(c)) for s, c in zip(scores, cats)])
-    if len(scores) > 1:
-        second = F.element_at(F.sort_array(F.array(*scores), asc=False), 2)
-        conf = F.when(mx == 0, mx).otherwise(F.least(mx + (mx - second), F.lit(1.0)))
-    else:
-        conf = mx
-    primary = F.when(conf < threshold, F.lit("unclassified")).otherwise(arg)
-
     pos_map = F.create_map(*[x for k, v in positive.items() for x in (F.lit(k), F.lit(float(v)))])
     neg_map = F.create_map(*[x for k, v in negative.items() for x in (F.lit(k), F.lit(float(v)))])
-    pos = F.aggregate(toks, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(pos_map, t), F.lit(0.0)))
-    neg = F.aggregate(toks, F.lit(0.0), lambda a, t: a + F.when(
-        F.try_element_at(pos_map, t).isNull(), F.coalesce(F.try_element_at(neg_map, t), F.lit(0.0))).otherwise(F.lit(0.0)))
-    n_tok = F.size(toks)
-    net = (pos - neg) / n_tok
-    label = F.when(n_tok == 0, "neutral").when(net > 0.02, "positive").when(net < -0.02, "negative").otherwise("neutral")
-    sscore = F.when(n_tok == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), net * 10)))
-
     all_kw = [k for c in cats for k in lexicon[c]]
     single_kw = list(dict.fromkeys(k for k in all_kw if _is_single_token(k)))
     phrase_kw = list(dict.fromkeys(k for k in all_kw if not _is_single_token(k)))
     kw_map = F.create_map(*[x for k in single_kw for x in (F.lit(k.lower()), F.lit(k))])
-    found = F.transform(F.array_intersect(F.array_distinct(toks), _lit_array(sorted({k.lower() for k in single_kw}))),
-                        lambda t: F.element_at(kw_map, t)) if single_kw else _lit_array([])
+    found = (F.transform(F.array_intersect(F.array_distinct(toks), _lit_array(sorted({k.lower() for k in single_kw}))),
+                         lambda t: F.element_at(kw_map, t)) if single_kw else _lit_array([]))
     if phrase_kw:
         found = F.concat(found, F.array_compact(F.array(*[F.when(low.rlike(_boundary_regex(k)), F.lit(k))
                                                           for k in phrase_kw])))
-    keywords = F.array_sort(F.array_distinct(found))
+    stage3 = {name: F.when(n_words > 0, F.least(category_raw_score(low, toks, lexicon[c]) / denom, F.lit(1.0)))
+              .otherwise(F.lit(0.0)) for name, c in zip(score_names, cats)}
+    stage3["_pos"] = F.aggregate(toks, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(pos_map, t), F.lit(0.0)))
+    stage3["_neg"] = F.aggregate(toks, F.lit(0.0), lambda a, t: a + F.when(
+        F.try_element_at(pos_map, t).isNull(), F.coalesce(F.try_element_at(neg_map, t), F.lit(0.0))).otherwise(F.lit(0.0)))
+    stage3["_ntok"] = F.size(toks)
+    stage3["_kw"] = F.array_sort(F.array_distinct(found))
+    df = df.withColumns(stage3)
+
+    scores = [F.col(n) for n in score_names]
+    stage4 = {"_mx": F.greatest(*scores) if len(scores) > 1 else scores[0],
+              "_second": F.element_at(F.sort_array(F.array(*scores), asc=False), 2) if len(scores) > 1 else F.lit(0.0),
+              "_net": (F.col("_pos") - F.col("_neg")) / F.col("_ntok")}
+    df = df.withColumns(stage4)
+    mx = F.col("_mx")
+    conf = F.when(mx == 0, mx).otherwise(F.least(mx + (mx - F.col("_second")), F.lit(1.0))) if len(scores) > 1 else mx
+    df = df.withColumn("_conf", conf)
 
-    empty = combined == ""
-    return {
+    arg = F.coalesce(*[F.when(s == mx, F.lit(c)) for s, c in zip(scores, cats)])
+    primary = F.when(F.col("_conf") < threshold, F.lit("unclassified")).otherwise(arg)
+    net, n_tok = F.col("_net"), F.col("_ntok")
+    label = F.when(n_tok == 0, "neutral").when(net > 0.02, "positive").when(net < -0.02, "negative").otherwise("neutral")
+    sscore = F.when(n_tok == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), net * 10)))
+    empty = F.col("_combined") == ""
+    df = df.withColumns({
         "primary_category": F.when(empty, F.lit("unclassified")).otherwise(primary),
         "category_scores": F.when(empty, F.create_map().cast("map<string,double>"))
                             .otherwise(F.map_from_arrays(_lit_array(cats), F.array(*scores))),
-        "classification_confidence": F.when(empty, F.lit(0.0)).otherwise(conf),
+        "classification_confidence": F.when(empty, F.lit(0.0)).otherwise(F.col("_conf")),
         "sentiment": F.when(empty, F.lit("neutral")).otherwise(label),
         "sentiment_score": F.when(empty, F.lit(0.0)).otherwise(sscore),
-        "keywords_found": F.when(empty, _lit_array([])).otherwise(keywords),
+        "keywords_found": F.when(empty, _lit_array([])).otherwise(F.col("_kw")),
         "n_tokens": n_tok,
-    }
+    })
+    helpers = ["_combined", "_toks", "_low", "_nw", *score_names, "_pos", "_neg", "_ntok", "_kw", "_mx", "_second",
+               "_net", "_conf"]
+    return df if keep_helpers else df.drop(*helpers)
 
 
 def simple_sentiment(text, positive=None, negative=None) -> Column:

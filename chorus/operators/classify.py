@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus import lexicons as LX
-from chorus.functions.scores import classify_columns
+from chorus.functions.scores import add_classification
 
 
 def classify(df: DataFrame, lexicon=None, positive=None, negative=None,
@@ -14,7 +14,5 @@ def classify(df: DataFrame, lexicon=None, positive=None, negative=None,
              title: str = "title", content: str = "content") -> DataFrame:
     """Add primary_category, category_scores, classification_confidence,
     sentiment, sentiment_score, keywords_found and classified_at."""
-    cols = classify_columns(title, content, lexicon, positive, negative, threshold)
-    cols.pop("n_tokens")
-    cols["classified_at"] = F.lit(as_of).cast("string")
-    return df.withColumns(cols)
+    out = add_classification(df, title, content, lexicon, positive, negative, threshold)
+    return out.withColumn("classified_at", F.lit(as_of).cast("string"))

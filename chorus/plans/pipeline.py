@@ -79,26 +79,66 @@ def flag_stages(v: DataFrame, s: Settings, near_dup_winners: DataFrame | None =
     return df.withColumn("stage", F.coalesce(F.col("stage"), F.lit("kept")))
 
 
-def process(reviews: DataFrame, s: Settings | None = None, near_dup: bool = True) -> DataFrame:
-    """Flagged, classified rows for every row that passed cleaning."""
+def process(reviews: DataFrame, s: Settings | None = None, near_dup: bool = True, stage=None) -> DataFrame:
+    """Flagged, classified rows for every row that passed cleaning.
+
+    ``stage(name, build)`` may materialise stage outputs (``cleaned``,
+    ``flagged``), e.g. ``plans.store.stage_table``; by default the whole
+    pipeline stays one lazy plan.
+    """
     s = s or Settings()
-    cleaned = clean(reviews, s.min_length, s.max_length, s.decode, s.caps_on_original, s.as_of)
+    stage = stage or (lambda name, build: build())
+    cleaned = stage("cleaned", lambda: clean(reviews, s.min_length, s.max_length, s.decode, s.caps_on_original,
+                                             s.as_of))
+    return stage("flagged", lambda: flag_and_classify(cleaned, s, near_dup, stage))
+
+
+def flag_and_classify(cleaned: DataFrame, s: Settings, near_dup: bool = True, stage=None) -> DataFrame:
     v = prepared(cleaned, s)
     winners = None
     if near_dup and s.similarity_threshold is not None:
         from chorus.operators.neardup import near_duplicate_winners
-        winners = near_duplicate_winners(v.where(F.col("ord").isNotNull()), s.batch, s.similarity_threshold,
-                                         hash_dedup_first=True)
+        winners = near_duplicate_winners(v, s.batch, s.similarity_threshold, stage=stage)
     df = flag_stages(v, s, winners)
     df = classify(df, s.lexicon, s.positive, s.negative, s.confidence_threshold, s.as_of)
+    return finalize(df, s.as_of)
+
+
+DUPLICATE_STAGES = ("hash_duplicate", "near_duplicate", "user_duplicate")
+
+
+def finalize(df: DataFrame, as_of: str) -> DataFrame:
+    """Populate the record flags from ``stage`` (the original leaves them unset)."""
     kept = F.col("stage") == "kept"
-    return df.withColumns({
-        "is_duplicate": F.col("stage").isin("hash_duplicate", "near_duplicate", "user_duplicate"),
-        "processed_at": F.when(kept, F.lit(s.as_of)),
+    df = df.withColumnRenamed("is_spam", "spam_predicate")
+    df = df.withColumns({
+        "is_spam": F.col("stage") == "spam",
+        "is_duplicate": F.col("stage").isin(*DUPLICATE_STAGES),
+        "processed_at": F.when(kept, F.lit(as_of)),
     })
+    return df.withColumn("is_high_quality", is_high_quality())
+
+
+def is_high_quality(min_score: float = LX.HIGH_QUALITY_MIN_SCORE, min_length: int = LX.HIGH_QUALITY_MIN_LENGTH):
+    return (~F.coalesce(F.col("is_spam"), F.lit(False)) & ~F.coalesce(F.col("is_duplicate"), F.lit(False))
+            & (F.coalesce(F.col("quality_score"), F.lit(0.0)) >= min_score)
+            & (F.length(F.coalesce(F.col("content"), F.lit(""))) >= min_length))
+
 
+def documents_pipeline(spark: SparkSession, sf_dir: str, near_dup: bool = False, materialize: bool = True,
+                       **overrides) -> DataFrame:
+    """The pipeline over the documents adapter with the test lexicons.
 
-def documents_pipeline(spark: SparkSession, sf_dir: str, near_dup: bool = False, **overrides) -> DataFrame:
-    """The pipeline over the documents adapter with the test lexicons."""
+    With ``materialize`` the cleaned and flagged stages are written once as
+    tables in the checkpoint folder and shared by every report.
+    """
     s = Settings(**{**TEST_SETTINGS, **overrides})
-    return process(reviews_from_documents(spark, sf_dir), s, near_dup=near_dup)
+    stage = None
+    if materialize:
+        from chorus.plans.store import stage_table
+        tag = f"{sf_dir}|near={near_dup}|{sorted(overrides.items())}"
+
+        def stage(name, build):
+            key = f"cleaned|{sf_dir}" if name == "cleaned" else f"{name}|{tag}"
+            return stage_table(spark, key, build)
+    return process(reviews_from_documents(spark, sf_dir), s, near_dup=near_dup, stage=stage)

@@ -44,7 +44,9 @@ def reviews(spark, sf) -> DataFrame:
 
 
 def cleaned(spark, sf) -> DataFrame:
-    return clean(reviews(spark, sf), as_of=AS_OF)
+    """The clean stage, written once per session as a stage table (see plans.store)."""
+    from chorus.plans.store import stage_table
+    return stage_table(spark, f"cleaned|{sf}", lambda: clean(reviews(spark, sf), as_of=AS_OF))
 
 
 def valid(spark, sf) -> DataFrame:
@@ -171,5 +173,285 @@ def q_keywords_found(spark, sf):
 SELECT ord, sentiment, round(sentiment_score, 6) AS sentiment_score, n_tokens FROM cls""", _CLS))
 def q_weighted_sentiment(spark, sf):
     c = classified_valid(spark, sf)
-    return c.select("ord", "sentiment", r6("sentiment_score").alias("sentiment_score"),
-                    F.size(T.tokens(F.trim(F.concat_ws(" ", "title", "content")))).alias("n_tokens"))
+    return c.select("ord", "sentiment", r6("sentiment_score").alias("sentiment_score"), "n_tokens")
+
+
+# ------------------------------------------------------------------ flagged pipeline + reports
+def flagged(spark, sf) -> DataFrame:
+    """Pipeline output with the exact, spam and per-user stages (SQL-checkable)."""
+    from chorus.plans.pipeline import documents_pipeline
+    return documents_pipeline(spark, sf, near_dup=False)
+
+
+_FLAGGED = S.flagged_ctes()
+
+
+def _rep(select_sql: str) -> str:
+    return S.with_base(select_sql, _FLAGGED)
+
+
+@query("pipeline_stages", _rep("SELECT ord, stage, is_high_quality FROM flagged"))
+def q_pipeline_stages(spark, sf):
+    return flagged(spark, sf).select("ord", "stage", "is_high_quality")
+
+
+@query("batch_stats", _rep("""
+SELECT app_name, platform, count(*) AS total_reviews,
+  count(*) FILTER (WHERE processed_at IS NOT NULL) AS processed_reviews,
+  count(*) FILTER (WHERE is_high_quality) AS high_quality_reviews,
+  count(*) FILTER (WHERE is_spam) AS spam_reviews,
+  count(*) FILTER (WHERE is_duplicate) AS duplicate_reviews,
+  round(coalesce(avg(CAST(rating AS DOUBLE)) FILTER (WHERE processed_at IS NOT NULL AND rating IS NOT NULL
+        AND rating <> 0), 0.0), 6) AS average_rating,
+  round(coalesce(avg(sentiment_score) FILTER (WHERE processed_at IS NOT NULL), 0.0), 6) AS average_sentiment_score
+FROM flagged GROUP BY app_name, platform"""))
+def q_batch_stats(spark, sf):
+    from chorus.operators.reports import batch_stats
+    b = batch_stats(flagged(spark, sf))
+    return b.withColumns({"average_rating": r6("average_rating"),
+                          "average_sentiment_score": r6("average_sentiment_score")})
+
+
+@query("category_hist", _rep("""
+SELECT app_name, platform, coalesce(primary_category, 'unclassified') AS category, count(*) AS count
+FROM flagged WHERE processed_at IS NOT NULL GROUP BY ALL"""))
+def q_category_hist(spark, sf):
+    from chorus.operators.reports import category_hist
+    return category_hist(flagged(spark, sf))
+
+
+@query("sentiment_hist", _rep("""
+SELECT app_name, platform, coalesce(sentiment, 'neutral') AS sentiment, count(*) AS count
+FROM flagged WHERE processed_at IS NOT NULL GROUP BY ALL"""))
+def q_sentiment_hist(spark, sf):
+    from chorus.operators.reports import sentiment_hist
+    return sentiment_hist(flagged(spark, sf))
+
+
+@query("rating_hist", _rep("""
+SELECT app_name, platform, rating, count(*) AS count FROM flagged
+WHERE processed_at IS NOT NULL AND rating IS NOT NULL AND rating <> 0 GROUP BY ALL"""))
+def q_rating_hist(spark, sf):
+    from chorus.operators.reports import rating_hist
+    return rating_hist(flagged(spark, sf))
+
+
+@query("overall_stats", _rep("""
+SELECT count(*) AS total_reviews, count(*) FILTER (WHERE is_high_quality) AS total_high_quality_reviews,
+  count(DISTINCT app_name) AS total_apps, count(DISTINCT platform) AS total_platforms,
+  round(coalesce(avg(CAST(rating AS DOUBLE)) FILTER (WHERE processed_at IS NOT NULL AND rating IS NOT NULL
+        AND rating <> 0), 0.0), 6) AS average_rating,
+  round(coalesce(avg(sentiment_score) FILTER (WHERE processed_at IS NOT NULL), 0.0), 6) AS average_sentiment_score,
+  round(CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE is_high_quality))::DOUBLE / count(*) ELSE 0.0 END, 6)
+    AS quality_rate
+FROM flagged"""))
+def q_overall_stats(spark, sf):
+    from chorus.operators.reports import overall_stats
+    o = overall_stats(flagged(spark, sf))
+    return o.withColumns({c: r6(c) for c in ["average_rating", "average_sentiment_score", "quality_rate"]})
+
+
+@query("classification_summary", _rep("""
+SELECT count(*) AS total_reviews, round(avg(classification_confidence), 6) AS average_confidence,
+  count(*) FILTER (WHERE classification_confidence >= 0.3) AS high_confidence_count,
+  count(*) FILTER (WHERE coalesce(primary_category, 'unclassified') = 'unclassified') AS unclassified_count,
+  round(1.0 - (count(*) FILTER (WHERE coalesce(primary_category, 'unclassified') = 'unclassified'))::DOUBLE
+        / count(*), 6) AS classification_rate
+FROM flagged WHERE processed_at IS NOT NULL HAVING count(*) > 0"""))
+def q_classification_summary(spark, sf):
+    from chorus.operators.reports import classification_summary
+    c = classification_summary(flagged(spark, sf))
+    return c.withColumns({c_: r6(c_) for c_ in ["average_confidence", "classification_rate"]})
+
+
+@query("category_insights", _rep("""
+SELECT primary_category AS category, count(*) AS review_count,
+  count(*) FILTER (WHERE coalesce(sentiment, 'neutral') = 'positive') AS positive_count,
+  count(*) FILTER (WHERE coalesce(sentiment, 'neutral') = 'negative') AS negative_count,
+  count(*) FILTER (WHERE coalesce(sentiment, 'neutral') = 'neutral') AS neutral_count,
+  round(avg(CAST(coalesce(rating, 0) AS DOUBLE)), 6) AS average_rating,
+  round(avg(coalesce(sentiment_score, 0.0)), 6) AS average_sentiment_score
+FROM flagged WHERE processed_at IS NOT NULL AND primary_category IS NOT NULL GROUP BY primary_category"""))
+def q_category_insights(spark, sf):
+    from chorus.operators.reports import category_insights
+    c = category_insights(flagged(spark, sf))
+    return c.withColumns({c_: r6(c_) for c_ in ["average_rating", "average_sentiment_score"]})
+
+
+@query("category_keywords_topk", _rep("""
+SELECT category, rank, keyword, count FROM (
+  SELECT category, keyword, count, row_number() OVER (PARTITION BY category ORDER BY count DESC, first_ord, keyword) AS rank
+  FROM (SELECT primary_category AS category, kw AS keyword, count(*) AS count, min(ord) AS first_ord
+        FROM (SELECT primary_category, ord, unnest(string_split(keywords, ',')) AS kw FROM flagged
+              WHERE processed_at IS NOT NULL AND primary_category IS NOT NULL AND keywords <> '')
+        GROUP BY ALL))
+WHERE rank <= 10"""))
+def q_category_keywords_topk(spark, sf):
+    from chorus.operators.reports import category_keywords_topk
+    return category_keywords_topk(flagged(spark, sf))
+
+
+@query("category_samples", _rep("""
+SELECT category, rank, ord, content, rating, sentiment FROM (
+  SELECT primary_category AS category, row_number() OVER (PARTITION BY primary_category ORDER BY ord) AS rank, ord,
+    CASE WHEN length(content) > 200 THEN concat(substr(content, 1, 200), '...') ELSE content END AS content,
+    rating, sentiment
+  FROM flagged WHERE processed_at IS NOT NULL AND primary_category IS NOT NULL)
+WHERE rank <= 3"""))
+def q_category_samples(spark, sf):
+    from chorus.operators.reports import category_samples
+    return category_samples(flagged(spark, sf))
+
+
+@query("category_analysis", _rep("""
+SELECT primary_category AS category, count(*) AS count, round(avg(coalesce(sentiment_score, 0.0)), 6) AS average_sentiment,
+  round(coalesce(avg(CAST(rating AS DOUBLE)) FILTER (WHERE rating IS NOT NULL AND rating <> 0), 0.0), 6) AS average_rating
+FROM flagged WHERE processed_at IS NOT NULL AND primary_category IS NOT NULL AND primary_category <> 'unclassified'
+GROUP BY primary_category"""))
+def q_category_analysis(spark, sf):
+    from chorus.operators.reports import category_analysis
+    c = category_analysis(flagged(spark, sf))
+    return c.withColumns({c_: r6(c_) for c_ in ["average_sentiment", "average_rating"]})
+
+
+@query("sentiment_by_grouping_sets", _rep("""
+SELECT CASE WHEN grouping(platform) = 0 THEN 'platform' ELSE 'app' END AS dimension,
+  coalesce(CASE WHEN grouping(platform) = 0 THEN platform END, app_name) AS key,
+  round(avg(coalesce(sentiment_score, 0.0)), 6) AS average_sentiment, count(*) AS reviews
+FROM flagged WHERE processed_at IS NOT NULL GROUP BY GROUPING SETS ((platform), (app_name))"""))
+def q_sentiment_by_grouping_sets(spark, sf):
+    from chorus.operators.reports import sentiment_by_grouping_sets
+    return sentiment_by_grouping_sets(flagged(spark, sf)).withColumn("average_sentiment", r6("average_sentiment"))
+
+
+@query("quality_metrics", _rep("""
+SELECT count(*) AS total_reviews, count(*) FILTER (WHERE is_spam) AS spam_count,
+  count(*) FILTER (WHERE is_duplicate) AS duplicate_count, count(*) FILTER (WHERE is_high_quality) AS high_quality_count,
+  round((count(*) FILTER (WHERE is_spam))::DOUBLE / count(*), 6) AS spam_rate,
+  round((count(*) FILTER (WHERE is_duplicate))::DOUBLE / count(*), 6) AS duplicate_rate,
+  round((count(*) FILTER (WHERE is_high_quality))::DOUBLE / count(*), 6) AS quality_rate
+FROM flagged"""))
+def q_quality_metrics(spark, sf):
+    from chorus.operators.reports import quality_metrics
+    q = quality_metrics(flagged(spark, sf))
+    return q.withColumns({c: r6(c) for c in ["spam_rate", "duplicate_rate", "quality_rate"]})
+
+
+@query("insights", _rep("""
+SELECT * FROM (
+  SELECT 'highest_rated_app' AS kind, app_name AS subject, round(avg_rating, 6) AS value FROM (
+    SELECT app_name, arg_max(avg_rating, batch_ord) AS avg_rating, min(batch_ord) AS first_ord FROM (
+      SELECT app_name, platform, min(ord) AS batch_ord,
+        coalesce(avg(CAST(rating AS DOUBLE)) FILTER (WHERE processed_at IS NOT NULL AND rating IS NOT NULL
+                 AND rating <> 0), 0.0) AS avg_rating
+      FROM flagged GROUP BY app_name, platform)
+    WHERE avg_rating > 0 GROUP BY app_name)
+  ORDER BY avg_rating DESC, first_ord LIMIT 1)
+UNION ALL
+SELECT * FROM (
+  SELECT 'most_discussed_category' AS kind, primary_category AS subject, CAST(count(*) AS DOUBLE) AS value
+  FROM flagged WHERE processed_at IS NOT NULL AND primary_category IS NOT NULL AND primary_category <> 'unclassified'
+  GROUP BY primary_category ORDER BY count(*) DESC, min(ord) LIMIT 1)"""))
+def q_insights(spark, sf):
+    from chorus.operators.reports import insights
+    return insights(flagged(spark, sf)).withColumn("value", r6("value"))
+
+
+@query("funnel", _rep("""
+SELECT c.app_name, c.platform, c.original, c.cleaned,
+  coalesce(f.after_hash, 0) AS after_hash, coalesce(f.after_similarity, 0) AS after_similarity,
+  coalesce(f.after_spam, 0) AS after_spam, coalesce(f.deduplicated, 0) AS deduplicated,
+  coalesce(f.classified, 0) AS classified, coalesce(f.final, 0) AS final,
+  round(coalesce(f.final, 0)::DOUBLE / c.original, 6) AS processing_rate
+FROM (SELECT app_name, platform, count(*) AS original, count(*) FILTER (WHERE drop_reason IS NULL) AS cleaned
+      FROM cleaned GROUP BY ALL) c
+LEFT JOIN (SELECT app_name, platform,
+      count(*) FILTER (WHERE stage <> 'hash_duplicate') AS after_hash,
+      count(*) FILTER (WHERE stage NOT IN ('hash_duplicate', 'near_duplicate')) AS after_similarity,
+      count(*) FILTER (WHERE stage NOT IN ('hash_duplicate', 'near_duplicate', 'spam')) AS after_spam,
+      count(*) FILTER (WHERE stage = 'kept') AS deduplicated,
+      count(*) FILTER (WHERE stage = 'kept' AND primary_category IS NOT NULL) AS classified,
+      count(*) FILTER (WHERE stage = 'kept') AS final
+      FROM flagged GROUP BY ALL) f USING (app_name, platform)"""))
+def q_funnel(spark, sf):
+    from chorus.operators.reports import funnel
+    return funnel(cleaned(spark, sf), flagged(spark, sf)).withColumn("processing_rate", r6("processing_rate"))
+
+
+@query("cleaning_stats", S.with_base("""
+SELECT count(*) AS original_count, count(*) FILTER (WHERE drop_reason IS NULL) AS cleaned_count,
+  count(*) - count(*) FILTER (WHERE drop_reason IS NULL) AS removed_count,
+  round((count(*) - count(*) FILTER (WHERE drop_reason IS NULL))::DOUBLE / count(*), 6) AS removal_rate,
+  round((SELECT coalesce(avg((o.orig_len - v.cleaned_length)::DOUBLE / o.orig_len), 0.0)
+   FROM cleaned v JOIN (SELECT review_id, arg_max(length(coalesce(raw_content, '')), ord) AS orig_len
+                        FROM cleaned GROUP BY review_id) o USING (review_id)
+   WHERE v.drop_reason IS NULL AND o.orig_len > 0), 6) AS average_length_reduction
+FROM cleaned"""))
+def q_cleaning_stats(spark, sf):
+    from chorus.operators.reports import cleaning_stats
+    c = cleaning_stats(cleaned(spark, sf))
+    return c.withColumns({c_: r6(c_) for c_ in ["removal_rate", "average_length_reduction"]})
+
+
+@query("length_reduction_join", S.with_base("""
+SELECT v.ord, v.review_id, o.orig_len, v.cleaned_length,
+  round(CASE WHEN o.orig_len > 0 THEN (o.orig_len - v.cleaned_length)::DOUBLE / o.orig_len END, 6) AS reduction
+FROM cleaned v JOIN (SELECT review_id, arg_max(length(coalesce(raw_content, '')), ord) AS orig_len
+                     FROM cleaned GROUP BY review_id) o USING (review_id)
+WHERE v.drop_reason IS NULL"""))
+def q_length_reduction_join(spark, sf):
+    c = cleaned(spark, sf)
+    orig = c.groupBy("review_id").agg(
+        F.max_by(F.length(F.coalesce(F.col("raw_content"), F.lit(""))), F.col("ord")).alias("orig_len"))
+    v = c.where(F.col("drop_reason").isNull()).select("ord", "review_id", "cleaned_length")
+    j = v.join(orig, "review_id")
+    red = F.when(F.col("orig_len") > 0, (F.col("orig_len") - F.col("cleaned_length")) / F.col("orig_len"))
+    return j.select("ord", "review_id", "orig_len", "cleaned_length", r6(red).alias("reduction"))
+
+
+@query("dedup_stats", _rep("""
+SELECT count(*) AS original_count, count(*) FILTER (WHERE stage = 'kept') AS final_count,
+  count(*) - count(*) FILTER (WHERE stage = 'kept') AS removed_count,
+  round((count(*) - count(*) FILTER (WHERE stage = 'kept'))::DOUBLE / count(*), 6) AS removal_rate,
+  0.9 AS similarity_threshold
+FROM flagged"""))
+def q_dedup_stats(spark, sf):
+    from chorus.operators.reports import dedup_stats
+    return dedup_stats(flagged(spark, sf)).withColumn("removal_rate", r6("removal_rate"))
+
+
+@query("theme_brief", _rep("""
+SELECT section, key, round(n::DOUBLE / sum(n) OVER (PARTITION BY section), 6) AS share, NULL::VARCHAR AS text FROM (
+  SELECT 'category' AS section, coalesce(primary_category, 'unclassified') AS key, count(*) AS n
+  FROM flagged WHERE processed_at IS NOT NULL GROUP BY 2
+  UNION ALL
+  SELECT 'sentiment', coalesce(sentiment, 'neutral'), count(*) FROM flagged WHERE processed_at IS NOT NULL GROUP BY 2)
+UNION ALL
+SELECT 'quote', CAST(row_number() OVER (ORDER BY length(content), ord) AS VARCHAR), NULL::DOUBLE, content FROM (
+  SELECT content, min(ord) AS ord FROM flagged WHERE processed_at IS NOT NULL GROUP BY content
+  ORDER BY length(content), ord LIMIT 3)"""))
+def q_theme_brief(spark, sf):
+    from chorus.operators.reports import theme_brief
+    return theme_brief(flagged(spark, sf)).withColumn("share", r6("share"))
+
+
+# ------------------------------------------------------------------ flagship (entry)
+@query("app_sentiment_mix", S.with_base("""
+SELECT app_name, count(*) AS reviews,
+  count(*) FILTER (WHERE sentiment = 'positive') AS positive, count(*) FILTER (WHERE sentiment = 'negative') AS negative,
+  count(*) FILTER (WHERE sentiment = 'neutral') AS neutral,
+  round(avg(CAST(rating AS DOUBLE)), 6) AS average_rating, round(avg(sentiment_score), 6) AS average_sentiment
+FROM (SELECT * FROM mix_cls) GROUP BY app_name""", S.classify_ctes("hd", "mix_cls").replace(
+    "mix_cls_a AS", "hd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_name, platform, content_hash "
+    "ORDER BY ord) AS _rn FROM valid) WHERE _rn = 1),\nmix_cls_a AS", 1)))
+def q_app_sentiment_mix(spark, sf):
+    """Minimum slice: clean -> valid -> exact de-dup -> sentiment -> per-app mix."""
+    hd = hash_dedup(valid(spark, sf))
+    c = classify(hd, TEST_SETTINGS["lexicon"], TEST_SETTINGS["positive"], TEST_SETTINGS["negative"], as_of=AS_OF)
+    return c.groupBy("app_name").agg(
+        F.count(F.lit(1)).alias("reviews"),
+        F.count(F.when(F.col("sentiment") == "positive", 1)).alias("positive"),
+        F.count(F.when(F.col("sentiment") == "negative", 1)).alias("negative"),
+        F.count(F.when(F.col("sentiment") == "neutral", 1)).alias("neutral"),
+        r6(F.avg(F.col("rating").cast("double"))).alias("average_rating"),
+        r6(F.avg("sentiment_score")).alias("average_sentiment"))

@@ -61,10 +61,12 @@ def english_count(expr: str, markers=None) -> str:
 
 
 def repeated_char(expr: str, times: int = 11) -> str:
-    """A character (other than newline) repeated ``times`` times in a row."""
-    return (f"(len(list_filter(range(1, length({expr}) - {times - 2}), lambda i: "
-            f"substring({expr}, i, 1) <> chr(10) AND "
-            f"substring({expr}, i, {times}) = repeat(substring({expr}, i, 1), {times}))) > 0)")
+    """Some character (other than newline) repeated ``times`` times in a row.
+
+    RE2 has no back-references: test each distinct character of the row.
+    """
+    return (f"(len(list_filter(list_distinct(string_split({expr}, '')), lambda ch: "
+            f"ch <> chr(10) AND contains({expr}, repeat(ch, {times})))) > 0)")
 
 
 def cleaner_spam(expr: str) -> str:
@@ -191,7 +193,7 @@ def classify_ctes(src: str, name: str, title: str = "title", content: str = "con
   (_pos - _neg) / n_tokens AS _net FROM {name}_c),
 {name}_e AS (SELECT *, CASE WHEN _empty THEN 0.0::DOUBLE WHEN _mx = 0 THEN _mx
   ELSE least(_mx + (_mx - _second), 1.0::DOUBLE) END AS classification_confidence FROM {name}_d),
-{name} AS (SELECT * EXCLUDE (_combined, _toks, _nw, _empty, _pos, _neg, _mx, _second, _net),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (_combined, _toks, _nw, _empty, _pos, _neg, _mx, _second, _net),
   CASE WHEN _empty THEN 'unclassified' WHEN classification_confidence < {threshold} THEN 'unclassified'
        ELSE {arg} END AS primary_category,
   CASE WHEN _empty OR n_tokens = 0 THEN 'neutral' WHEN _net > 0.02 THEN 'positive'
@@ -210,13 +212,13 @@ def base_ctes(as_of: str = AS_OF) -> str:
 reviews AS ({ADAPTER_SQL}),
 cleaned0 AS (
   SELECT r.*, {clean('r.title')} AS title_c, {clean('r.content')} AS content_c FROM reviews r),
-cleaned AS (
+cleaned AS MATERIALIZED (
   SELECT ord, review_id, platform, app_name, title_c AS title, content_c AS content, content AS raw_content,
          rating, user_id, verified, helpful_count, reply_count, {norm_date('review_date')} AS review_date,
          length(coalesce(content, '')) AS original_length, length(content_c) AS cleaned_length,
          {validity_reason('content_c')} AS drop_reason
   FROM cleaned0),
-valid AS (
+valid AS MATERIALIZED (
   SELECT *, md5(concat(lower(title), '|', lower(content))) AS content_hash,
          {quality('content', 'helpful_count', 'verified', 'title', 'review_date', as_of)} AS quality_score,
          {review_spam_hits('title', 'content')} AS spam_hits,
@@ -229,3 +231,21 @@ def with_base(select_sql: str, extra_ctes: str = "", as_of: str = AS_OF) -> str:
     if extra_ctes:
         ctes += ",\n" + extra_ctes
     return f"WITH {ctes}\n{select_sql}"
+
+
+def flagged_ctes(as_of: str = AS_OF) -> str:
+    """valid -> stage (exact dup, spam, per-user dup) -> classification -> record flags."""
+    return f"""h AS (SELECT *, row_number() OVER (PARTITION BY app_name, platform, content_hash ORDER BY ord) AS _hrn
+  FROM valid),
+s1 AS (SELECT *, CASE WHEN _hrn > 1 THEN 'hash_duplicate' WHEN is_spam THEN 'spam' END AS _stage0 FROM h),
+u AS (SELECT ord, row_number() OVER (PARTITION BY app_name, platform, user_id ORDER BY quality_score DESC, ord) AS _urn
+  FROM s1 WHERE _stage0 IS NULL),
+staged AS (SELECT s1.* EXCLUDE (_hrn, _stage0),
+  coalesce(_stage0, CASE WHEN u._urn > 1 THEN 'user_duplicate' ELSE 'kept' END) AS stage
+  FROM s1 LEFT JOIN u ON s1.ord = u.ord),
+{classify_ctes('staged', 'fc')},
+flagged0 AS (SELECT * EXCLUDE (is_spam), is_spam AS spam_predicate, stage = 'spam' AS is_spam,
+  stage IN ('hash_duplicate', 'near_duplicate', 'user_duplicate') AS is_duplicate,
+  CASE WHEN stage = 'kept' THEN {q(as_of)} END AS processed_at FROM fc),
+flagged AS MATERIALIZED (SELECT *, (NOT is_spam AND NOT is_duplicate AND quality_score >= 0.5 AND length(coalesce(content, '')) >= 20)
+  AS is_high_quality FROM flagged0)"""
