@@ -43,3 +43,18 @@ def forget(spark: SparkSession | None = None) -> None:
     app = spark.sparkContext.applicationId
     for k in [k for k in _TABLES if k[0] == app]:
         _TABLES.pop(k)
+
+
+def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and return a scan of it (no memo)."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    safe = re.sub(r"[^A-Za-z0-9_.=-]+", "_", name)[-60:]
+    path = f"{root}/stage-tables/{safe}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def table_stage(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A ``stage`` hook that always writes (for iterative operators)."""
+    return write_table(build(), name)
