@@ -148,7 +148,7 @@ def greedy_leaders(edges: DataFrame, stage=None, max_rounds: int | None = None)
 def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
                             threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, shingle: int = 6,
                             bands: int = 32, rows: int = 3, seed: int = 7,
-                            hash_dedup_first: bool = True) -> DataFrame:
+                            hash_dedup_first: bool = True, return_edges: bool = False):
     """(ord, cluster, quality_score) for the rows entering the similarity step.
 
     ``cluster`` is the leader's ``ord``; rows outside every cluster lead
@@ -174,7 +174,8 @@ def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
     rep_cluster = reps.select(F.col("ord").alias("rep")).join(
         leader.select(F.col("ord").alias("rep"), "leader"), "rep", "left")
     rep_cluster = rep_cluster.select("rep", F.coalesce("leader", "rep").alias("cluster"))
-    return n.join(rep_cluster, "rep").select(*batch, "ord", "cluster", "quality_score")
+    out = n.join(rep_cluster, "rep").select(*batch, "ord", "cluster", "quality_score")
+    return (out, edges) if return_edges else out
 
 
 def near_duplicate_winners(v: DataFrame, batch: Sequence[str] = BATCH,

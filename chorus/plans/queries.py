@@ -455,3 +455,315 @@ def q_app_sentiment_mix(spark, sf):
         F.count(F.when(F.col("sentiment") == "neutral", 1)).alias("neutral"),
         r6(F.avg(F.col("rating").cast("double"))).alias("average_rating"),
         r6(F.avg("sentiment_score")).alias("average_sentiment"))
+
+
+# ------------------------------------------------------------------ near-duplicates (no SQL: difflib ratio)
+def _nd_stage(spark, sf, name):
+    from chorus.plans.store import stage_table
+    return lambda n, build: stage_table(spark, f"nd|{sf}|{name}|{n}", build)
+
+
+@query("near_dup_pairs")
+def q_near_dup_pairs(spark, sf):
+    """Verified (later, earlier, similarity) edges, batch = app_name."""
+    from chorus.operators.neardup import near_duplicate_clusters
+    _, edges = near_duplicate_clusters(valid(spark, sf), ["app_name"], stage=_nd_stage(spark, sf, "pairs"),
+                                       return_edges=True)
+    return edges.select("later", "earlier", r6("similarity").alias("similarity"))
+
+
+@query("near_dup_clusters")
+def q_near_dup_clusters(spark, sf):
+    from chorus.operators.neardup import near_duplicate_clusters
+    return near_duplicate_clusters(valid(spark, sf), ["app_name"], stage=_nd_stage(spark, sf, "clusters")).select(
+        "app_name", "ord", "cluster")
+
+
+@query("pipeline_full")
+def q_pipeline_full(spark, sf):
+    """All four de-dup stages including near-duplicates, per (app, platform)."""
+    from chorus.plans.pipeline import documents_pipeline
+    return documents_pipeline(spark, sf, near_dup=True).select("ord", "app_name", "platform", "stage",
+                                                                "primary_category", "sentiment")
+
+
+# ------------------------------------------------------------------ landed API responses (1.8-1.10, 6.2, 4.18, 7.1)
+def api_responses(spark, sf) -> DataFrame:
+    """conversations -> landed API response JSON (one response per turn), built by Spark."""
+    from chorus.sources.testdata import read_table
+    c = read_table(spark, sf, "conversations")
+    review = F.struct(
+        F.when(F.col("turn") % 2 == 0, F.lit("https://apps.apple.com/us/app/x"))
+         .otherwise(F.lit("https://play.google.com/store/apps/details?id=x")).alias("query"),
+        F.col("conv_id").cast("string").alias("review_id"),
+        F.concat((F.lit(1) + F.col("turn") % 5).cast("string"), F.lit(".7 stars")).alias("review_rating"),
+        F.lit("").alias("review_title"),
+        F.when(((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0)) | (F.col("turn") % 3 == 2), F.lit(""))
+         .otherwise(F.col("text")).alias("review_text"),
+        F.lit(None).cast("string").alias("author_title"),
+        F.col("role").alias("author_name"),
+        F.lit("").alias("review_updated"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.lit(1) + F.col("conv_id") % 28).cast("string"), 2, "0"))
+         .alias("review_date_formated"),
+        F.col("turn").cast("string").alias("vote_sum"),
+        F.lit(None).cast("string").alias("vote_count"),
+        F.lit("1.0").alias("version"),
+        F.lit("us").alias("country"),
+        (F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).cast("long").alias("review_timestamp"))
+    status = F.when(F.col("role") == "system", F.lit("Pending")).otherwise(F.lit("Success"))
+    arr_form = F.to_json(F.array(F.struct(status.alias("status"), F.array(F.array(review)).alias("data"))))
+    obj_form = F.to_json(F.struct(status.alias("status"), F.array(review).alias("data")))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ord"),
+                    F.concat(F.lit("app"), (F.col("conv_id") % 3).cast("string")).alias("app_name"),
+                    F.when(F.col("conv_id") % 7 == 3, obj_form).otherwise(arr_form).alias("body"))
+
+
+_API_SQL = """
+WITH api AS (
+  SELECT conv_id * 100 + turn AS ord, 'app' || CAST(conv_id % 3 AS VARCHAR) AS app_name,
+    CASE WHEN turn % 2 = 0 THEN 'iOS App Store' ELSE 'Google Play Store' END AS platform,
+    CAST(conv_id AS VARCHAR) AS review_id, CAST(1 + turn % 5 AS BIGINT) AS rating, '' AS title,
+    CASE WHEN (conv_id % 5 = 0 AND turn = 0) OR turn % 3 = 2 THEN '' ELSE coalesce(text, '') END AS review_text,
+    coalesce(nullif(role, ''), '') AS author,
+    '2024-01-' || lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0') AS date,
+    CAST(turn AS BIGINT) AS helpful_count, CAST(0 AS BIGINT) AS vote_count, '1.0' AS version, 'us' AS country,
+    CAST(1704067200 + conv_id * 60 + turn AS BIGINT) AS timestamp
+  FROM conversations WHERE role <> 'system'),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id, platform ORDER BY ord) AS rn FROM api)
+  WHERE rn = 1 AND regexp_replace(review_text, '[\\t-\\r\\x1c-\\x20\\x85\\p{Z}]', '', 'g') <> '')
+"""
+
+
+def api_first(spark, sf) -> DataFrame:
+    from chorus.sources.landed import first_then_nonempty, flatten_api_responses
+    flat = flatten_api_responses(api_responses(spark, sf))
+    return first_then_nonempty(flat)
+
+
+@query("api_flatten_first", _API_SQL + """
+SELECT app_name, platform, review_id, rating, title, review_text, author, date, helpful_count, vote_count,
+  version, country, timestamp FROM firsts""")
+def q_api_flatten_first(spark, sf):
+    return api_first(spark, sf).select("app_name", "platform", "review_id", "rating", "title", "review_text",
+                                       "author", "date", "helpful_count", "vote_count", "version", "country",
+                                       "timestamp")
+
+
+@query("newest_first_topk", _API_SQL + """
+SELECT row_number() OVER (ORDER BY timestamp DESC, ord) AS rank, review_id, platform, timestamp
+FROM (SELECT * FROM firsts ORDER BY timestamp DESC, ord LIMIT 20)""")
+def q_newest_first_topk(spark, sf):
+    """Top 20 newest (a top-k report): timestamp if set, else parsed date; ties by ingest order."""
+    from pyspark.sql import Window
+    f = api_first(spark, sf).withColumn("o", F.col("ord.resp_ord"))
+    key = F.coalesce(F.when(F.col("timestamp") != 0, F.col("timestamp")),
+                     F.unix_timestamp(F.try_to_timestamp(F.col("date"))))
+    top = f.withColumn("k", key).orderBy(F.desc("k"), "o").limit(20)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("k"), "o")).alias("rank"), "review_id", "platform",
+                      "timestamp")
+
+
+# ------------------------------------------------------------------ forum threads (1.12, 1.13, 3.4, 4.4, 4.5, 10.17, 10.18)
+_FORUM_SQL = """
+WITH posts AS (SELECT CAST(conv_id AS VARCHAR) AS id, 'user' || CAST(conv_id % 50 AS VARCHAR) AS author,
+    substr(text, 1, 60) AS title, text AS selftext, conv_id % 40 AS score,
+    1704067200 + conv_id * 3600 AS created_utc, '/r/src/comments/' || CAST(conv_id AS VARCHAR) AS permalink
+  FROM conversations WHERE turn = 0),
+comments AS (SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, CAST(conv_id AS VARCHAR) AS parent_id,
+    CASE WHEN role = 'system' THEN NULL ELSE role END AS author, text AS body, turn * 2 AS score
+  FROM conversations WHERE turn > 0)
+"""
+
+
+@query("comment_parent_join", _FORUM_SQL + """
+SELECT 'reddit_comment_' || c.id AS review_id, p.id AS parent_post_id,
+  'Comment on: ' || substr(p.title, 1, 50) || '...' AS title, coalesce(c.author, 'deleted') AS user_id
+FROM comments c JOIN posts p ON c.parent_id = p.id""")
+def q_comment_parent_join(spark, sf):
+    from chorus.sources.forum import comments_with_parent
+    from chorus.sources.testdata import forum_threads
+    posts, comments = forum_threads(spark, sf)
+    return comments_with_parent(comments, posts).select("review_id", "parent_post_id", "title", "user_id")
+
+
+@query("relevance_filter", _FORUM_SQL + """
+SELECT 'post' AS kind, id FROM posts WHERE contains(lower(title || ' ' || selftext), 'tion')
+  OR contains(lower(title || ' ' || selftext), 'ing')
+UNION ALL
+SELECT 'comment', id FROM comments WHERE (contains(lower(body), 'tion') OR contains(lower(body), 'ing'))
+  AND length(body) > 20""")
+def q_relevance_filter(spark, sf):
+    from chorus.lexicons import TEST_RELEVANCE_KEYWORDS as KW
+    from chorus.sources.forum import relevant_comments, relevant_posts
+    from chorus.sources.testdata import forum_threads
+    posts, comments = forum_threads(spark, sf)
+    return (relevant_posts(posts, KW).select(F.lit("post").alias("kind"), "id")
+            .unionByName(relevant_comments(comments, KW).select(F.lit("comment").alias("kind"), "id")))
+
+
+def _simple_sql(expr: str) -> str:
+    pos = " + ".join(f"CAST(contains(lower({expr}), '{w}') AS INTEGER)" for w in ["that", "this", "is"])
+    neg = " + ".join(f"CAST(contains(lower({expr}), '{w}') AS INTEGER)" for w in ["from", "at", "on"])
+    n = f"len({S.ws_words(expr)})"
+    return (f"(CASE WHEN {n} = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, "
+            f"(({pos}) - ({neg}))::DOUBLE / greatest({n}, 1) * 10)) END)")
+
+
+@query("forum_posts_canonical", _FORUM_SQL + f"""
+SELECT 'reddit_post_' || id AS review_id, coalesce(author, 'deleted') AS user_id, title, selftext AS content,
+  round(s, 6) AS sentiment_score,
+  CASE WHEN s >= 0.5 THEN 5 WHEN s >= 0.2 THEN 4 WHEN s >= -0.2 THEN 3 WHEN s >= -0.5 THEN 2 ELSE 1 END AS rating,
+  strftime(make_timestamp(CAST(created_utc AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') AS review_date,
+  score AS helpful_count, 'https://reddit.com' || permalink AS source_url
+FROM (SELECT *, {_simple_sql("title || ' ' || selftext")} AS s FROM posts)
+WHERE contains(lower(title || ' ' || selftext), 'tion') OR contains(lower(title || ' ' || selftext), 'ing')""")
+def q_forum_posts_canonical(spark, sf):
+    from chorus import lexicons as LX
+    from chorus.sources.forum import normalize_posts
+    from chorus.sources.testdata import forum_threads
+    posts, _ = forum_threads(spark, sf)
+    p = normalize_posts(posts, "documents", LX.TEST_RELEVANCE_KEYWORDS, list(LX.TEST_POSITIVE_WEIGHTS),
+                        list(LX.TEST_NEGATIVE_WEIGHTS))
+    return p.select("review_id", "user_id", "title", "content", r6("sentiment_score").alias("sentiment_score"),
+                    "rating", "review_date", "helpful_count", "source_url")
+
+
+@query("word_jaccard", _FORUM_SQL + f"""
+SELECT c.id, round(CASE WHEN coalesce(c.body, '') = '' OR coalesce(p.selftext, '') = '' THEN 0.0
+  WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+  ELSE len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6)
+  AS jaccard
+FROM (SELECT *, {S.ws_words('lower(body)')} AS a FROM comments) c
+JOIN (SELECT *, {S.ws_words('lower(selftext)')} AS b FROM posts) p ON c.parent_id = p.id""")
+def q_word_jaccard(spark, sf):
+    from chorus.sources.testdata import forum_threads
+    posts, comments = forum_threads(spark, sf)
+    j = comments.join(posts.select(F.col("id").alias("parent_id"), "selftext"), "parent_id")
+    return j.select("id", r6(T.word_jaccard("body", "selftext")).alias("jaccard"))
+
+
+# ------------------------------------------------------------------ budgets, samples, bullets (6.6, 7.7, 6.8, 10.23, 10.24)
+@query("source_budget", """
+SELECT source, ord FROM (
+  SELECT source, doc_id AS ord FROM documents
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 200 // (SELECT count(DISTINCT source) FROM documents))
+ORDER BY ord LIMIT 200""")
+def q_source_budget(spark, sf):
+    from chorus.operators.select import per_group_budget
+    from chorus.sources.testdata import read_table
+    d = read_table(spark, sf, "documents").select("source", F.col("doc_id").alias("ord"))
+    return per_group_budget(d, "source", 200)
+
+
+_SAMPLE_SQL = S.with_base("""
+SELECT app_name, row_number() OVER (PARTITION BY app_name ORDER BY md5('42' || review_id), ord) AS pos,
+  review_id, rating, content
+FROM valid QUALIFY pos <= 10""")
+
+
+@query("random_sample", _SAMPLE_SQL.replace("review_id, rating, content\nFROM", "ord, review_id\nFROM"))
+def q_random_sample(spark, sf):
+    from chorus.operators.select import seeded_sample
+    return seeded_sample(valid(spark, sf), "app_name", "review_id", 10, seed="42").select(
+        "app_name", "pos", "ord", "review_id")
+
+
+@query("bullets", f"""
+WITH s AS ({_SAMPLE_SQL})
+SELECT app_name, count(*) AS count,
+  string_agg('- [' || CAST(pos AS VARCHAR) || ']' || CASE WHEN rating IS NOT NULL THEN ' ★' || CAST(rating AS VARCHAR) ELSE '' END
+    || ': ' || CASE WHEN length(coalesce(content, '')) > 600 THEN substr(content, 1, 597) || '...' ELSE coalesce(content, '') END,
+    chr(10) ORDER BY pos) AS bullets,
+  'content' AS text_key
+FROM s GROUP BY app_name""")
+def q_bullets(spark, sf):
+    from chorus.operators.select import bullets, seeded_sample
+    s = seeded_sample(valid(spark, sf), "app_name", "review_id", 10, seed="42").select(
+        "app_name", "pos", "review_id", "rating", "content")
+    return bullets(s, "app_name")
+
+
+# ------------------------------------------------------------------ scalar normalisers on events (10.3-10.5, 4.17)
+@query("normalize_rating", """
+SELECT event_id, CAST(greatest(1, least(5, CAST(round_even(value, 0) AS DOUBLE))) AS INTEGER) AS rating,
+  CAST(greatest(1, least(5, CAST(round_even(value / 40, 0) AS DOUBLE))) AS INTEGER) AS rating_scaled
+FROM events""")
+def q_normalize_rating(spark, sf):
+    from pyspark.sql.types import DoubleType
+    from chorus.functions.normalize import normalize_rating
+    from chorus.sources.testdata import read_table
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", normalize_rating(F.col("value").cast("string")).alias("rating"),
+                    normalize_rating(F.col("value") / 40, DoubleType()).alias("rating_scaled"))
+
+
+@query("normalize_count", """
+SELECT event_id, greatest(0, CAST(trunc(value - 10) AS BIGINT)) AS count FROM events""")
+def q_normalize_count(spark, sf):
+    from pyspark.sql.types import DoubleType
+    from chorus.functions.normalize import normalize_count
+    from chorus.sources.testdata import read_table
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", normalize_count(F.col("value") - 10, DoubleType()).alias("count"))
+
+
+_DATE_RAW_SQL = """CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d')
+  WHEN 2 THEN strftime(ts, '%m/%d/%Y') ELSE strftime(ts, '%d/%m/%Y') END"""
+
+
+@query("normalize_date", f"""
+SELECT event_id, raw, {S.norm_date('raw')} AS review_date FROM (SELECT event_id, {_DATE_RAW_SQL} AS raw FROM events)""")
+def q_normalize_date(spark, sf):
+    from chorus.functions.normalize import normalize_date
+    from chorus.sources.testdata import read_table
+    e = read_table(spark, sf, "events")
+    k = F.col("event_id") % 4
+    raw = (F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("ts", "yyyy-MM-dd"))
+           .when(k == 2, F.date_format("ts", "MM/dd/yyyy")).otherwise(F.date_format("ts", "dd/MM/yyyy")))
+    return e.select("event_id", raw.alias("raw")).select("event_id", "raw", normalize_date("raw").alias("review_date"))
+
+
+@query("date_range_filter", """
+SELECT event_id, event_type FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'""")
+def q_date_range_filter(spark, sf):
+    from chorus.operators.select import date_range_filter
+    from chorus.sources.testdata import read_table
+    e = read_table(spark, sf, "events")
+    return date_range_filter(e, "ts", "last_7_days", now="2024-01-31T00:00:00").select("event_id", "event_type")
+
+
+# ------------------------------------------------------------------ record projections and chunks (4.15, 2.6, 6.5)
+@query("record_preview", _rep("""
+SELECT review_id, platform, app_name, rating, sentiment, primary_category,
+  CASE WHEN length(coalesce(nullif(content, ''), raw_content)) > 100
+       THEN substr(coalesce(nullif(content, ''), raw_content), 1, 100) || '...'
+       ELSE coalesce(nullif(content, ''), raw_content) END AS content_preview,
+  review_date, is_high_quality, helpful_count
+FROM flagged"""))
+def q_record_preview(spark, sf):
+    from chorus.operators.select import record_summary
+    return record_summary(flagged(spark, sf))
+
+
+@query("summary_rows", _rep("""
+SELECT app_name, platform, count(*) AS total_reviews, count(*) FILTER (WHERE is_high_quality) AS high_quality_reviews,
+  CAST(round_even(coalesce(avg(CAST(rating AS DOUBLE)) FILTER (WHERE processed_at IS NOT NULL AND rating IS NOT NULL
+        AND rating <> 0), 0.0) * 100, 0) AS DOUBLE) / 100 AS average_rating,
+  CAST(round_even(coalesce(avg(sentiment_score) FILTER (WHERE processed_at IS NOT NULL), 0.0) * 1000, 0) AS DOUBLE) / 1000
+    AS average_sentiment_score,
+  count(*) FILTER (WHERE processed_at IS NOT NULL AND coalesce(sentiment, 'neutral') = 'positive') AS positive_sentiment_count,
+  count(*) FILTER (WHERE processed_at IS NOT NULL AND coalesce(sentiment, 'neutral') = 'negative') AS negative_sentiment_count,
+  count(*) FILTER (WHERE processed_at IS NOT NULL AND coalesce(sentiment, 'neutral') = 'neutral') AS neutral_sentiment_count
+FROM flagged GROUP BY app_name, platform"""))
+def q_summary_rows(spark, sf):
+    from chorus.sinks.export import summary_rows
+    return summary_rows(flagged(spark, sf))
+
+
+@query("chunk_numbers", S.with_base("""
+SELECT ord, app_name, platform, (row_number() OVER (PARTITION BY app_name, platform ORDER BY ord) - 1) // 100 AS chunk
+FROM valid"""))
+def q_chunk_numbers(spark, sf):
+    from chorus.operators.select import chunk_numbers
+    return chunk_numbers(valid(spark, sf), ["app_name", "platform"], 100).select("ord", "app_name", "platform", "chunk")
