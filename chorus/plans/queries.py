@@ -767,3 +767,55 @@ FROM valid"""))
 def q_chunk_numbers(spark, sf):
     from chorus.operators.select import chunk_numbers
     return chunk_numbers(valid(spark, sf), ["app_name", "platform"], 100).select("ord", "app_name", "platform", "chunk")
+
+
+# ------------------------------------------------------------------ store dump, CSV cells, flattening (1.11, 2.2, 10.26)
+@query("store_reviews_canonical", """
+SELECT 'playstore_' || ('doc_' || CAST(doc_id AS VARCHAR)) AS review_id, 'playstore' AS platform, lang AS app_name,
+  'doc_' || CAST(doc_id AS VARCHAR) AS user_id,
+  CAST(CASE WHEN doc_id % 7 = 6 THEN 0 ELSE 1 + doc_id % 5 END AS INTEGER) AS rating,
+  length(text) AS content_length, CAST(doc_id % 23 AS BIGINT) AS helpful_count, true AS verified,
+  'en' AS language, 'us' AS country,
+  CASE WHEN doc_id % 7 = 6 THEN 'rating_out_of_range' END AS reject_reason
+FROM documents""")
+def q_store_reviews_canonical(spark, sf):
+    from chorus.sources.landed import normalize_store_reviews, reject_reason
+    from chorus.sources.testdata import read_table
+    d = read_table(spark, sf, "documents")
+    dump = d.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("reviewId"),
+                    F.col("lang"), F.lit("someone").alias("userName"),
+                    F.when(F.col("doc_id") % 7 == 6, F.lit(None)).otherwise(F.lit(1) + F.col("doc_id") % 5)
+                     .cast("double").alias("score"),
+                    F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").alias("at"),
+                    (F.col("doc_id") % 23).alias("thumbsUpCount"), F.lit("1.0").alias("appVersion"))
+    # the app name comes from the landed path in production; here the dump row carries it
+    rows = normalize_store_reviews(dump, "x").drop("app_name").join(
+        dump.select(F.concat(F.lit("playstore_"), F.col("reviewId")).alias("review_id"), F.col("lang").alias("app_name")),
+        "review_id")
+    return rows.select("review_id", "platform", "app_name", "user_id", "rating",
+                       F.length("content").alias("content_length"), "helpful_count", "verified", "language",
+                       "country", reject_reason().alias("reject_reason"))
+
+
+@query("csv_cells", _rep("""
+SELECT review_id, coalesce(CAST(rating AS VARCHAR), '') AS rating,
+  CASE WHEN verified THEN 'True' WHEN NOT verified THEN 'False' ELSE '' END AS verified,
+  coalesce(user_id, '') AS user_id, CAST(helpful_count AS VARCHAR) AS helpful_count,
+  CASE WHEN keywords = '' THEN '[]' ELSE '["' || replace(keywords, ',', '","') || '"]' END AS keywords_found
+FROM flagged"""))
+def q_csv_cells(spark, sf):
+    from chorus.sinks.export import csv_cells
+    return csv_cells(flagged(spark, sf), ["review_id", "rating", "verified", "user_id", "helpful_count",
+                                          "keywords_found"])
+
+
+@query("flatten_struct", """
+SELECT event_id, event_type AS "e.event_type", value AS "e.metrics.value",
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS "e.metrics.props.k" FROM events""")
+def q_flatten_struct(spark, sf):
+    from chorus.sources.landed import flatten_struct
+    from chorus.sources.testdata import read_table
+    e = read_table(spark, sf, "events")
+    nested = e.select("event_id", F.struct("event_type", F.struct(
+        "value", F.from_json("props", "k BIGINT").alias("props")).alias("metrics")).alias("e"))
+    return flatten_struct(nested)

@@ -186,3 +186,59 @@ def first_then_nonempty(df: DataFrame, keys=("review_id", "platform"), text: str
     firsts = df.groupBy(*keys).agg(F.min("ord").alias("ord")).select("ord")
     return (df.join(firsts, "ord", "left_semi")
             .where(F.regexp_replace(F.col(text), f"{N.WS}", "") != ""))
+
+
+def normalize_store_reviews(dump: DataFrame, app_name: str, app_info: dict | None = None) -> DataFrame:
+    """Landed store-review dump -> review rows (``playstore_`` ids, verified, en/us, app info in raw_data).
+
+    ``app_info`` is the one app's metadata (a handful of fields, a literal).
+    A missing score becomes 0 (and the record check rejects it), as in the original.
+    """
+    info = (F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in app_info.items()])) if app_info
+            else F.lit("{}"))
+    return dump.select(
+        F.concat(F.lit("playstore_"), F.col("reviewId").cast("string")).alias("review_id"),
+        F.lit("playstore").alias("platform"), F.lit(app_name).alias("app_name"),
+        F.col("reviewId").cast("string").alias("user_id"), F.col("userName").alias("username"),
+        F.coalesce(F.col("score"), F.lit(0)).cast("int").alias("rating"),
+        F.lit(None).cast("string").alias("title"), F.col("content"),
+        F.col("at").cast("string").alias("review_date"),
+        F.coalesce(F.col("thumbsUpCount"), F.lit(0)).cast("long").alias("helpful_count"),
+        F.lit(True).alias("verified"), F.col("appVersion").alias("version"),
+        F.lit("en").alias("language"), F.lit("us").alias("country"),
+        info.alias("raw_data"))
+
+
+def flatten_struct(df: DataFrame, sep: str = ".") -> DataFrame:
+    """Nested struct columns -> top-level columns named with dotted paths (arrays untouched)."""
+    def walk(dtype, path):
+        if isinstance(dtype, T.StructType):
+            for f in dtype.fields:
+                yield from walk(f.dataType, [*path, f.name])
+        else:
+            yield path
+    cols = []
+    for f in df.schema.fields:
+        for path in walk(f.dataType, [f.name]):
+            c = F.col(path[0])
+            for p in path[1:]:
+                c = c.getField(p)
+            cols.append(c.alias(sep.join(path)))
+    return df.select(*cols)
+
+
+def generic_hash(c) -> Column:
+    """md5 of a string, or of the key-sorted JSON of a map."""
+    return F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))))
+
+
+def overlay(df: DataFrame, updates: DataFrame, key: str = "review_id", as_of: str | None = None) -> DataFrame:
+    """Each non-NULL update value replaces the current one; ``processed_at`` is stamped (4.16)."""
+    cols = [c for c in updates.columns if c != key and c in df.columns]
+    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in cols])
+    j = df.join(u, key, "left")
+    j = j.withColumns({c: F.coalesce(F.col(f"_u_{c}"), F.col(c)) for c in cols})
+    stamped = F.when(F.col(f"_u_{cols[0]}").isNotNull() if cols else F.lit(False), F.lit(as_of))
+    j = j.withColumn("processed_at", F.coalesce(stamped, F.col("processed_at")) if "processed_at" in df.columns
+                     else stamped)
+    return j.drop(*[f"_u_{c}" for c in cols])

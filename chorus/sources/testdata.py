@@ -41,7 +41,19 @@ def reviews_from_documents(spark: SparkSession, sf_dir: str, with_labels: bool =
     if with_labels:
         labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic")
         out = out.join(labels, "ord", "left")
-    return out
+    return spread_for_cpu(out)
+
+
+def spread_for_cpu(df: DataFrame, key: str = "ord") -> DataFrame:
+    """Give CPU-heavy text work at least one partition per core.
+
+    On a cluster the scan already yields far more splits than cores and this
+    is a no-op; a small input held in one split is hash-spread on ``key``.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
 
 
 ADAPTER_SQL = """
