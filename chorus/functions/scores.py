@@ -185,7 +185,7 @@ def add_classification(df, title="title", content="content", lexicon=None, posit
     scores = [F.col(n) for n in score_names]
     stage4 = {"_mx": F.greatest(*scores) if len(scores) > 1 else scores[0],
               "_second": F.element_at(F.sort_array(F.array(*scores), asc=False), 2) if len(scores) > 1 else F.lit(0.0),
-              "_net": (F.col("_pos") - F.col("_neg")) / F.col("_ntok")}
+              "_net": F.when(F.col("_ntok") > 0, (F.col("_pos") - F.col("_neg")) / F.col("_ntok"))}
     df = df.withColumns(stage4)
     mx = F.col("_mx")
     conf = F.when(mx == 0, mx).otherwise(F.least(mx + (mx - F.col("_second")), F.lit(1.0))) if len(scores) > 1 else mx

@@ -56,7 +56,35 @@ def similarity(a_content: str, b_content: str, a_title: str, b_title: str) -> fl
     return sim
 
 
+def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float) -> float:
+    """``similarity`` when it can reach ``threshold``, else 0.0.
+
+    ``quick_ratio`` (character multiset overlap) bounds ``ratio`` from above,
+    so pairs whose bound misses the threshold skip the quadratic matcher.
+    """
+    if not a_content or not b_content:
+        return 0.0
+    both_titles = bool(a_title) and bool(b_title)
+    sm = SequenceMatcher(None, a_content, b_content)
+    bound = sm.quick_ratio()
+    if (bound * 0.8 + 0.2 if both_titles else bound) < threshold:
+        return 0.0
+    sim = sm.ratio()
+    if both_titles:
+        sim = sim * 0.8 + SequenceMatcher(None, a_title, b_title).ratio() * 0.2
+    return sim
+
+
 @pandas_udf(DoubleType())
 def ratio_pairs(a_content: pd.Series, b_content: pd.Series, a_title: pd.Series, b_title: pd.Series) -> pd.Series:
     return pd.Series([similarity(a, b, ta, tb)
                       for a, b, ta, tb in zip(a_content, b_content, a_title, b_title)], dtype="float64")
+
+
+def ratio_pairs_at_least(threshold: float):
+    """Arrow UDF: similarity of (later, earlier) pairs, 0.0 where it cannot reach ``threshold``."""
+    @pandas_udf(DoubleType())
+    def f(a_content: pd.Series, b_content: pd.Series, a_title: pd.Series, b_title: pd.Series) -> pd.Series:
+        return pd.Series([similarity_at_least(a, b, ta, tb, threshold)
+                          for a, b, ta, tb in zip(a_content, b_content, a_title, b_title)], dtype="float64")
+    return f

@@ -9,7 +9,9 @@ Here, per batch:
 2. MinHash signatures of character shingles (Arrow UDF, numpy) are cut
    into bands; rows sharing a band bucket are candidates (equi-join on
    ``(batch, band, bucket)``, ``ord_a < ord_b``);
-3. a lossless length bound prunes candidates (``ratio <= 2*min/(la+lb)``);
+3. a lossless length bound (``ratio <= 2*min/(la+lb)``) and a MinHash
+   agreement floor (estimated shingle Jaccard, ``min_agreement``) prune
+   candidates natively;
 4. ``ratio_pairs`` verifies survivors with the original's similarity,
    arguments (later, earlier);
 5. leaders = lexicographically-first maximal independent set of the
@@ -37,11 +39,10 @@ from pyspark.sql.types import ArrayType, LongType
 
 from chorus import lexicons as LX
 from chorus.functions.text import normalize_for_comparison
-from chorus.functions.udfs import ratio_pairs
+from chorus.functions.udfs import ratio_pairs_at_least
 from chorus.operators.dedup import BATCH, first_per_key
 from chorus.plans.store import table_stage
 
-_MASK32 = np.uint64(0xFFFFFFFF)
 
 
 def _hash_params(n_hashes: int, seed: int):
@@ -51,11 +52,11 @@ def _hash_params(n_hashes: int, seed: int):
     return a, b
 
 
-def band_hashes(text: str, shingle: int, bands: int, rows: int, seed: int, params=None) -> list[int] | None:
-    """Band bucket ids of one text's MinHash signature (None for empty text)."""
+def minhash(text: str, shingle: int, n_hashes: int, seed: int, params=None) -> list[int] | None:
+    """MinHash signature (``n_hashes`` values) of a text's character shingles; None for empty text."""
     if not text:
         return None
-    a, b = params if params is not None else _hash_params(bands * rows, seed)
+    a, b = params if params is not None else _hash_params(n_hashes, seed)
     cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     if len(cps) <= shingle:
         windows = cps[None, :]
@@ -65,16 +66,14 @@ def band_hashes(text: str, shingle: int, bands: int, rows: int, seed: int, param
     with np.errstate(over="ignore"):
         sh = np.unique((windows * powers).sum(axis=1, dtype=np.uint64))
         sig = ((sh[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).min(axis=1)
-        mix = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(rows)], dtype=np.uint64)
-        out = (sig.reshape(bands, rows) * mix[None, :]).sum(axis=1, dtype=np.uint64)
-    return out.view(np.int64).tolist()
+    return sig.astype(np.int64).tolist()
 
 
-def _signature_udf(shingle: int, bands: int, rows: int, seed: int):
+def _signature_udf(shingle: int, n_hashes: int, seed: int):
     @pandas_udf(ArrayType(LongType()))
     def sig(texts: pd.Series) -> pd.Series:
-        params = _hash_params(bands * rows, seed)
-        return texts.map(lambda t: band_hashes(t, shingle, bands, rows, seed, params))
+        params = _hash_params(n_hashes, seed)
+        return texts.map(lambda t: minhash(t, shingle, n_hashes, seed, params))
     return sig
 
 
@@ -83,12 +82,15 @@ def normalized(df: DataFrame) -> DataFrame:
                            "norm_title": normalize_for_comparison("title")})
 
 
-def candidate_pairs(reps: DataFrame, batch: Sequence[str], shingle: int = 6, bands: int = 32, rows: int = 3,
-                    seed: int = 7) -> DataFrame:
-    """(later, earlier) pairs sharing at least one LSH bucket; one row per pair."""
-    sig = _signature_udf(shingle, bands, rows, seed)
-    buckets = (reps.where(F.col("norm_content") != "")
-               .select(*batch, "ord", F.posexplode(sig("norm_content")).alias("band", "bucket")))
+def with_signature(reps: DataFrame, shingle: int = 6, bands: int = 32, rows: int = 3, seed: int = 7) -> DataFrame:
+    sig = _signature_udf(shingle, bands * rows, seed)
+    return reps.where(F.col("norm_content") != "").withColumn("sig", sig("norm_content"))
+
+
+def candidate_pairs(signed: DataFrame, batch: Sequence[str], bands: int = 32, rows: int = 3) -> DataFrame:
+    """(later, earlier) pairs sharing at least one LSH band bucket; one row per pair."""
+    band_ids = F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
+    buckets = signed.select(*batch, "ord", F.posexplode(band_ids).alias("band", "bucket"))
     a, b = buckets.alias("a"), buckets.alias("b")
     cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*batch, "band", "bucket"]]
     pairs = (a.join(b, cond).where(F.col("a.ord") > F.col("b.ord"))
@@ -96,16 +98,28 @@ def candidate_pairs(reps: DataFrame, batch: Sequence[str], shingle: int = 6, ban
     return pairs.distinct()
 
 
-def verified_edges(reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs whose similarity (later, earlier) reaches ``threshold``."""
-    txt = reps.select("ord", "norm_content", "norm_title", F.length("norm_content").alias("len"))
+def verified_edges(signed: DataFrame, pairs: DataFrame, threshold: float, min_agreement: float = 0.5) -> DataFrame:
+    """Candidate pairs whose similarity (later, earlier) reaches ``threshold``.
+
+    Cheap native filters first: the lossless length bound, then MinHash
+    agreement (estimated shingle Jaccard) of at least ``min_agreement``;
+    only survivors reach the Python matcher.
+    """
+    txt = signed.select("ord", "norm_content", "norm_title", "sig", F.length("norm_content").alias("len"))
     la, ea = txt.alias("l"), txt.alias("e")
     j = (pairs.join(la, F.col("later") == F.col("l.ord")).join(ea, F.col("earlier") == F.col("e.ord")))
     both_titles = (F.col("l.norm_title") != "") & (F.col("e.norm_title") != "")
     need = F.when(both_titles, F.lit((threshold - 0.2) / 0.8)).otherwise(F.lit(threshold))
     bound = 2.0 * F.least("l.len", "e.len") / (F.col("l.len") + F.col("e.len"))
-    j = j.where(bound >= need - 1e-12)
-    sim = ratio_pairs(F.col("l.norm_content"), F.col("e.norm_content"), F.col("l.norm_title"), F.col("e.norm_title"))
+    agree = F.size(F.filter(F.zip_with("l.sig", "e.sig", lambda x, y: x == y), lambda x: x)) / F.size("l.sig")
+    j = j.where((bound >= need - 1e-12) & (agree >= min_agreement))
+    # CPU-heavy Python step: an explicit partition count (AQE keeps it) spreads
+    # the surviving pairs over every core instead of a few coalesced tasks.
+    sc = pairs.sparkSession.sparkContext
+    n_parts = max(2 * sc.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    j = j.repartition(n_parts, "later", "earlier")
+    sim = ratio_pairs_at_least(threshold)(F.col("l.norm_content"), F.col("e.norm_content"), F.col("l.norm_title"),
+                                          F.col("e.norm_title"))
     return (j.select("later", "earlier", sim.alias("similarity"))
             .where(F.col("similarity") >= threshold))
 
@@ -148,7 +162,8 @@ def greedy_leaders(edges: DataFrame, stage=None, max_rounds: int | None = None)
 def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
                             threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, shingle: int = 6,
                             bands: int = 32, rows: int = 3, seed: int = 7,
-                            hash_dedup_first: bool = True, return_edges: bool = False):
+                            hash_dedup_first: bool = True, return_edges: bool = False,
+                            min_agreement: float = 0.5):
     """(ord, cluster, quality_score) for the rows entering the similarity step.
 
     ``cluster`` is the leader's ``ord``; rows outside every cluster lead
@@ -165,13 +180,14 @@ def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
     n = n.join(rep_of, [*batch, "norm_content", "norm_title"])
     reps = n.where(F.col("ord") == F.col("rep"))
     stage = stage or table_stage
-    reps = stage(f"neardup-reps-{threshold}-{shingle}-{bands}-{rows}", lambda: reps)
+    signed = stage(f"neardup-reps-{threshold}-{shingle}-{bands}-{rows}",
+                   lambda: with_signature(reps, shingle, bands, rows, seed))
     # 2-4. candidates and verified edges between representatives
-    edges = verified_edges(reps, candidate_pairs(reps, batch, shingle, bands, rows, seed), threshold)
+    edges = verified_edges(signed, candidate_pairs(signed, batch, bands, rows), threshold, min_agreement)
     edges = stage(f"neardup-edges-{threshold}-{shingle}-{bands}-{rows}", lambda: edges)
     # 5. greedy leaders among representatives
     leader = greedy_leaders(edges, stage)
-    rep_cluster = reps.select(F.col("ord").alias("rep")).join(
+    rep_cluster = n.select("rep").distinct().join(
         leader.select(F.col("ord").alias("rep"), "leader"), "rep", "left")
     rep_cluster = rep_cluster.select("rep", F.coalesce("leader", "rep").alias("cluster"))
     out = n.join(rep_cluster, "rep").select(*batch, "ord", "cluster", "quality_score")

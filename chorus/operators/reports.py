@@ -20,7 +20,9 @@ from chorus.functions.normalize import safe_rate
 from chorus.functions.text import truncate_ellipsis
 from chorus.operators.dedup import BATCH
 
-PROCESSED = F.col("processed_at").isNotNull()
+def processed():
+    """Rows that survived every step (``processed_at`` set)."""
+    return F.col("processed_at").isNotNull()
 
 
 def _count_if(cond):
@@ -33,19 +35,19 @@ def _avg_or_zero(value, cond):
 
 def batch_stats(df: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
     """Per batch: totals, processed / high-quality / spam / duplicate counts, averages."""
-    rated = PROCESSED & F.col("rating").isNotNull() & (F.col("rating") != 0)
+    rated = processed() & F.col("rating").isNotNull() & (F.col("rating") != 0)
     return df.groupBy(*batch).agg(
         F.count(F.lit(1)).alias("total_reviews"),
-        _count_if(PROCESSED).alias("processed_reviews"),
+        _count_if(processed()).alias("processed_reviews"),
         _count_if(F.col("is_high_quality")).alias("high_quality_reviews"),
         _count_if(F.col("is_spam")).alias("spam_reviews"),
         _count_if(F.col("is_duplicate")).alias("duplicate_reviews"),
         _avg_or_zero(F.col("rating").cast("double"), rated).alias("average_rating"),
-        _avg_or_zero(F.col("sentiment_score"), PROCESSED).alias("average_sentiment_score"),
+        _avg_or_zero(F.col("sentiment_score"), processed()).alias("average_sentiment_score"),
     )
 
 
-def histogram(df: DataFrame, value, name: str, batch: Sequence[str] = BATCH, where=PROCESSED) -> DataFrame:
+def histogram(df: DataFrame, value, name: str, batch: Sequence[str] = BATCH, where=processed()) -> DataFrame:
     """Long-form histogram ``(batch..., name, count)`` over rows matching ``where``."""
     return (df.where(where).groupBy(*batch, value.alias(name)).agg(F.count(F.lit(1)).alias("count")))
 
@@ -59,7 +61,7 @@ def sentiment_hist(df, batch=BATCH):
 
 
 def rating_hist(df, batch=BATCH):
-    rated = PROCESSED & F.col("rating").isNotNull() & (F.col("rating") != 0)
+    rated = processed() & F.col("rating").isNotNull() & (F.col("rating") != 0)
     return histogram(df, F.col("rating"), "rating", batch, rated)
 
 
@@ -71,20 +73,20 @@ def histogram_map(long: DataFrame, key: str, batch: Sequence[str] = BATCH) -> Da
 
 
 def overall_stats(df: DataFrame) -> DataFrame:
-    rated = PROCESSED & F.col("rating").isNotNull() & (F.col("rating") != 0)
+    rated = processed() & F.col("rating").isNotNull() & (F.col("rating") != 0)
     out = df.agg(
         F.count(F.lit(1)).alias("total_reviews"),
         _count_if(F.col("is_high_quality")).alias("total_high_quality_reviews"),
         F.countDistinct("app_name").alias("total_apps"),
         F.countDistinct("platform").alias("total_platforms"),
         _avg_or_zero(F.col("rating").cast("double"), rated).alias("average_rating"),
-        _avg_or_zero(F.col("sentiment_score"), PROCESSED).alias("average_sentiment_score"),
+        _avg_or_zero(F.col("sentiment_score"), processed()).alias("average_sentiment_score"),
     )
     return out.withColumn("quality_rate", safe_rate("total_high_quality_reviews", "total_reviews"))
 
 
 def classification_summary(df: DataFrame, threshold: float = LX.CONFIDENCE_THRESHOLD) -> DataFrame:
-    p = df.where(PROCESSED)
+    p = df.where(processed())
     cat = F.coalesce(F.col("primary_category"), F.lit("unclassified"))
     out = p.agg(
         F.count(F.lit(1)).alias("total_reviews"),
@@ -99,7 +101,7 @@ def classification_summary(df: DataFrame, threshold: float = LX.CONFIDENCE_THRES
 
 def category_insights(df: DataFrame) -> DataFrame:
     """Per category (processed rows): count, sentiment mix, average rating (missing = 0), average sentiment."""
-    p = df.where(PROCESSED & F.col("primary_category").isNotNull())
+    p = df.where(processed() & F.col("primary_category").isNotNull())
     s = F.coalesce(F.col("sentiment"), F.lit("neutral"))
     return p.groupBy(F.col("primary_category").alias("category")).agg(
         F.count(F.lit(1)).alias("review_count"),
@@ -113,7 +115,7 @@ def category_insights(df: DataFrame) -> DataFrame:
 
 def category_keywords_topk(df: DataFrame, k: int = 10) -> DataFrame:
     """Most common keywords per category; ties by first appearance, then keyword."""
-    p = df.where(PROCESSED & F.col("primary_category").isNotNull())
+    p = df.where(processed() & F.col("primary_category").isNotNull())
     kw = (p.select(F.col("primary_category").alias("category"), "ord", F.explode("keywords_found").alias("keyword"))
           .groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("count"), F.min("ord").alias("first_ord")))
     w = Window.partitionBy("category").orderBy(F.desc("count"), "first_ord", "keyword")
@@ -127,7 +129,7 @@ def category_samples(df: DataFrame, n: int = 3, cut: int = LX.INSIGHT_SAMPLE_CUT
     ``row_number() <= n`` becomes a per-task group limit before the shuffle,
     so a category holding most rows still ships only ``n`` rows per task.
     """
-    p = df.where(PROCESSED & F.col("primary_category").isNotNull())
+    p = df.where(processed() & F.col("primary_category").isNotNull())
     w = Window.partitionBy("primary_category").orderBy("ord")
     return (p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select(F.col("primary_category").alias("category"), "rank", "ord",
@@ -137,7 +139,7 @@ def category_samples(df: DataFrame, n: int = 3, cut: int = LX.INSIGHT_SAMPLE_CUT
 
 def category_analysis(df: DataFrame) -> DataFrame:
     """Per category other than unclassified: count, average sentiment, average rating of rated rows."""
-    p = df.where(PROCESSED & F.col("primary_category").isNotNull() & (F.col("primary_category") != "unclassified"))
+    p = df.where(processed() & F.col("primary_category").isNotNull() & (F.col("primary_category") != "unclassified"))
     rated = F.col("rating").isNotNull() & (F.col("rating") != 0)
     return p.groupBy(F.col("primary_category").alias("category")).agg(
         F.count(F.lit(1)).alias("count"),
@@ -148,7 +150,7 @@ def category_analysis(df: DataFrame) -> DataFrame:
 
 def sentiment_by_grouping_sets(df: DataFrame) -> DataFrame:
     """Average sentiment by platform and by app in one pass (GROUPING SETS)."""
-    p = df.where(PROCESSED)
+    p = df.where(processed())
     g = p.groupingSets([["platform"], ["app_name"]], "platform", "app_name").agg(
         F.avg(F.coalesce(F.col("sentiment_score"), F.lit(0.0))).alias("average_sentiment"),
         F.count(F.lit(1)).alias("reviews"),
@@ -186,7 +188,7 @@ def insights(df: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
     best = best.where(F.col("b").isNotNull()).select(
         F.lit("highest_rated_app").alias("kind"), F.col("b.app_name").alias("subject"),
         F.col("b.avg").alias("value"))
-    cats = (df.where(PROCESSED & F.col("primary_category").isNotNull() & (F.col("primary_category") != "unclassified"))
+    cats = (df.where(processed() & F.col("primary_category").isNotNull() & (F.col("primary_category") != "unclassified"))
             .groupBy("primary_category").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord")))
     top = cats.agg(F.max(F.struct("n", (-F.col("first_ord")).alias("neg"), "primary_category")).alias("b"))
     top = top.where(F.col("b").isNotNull()).select(
@@ -251,7 +253,7 @@ def theme_brief(df: DataFrame, quotes: int = 3) -> DataFrame:
 
     Rows ``(section, key, share, text)``; shares are fractions of processed rows.
     """
-    p = df.where(PROCESSED)
+    p = df.where(processed())
     cat = (p.groupBy(F.coalesce("primary_category", F.lit("unclassified")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
            .withColumn("section", F.lit("category")))
     sen = (p.groupBy(F.coalesce("sentiment", F.lit("neutral")).alias("key")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, BooleanType, MapType
 
 from chorus import lexicons as LX
 from chorus.operators.dedup import BATCH
-from chorus.operators.reports import PROCESSED
+from chorus.operators.reports import processed
 from chorus.schema import REVIEW_FIELDS
 
 
@@ -22,16 +22,16 @@ def py_round(c, digits: int):
 
 def summary_rows(df: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
     """One summary-CSV row per batch: rating rounded to 2, sentiment to 3, sentiment counts."""
-    rated = PROCESSED & F.col("rating").isNotNull() & (F.col("rating") != 0)
+    rated = processed() & F.col("rating").isNotNull() & (F.col("rating") != 0)
     s = F.coalesce(F.col("sentiment"), F.lit("neutral"))
     out = df.groupBy(*batch).agg(
         F.count(F.lit(1)).alias("total_reviews"),
         F.count(F.when(F.col("is_high_quality"), 1)).alias("high_quality_reviews"),
         F.coalesce(F.avg(F.when(rated, F.col("rating").cast("double"))), F.lit(0.0)).alias("_ar"),
-        F.coalesce(F.avg(F.when(PROCESSED, F.col("sentiment_score"))), F.lit(0.0)).alias("_as"),
-        F.count(F.when(PROCESSED & (s == "positive"), 1)).alias("positive_sentiment_count"),
-        F.count(F.when(PROCESSED & (s == "negative"), 1)).alias("negative_sentiment_count"),
-        F.count(F.when(PROCESSED & (s == "neutral"), 1)).alias("neutral_sentiment_count"))
+        F.coalesce(F.avg(F.when(processed(), F.col("sentiment_score"))), F.lit(0.0)).alias("_as"),
+        F.count(F.when(processed() & (s == "positive"), 1)).alias("positive_sentiment_count"),
+        F.count(F.when(processed() & (s == "negative"), 1)).alias("negative_sentiment_count"),
+        F.count(F.when(processed() & (s == "neutral"), 1)).alias("neutral_sentiment_count"))
     return out.select(*batch, "total_reviews", "high_quality_reviews",
                       py_round(F.col("_ar"), 2).alias("average_rating"),
                       py_round(F.col("_as"), 3).alias("average_sentiment_score"),
@@ -79,7 +79,7 @@ def export_results(flagged: DataFrame, out_dir: str, formats: Sequence[str] = ("
     """Format dispatch: reviews as CSV/JSON, and the report set (summary, detail, analysis)."""
     from chorus.operators import reports as R
     out = {}
-    final = flagged.where(PROCESSED)
+    final = flagged.where(processed())
     if "csv" in formats:
         write_reviews_csv(final, f"{out_dir}/reviews_csv")
         out["csv"] = f"{out_dir}/reviews_csv"

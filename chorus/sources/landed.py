@@ -16,12 +16,7 @@ from pyspark.sql import types as T
 from chorus.functions import normalize as N
 from chorus.schema import REVIEW_SCHEMA, API_RESPONSE_SCHEMA, API_OBJECT_SCHEMA
 
-CANONICAL_DEFAULTS = {
-    "helpful_count": F.lit(0),
-    "reply_count": F.lit(0),
-    "verified": F.lit(False),
-    "raw_data": F.lit("{}"),
-}
+CANONICAL_DEFAULTS = {"helpful_count": 0, "reply_count": 0, "verified": False, "raw_data": "{}"}
 
 
 def canonical(df: DataFrame, platform: str | None = None, scraped_at: str | None = None) -> DataFrame:
@@ -44,9 +39,9 @@ def canonical(df: DataFrame, platform: str | None = None, scraped_at: str | None
         elif name in have:
             c = F.col(name)
             if name in CANONICAL_DEFAULTS:
-                c = F.coalesce(c, CANONICAL_DEFAULTS[name])
+                c = F.coalesce(c, F.lit(CANONICAL_DEFAULTS[name]))
         elif name in CANONICAL_DEFAULTS:
-            c = CANONICAL_DEFAULTS[name]
+            c = F.lit(CANONICAL_DEFAULTS[name])
         else:
             c = F.lit(None)
         cols.append(c.cast(f.dataType).alias(name))

@@ -108,7 +108,7 @@ def test_phrase_keywords(spark):
 
 def test_classification_summary_gold(spark):
     from chorus.operators.reports import classification_summary
-    rows = [("ux_ui", "positive", 0.8), ("ux_ui", "negative", 0.6), ("pricing", "neutral", 0.9),
+    rows = [("ux_ui", "positive", 0.8), ("ux_ui", "negative", 0.75), ("pricing", "neutral", 0.9),
             ("unclassified", "neutral", 0.1)]
     df = spark.createDataFrame(rows, ["primary_category", "sentiment", "classification_confidence"]) \
         .withColumn("processed_at", F.lit("2025-01-01T00:00:00"))
