@@ -13,6 +13,8 @@ Token classes follow the original's Python ``re`` semantics on ``str``:
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +72,31 @@ def clean_text_simple(c) -> Column:
     return F.coalesce(F.regexp_replace(t, STRIP_RE, ""), F.lit(""))
 
 
+def _nfkc_stable_letters(lo: int = 0x80, hi: int = 0x180) -> str:
+    """Regex ranges of the letters in [lo, hi) that NFKC leaves unchanged (from the Unicode tables).
+
+    Accented Latin letters are stable and never compose with their
+    neighbours unless a combining mark follows (which is outside the set).
+    """
+    cps = [cp for cp in range(lo, hi)
+           if unicodedata.normalize("NFKC", chr(cp)) == chr(cp) and unicodedata.combining(chr(cp)) == 0
+           and unicodedata.category(chr(cp)).startswith("L")]
+    ranges, start, prev = [], cps[0], cps[0]
+    for cp in cps[1:] + [None]:
+        if cp != prev + 1 if cp is not None else True:
+            ranges.append(f"\\x{{{start:04X}}}" + (f"-\\x{{{prev:04X}}}" if prev != start else ""))
+            start = cp
+        prev = cp if cp is not None else prev
+    return "".join(ranges)
+
+
+NEEDS_DECODING_RE = f"[&]|[^\\x00-\\x7F{_nfkc_stable_letters()}]"
+
+
 def needs_decoding(c) -> Column:
-    """True where HTML unescape or NFKC can change the text (``&`` or non-ASCII)."""
-    return col(c).rlike(r"[&]|[^\x00-\x7F]")
+    """True where HTML unescape or NFKC can change the text: ``&``, or a character
+    outside ASCII and the NFKC-stable Latin letters."""
+    return col(c).rlike(NEEDS_DECODING_RE)
 
 
 def alnum_count(c) -> Column:

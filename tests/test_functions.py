@@ -41,6 +41,7 @@ def test_normalize_count(spark, raw, expected):
     ("This &amp; that &lt;tag&gt; &quot;quote&quot;", 'This  that tag "quote"'),
     ("mail me at someone@example.com now!!!", "mail me at  now!"),
     ("ﬁne ＡＢＣ", "fine ABC"),
+    ("cafe\u0301 déjà", "café déjà"),
     (None, "")])
 def test_clean_text(spark, raw, expected):
     assert one(spark, clean_text, raw) == expected
