@@ -221,18 +221,20 @@ def funnel(cleaned: DataFrame, flagged: DataFrame, batch: Sequence[str] = BATCH)
 
 
 def cleaning_stats(cleaned: DataFrame) -> DataFrame:
-    """original, cleaned, removed, removal rate, average length reduction (by review_id)."""
-    valid = cleaned.where(F.col("drop_reason").isNull())
-    # the original matches cleaned rows to originals by review_id; the last original row wins
+    """original, cleaned, removed, removal rate, average length reduction (by review_id).
+
+    One aggregation over ``cleaned`` left-joined (equi-join on review_id) to
+    the original length of each id -- the last original row wins, as in the
+    original's dict build.
+    """
     orig_last = cleaned.groupBy("review_id").agg(
         F.max_by(F.length(F.coalesce(F.col("raw_content"), F.lit(""))), F.col("ord")).alias("orig_len"))
-    red = (valid.select("review_id", "cleaned_length").join(orig_last, "review_id")
-           .where(F.col("orig_len") > 0)
-           .select(((F.col("orig_len") - F.col("cleaned_length")) / F.col("orig_len")).alias("r")))
-    counts = cleaned.agg(F.count(F.lit(1)).alias("original_count"),
-                         _count_if(F.col("drop_reason").isNull()).alias("cleaned_count")).withColumn("_k", F.lit(1))
-    reduction = red.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("average_length_reduction")).withColumn("_k", F.lit(1))
-    out = counts.join(reduction, "_k")  # two one-row aggregates
+    j = cleaned.select("review_id", "drop_reason", "cleaned_length").join(orig_last, "review_id", "left")
+    ok = F.col("drop_reason").isNull()
+    red = F.when(ok & (F.col("orig_len") > 0),
+                 (F.col("orig_len") - F.col("cleaned_length")) / F.col("orig_len"))
+    out = j.agg(F.count(F.lit(1)).alias("original_count"), _count_if(ok).alias("cleaned_count"),
+                F.coalesce(F.avg(red), F.lit(0.0)).alias("average_length_reduction"))
     return out.select("original_count", "cleaned_count",
                       (F.col("original_count") - F.col("cleaned_count")).alias("removed_count"),
                       safe_rate(F.col("original_count") - F.col("cleaned_count"), "original_count").alias("removal_rate"),
