@@ -131,3 +131,15 @@ def test_lexicon_sizes():
     assert sum(len(v) for v in LX.TOPIC_LEXICON.values()) == 41
     assert len(LX.POSITIVE_WEIGHTS) == 23 and len(LX.NEGATIVE_WEIGHTS) == 24
     assert len(LX.REVIEW_SPAM_PATTERNS) == 16
+
+
+def test_quality_score_gold(spark):
+    from chorus.functions.scores import quality_score
+    rows = [("x" * 300, 25, True, "t", "2024-12-02T00:00:00"),   # 1.5 + 2 + 1 + 0.5 + 335/365
+            ("short", 3, False, "", None),                       # 0 + 0.3
+            ("y" * 60, 0, False, "", "2025-01-11T00:00:00"),     # 0.3 + (365 + 10)/365: future dates exceed 1
+            ("z" * 60, 0, False, "", "2023-06-01T00:00:00")]     # 0.3, older than a year
+    df = spark.createDataFrame(rows, "content string, helpful_count int, verified boolean, title string, review_date string")
+    got = [round(r[0], 6) for r in df.select(quality_score("content", "helpful_count", "verified", "title",
+                                                           "review_date", "2025-01-01T00:00:00")).collect()]
+    assert got == [round(1.5 + 2 + 1 + 0.5 + 335 / 365, 6), 0.3, round(0.3 + 375 / 365, 6), 0.3]
