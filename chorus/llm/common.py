@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,12 @@ _CUT = re.compile(r"(?= \S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
+# How byte-level vocabularies write each byte: printable ones as themselves, the others from 256 upwards.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sorted({*range(256)} - _PRINTABLE).index(b) for b in range(256)}
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class UnitEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, equal to encoding each text at once.
 
@@ -142,6 +149,9 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.space, self.lower, self.room, self.longest = " " if leading_space else "", lower, room, longest
         self.memo: dict[str, bytes] = {"": b""}  # unit (without the space before it, if it has one) -> ids
+        self.tails: dict[str, bytes] = {}
+        self.word = self.tokenizer.model.tokenize
+        self.mark = chr(_BYTE_CHARS[32]) if leading_space else ""
 
     @classmethod
     def shared(cls, path: str, leading_space: bool, lower: bool = False) -> UnitEncoder:
@@ -156,6 +166,29 @@ class UnitEncoder:
             return []
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Memoise units.  Letters, then perhaps marks, are two pre-tokens: the letters go to the model as
+        they are (in its spelling of bytes), the marks are memoised apart; other units are encoded as texts."""
+        memo, word, mark, tails, rest = self.memo, self.word, self.mark, self.tails, []
+        for u in units:
+            core = u.rstrip(_TAIL)
+            if not core.isalpha() or not (core.isascii() or is_normalized("NFC", core)) or "\u03a3" in core:
+                rest.append(u)
+                continue
+            got = memo.get(core) if core is not u else None
+            if got is None:
+                spelled = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
+                got = array("I", [t.id for t in word(mark + spelled)]).tobytes()
+                memo[core] = got
+            if len(core) < len(u):
+                tail = u[len(core):]
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._ids([tail])[0]
+                memo[u] = got + tails[tail]
+        memo.update(zip(rest, self._ids([self.space + u for u in rest])))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the texts of one call should be some megabytes at most."""
         rows, odd = [], {}
@@ -174,7 +207,7 @@ class UnitEncoder:
         if len(memo) + len(need) > self.room:
             memo = self.memo = {u: memo[u] for u in need if u in memo} | {"": b""}
         new = [u for u in need if u not in memo]
-        memo.update(zip(new, self._ids([self.space + u for u in new])))
+        self._learn(new)
         get = memo.__getitem__
         out = [b"".join(map(get, r)) for r in rows]
         if self.space:
@@ -185,7 +218,9 @@ class UnitEncoder:
                 out[i] = b"".join(self._ids(units))
         for u in new:
             if len(u) > self.longest:
-                del memo[u]
+                memo.pop(u, None)
+                memo.pop(u.rstrip(_TAIL), None)
+        memo[""] = b""
         return out
 
     def in_pieces(self, texts: list[str], chars: int = 2_000_000):
