@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from chorus.llm.ann import op1_multi_index_hashing
+from chorus.llm.containment import OP7_SQL, op7_containment_search
+from chorus.llm.dac import op6_directly_addressable_codes
 from chorus.llm.packing import op3_best_fit_packing
+from chorus.llm.quality import op4_bradley_terry_quality
+from chorus.llm.toolcalls import OP2_SQL, op2_tool_call_linking
+from chorus.llm.wordpiece import op8_longest_match_counts
 
 QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
+    "op2_tool_call_linking": op2_tool_call_linking,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_bradley_terry_quality": op4_bradley_terry_quality,
+    "op6_directly_addressable_codes": op6_directly_addressable_codes,
+    "op7_containment_search": op7_containment_search,
+    "op8_longest_match_counts": op8_longest_match_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_tool_call_linking": OP2_SQL,
+    "op7_containment_search": OP7_SQL,
+}
