@@ -144,7 +144,9 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, vector: str = "embe
                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))))
 
     index = spread(distinct, "shard", shards, "block", blocks)
-    queries = spread(distinct.join(heads, "key", "left_semi").select("key", "v"), "block", blocks, "shard", shards)
+    # New column identities: both sides of the cogroup come from one table.
+    searched = distinct.join(heads, "key", "left_semi").select(F.col("key").alias("key"), F.col("v").alias("v"))
+    queries = spread(searched, "block", blocks, "shard", shards)
     found_schema = "key long, near long, score double, ids array<long>"
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
