@@ -1,11 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions only.
 
 Test items are short, documents long, so the search asks which documents contain a share ``threshold`` of an
-item's ``width``-word shingles.  Items are partitioned by size, in powers of two.  The sketch of an item is its
-MinHash bottom-k: the k smallest hashes of its shingles, k = upper size of its partition less the smallest
-overlap that the threshold allows there, plus one.  A document that contains the item misses at most that
-many shingles less one, so it holds at least one sketched shingle: no item is missed.  Documents with too few
-shingles for any item of the partition are left out.  Candidates are verified by the exact share of the item's
+item's ``width``-word shingles.  Items are partitioned by size, in powers of two; a partition allows a document to
+miss at most m of an item's shingles.  The sketch of an item is its MinHash bottom-k: the k = 2 m + 1 smallest hashes
+of its shingles (all of them, if fewer).  A document that contains the item holds at least k - m of its sketch, so
+no item is missed, and a passage that many texts share is not enough to make a candidate.  Documents with too few
+shingles for any item of a sketch hash are left out.  Candidates are verified by the exact share of the item's
 shingles (as text) that the document has.
 
 Words are maximal runs of letters and digits of the lower-cased text, so case and punctuation do not hide a
@@ -34,9 +34,9 @@ def word_list(text: Column) -> Column:
 
 
 def shingle_texts(words: Column, width: int) -> Column:
-    """Distinct shingles as text; a shorter text is one shingle, no words give none."""
+    """Shingles as text, with repeats; a shorter text is one shingle, no words give none."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    texts = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " ")))
+    texts = F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
     return F.when(F.size(words) > 0, texts).otherwise(F.array().cast("array<string>"))
 
 
@@ -65,9 +65,10 @@ def item_sketches(items: DataFrame, threshold: float, width: int) -> tuple[DataF
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("n_shingles"))).cast("long")
     miss = F.floor(upper - F.ceil(upper * threshold - 1e-9)).cast("long")
     # An item has n of the partition's upper size; k never passes n.
-    k = F.least(F.col("n_shingles"), miss + 1)
+    k = F.least(F.col("n_shingles"), 2 * miss + 1)
     kept = full.groupBy("item_id", "n_shingles").agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
-    sketch = kept.select("item_id", "n_shingles", F.explode(F.slice("hashes", F.lit(1), k.cast("int"))).alias("hash"))
+    sketch = kept.select("item_id", "n_shingles", (k - miss).alias("least_hits"),
+                         F.explode(F.slice("hashes", F.lit(1), k.cast("int"))).alias("hash"))
     return sketch, full
 
 
@@ -83,13 +84,16 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
                           .alias("hash"))
     hit = (hashes.join(maybe_broadcast(probe, sketch_rows, SKETCH_ROWS), "hash")
            .where(F.greatest(F.col("n_words") - (width - 1), F.lit(1)) >= F.col("fewest")))
-    candidates = stage(hit.select("doc_id", "hash").distinct(), "candidates")
-    pairs = (candidates.join(maybe_broadcast(sketch.select("hash", "item_id"), sketch_rows, SKETCH_ROWS), "hash")
-             .select("doc_id", "item_id").distinct())
-
-    ids = candidates.select("doc_id").distinct()
+    hits = hit.select("doc_id", "hash").distinct()
+    listed = sketch.select("hash", "item_id", "least_hits")
+    candidates = (hits.join(maybe_broadcast(listed, sketch_rows, SKETCH_ROWS), "hash")
+                  .groupBy("doc_id", "item_id", "least_hits").agg(F.count("*").alias("hits"))
+                  .where(F.col("hits") >= F.col("least_hits")))
+    pairs = stage(candidates.select("doc_id", "item_id"), "candidates")
+
+    ids = pairs.select("doc_id").distinct()
     suspects = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-                .join(maybe_broadcast(ids, ids.count(), CANDIDATE_ROWS), "doc_id", "left_semi"))
+                .join(maybe_broadcast(ids, pairs.count(), CANDIDATE_ROWS), "doc_id", "left_semi"))
     texts = suspects.select("doc_id", F.explode(shingle_texts(word_list(F.col("text")), width)).alias("shingle"))
     found = (texts.join(maybe_broadcast(full.select("item_id", "shingle", "n_shingles"), full_rows, SKETCH_ROWS),
                         "shingle")
