@@ -140,8 +140,8 @@ class UnitEncoder:
 
     _shared: dict = {}
 
-    def __init__(self, path: str, leading_space: bool, lower: bool = False, room: int = 600_000,
-                 longest: int = 48) -> None:
+    def __init__(self, path: str, leading_space: bool, lower: bool = False, room: int = 400_000,
+                 longest: int = 40) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -223,7 +223,7 @@ class UnitEncoder:
         memo[""] = b""
         return out
 
-    def in_pieces(self, texts: list[str], chars: int = 2_000_000):
+    def in_pieces(self, texts: list[str], chars: int = 1_000_000):
         """``batch`` over runs of texts of about ``chars`` characters."""
         at, size = 0, 0
         for i, t in enumerate(texts):

@@ -183,12 +183,14 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
             for row in range(batch.num_rows):
                 file = DacFile(batch.column(1)[row].as_buffer())
                 offset = batch.column(0)[row].as_py()
-                for k in range(0, file.n_docs, 2000):
-                    part = range(k, min(k + 2000, file.n_docs))
+                for k in range(0, file.n_docs, 2000):  # some documents' ids are one run of each level
+                    cuts = file.starts[k: k + 2001].astype(np.int64)
+                    ids = file.span(int(cuts[0]), int(cuts[-1]))
+                    cuts -= cuts[0]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(file.doc_ids[k: k + 2000], pa.int64(), mask=file.nulls[k: k + 2000].astype(bool)),
-                         pa.array(file.starts[part.start: part.stop].astype(np.int64) + offset),
-                         pa.array([file.document(d).tobytes() for d in part], pa.binary())],
+                         pa.array(file.starts[k: min(k + 2000, file.n_docs)].astype(np.int64) + offset),
+                         pa.array([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
                         names=["doc_id", "start", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder)
