@@ -5,7 +5,10 @@ from __future__ import annotations
 from chorus.llm.ann import op1_multi_index_hashing
 from chorus.llm.containment import OP7_SQL, op7_containment_search
 from chorus.llm.dac import op6_directly_addressable_codes
+from chorus.llm.jaccard import op5_grouped_prefix_join
+from chorus.llm.lm import op9_backoff_automaton
 from chorus.llm.packing import op3_best_fit_packing
+from chorus.llm.pii import op10_candidate_boosting
 from chorus.llm.quality import op4_bradley_terry_quality
 from chorus.llm.toolcalls import OP2_SQL, op2_tool_call_linking
 from chorus.llm.wordpiece import op8_longest_match_counts
@@ -15,9 +18,12 @@ QUERIES = {
     "op2_tool_call_linking": op2_tool_call_linking,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_bradley_terry_quality": op4_bradley_terry_quality,
+    "op5_grouped_prefix_join": op5_grouped_prefix_join,
     "op6_directly_addressable_codes": op6_directly_addressable_codes,
     "op7_containment_search": op7_containment_search,
     "op8_longest_match_counts": op8_longest_match_counts,
+    "op9_backoff_automaton": op9_backoff_automaton,
+    "op10_candidate_boosting": op10_candidate_boosting,
 }
 
 ORACLE: dict[str, str] = {
