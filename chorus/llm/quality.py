@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chorus.llm.common import doc_bucket, hashed_sample, table, text_bytes
 
@@ -59,18 +60,18 @@ def features(text: bytes) -> list[float]:
 N_FEATURES = 21
 
 
-def feature_rows(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns of ``keep`` and a ``features`` array for every row."""
-    rows = docs.select(*keep, text_bytes().alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+def feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of ``keep`` as r0, r1, ... (so that no name can clash) and a ``features`` array for every row."""
+    rows = docs.select(*(F.col(f"`{name}`").alias(f"r{k}") for k, name in enumerate(keep)), text_bytes().alias("text"))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [features(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.list_(pa.float64()))],
-                                             names=[*keep, "features"])
+                                             names=schema.names)
 
-    return rows.mapInArrow(run, f"{schema}, features array<double>")
+    return rows.mapInArrow(run, schema)
 
 
 class BradleyTerry:
@@ -98,13 +99,12 @@ class BradleyTerry:
             step = np.linalg.solve(curve, gradient)
             w = w - step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
         self.weights = w
-        raw = np.sort(z @ w)
-        marks = np.sort(np.column_stack([z @ w, good]).astype(float), axis=0)[:, 0]
-        order = np.argsort(z @ w, kind="stable")
+        raw = z @ w
+        order = np.argsort(raw, kind="stable")
         bad_below = np.cumsum(~good[order]) / (~good).sum()
         good_below = np.cumsum(good[order]) / good.sum()
         cut = int(np.argmax(bad_below - good_below))  # how many of the sample lie at or below the quantile
-        self.shift = float((raw[cut] + marks[min(cut + 1, len(marks) - 1)]) / 2)
+        self.shift = float(raw[order[[cut, min(cut + 1, len(order) - 1)]]].mean())
         return self
 
     def threshold_quantile(self, x: np.ndarray) -> float:
@@ -131,15 +131,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, folds:
               .groupBy("doc_id").agg(F.max("quality").alias("quality")))
     chosen = hashed_sample(marked, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = feature_rows(rows, "doc_id", "quality").orderBy("doc_id").collect()
+    # Repeated doc_ids may bring more rows than ids: the bound holds for rows, too.
+    rows = feature_rows(rows, ["doc_id", "quality"]).distinct()
+    got = rows.orderBy(F.xxhash64("r0", "features"), "r0", "features").limit(2 * sample).collect()
     x = np.array([r.features for r in got]).reshape(len(got), N_FEATURES)
-    return BradleyTerry().fit(x, np.array([r.quality == 1 for r in got], bool))
+    return BradleyTerry().fit(x, np.array([r.r1 == 1 for r in got], bool))
 
 
-def score_documents(docs: DataFrame, model: BradleyTerry, *keep: str) -> DataFrame:
-    """The columns of ``keep``, score and predicted for every row of ``docs``."""
-    scored = feature_rows(docs, *keep).withColumn("score", model.column())
-    return scored.select(*keep, "score", (F.col("score") >= model.accept).cast("int").alias("predicted"))
+def score_documents(docs: DataFrame, model: BradleyTerry) -> DataFrame:
+    """(doc_id, score, predicted) of every row of ``docs``."""
+    scored = feature_rows(docs, ["doc_id"]).select(F.col("r0").alias("doc_id"), model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= model.accept).cast("int"))
+
+
+def accepted(docs: DataFrame, model: BradleyTerry) -> DataFrame:
+    """The rows of ``docs`` that the model accepts."""
+    rows = feature_rows(docs, docs.columns).where(model.column() >= model.accept)
+    return rows.select(*(F.col(f"r{k}").alias(name) for k, name in enumerate(docs.columns)))
 
 
 def op4_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,4 +155,4 @@ def op4_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(doc_bucket("doc_id") % 5 == 0, F.lit(False))
-    return score_documents(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")

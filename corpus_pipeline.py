@@ -20,13 +20,12 @@ from chorus.llm.containment import decontaminate
 from chorus.llm.jaccard import keep_first
 from chorus.llm.packing import pack_documents
 from chorus.llm.pii import fit_finder, redact
-from chorus.llm.quality import fit_quality, score_documents
+from chorus.llm.quality import accepted, fit_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier accepts; it learns from labelled documents of its own input."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, *docs.columns).where("predicted = 1").select(docs.columns)
+    return accepted(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

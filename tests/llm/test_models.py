@@ -51,13 +51,15 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0), (7, 1), (8, 0), (9, None), (None, 1), (1, 1)],
                                    "doc_id long, quality int")
     model = quality.fit_quality(odd_docs, labels)
-    rows = quality.score_documents(odd_docs, model, *odd_docs.drop("score").columns).collect()
+    rows = quality.score_documents(odd_docs, model).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
     empty = {r.score for r in rows if r.doc_id in (3, 4, 5)}
     assert len(empty) == 1 and len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
+    kept = quality.accepted(odd_docs, model)
+    assert kept.columns == odd_docs.columns and kept.count() == sum(r.predicted for r in rows)
     nothing = quality.fit_quality(odd_docs, labels.where("false"))
-    assert {r.score for r in quality.score_documents(odd_docs, nothing, "doc_id").collect()} == {0.5}
-    assert quality.score_documents(no_docs, model, "doc_id").collect() == []
+    assert {r.score for r in quality.score_documents(odd_docs, nothing).collect()} == {0.5}
+    assert quality.score_documents(no_docs, model).collect() == []
 
 
 def words(text):
