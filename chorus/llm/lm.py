@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,22 @@ BLOCKS = ("block string, doc_ids array<long>, held_out array<boolean>, lengths a
 TOTALS = "block string, level int, shard int, totals binary, seen long"
 
 
+def squeeze(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers as compressed bytes: their byte planes (of the differences, if ascending), so that the mostly
+    equal high bytes take no room."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand(data: bytes, kind: str, ascending: bool = False) -> np.ndarray:
+    """The integers of ``squeeze``."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
 def cut_blocks(docs: DataFrame, folds: int, block_tokens: int) -> DataFrame:
     """Blocks of whole documents: numbered tokens, the hashes they stand for (sorted) and their training counts."""
 
@@ -55,8 +72,8 @@ def cut_blocks(docs: DataFrame, folds: int, block_tokens: int) -> DataFrame:
             counts = np.bincount(tokens[learned], minlength=len(words))
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([held_out]),
-                 pa.array([lengths], pa.list_(pa.int64())), pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
-                 pa.array([words.tobytes()], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary()),
+                 pa.array([lengths], pa.list_(pa.int64())), pa.array([squeeze(tokens.astype("<u4"))], pa.binary()),
+                 pa.array([squeeze(words, True)], pa.binary()), pa.array([squeeze(counts.astype("<u4"))], pa.binary()),
                  pa.array([len(tokens)]), pa.array([int(learned.sum())])],
                 names=["block", "doc_ids", "held_out", "lengths", "tokens", "words", "counts", "n_tokens", "n_train"])
 
@@ -105,30 +122,30 @@ def totals(blocks: DataFrame, level: int, shards: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 block, words, counts, tokens, lengths, held = (batch.column(k)[row] for k in range(6))
-                keys, n = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), "<u4")
+                keys, n = expand(words.as_py(), "<u8", True), expand(counts.as_py(), "<u4")
                 if level == 2:
                     size = np.array(lengths.as_py())
-                    pairs, inside = pairs_of(np.frombuffer(tokens.as_buffer(), "<u4"), keys, size)
+                    pairs, inside = pairs_of(expand(tokens.as_py(), "<u4"), keys, size)
                     learned = np.repeat(~np.array(held.as_py(), bool), size)[inside]
                     keys, place = np.unique(pairs[inside], return_inverse=True)
                     n = np.bincount(place[learned], minlength=len(keys)).astype("<u4")
                 dealt = deal(keys, shards)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s for s, _ in dealt], pa.int32()), pa.array([block.as_py()] * len(dealt), pa.string()),
-                     pa.array([keys[c].tobytes() for _, c in dealt], pa.binary()),
-                     pa.array([n[c].tobytes() for _, c in dealt], pa.binary())],
+                     pa.array([squeeze(keys[c], True) for _, c in dealt], pa.binary()),
+                     pa.array([squeeze(n[c]) for _, c in dealt], pa.binary())],
                     names=["shard", "block", "keys", "counts"])
 
     def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+        parts = [expand(k, "<u8", True) for k in group["keys"]]
         distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in group["counts"]])
+        counts = np.concatenate([expand(c, "<u4") for c in group["counts"]])
         n = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
         cuts = np.cumsum([0, *map(len, parts)])
-        out = n[place].astype("<u4" if n.max(initial=0) < 1 << 32 else "<u8")
+        out = n[place].astype("<u8")
         return pd.DataFrame({
             "block": group["block"], "level": level, "shard": int(key[0]),
-            "totals": [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
+            "totals": [squeeze(out[a:b]) for a, b in zip(cuts, cuts[1:])],
             "seen": [int((n > 0).sum()), *[0] * (len(parts) - 1)]})
 
     rows = blocks.select("block", "words", "counts", *(["tokens", "lengths", "held_out"] if level == 2 else
@@ -142,14 +159,11 @@ def joined_totals(rows: pd.DataFrame, level: int, n: int) -> np.ndarray:
     own = rows[rows["level"] == level].sort_values("shard")
     if not len(own):
         return np.zeros(n, np.int64)
-    size = sum(map(len, own["totals"])) // max(1, n)
-    if size in (4, 8):  # all shards of one width
-        return np.frombuffer(b"".join(own["totals"]), f"<u{size}").astype(np.int64)
-    raise ValueError("shards of different widths")
+    return np.concatenate([expand(t, "<u8") for t in own["totals"]]).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, folds: int = 10, mu: float = 60.0, add: float = 0.1,
-                    block_tokens: int = 1_000_000, shard_tokens: int = 4_000_000) -> DataFrame:
+                    block_tokens: int = 2_000_000, shard_tokens: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     blocks = stage(cut_blocks(docs, folds, block_tokens), "lm-blocks")
     sums = blocks.agg(F.sum("n_tokens").alias("n"), F.sum("n_train").alias("train")).first()
@@ -163,7 +177,7 @@ def score_documents(docs: DataFrame, folds: int = 10, mu: float = 60.0, add: flo
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
                                          "score"])
         block = left.iloc[0]
-        tokens, words = np.frombuffer(block["tokens"], "<u4"), np.frombuffer(block["words"], np.uint64)
+        tokens, words = expand(block["tokens"], "<u4"), expand(block["words"], "<u8", True)
         lengths = np.array(block["lengths"])
         c1 = joined_totals(right, 1, len(words))
         pairs, inside = pairs_of(tokens, words, lengths)
