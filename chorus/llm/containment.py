@@ -54,6 +54,7 @@ def maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
 
 def item_sketches(items: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
     """(sketch rows, shingle rows) of the items, one row per item and hash, or item and shingle text."""
+    # Words are a column of their own: inside a lambda they would be split anew for every shingle.
     words = items.where(F.col("item_id").isNotNull()).select("item_id", word_list(F.col("text")).alias("w"))
     shingles = (words.select("item_id", F.explode(shingle_texts(F.col("w"), width)).alias("shingle")).distinct())
     sizes = shingles.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
@@ -94,7 +95,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     ids = pairs.select("doc_id").distinct()
     suspects = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
                 .join(maybe_broadcast(ids, pairs.count(), CANDIDATE_ROWS), "doc_id", "left_semi"))
-    texts = suspects.select("doc_id", F.explode(shingle_texts(word_list(F.col("text")), width)).alias("shingle"))
+    texts = (suspects.select("doc_id", word_list(F.col("text")).alias("w"))
+             .select("doc_id", F.explode(shingle_texts(F.col("w"), width)).alias("shingle")))
     found = (texts.join(maybe_broadcast(full.select("item_id", "shingle", "n_shingles"), full_rows, SKETCH_ROWS),
                         "shingle")
              .distinct().groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_found"))
