@@ -9,7 +9,6 @@ from array import array
 from unicodedata import is_normalized
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,27 +127,28 @@ _BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sorted({*range(256)} - _PRINTA
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class UnitEncoder:
+class UnitEncoder(dict):
     """Token ids of whole texts as little-endian uint32 bytes, equal to encoding each text at once.
 
-    A text is cut where its pre-tokenizer always cuts (at spaces), each distinct unit is encoded once by
-    the tokenizers library and memoised per Python worker.  The memo is bounded: beyond ``room`` units only
-    those of the texts at hand stay, and units longer than ``longest`` characters are encoded but not kept.
+    A text is cut where its pre-tokenizer always cuts (at spaces), and each distinct unit is encoded once by
+    the tokenizers library and memoised per Python worker: the encoder is the dictionary from units (without the
+    space before them) to ids.  It is emptied at ``room`` units; units longer than ``longest`` characters are
+    encoded but not kept.
     ``leading_space``: the vocabulary sees the space in front of a word (byte-level pre-tokens);
     otherwise white space is dropped by the tokenizer.  ``lower``: the tokenizer lower-cases each character.
     """
 
     _shared: dict = {}
 
-    def __init__(self, path: str, leading_space: bool, lower: bool = False, room: int = 400_000,
+    def __init__(self, path: str, leading_space: bool, lower: bool = False, room: int = 500_000,
                  longest: int = 40) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.space, self.lower, self.room, self.longest = " " if leading_space else "", lower, room, longest
-        self.memo: dict[str, bytes] = {"": b""}  # unit (without the space before it, if it has one) -> ids
         self.tails: dict[str, bytes] = {}
         self.word = self.tokenizer.model.tokenize
         self.mark = chr(_BYTE_CHARS[32]) if leading_space else ""
@@ -161,76 +161,50 @@ class UnitEncoder:
             cls._shared[key] = cls(path, leading_space, lower)
         return cls._shared[key]
 
-    def _ids(self, units: list[str]) -> list[bytes]:
-        if not units:
-            return []
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _learn(self, units: list[str]) -> None:
-        """Memoise units.  Letters, then perhaps marks, are two pre-tokens: the letters go to the model as
-        they are (in its spelling of bytes), the marks are memoised apart; other units are encoded as texts."""
-        memo, word, mark, tails, rest = self.memo, self.word, self.mark, self.tails, []
-        for u in units:
-            core = u.rstrip(_TAIL)
-            if not core.isalpha() or not (core.isascii() or is_normalized("NFC", core)) or "\u03a3" in core:
-                rest.append(u)
-                continue
-            got = memo.get(core) if core is not u else None
-            if got is None:
-                spelled = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
-                got = array("I", [t.id for t in word(mark + spelled)]).tobytes()
-                memo[core] = got
-            if len(core) < len(u):
-                tail = u[len(core):]
-                if tail not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[tail] = self._ids([tail])[0]
-                memo[u] = got + tails[tail]
-        memo.update(zip(rest, self._ids([self.space + u for u in rest])))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the texts of one call should be some megabytes at most."""
-        rows, odd = [], {}
-        for i, t in enumerate(texts):
-            if self.lower and "\u03a3" not in t:  # the final form of this letter depends on its neighbours
-                t = t.lower()
-            if self.space and _ODD_SPACE.search(t):
-                odd[i] = _CUT.split(t)
-                t = ""
-            rows.append(t.split(" "))
-        heads = []
-        if self.space:
-            heads, rows = [r[0] for r in rows], [r[1:] for r in rows]
-        need = set().union(*rows)
-        memo = self.memo
-        if len(memo) + len(need) > self.room:
-            memo = self.memo = {u: memo[u] for u in need if u in memo} | {"": b""}
-        new = [u for u in need if u not in memo]
-        self._learn(new)
-        get = memo.__getitem__
-        out = [b"".join(map(get, r)) for r in rows]
-        if self.space:
-            first = [u for u in set(heads) if u]
-            begun = dict(zip(first, self._ids(first))) | {"": b""}
-            out = [begun[h] + o for h, o in zip(heads, out)]
-            for i, units in odd.items():
-                out[i] = b"".join(self._ids(units))
-        for u in new:
-            if len(u) > self.longest:
-                memo.pop(u, None)
-                memo.pop(u.rstrip(_TAIL), None)
-        memo[""] = b""
-        return out
-
-    def in_pieces(self, texts: list[str], chars: int = 1_000_000):
-        """``batch`` over runs of texts of about ``chars`` characters."""
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= chars or i + 1 == len(texts):
-                yield from self.batch(texts[at: i + 1])
-                at, size = i + 1, 0
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as it is."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.encode(tail)
+        return self.tails[tail]
+
+    def __missing__(self, unit: str) -> bytes:
+        """Letters, then perhaps marks, are two pre-tokens: the letters go to the model as they are (in its
+        spelling of bytes), the marks are memoised apart.  Other units are encoded as texts."""
+        core = unit.rstrip(_TAIL)
+        if core.isascii() and core.isalpha():
+            spelled = core
+        elif core.isalpha() and is_normalized("NFC", core) and "\u03a3" not in core:
+            spelled = core.encode().decode("latin-1").translate(_BYTE_CHARS)
+        else:
+            spelled = ""
+        if not spelled:
+            ids = self.encode(self.space + unit) if unit else b""
+        elif len(core) < len(unit):
+            ids = self[core] + self._tail(unit[len(core):])
+        else:
+            ids = array("I", [t.id for t in self.word(self.mark + spelled)]).tobytes()
+        if len(unit) <= self.longest:
+            if len(self) >= self.room:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """Ids of a text."""
+        get = self.__getitem__
+        if not self.space:
+            if self.lower and "\u03a3" not in text:  # the final form of this letter depends on its neighbours
+                text = text.lower()
+            return b"".join(map(get, text.split(" ")))
+        if _ODD_SPACE.search(text):
+            return b"".join(map(self.encode, _CUT.split(text)))
+        first, _, rest = text.partition(" ")
+        return self.encode(first) + (b"".join(map(get, rest.split(" "))) if rest else b"")
 
 
 def tokenizer_path(name: str) -> str:
@@ -238,8 +212,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def binary_list(values) -> pa.Array:
-    """A column of bytes that may pass 2 GB in one batch."""
-    return pa.array(values, pa.large_binary() if sum(map(len, values)) > 2_000_000_000 else pa.binary())

@@ -31,28 +31,32 @@ BLOCK = 512
 MANIFEST = "partition long, shard long, file string, n_docs long, n_ids long"
 
 
-def encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunks, bitmap, ranks) of each level."""
-    levels = []
-    while len(ids) or not levels:
+def encode(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(chunks, bitmap, ranks) of each level, one level at a time."""
+    first = True
+    while len(ids) or first:
+        first = False
         more = ids > 255
-        counts = np.concatenate([[0], np.cumsum(np.add.reduceat(more, np.arange(0, len(more), BLOCK)))]) \
-            if len(ids) else np.zeros(1, np.int64)
-        levels.append(((ids & 255).astype(np.uint8), np.packbits(more, bitorder="little"), counts.astype("<u8")))
-        ids = ids[more] >> 8
-    return levels
+        chunks = np.ascontiguousarray(ids.view(np.uint8)[::4])
+        ranks = np.zeros((len(ids) + BLOCK - 1) // BLOCK + 1, "<u8")
+        if len(ids):
+            ranks[1:] = np.cumsum(np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.int64))
+        yield chunks, np.packbits(more, bitorder="little"), ranks
+        ids = ids[more]
+        ids >>= 8
 
 
-def pack_file(doc_ids: list, lengths: list, ids: np.ndarray) -> bytes:
-    """One file's bytes."""
-    levels = encode(ids)
+def pack_file(doc_ids: list, lengths: list, ids: np.ndarray) -> list[bytes]:
+    """One file's bytes, in parts."""
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-    head = [b"DAC1", np.uint32(len(levels)).tobytes(),
-            np.array([len(doc_ids), len(ids), *(len(c) for c, _, _ in levels)], "<u8").tobytes()]
-    body = [known.tobytes(), nulls.tobytes(), starts.tobytes()]
-    return b"".join([*head, *body, *(x.tobytes() for level in levels for x in level)])
+    body, sizes = [known.tobytes(), nulls.tobytes(), starts.tobytes()], []
+    for level in encode(ids):
+        sizes.append(len(level[0]))
+        body += [x.tobytes() for x in level]
+    head = b"DAC1" + np.uint32(len(sizes)).tobytes() + np.array([len(doc_ids), len(ids), *sizes], "<u8").tobytes()
+    return [head, *body]
 
 
 class DacFile:
@@ -111,7 +115,7 @@ class DacFile:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
+def _put(folder: str, name: str, parts: list[bytes]) -> None:
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") \
@@ -119,7 +123,8 @@ def _put(folder: str, name: str, data: bytes) -> None:
     store.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(draft) as out:
-        out.write(data)
+        for part in parts:
+            out.write(part)
     store.move(draft, f"{path}/{name}")
 
 
@@ -135,25 +140,25 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder.shared(vocabulary, leading_space, lower)
         tail, partition, shard = array("I", [end_id]).tobytes(), TaskContext.get().partitionId(), 0
-        keys, lengths, held, size = [], [], [], 0
+        keys, lengths, held, size = [], [], bytearray(), 0
 
         def flush() -> pa.RecordBatch:
             name = f"ids-{partition:06d}-{shard:06d}.dac"
-            _put(folder, name, pack_file(keys, lengths, np.frombuffer(b"".join(held), "<u4")))
+            _put(folder, name, pack_file(keys, lengths, np.frombuffer(held, "<u4")))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x]) for x in (partition, shard, name, len(keys), size)],
                 names=["partition", "shard", "file", "n_docs", "n_ids"])
 
         for batch in batches:
-            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.in_pieces(batch.column(1).to_pylist())):
+            for doc_id, got in zip(batch.column(0).to_pylist(), (encoder(t.as_py()) for t in batch.column(1))):
                 got += tail
                 keys.append(doc_id)
                 lengths.append(len(got) // 4)
-                held.append(got)
+                held += got
                 size += len(got) // 4
                 if size >= shard_ids:
                     yield flush()
-                    keys, lengths, held, size, shard = [], [], [], 0, shard + 1
+                    keys, lengths, held, size, shard = [], [], bytearray(), 0, shard + 1
         if keys:
             yield flush()
 

@@ -38,9 +38,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
         encoder = UnitEncoder.shared(vocabulary, leading_space)
         tail, width = array("I", [end_id]).tobytes(), 4 * capacity
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keys, pieces, starts, ids, held = [], [], [], [], 0
-            for doc_id, got in zip(doc_ids, encoder.in_pieces(texts)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got = encoder(text.as_py())
                 got += tail
                 cut = len(got) % width or width if len(got) > width else len(got)
                 ends = range(cut, len(got) + 1, width)
