@@ -21,8 +21,17 @@ MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 SHIFT_A, SHIFT_B = np.uint64(29), np.uint64(32)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in an Arrow batch, if the session has the default: texts may be long, and a batch lies in
+    the memory of both the JVM and the Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +47,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     step used twice runs once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -72,34 +82,28 @@ def finalise(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class WordHashes:
-    """64-bit hashes of a text's words, with a bounded memo per task.
+class WordHashes(dict):
+    """64-bit hashes of a text's words, memoised per task: the dictionary from words to hashes.
 
-    Words are maximal runs without ASCII white space, A-Z lower-cased.  The memo holds at most ``room``
-    words and is emptied when full; longer words than ``longest`` bytes are never kept.
+    Words are maximal runs without ASCII white space, A-Z lower-cased.  It is emptied at ``room`` words; words longer
+    than ``longest`` bytes are never kept.
     """
 
-    def __init__(self, room: int = 400_000, longest: int = 64) -> None:
-        self.memo: dict[bytes, int] = {}
+    def __init__(self, room: int = 300_000, longest: int = 48) -> None:
+        super().__init__()
         self.room, self.longest = room, longest
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = h
+        return h
+
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
-        memo = self.memo
-        try:
-            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            pass
-        fresh = {w: xxhash.xxh3_64_intdigest(w) for w in set(words) if w not in memo}
-        if len(memo) + len(fresh) > self.room:
-            memo.clear()
-        if len(memo) + len(fresh) > self.room or any(len(w) > self.longest for w in fresh):
-            local = {w: memo[w] if w in memo else fresh.get(w) or xxhash.xxh3_64_intdigest(w) for w in set(words)}
-            memo.update((w, h) for w, h in list(fresh.items())[: self.room] if len(w) <= self.longest)
-            return np.fromiter(map(local.__getitem__, words), np.uint64, len(words))
-        memo.update(fresh)
-        return np.fromiter((memo[w] if w in memo else memo.setdefault(w, xxhash.xxh3_64_intdigest(w))
-                            for w in words), np.uint64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -178,7 +182,7 @@ class UnitEncoder(dict):
         core = unit.rstrip(_TAIL)
         if core.isascii() and core.isalpha():
             spelled = core
-        elif core.isalpha() and is_normalized("NFC", core) and "\u03a3" not in core:
+        elif core.isalpha() and is_normalized("NFC", core):
             spelled = core.encode().decode("latin-1").translate(_BYTE_CHARS)
         else:
             spelled = ""
@@ -198,7 +202,9 @@ class UnitEncoder(dict):
         """Ids of a text."""
         get = self.__getitem__
         if not self.space:
-            if self.lower and "\u03a3" not in text:  # the final form of this letter depends on its neighbours
+            if self.lower and "\u03a3" in text:  # the final form of this letter depends on its neighbours
+                return b"".join(map(self.encode, text.split(" ")))
+            if self.lower:
                 text = text.lower()
             return b"".join(map(get, text.split(" ")))
         if _ODD_SPACE.search(text):
