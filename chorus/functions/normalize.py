@@ -71,7 +71,12 @@ DATE_FORMATS = [
 ISO_PREFIX_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
 
 
-def _parse_format(s: Column, regex: str, groups) -> Column:
+#: Day-first dates, tried when the month-first reading fails.
+DAY_FIRST = 3
+
+
+def _canonical(s: Column, regex: str, groups) -> Column:
+    """``yyyy-MM-dd HH:mm:ss.SSSSSS`` of a matching string, as one regular-expression replacement and padding."""
     def g(i, width):
         if i == 0:
             return F.lit("0" * width)
@@ -79,16 +84,22 @@ def _parse_format(s: Column, regex: str, groups) -> Column:
 
     y, mo, d, h, mi, se, fr = groups
     frac = F.rpad(F.regexp_extract(s, regex, fr), 6, "0") if fr else F.lit("000000")
-    canon = F.concat(g(y, 4), F.lit("-"), g(mo, 2), F.lit("-"), g(d, 2), F.lit(" "),
-                     g(h, 2), F.lit(":"), g(mi, 2), F.lit(":"), g(se, 2), F.lit("."), frac)
-    ts = F.try_to_timestamp(canon, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return F.when(s.rlike(regex), ts)
+    return F.concat(g(y, 4), F.lit("-"), g(mo, 2), F.lit("-"), g(d, 2), F.lit(" "), g(h, 2), F.lit(":"), g(mi, 2),
+                    F.lit(":"), g(se, 2), F.lit("."), frac)
 
 
 def parse_date(c) -> Column:
-    """The first format (in order) that parses the whole string, as a timestamp."""
+    """The first format (in order) that parses the whole string, as a timestamp.
+
+    Only the two slash forms can both match; all others exclude each other, so a string has one canonical text to
+    parse, and a second one (day first) only where the month-first reading is no date.
+    """
     s = col(c).cast("string")
-    return F.coalesce(*[_parse_format(s, rx, gr) for rx, gr in DATE_FORMATS])
+    text = F.coalesce(*[F.when(s.rlike(rx), _canonical(s, rx, gr)) for rx, gr in DATE_FORMATS])
+    rx, gr = DATE_FORMATS[DAY_FIRST]
+    first = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    second = F.try_to_timestamp(F.when(s.rlike(rx), _canonical(s, rx, gr)), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return F.coalesce(first, second)
 
 
 def iso_format(ts) -> Column:
@@ -156,7 +167,3 @@ def epoch_to_iso(c) -> Column:
 
 def safe_rate(num, den) -> Column:
     return F.coalesce(F.try_divide(col(num).cast("double"), col(den).cast("double")), F.lit(0.0))
-
-
-def is_string(dtype) -> bool:
-    return isinstance(dtype, StringType)

@@ -77,9 +77,12 @@ def caps_ratio(c) -> Column:
                   F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")).cast("double") / F.length(t))
 
 
-def is_review_spam(title, content, patterns=None, caps_on_original: bool = False) -> Column:
-    """De-dup-stage spam: >=2 patterns; or short text with one; caps; repetition."""
-    hits = review_spam_hits(title, content, patterns)
+def is_review_spam(title, content, patterns=None, caps_on_original: bool = False, hits=None) -> Column:
+    """De-dup-stage spam: >=2 patterns; or short text with one; caps; repetition.
+
+    ``hits``: a column that already holds ``review_spam_hits``.
+    """
+    hits = review_spam_hits(title, content, patterns) if hits is None else col(hits)
     content_c = F.coalesce(col(content), F.lit(""))
     caps_src = content_c if caps_on_original else F.lower(content_c)
     n_words = F.size(ws_words(F.lower(content_c)))

@@ -29,7 +29,7 @@ NOT_WS = f"[^{WS_CLASS}]"
 DIGIT = r"\p{Nd}"
 
 # clean_text pieces (steps 3-9)
-URL_RE = r"https?://[!\x24-\x5fa-z]+"          # `$-_` in the original class is a range
+URL_RE = r"https?://[!$-_a-z]+"                # `$-_` in the original class is a range
 EMAIL_RE = f"{NOT_WS}+@{NOT_WS}+\\.{NOT_WS}+"
 DROP_SPECIAL_RE = f"[^{W_CLASS}{WS_CLASS}.,!?;:()\\-'\"@#]"
 STRIP_RE = f"^{WS}+|{WS}+$"

@@ -1,7 +1,7 @@
 """The few Arrow-batched Python functions (Spark has no built-in for them).
 
 * ``unescape_nfkc`` -- HTML entity decoding followed by NFKC normalisation.
-* ``ratio_pairs``   -- Ratcliff/Obershelp similarity of (later, earlier) pairs.
+* ``ratio_pairs_at_least`` -- Ratcliff/Obershelp similarity of (later, earlier) pairs.
 
 Each works on one Arrow batch at a time inside an executor task; Spark
 partitions and shuffles the rows.  Callers only route rows that need the
@@ -14,6 +14,7 @@ import html
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,15 +57,42 @@ def similarity(a_content: str, b_content: str, a_title: str, b_title: str) -> fl
     return sim
 
 
+def qgrams_allow(a: str, b: str, need: float, q: int = 4) -> bool:
+    """Whether the texts share enough q-grams for a ratio of ``need``; never False for a pair that reaches it.
+
+    A ratio of ``need`` has M >= need * (la + lb) / 2 matched characters and u = la + lb - 2 M others.  Matched blocks are
+    separated by at least one other character, so there are at most u + 1, and a block of length L holds L - q + 1
+    common q-grams: at least M - (q - 1) (u + 1) are common, counted with repeats.
+    """
+    total = len(a) + len(b)
+    matched = need * total / 2
+    common = matched - (q - 1) * (total - 2 * matched + 1)
+    if common <= 0:
+        return True
+    counts = []
+    for text in (a, b):
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        grams = points[: len(points) - q + 1].copy()
+        for k in range(1, q):
+            grams = grams * np.uint64(0x110000) + points[k: len(points) - q + 1 + k]
+        counts.append(np.unique(grams, return_counts=True))
+    (ga, na), (gb, nb) = counts
+    at = np.minimum(np.searchsorted(gb, ga), max(0, len(gb) - 1))
+    same = gb[at] == ga if len(gb) else np.zeros(len(ga), bool)
+    return int(np.minimum(na, nb[at] if len(gb) else 0)[same].sum()) >= common - 1e-6
+
+
 def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float) -> float:
     """``similarity`` when it can reach ``threshold``, else 0.0.
 
-    ``quick_ratio`` (character multiset overlap) bounds ``ratio`` from above,
-    so pairs whose bound misses the threshold skip the quadratic matcher.
+    ``quick_ratio`` (character multiset overlap) and the q-gram count bound ``ratio``
+    from above, so pairs whose bound misses the threshold skip the quadratic matcher.
     """
     if not a_content or not b_content:
         return 0.0
     both_titles = bool(a_title) and bool(b_title)
+    if not qgrams_allow(a_content, b_content, (threshold - 0.2) / 0.8 if both_titles else threshold):
+        return 0.0
     sm = SequenceMatcher(None, a_content, b_content)
     bound = sm.quick_ratio()
     if (bound * 0.8 + 0.2 if both_titles else bound) < threshold:
@@ -75,12 +103,6 @@ def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float
     return sim
 
 
-@pandas_udf(DoubleType())
-def ratio_pairs(a_content: pd.Series, b_content: pd.Series, a_title: pd.Series, b_title: pd.Series) -> pd.Series:
-    return pd.Series([similarity(a, b, ta, tb)
-                      for a, b, ta, tb in zip(a_content, b_content, a_title, b_title)], dtype="float64")
-
-
 def ratio_pairs_at_least(threshold: float):
     """Arrow UDF: similarity of (later, earlier) pairs, 0.0 where it cannot reach ``threshold``."""
     @pandas_udf(DoubleType())

@@ -41,28 +41,17 @@ def best_per_key(df: DataFrame, keys: Sequence[str], score: str, order: str = "o
     return df.groupBy(*keys).agg(best.alias("b")).select((-F.col("b.neg")).alias(order))
 
 
-def flag_not_in(df: DataFrame, winners: DataFrame, flag: str, order: str = "ord") -> DataFrame:
-    """``flag`` = the row's ``ord`` is not among ``winners`` (join on the unique ordinal)."""
-    w = winners.select(F.col(order), F.lit(True).alias("_win"))
-    return df.join(w, order, "left").withColumn(flag, F.col("_win").isNull()).drop("_win")
-
-
 def hash_dedup(df: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
     """Keep the first row (by ``ord``) of every (batch, content hash)."""
     h = df if "content_hash" in df.columns else with_content_hash(df)
     return h.join(first_per_key(h, [*batch, "content_hash"]), "ord", "left_semi")
 
 
-def flag_hash_duplicates(df: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
-    h = df if "content_hash" in df.columns else with_content_hash(df)
-    return flag_not_in(h, first_per_key(h, [*batch, "content_hash"]), "is_hash_duplicate")
-
-
 def with_spam(df: DataFrame, caps_on_original: bool = False) -> DataFrame:
-    return df.withColumns({
-        "spam_hits": review_spam_hits("title", "content"),
-        "is_spam": is_review_spam("title", "content", caps_on_original=caps_on_original),
-    })
+    """``spam_hits``, then ``is_spam`` from that column: the patterns run once per row."""
+    hit = df.withColumn("spam_hits", review_spam_hits("title", "content"))
+    return hit.withColumn("is_spam", is_review_spam("title", "content", caps_on_original=caps_on_original,
+                                                    hits="spam_hits"))
 
 
 def user_dedup(df: DataFrame, batch: Sequence[str] = BATCH, score: str = "quality_score",
@@ -77,13 +66,3 @@ def user_dedup(df: DataFrame, batch: Sequence[str] = BATCH, score: str = "qualit
         kept = named.join(best_per_key(named, keys, score), "ord", "left_semi")
         return kept.unionByName(df.where(F.col("user_id").isNull()))
     return df.join(best_per_key(df, keys, score), "ord", "left_semi")
-
-
-def flag_user_duplicates(df: DataFrame, batch: Sequence[str] = BATCH, score: str = "quality_score",
-                         skip_null_user: bool = False) -> DataFrame:
-    keys = list(dict.fromkeys([*batch, "user_id", "app_name"]))
-    src = df.where(F.col("user_id").isNotNull()) if skip_null_user else df
-    out = flag_not_in(df, best_per_key(src, keys, score), "is_user_duplicate")
-    if skip_null_user:
-        out = out.withColumn("is_user_duplicate", F.col("is_user_duplicate") & F.col("user_id").isNotNull())
-    return out

@@ -5,25 +5,30 @@ Here, per batch:
 
 1. rows whose normalised (content, title) are identical collapse to their
    first row -- exact, since such rows have similarity 1 with each other and
-   identical similarities to everyone else; done as a grouped ``min(ord)``;
+   identical similarities to everyone else; a grouped ``min(ord)`` on a hash,
+   over rows without texts;
 2. MinHash signatures of character shingles (Arrow UDF, numpy) are cut
    into bands; rows sharing a band bucket are candidates (equi-join on
-   ``(batch, band, bucket)``, ``ord_a < ord_b``);
-3. a lossless length bound (``ratio <= 2*min/(la+lb)``) and a MinHash
-   agreement floor (estimated shingle Jaccard, ``min_agreement``) prune
-   candidates natively;
-4. ``ratio_pairs`` verifies survivors with the original's similarity,
-   arguments (later, earlier);
+   ``(batch, layout, band, bucket)``, ``ord_a < ord_b``).  Short texts have a layout of
+   their own (3-grams), as few edits change most of their longer shingles; texts
+   near the border carry both layouts, so that any two texts whose lengths allow
+   the threshold share one;
+3. bounds that lose no pair: the length bound (``ratio <= 2*min/(la+lb)``), the
+   character bound (``quick_ratio``) and the q-gram bound (``qgrams_allow``);
+4. survivors are verified with the original's similarity, arguments
+   (later, earlier);
 5. leaders = lexicographically-first maximal independent set of the
-   verified graph by ``ord`` (the greedy pass, computed in rounds: a row
-   becomes a leader once all its earlier neighbours are non-leaders; a row
-   with an earlier leader neighbour joins the lowest such leader);
+   verified graph by ``ord`` (the greedy pass, computed in rounds until no row
+   is open: a row becomes a leader once all its earlier neighbours are
+   non-leaders; a row with an earlier leader neighbour joins the lowest such
+   leader);
 6. the survivor of each cluster is its highest-quality row, earliest on ties
    (the original's strict ``>`` replacement).
 
 Deviation: the original compares later rows with a slot's *replacement*
-text; we compare with the leader (no drift).  Recall is that of LSH with the
-given shingle size / bands / rows; all are parameters.
+text; we compare with the leader (no drift).  Only step 2 can miss a pair; with the
+default layouts a pair at the threshold whose edits are spread as evenly as can be
+is missed with a chance below one in a hundred, others far more rarely.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from pyspark.sql.types import ArrayType, LongType
 from chorus import lexicons as LX
 from chorus.functions.text import normalize_for_comparison
 from chorus.functions.udfs import ratio_pairs_at_least
-from chorus.operators.dedup import BATCH, first_per_key
+from chorus.operators.dedup import BATCH, first_per_key, with_content_hash
 from chorus.plans.store import table_stage
 
 
@@ -82,15 +87,37 @@ def normalized(df: DataFrame) -> DataFrame:
                            "norm_title": normalize_for_comparison("title")})
 
 
-def with_signature(reps: DataFrame, shingle: int = 6, bands: int = 32, rows: int = 3, seed: int = 7) -> DataFrame:
-    sig = _signature_udf(shingle, bands * rows, seed)
-    return reps.where(F.col("norm_content") != "").withColumn("sig", sig("norm_content"))
+#: (name, shingle length, bands, rows per band)
+SHORT, LONG = ("short", 3, 64, 2), ("long", 5, 64, 3)
+#: Texts below this length are short.
+BORDER = 100
 
 
-def candidate_pairs(signed: DataFrame, batch: Sequence[str], bands: int = 32, rows: int = 3) -> DataFrame:
+def content_need(threshold: float) -> float:
+    """The least content ratio that can reach ``threshold``: titles weigh a fifth where both are there."""
+    return (threshold - 0.2) / 0.8
+
+
+def with_signatures(reps: DataFrame, threshold: float, seed: int = 7) -> DataFrame:
+    """``bands``: for each layout of a text, its band buckets as (layout and band number, hash)."""
+    need = content_need(threshold)
+    reach = BORDER * (2 - need) / need  # the longest text that a text below the border can be similar to
+    n = F.length("norm_content")
+    parts = []
+    for (name, shingle, bands, rows), fits in ((SHORT, n < reach), (LONG, n >= BORDER)):
+        sig = _signature_udf(shingle, bands * rows, seed)(F.when(fits, F.col("norm_content")))
+        reps = reps.withColumn(f"_{name}", sig)
+        first = 0 if name == "short" else 1000
+        parts.append(F.coalesce(F.when(F.col(f"_{name}").isNotNull(), F.array(*[
+            F.struct(F.lit(first + b).alias("band"), F.xxhash64(F.slice(f"_{name}", b * rows + 1, rows)).alias("bucket"))
+            for b in range(bands)])), F.array().cast("array<struct<band:int,bucket:bigint>>")))
+    reps = reps.where(F.col("norm_content") != "").withColumn("bands", F.concat(*parts))
+    return reps.drop("_short", "_long")
+
+
+def candidate_pairs(signed: DataFrame, batch: Sequence[str]) -> DataFrame:
     """(later, earlier) pairs sharing at least one LSH band bucket; one row per pair."""
-    band_ids = F.array(*[F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)])
-    buckets = signed.select(*batch, "ord", F.posexplode(band_ids).alias("band", "bucket"))
+    buckets = signed.select(*batch, "ord", F.explode("bands").alias("b")).select(*batch, "ord", "b.band", "b.bucket")
     a, b = buckets.alias("a"), buckets.alias("b")
     cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*batch, "band", "bucket"]]
     pairs = (a.join(b, cond).where(F.col("a.ord") > F.col("b.ord"))
@@ -98,21 +125,18 @@ def candidate_pairs(signed: DataFrame, batch: Sequence[str], bands: int = 32, ro
     return pairs.distinct()
 
 
-def verified_edges(signed: DataFrame, pairs: DataFrame, threshold: float, min_agreement: float = 0.5) -> DataFrame:
+def verified_edges(signed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs whose similarity (later, earlier) reaches ``threshold``.
 
-    Cheap native filters first: the lossless length bound, then MinHash
-    agreement (estimated shingle Jaccard) of at least ``min_agreement``;
-    only survivors reach the Python matcher.
+    The length bound runs natively; the Python matcher applies its own bounds first.
     """
-    txt = signed.select("ord", "norm_content", "norm_title", "sig", F.length("norm_content").alias("len"))
+    txt = signed.select("ord", "norm_content", "norm_title", F.length("norm_content").alias("len"))
     la, ea = txt.alias("l"), txt.alias("e")
     j = (pairs.join(la, F.col("later") == F.col("l.ord")).join(ea, F.col("earlier") == F.col("e.ord")))
     both_titles = (F.col("l.norm_title") != "") & (F.col("e.norm_title") != "")
-    need = F.when(both_titles, F.lit((threshold - 0.2) / 0.8)).otherwise(F.lit(threshold))
+    need = F.when(both_titles, F.lit(content_need(threshold))).otherwise(F.lit(threshold))
     bound = 2.0 * F.least("l.len", "e.len") / (F.col("l.len") + F.col("e.len"))
-    agree = F.size(F.filter(F.zip_with("l.sig", "e.sig", lambda x, y: x == y), lambda x: x)) / F.size("l.sig")
-    j = j.where((bound >= need - 1e-12) & (agree >= min_agreement))
+    j = j.where(bound >= need - 1e-12)
     # CPU-heavy Python step: an explicit partition count (AQE keeps it) spreads
     # the surviving pairs over every core instead of a few coalesced tasks.
     sc = pairs.sparkSession.sparkContext
@@ -124,7 +148,33 @@ def verified_edges(signed: DataFrame, pairs: DataFrame, threshold: float, min_ag
             .where(F.col("similarity") >= threshold))
 
 
-def greedy_leaders(edges: DataFrame, stage=None, max_rounds: int | None = None) -> DataFrame:
+def word_jaccard_edges(v: DataFrame, batch: Sequence[str], percent: int) -> DataFrame:
+    """(later, earlier) pairs whose normalised contents have word sets of at least ``percent`` Jaccard similarity.
+
+    Prefix filter: a pair shares a word among the first n - ceil(percent n / 100) + 1 of each set, in the order rare
+    first, then by the word.
+    """
+    sets = v.select(*batch, "ord", F.array_distinct(F.split(normalize_for_comparison("content"), " ")).alias("w"))
+    words = sets.select(*batch, "ord", F.size("w").alias("n"), F.explode("w").alias("word"))
+    ranks = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = words.join(ranks, "word").groupBy(*batch, "ord", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    tokens = ranked.select(*batch, "ord", "n", F.explode(F.slice("w", F.lit(1), prefix.cast("int"))).alias("t"))
+    tokens = tokens.select(*batch, "ord", "n", F.col("t.word").alias("word"))
+    a, b = tokens.alias("a"), tokens.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*batch, "word"]]
+    pairs = (a.join(b, on).where((F.col("a.ord") > F.col("b.ord"))
+                                 & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
+             .select(F.col("a.ord").alias("later"), F.col("b.ord").alias("earlier")).distinct())
+    left = sets.select(F.col("ord").alias("later"), F.col("w").alias("w1"))
+    right = sets.select(F.col("ord").alias("earlier"), F.col("w").alias("w2"))
+    same, both = F.size(F.array_intersect("w1", "w2")), F.size(F.array_union("w1", "w2"))
+    return (pairs.join(left, "later").join(right, "earlier").where(100 * same >= percent * both)
+            .select("later", "earlier"))
+
+
+def greedy_leaders(edges: DataFrame, stage=None) -> DataFrame:
     """(ord, leader) for every row in the edge graph; leaders map to themselves.
 
     Each round is one aggregation of the edge list joined to the current
@@ -150,7 +200,7 @@ def greedy_leaders(edges: DataFrame, stage=None, max_rounds: int | None = None)
         nxt = (stage or table_stage)(f"leaders-round-{rnd}", lambda n=nxt: n)
         undecided = nxt.where(F.col("st") == "U").count()
         status = nxt
-        if undecided == 0 or (max_rounds is not None and rnd >= max_rounds):
+        if undecided == 0:
             break
     leaders = status.where(F.col("st") == "L").select(F.col("ord").alias("earlier"))
     member_of = (e.join(leaders, "earlier").groupBy(F.col("later").alias("ord"))
@@ -160,10 +210,8 @@ def greedy_leaders(edges: DataFrame, stage=None, max_rounds: int | None = None)
 
 
 def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
-                            threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, shingle: int = 6,
-                            bands: int = 32, rows: int = 3, seed: int = 7,
-                            hash_dedup_first: bool = True, return_edges: bool = False,
-                            min_agreement: float = 0.5):
+                            threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, seed: int = 7,
+                            hash_dedup_first: bool = True, return_edges: bool = False):
     """(ord, cluster, quality_score) for the rows entering the similarity step.
 
     ``cluster`` is the leader's ``ord``; rows outside every cluster lead
@@ -172,25 +220,23 @@ def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
     batch = list(batch)
     base = v
     if hash_dedup_first:
-        h = v if "content_hash" in v.columns else v.withColumn("content_hash", F.lit(None))
+        h = v if "content_hash" in v.columns else with_content_hash(v)
         base = h.join(first_per_key(h, [*batch, "content_hash"]), "ord", "left_semi")
-    n = normalized(base).select(*batch, "ord", "norm_content", "norm_title", "quality_score")
-    # 1. identical normalised texts: first row represents the group (grouped min -> skew-safe)
-    rep_of = n.groupBy(*batch, "norm_content", "norm_title").agg(F.min("ord").alias("rep"))
-    n = n.join(rep_of, [*batch, "norm_content", "norm_title"])
-    reps = n.where(F.col("ord") == F.col("rep"))
+    texts = normalized(base).select(*batch, "ord", "norm_content", "norm_title", "quality_score")
+    texts = texts.withColumn("text_key", F.sha2(F.concat_ws("\u0000", "norm_content", "norm_title"), 256))
     stage = stage or table_stage
-    signed = stage(f"neardup-reps-{threshold}-{shingle}-{bands}-{rows}",
-                   lambda: with_signature(reps, shingle, bands, rows, seed))
+    tag = f"{threshold}-{seed}-{'.'.join(batch)}-{hash_dedup_first}"
+    # 1. identical normalised texts: first row represents the group (grouped min over rows without texts)
+    rows = stage(f"neardup-rows-{tag}", lambda: texts.select(*batch, "ord", "text_key", "quality_score"))
+    rep_of = rows.groupBy(*batch, "text_key").agg(F.min("ord").alias("rep"))
+    signed = stage(f"neardup-reps-{tag}", lambda: with_signatures(
+        texts.join(rep_of.select(F.col("rep").alias("ord")), "ord", "left_semi"), threshold, seed))
     # 2-4. candidates and verified edges between representatives
-    edges = verified_edges(signed, candidate_pairs(signed, batch, bands, rows), threshold, min_agreement)
-    edges = stage(f"neardup-edges-{threshold}-{shingle}-{bands}-{rows}", lambda: edges)
+    edges = stage(f"neardup-edges-{tag}", lambda: verified_edges(signed, candidate_pairs(signed, batch), threshold))
     # 5. greedy leaders among representatives
-    leader = greedy_leaders(edges, stage)
-    rep_cluster = n.select("rep").distinct().join(
-        leader.select(F.col("ord").alias("rep"), "leader"), "rep", "left")
-    rep_cluster = rep_cluster.select("rep", F.coalesce("leader", "rep").alias("cluster"))
-    out = n.join(rep_cluster, "rep").select(*batch, "ord", "cluster", "quality_score")
+    leader = greedy_leaders(edges, stage).select(F.col("ord").alias("rep"), "leader")
+    cluster_of = rep_of.join(leader, "rep", "left").select(*batch, "text_key", F.coalesce("leader", "rep").alias("cluster"))
+    out = rows.join(cluster_of, [*batch, "text_key"]).select(*batch, "ord", "cluster", "quality_score")
     return (out, edges) if return_edges else out
 
 
@@ -200,9 +246,3 @@ def near_duplicate_winners(v: DataFrame, batch: Sequence[str] = BATCH,
     c = near_duplicate_clusters(v, batch, threshold, stage, **kw)
     best = F.max(F.struct(F.col("quality_score").alias("q"), (-F.col("ord")).alias("neg")))
     return c.groupBy("cluster").agg(best.alias("b")).select((-F.col("b.neg")).alias("ord"))
-
-
-def near_duplicate_dedup(v: DataFrame, batch: Sequence[str] = BATCH,
-                         threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, **kw) -> DataFrame:
-    """Rows of ``v`` (after exact de-dup) that survive the similarity step."""
-    return v.join(near_duplicate_winners(v, batch, threshold, stage, **kw), "ord", "left_semi")

@@ -85,6 +85,13 @@ def overall_stats(df: DataFrame) -> DataFrame:
     return out.withColumn("quality_rate", safe_rate("total_high_quality_reviews", "total_reviews"))
 
 
+def distribution(df: DataFrame, value) -> DataFrame:
+    """One row: counts per value as JSON, names sorted (a label set is small; it is counted before it is gathered)."""
+    counts = df.groupBy(value.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = counts.agg(F.collect_list(F.struct("name", "n")).alias("l"))
+    return pairs.select(F.to_json(F.map_from_entries(F.array_sort("l"))).alias("distribution"))
+
+
 def classification_summary(df: DataFrame, threshold: float = LX.CONFIDENCE_THRESHOLD) -> DataFrame:
     p = df.where(processed())
     cat = F.coalesce(F.col("primary_category"), F.lit("unclassified"))
@@ -96,6 +103,8 @@ def classification_summary(df: DataFrame, threshold: float = LX.CONFIDENCE_THRES
     )
     out = out.withColumn("classification_rate",
                          F.lit(1.0) - safe_rate("unclassified_count", "total_reviews"))
+    out = out.withColumns({"category_distribution": distribution(p, cat).scalar(), "sentiment_distribution":
+                           distribution(p, F.coalesce(F.col("sentiment"), F.lit("neutral"))).scalar()})
     return out.where(F.col("total_reviews") > 0)
 
 

@@ -53,30 +53,34 @@ def prepared(cleaned: DataFrame, s: Settings) -> DataFrame:
     return with_spam(v, s.caps_on_original)
 
 
-def _flag(df: DataFrame, winners: DataFrame, stage: str, eligible) -> DataFrame:
-    """Set ``stage`` on eligible rows whose ``ord`` is not a winner (join on the unique ord)."""
-    w = winners.select("ord", F.lit(True).alias("_win"))
-    out = df.join(w, "ord", "left")
-    hit = eligible & F.col("_win").isNull()
-    return out.withColumn("stage", F.when(hit, F.lit(stage)).otherwise(F.col("stage"))).drop("_win")
+def narrow(v: DataFrame, batch: Sequence[str]) -> DataFrame:
+    """What the de-dup steps need of a row: no texts."""
+    cols = dict.fromkeys(["ord", *batch, "app_name", "user_id", "content_hash", "quality_score", "spam_hits", "is_spam"])
+    return v.select(*cols)
 
 
-def flag_stages(v: DataFrame, s: Settings, near_dup_winners: DataFrame | None = None) -> DataFrame:
-    """Apply the four de-dup steps in the original's order as flags."""
+def flag_stages(rows: DataFrame, s: Settings, near_dup_winners: DataFrame | None = None) -> DataFrame:
+    """(ord, stage) by the four de-dup steps in order, over narrow rows.
+
+    Each step's winners come from a grouped aggregate; rows are joined with them on the unique ``ord``.
+    """
     batch = list(s.batch)
-    df = v.withColumn("stage", F.lit(None).cast("string"))
-    df = _flag(df, first_per_key(df, [*batch, "content_hash"]), "hash_duplicate", F.lit(True))
+    won = lambda winners, name: winners.select("ord", F.lit(True).alias(name))
+    df = rows.join(won(first_per_key(rows, [*batch, "content_hash"]), "_first"), "ord", "left")
     if near_dup_winners is not None:
-        df = _flag(df, near_dup_winners, "near_duplicate", F.col("stage").isNull())
-    df = df.withColumn("stage", F.when(F.col("stage").isNull() & F.col("is_spam"), F.lit("spam"))
-                       .otherwise(F.col("stage")))
+        df = df.join(won(near_dup_winners, "_lead"), "ord", "left")
+    lead = F.col("_lead").isNull() if near_dup_winners is not None else F.lit(False)
+    df = df.withColumn("stage", F.when(F.col("_first").isNull(), "hash_duplicate").when(lead, "near_duplicate")
+                       .when(F.col("is_spam"), "spam"))
     live = df.where(F.col("stage").isNull())
     if s.skip_null_user:
         live = live.where(F.col("user_id").isNotNull())
     keys = list(dict.fromkeys([*batch, "user_id", "app_name"]))
-    eligible = F.col("stage").isNull() & (F.col("user_id").isNotNull() if s.skip_null_user else F.lit(True))
-    df = _flag(df, best_per_key(live, keys, "quality_score"), "user_duplicate", eligible)
-    return df.withColumn("stage", F.coalesce(F.col("stage"), F.lit("kept")))
+    df = df.join(won(best_per_key(live, keys, "quality_score"), "_best"), "ord", "left")
+    eligible = F.col("user_id").isNotNull() if s.skip_null_user else F.lit(True)
+    lost = F.col("stage").isNull() & eligible & F.col("_best").isNull()
+    return df.select("ord", F.when(lost, F.lit("user_duplicate")).otherwise(F.coalesce("stage", F.lit("kept")))
+                     .alias("stage"))
 
 
 def process(reviews: DataFrame, s: Settings | None = None, near_dup: bool = True, stage=None) -> DataFrame:
@@ -94,13 +98,19 @@ def process(reviews: DataFrame, s: Settings | None = None, near_dup: bool = True
 
 
 def flag_and_classify(cleaned: DataFrame, s: Settings, near_dup: bool = True, stage=None) -> DataFrame:
-    v = prepared(cleaned, s)
+    """Flags are computed on a narrow table (written once when stages are), then joined to the wide rows."""
+    stage = stage or (lambda name, build: build())
+    # Records may carry these from an earlier run; they are computed anew.
+    wide = valid_rows(cleaned).drop("content_hash", "quality_score", "spam_hits", "is_spam")
+    rows = stage("narrow", lambda: narrow(prepared(cleaned, s), s.batch))
     winners = None
     if near_dup and s.similarity_threshold is not None:
         from chorus.operators.neardup import near_duplicate_winners
-        winners = near_duplicate_winners(v, s.batch, s.similarity_threshold, stage=stage)
-    df = flag_stages(v, s, winners)
-    df = classify(df, s.lexicon, s.positive, s.negative, s.confidence_threshold, s.as_of)
+        texts = wide.join(rows.select("ord", "content_hash", "quality_score"), "ord")
+        winners = near_duplicate_winners(texts, s.batch, s.similarity_threshold, stage=stage)
+    flags = flag_stages(rows, s, winners)
+    marks = rows.select("ord", "content_hash", "quality_score", "spam_hits", "is_spam").join(flags, "ord")
+    df = classify(wide.join(marks, "ord"), s.lexicon, s.positive, s.negative, s.confidence_threshold, s.as_of)
     return finalize(df, s.as_of)
 
 
@@ -135,10 +145,32 @@ def documents_pipeline(spark: SparkSession, sf_dir: str, near_dup: bool = False,
     s = Settings(**{**TEST_SETTINGS, **overrides})
     stage = None
     if materialize:
-        from chorus.plans.store import stage_table
-        tag = f"{sf_dir}|near={near_dup}|{sorted(overrides.items())}"
+        from chorus.plans.store import input_stamp, stage_table
+        stamp = input_stamp(spark, f"{sf_dir}/documents.parquet")
 
         def stage(name, build):
-            key = f"cleaned|{sf_dir}" if name == "cleaned" else f"{name}|{tag}"
+            own = CLEAN_SETTINGS if name == "cleaned" else [*vars(s)]
+            key = f"{name}|near={near_dup and name != 'cleaned'}|{stamp}|{[(k, getattr(s, k)) for k in own]}"
             return stage_table(spark, key, build)
     return process(reviews_from_documents(spark, sf_dir), s, near_dup=near_dup, stage=stage)
+
+
+#: The settings that cleaning depends on: its stage table is shared by runs that agree on them.
+CLEAN_SETTINGS = ["as_of", "min_length", "max_length", "caps_on_original", "decode"]
+
+
+def run(spark: SparkSession, inputs: Sequence[DataFrame | str], output: str | None = None, s: Settings | None = None,
+        near_dup: bool = True, formats: Sequence[str] = ("csv", "json", "report")) -> DataFrame:
+    """Collected sources to flagged reviews, and their exports under ``output``.
+
+    ``inputs`` are review rows of any source (see ``sources.union``) or paths of batch JSON documents; a path that does
+    not exist is skipped and logged, so that one source does not stop the others.
+    """
+    from chorus.plans.store import write_table
+    from chorus.sources.union import collect, union_reviews
+    rows = write_table(union_reviews(collect(spark, inputs)), "collected")
+    flagged = process(rows, s, near_dup, stage=lambda name, build: write_table(build(), name))
+    if output:
+        from chorus.sinks.export import export_results
+        export_results(flagged, output, formats)
+    return flagged

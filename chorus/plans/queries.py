@@ -45,8 +45,9 @@ def reviews(spark, sf) -> DataFrame:
 
 def cleaned(spark, sf) -> DataFrame:
     """The clean stage, written once per session as a stage table (see plans.store)."""
-    from chorus.plans.store import stage_table
-    return stage_table(spark, f"cleaned|{sf}", lambda: clean(reviews(spark, sf), as_of=AS_OF))
+    from chorus.plans.store import input_stamp, stage_table
+    stamp = input_stamp(spark, f"{sf}/documents.parquet")
+    return stage_table(spark, f"cleaned|{stamp}", lambda: clean(reviews(spark, sf), as_of=AS_OF))
 
 
 def valid(spark, sf) -> DataFrame:
@@ -256,7 +257,13 @@ SELECT count(*) AS total_reviews, round(avg(classification_confidence), 6) AS av
   count(*) FILTER (WHERE classification_confidence >= 0.3) AS high_confidence_count,
   count(*) FILTER (WHERE coalesce(primary_category, 'unclassified') = 'unclassified') AS unclassified_count,
   round(1.0 - (count(*) FILTER (WHERE coalesce(primary_category, 'unclassified') = 'unclassified'))::DOUBLE
-        / count(*), 6) AS classification_rate
+        / count(*), 6) AS classification_rate,
+  (SELECT '{' || string_agg('"' || c || '":' || n, ',' ORDER BY c) || '}' FROM (
+     SELECT coalesce(primary_category, 'unclassified') AS c, count(*) AS n FROM flagged WHERE processed_at IS NOT NULL
+     GROUP BY 1)) AS category_distribution,
+  (SELECT '{' || string_agg('"' || c || '":' || n, ',' ORDER BY c) || '}' FROM (
+     SELECT coalesce(sentiment, 'neutral') AS c, count(*) AS n FROM flagged WHERE processed_at IS NOT NULL
+     GROUP BY 1)) AS sentiment_distribution
 FROM flagged WHERE processed_at IS NOT NULL HAVING count(*) > 0"""))
 def q_classification_summary(spark, sf):
     from chorus.operators.reports import classification_summary
@@ -555,12 +562,18 @@ FROM (SELECT * FROM firsts ORDER BY timestamp DESC, ord LIMIT 20)""")
 def q_newest_first_topk(spark, sf):
     """Top 20 newest (a top-k report): timestamp if set, else parsed date; ties by ingest order."""
     from pyspark.sql import Window
-    f = api_first(spark, sf).withColumn("o", F.col("ord.resp_ord"))
-    key = F.coalesce(F.when(F.col("timestamp") != 0, F.col("timestamp")),
-                     F.unix_timestamp(F.try_to_timestamp(F.col("date"))))
-    top = f.withColumn("k", key).orderBy(F.desc("k"), "o").limit(20)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("k"), "o")).alias("rank"), "review_id", "platform",
-                      "timestamp")
+    from chorus.operators.select import newest_first
+    top = newest_first(api_first(spark, sf)).limit(20)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("newest_key"), "ord")).alias("rank"), "review_id",
+                      "platform", "timestamp")
+
+
+@query("newest_first", _API_SQL + """
+SELECT review_id, platform, timestamp AS newest_key FROM firsts ORDER BY timestamp DESC, ord""")
+def q_newest_first(spark, sf):
+    """All first occurrences, newest first."""
+    from chorus.operators.select import newest_first
+    return newest_first(api_first(spark, sf)).select("review_id", "platform", "newest_key")
 
 
 # ------------------------------------------------------------------ forum threads (1.12, 1.13, 3.4, 4.4, 4.5, 10.17, 10.18)
@@ -765,7 +778,7 @@ def q_summary_rows(spark, sf):
 SELECT ord, app_name, platform, (row_number() OVER (PARTITION BY app_name, platform ORDER BY ord) - 1) // 100 AS chunk
 FROM valid"""))
 def q_chunk_numbers(spark, sf):
-    from chorus.operators.select import chunk_numbers
+    from chorus.operators.chunks import chunk_numbers
     return chunk_numbers(valid(spark, sf), ["app_name", "platform"], 100).select("ord", "app_name", "platform", "chunk")
 
 
@@ -788,10 +801,7 @@ def q_store_reviews_canonical(spark, sf):
                      .cast("double").alias("score"),
                     F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").alias("at"),
                     (F.col("doc_id") % 23).alias("thumbsUpCount"), F.lit("1.0").alias("appVersion"))
-    # the app name comes from the landed path in production; here the dump row carries it
-    rows = normalize_store_reviews(dump, "x").drop("app_name").join(
-        dump.select(F.concat(F.lit("playstore_"), F.col("reviewId")).alias("review_id"), F.col("lang").alias("app_name")),
-        "review_id")
+    rows = normalize_store_reviews(dump, F.col("lang"))
     return rows.select("review_id", "platform", "app_name", "user_id", "rating",
                        F.length("content").alias("content_length"), "helpful_count", "verified", "language",
                        "country", reject_reason().alias("reject_reason"))
@@ -819,3 +829,135 @@ def q_flatten_struct(spark, sf):
     nested = e.select("event_id", F.struct("event_type", F.struct(
         "value", F.from_json("props", "k BIGINT").alias("props")).alias("metrics")).alias("e"))
     return flatten_struct(nested)
+
+
+# ------------------------------------------------------------------ records, overlays, sources into the pipeline
+@query("record_json", S.with_base("""
+SELECT ord, review_id, platform, app_name, content, rating, helpful_count, 0 AS n_keywords,
+       CASE WHEN rating IS NOT NULL AND (rating < 1 OR rating > 5) THEN 'rating_out_of_range' END AS reject_reason
+FROM reviews"""))
+def q_record_json(spark, sf):
+    """Records to JSON text and back."""
+    from chorus.sources.landed import canonical, records_from_json, records_to_json, reject_reason
+    texts = records_to_json(canonical(reviews(spark, sf))).select("ord", "json")
+    return records_from_json(texts).select("ord", "review_id", "platform", "app_name", "content", "rating", "helpful_count",
+                                           F.size("keywords_found").alias("n_keywords"),
+                                           reject_reason().alias("reject_reason"))
+
+
+@query("clean_text_simple", S.with_base(f"""
+SELECT ord, coalesce({S.strip(S.rr(S.rr('content', S.WS + '+', ' '), S.DROP_SPECIAL_RE, ''))}, '') AS simple FROM reviews"""))
+def q_clean_text_simple(spark, sf):
+    return reviews(spark, sf).select("ord", T.clean_text_simple("content").alias("simple"))
+
+
+@query("normalized_text", S.with_base(f"SELECT ord, {S.norm_compare('content')} AS norm_content FROM valid"))
+def q_normalized_text(spark, sf):
+    """The text that the similarity compares."""
+    return valid(spark, sf).select("ord", T.normalize_for_comparison("content").alias("norm_content"))
+
+
+@query("overlay_labels", """
+SELECT d.doc_id, coalesce(CASE l.toxic WHEN 1 THEN 'negative' WHEN 0 THEN 'positive' END, 'neutral') AS sentiment,
+  CASE WHEN l.doc_id IS NOT NULL THEN '2025-01-01T00:00:00' END AS processed_at
+FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)""")
+def q_overlay_labels(spark, sf):
+    """Sentiments from ``labels`` laid over neutral ones."""
+    from chorus.sources.landed import overlay
+    from chorus.sources.testdata import read_table
+    base = read_table(spark, sf, "documents").select(
+        "doc_id", F.lit("neutral").alias("sentiment"), F.lit(None).cast("string").alias("processed_at"))
+    updates = read_table(spark, sf, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, "negative").when(F.col("toxic") == 0, "positive").alias("sentiment"),
+        F.col("toxic").alias("ord"))
+    return overlay(base, updates, "doc_id", AS_OF).select("doc_id", "sentiment", "processed_at")
+
+
+@query("generic_hash", """
+SELECT doc_id, md5(text) AS text_hash, md5('["' || lang || '", "' || source || '"]') AS list_hash,
+  md5('{"lang": "' || lang || '", "source": "' || source || '"}') AS map_hash FROM documents""")
+def q_generic_hash(spark, sf):
+    from chorus.sources.landed import generic_hash
+    from chorus.sources.testdata import read_table
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", "text", F.array("lang", "source").alias("l"),
+        F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("m"))
+    return d.select("doc_id", generic_hash(d, "text").alias("text_hash"), generic_hash(d, "l").alias("list_hash"),
+                    generic_hash(d, "m").alias("map_hash"))
+
+
+@query("forum_comments_canonical", _FORUM_SQL + f"""
+SELECT 'reddit_comment_' || id AS review_id, coalesce(author, 'deleted') AS user_id, title, content,
+  CASE WHEN s >= 0.5 THEN 5 WHEN s >= 0.2 THEN 4 WHEN s >= -0.2 THEN 3 WHEN s >= -0.5 THEN 2 ELSE 1 END AS rating,
+  review_date, helpful_count
+FROM (SELECT c.id, c.author, 'Comment on: ' || substr(p.title, 1, 50) || '...' AS title, c.body AS content,
+        {_simple_sql("c.body")} AS s, c.score AS helpful_count,
+        strftime(make_timestamp((1704067200 + conv_id * 3600 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%S') AS review_date
+      FROM (SELECT *, split_part(id, '_', 1)::BIGINT AS conv_id, split_part(id, '_', 2)::BIGINT AS turn,
+              row_number() OVER (PARTITION BY parent_id ORDER BY split_part(id, '_', 2)::BIGINT) AS rn FROM comments) c
+      JOIN posts p ON c.parent_id = p.id
+      WHERE rn <= 5 AND length(c.body) > 20 AND (contains(lower(c.body), 'tion') OR contains(lower(c.body), 'ing')))""")
+def q_forum_comments_canonical(spark, sf):
+    return forum_reviews(spark, sf)[1].select("review_id", "user_id", "title", "content", "rating", "review_date",
+                                              "helpful_count")
+
+
+def forum_reviews(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Posts and comments of ``conversations`` in the review schema."""
+    from chorus import lexicons as LX
+    from chorus.sources.forum import normalize_comments, normalize_posts
+    from chorus.sources.testdata import forum_threads
+    posts, comments = forum_threads(spark, sf)
+    words = (LX.TEST_RELEVANCE_KEYWORDS, list(LX.TEST_POSITIVE_WEIGHTS), list(LX.TEST_NEGATIVE_WEIGHTS))
+    return (normalize_posts(posts, "documents", words[0], words[1], words[2]),
+            normalize_comments(comments, posts, "documents", words[0], positive=words[1], negative=words[2]))
+
+
+@query("collected_sources", _FORUM_SQL.replace("WITH posts", _API_SQL.strip().removesuffix(",") + ",\nposts", 1) + """
+SELECT platform, count(*) AS reviews, count(DISTINCT review_id) AS ids FROM (
+  SELECT 'reddit' AS platform, 'p' || id AS review_id FROM posts
+    WHERE contains(lower(title || ' ' || selftext), 'tion') OR contains(lower(title || ' ' || selftext), 'ing')
+  UNION ALL SELECT 'reddit', 'c' || id FROM (SELECT *, row_number() OVER (PARTITION BY parent_id
+      ORDER BY split_part(id, '_', 2)::BIGINT) AS rn FROM comments)
+    WHERE rn <= 5 AND length(body) > 20 AND (contains(lower(body), 'tion') OR contains(lower(body), 'ing'))
+  UNION ALL SELECT platform, review_id FROM firsts
+  UNION ALL SELECT 'playstore', 'doc_' || doc_id FROM documents WHERE doc_id % 7 <> 6) GROUP BY platform""")
+def q_collected_sources(spark, sf):
+    """Forum posts and comments, API responses and the store dump as one input of the pipeline."""
+    from chorus.sources.landed import api_reviews, normalize_store_reviews
+    from chorus.sources.testdata import read_table
+    from chorus.sources.union import union_reviews
+    d = read_table(spark, sf, "documents")
+    dump = d.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("reviewId"), "lang",
+                    F.lit("someone").alias("userName"),
+                    F.when(F.col("doc_id") % 7 == 6, F.lit(None)).otherwise(F.lit(1) + F.col("doc_id") % 5)
+                     .cast("double").alias("score"), F.col("text").alias("content"), F.lit("2024-01-01").alias("at"),
+                    F.lit(1).alias("thumbsUpCount"), F.lit("1.0").alias("appVersion"))
+    posts, comments = forum_reviews(spark, sf)
+    rows = union_reviews([posts, comments, api_reviews(api_first(spark, sf)), normalize_store_reviews(dump, F.col("lang"))])
+    return rows.groupBy("platform").agg(F.count(F.lit(1)).alias("reviews"), F.countDistinct("review_id").alias("ids"))
+
+
+@query("leaders_by_word_jaccard", S.with_base("""
+SELECT ord, min(leader) AS leader FROM (
+  WITH RECURSIVE rows_ AS (SELECT ord, app_name, row_number() OVER (ORDER BY ord) AS k,
+      list_distinct(string_split(norm, ' ')) AS w FROM words),
+  pairs AS (SELECT l.ord AS later, e.ord AS earlier FROM rows_ l JOIN rows_ e ON l.app_name = e.app_name AND l.ord > e.ord
+    WHERE 10 * len(list_intersect(l.w, e.w)) >= 9 * len(list_distinct(list_concat(l.w, e.w)))),
+  nodes AS (SELECT ord, row_number() OVER (ORDER BY ord) AS k
+            FROM (SELECT later AS ord FROM pairs UNION SELECT earlier FROM pairs)),
+  pass AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS leaders
+    UNION ALL
+    SELECT n.k, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.later = n.ord AND list_contains(pass.leaders, p.earlier))
+                     THEN pass.leaders ELSE list_append(pass.leaders, n.ord) END
+    FROM pass JOIN nodes n ON n.k = pass.k + 1),
+  final AS (SELECT leaders FROM pass ORDER BY k DESC LIMIT 1)
+  SELECT n.ord, n.ord AS leader FROM nodes n, final WHERE list_contains(final.leaders, n.ord)
+  UNION ALL
+  SELECT p.later, p.earlier FROM pairs p, final
+  WHERE list_contains(final.leaders, p.earlier) AND NOT list_contains(final.leaders, p.later))
+GROUP BY ord""", "words AS (SELECT ord, app_name, " + S.norm_compare("content") + " AS norm FROM valid WHERE length(content) > 0)"))
+def q_leaders_by_word_jaccard(spark, sf):
+    """The greedy pass over an edge rule that SQL can state: word sets with a Jaccard similarity of at least 0.9."""
+    from chorus.operators.neardup import greedy_leaders, word_jaccard_edges
+    return greedy_leaders(word_jaccard_edges(valid(spark, sf), ["app_name"], 90), _nd_stage(spark, sf, "words"))

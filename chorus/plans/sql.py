@@ -10,9 +10,40 @@ functions instead.
 from __future__ import annotations
 
 from chorus import lexicons as LX
-from chorus.functions.normalize import DATE_FORMATS, ISO_PREFIX_RE
-from chorus.functions.text import (DROP_SPECIAL_RE, EMAIL_RE, STRIP_RE, TOKEN_RE, URL_RE, W_CLASS, WS, WS_CLASS)
-from chorus.sources.testdata import ADAPTER_SQL
+# Fixed values, spelled out here so that the SQL does not share patterns with the code that it checks.
+W_CLASS = r"\p{L}\p{N}_"
+WS_CLASS = r"\t-\r\x1c-\x20\x85\p{Z}"
+WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+URL_RE = r"https?://[!$-_a-z]+"
+EMAIL_RE = (r"[^\t-\r\x1c-\x20\x85\p{Z}]+@[^\t-\r\x1c-\x20\x85\p{Z}]+"
+            r"\.[^\t-\r\x1c-\x20\x85\p{Z}]+")
+DROP_SPECIAL_RE = r"""[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\p{Z}.,!?;:()\-'"@#]"""
+STRIP_RE = r"^[\t-\r\x1c-\x20\x85\p{Z}]+|[\t-\r\x1c-\x20\x85\p{Z}]+$"
+TOKEN_RE = r"[\p{L}\p{N}_]+"
+ISO_PREFIX_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
+_DATE = r"([0-9]{4})-(1[0-2]|0?[1-9])-(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
+_TIME = r"(2[0-3]|[01]?[0-9]):([0-5]?[0-9]):(6[01]|[0-5]?[0-9])"
+_MONTH, _DAY = r"(1[0-2]|0?[1-9])", r"(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
+# (pattern, places of year, month, day, hour, minute, second and fraction; 0: not there), in the order they are tried.
+DATE_FORMATS = [
+    (f"^{_DATE}{WS}+{_TIME}$", (1, 2, 3, 4, 5, 6, 0)),
+    (f"^{_DATE}$", (1, 2, 3, 0, 0, 0, 0)),
+    (f"^{_MONTH}/{_DAY}/([0-9]{{4}})$", (3, 1, 2, 0, 0, 0, 0)),
+    (f"^{_DAY}/{_MONTH}/([0-9]{{4}})$", (3, 2, 1, 0, 0, 0, 0)),
+    (f"^{_DATE}[Tt]{_TIME}\\.([0-9]{{1,6}})$", (1, 2, 3, 4, 5, 6, 7)),
+    (f"^{_DATE}[Tt]{_TIME}[Zz]$", (1, 2, 3, 4, 5, 6, 0)),
+]
+ADAPTER_SQL = """
+SELECT d.doc_id AS ord, concat('doc_', CAST(d.doc_id AS VARCHAR)) AS review_id,
+  CASE d.doc_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'playstore' ELSE 'appstore' END AS platform,
+  d.lang AS app_name, substr(d.text, 1, 30) AS title, d.text AS content,
+  CASE WHEN d.doc_id % 7 = 6 THEN NULL ELSE CAST(1 + d.doc_id % 5 AS INTEGER) END AS rating,
+  CASE WHEN d.doc_id % 11 = 10 THEN NULL ELSE concat('u', CAST(d.doc_id % 97 AS VARCHAR)) END AS user_id,
+  d.doc_id % 3 = 1 AS verified, CAST(d.doc_id % 23 AS INTEGER) AS helpful_count,
+  CAST(d.doc_id % 4 AS INTEGER) AS reply_count,
+  CAST(DATE '2023-01-01' + CAST(d.doc_id % 730 AS INTEGER) AS VARCHAR) AS review_date
+FROM documents d
+"""
 
 AS_OF = "2025-01-01T00:00:00"
 
@@ -43,15 +74,6 @@ def clean(expr: str) -> str:
     return f"coalesce({t}, '')"
 
 
-def decode_entities(expr: str) -> str:
-    """DuckDB has no HTML decoder: the named entities the pages corpus uses, ``&amp;`` last."""
-    t = expr
-    for ent, ch in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&amp;", "&")]:
-        t = f"replace({t}, {q(ent)}, {q(ch)})"
-    return t
-
-
 def alnum_count(expr: str) -> str:
     return f"length({rr(expr, r'[^\p{L}\p{N}]', '')})"
 

@@ -18,6 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chorus.session import ensure_checkpoint_dir
 
+def input_stamp(spark: SparkSession, path: str) -> str:
+    """Path, size and time of an input's files: a stage table is reused only for the same input."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    if not fs.exists(place):
+        return path
+    files = fs.listStatus(place)
+    return f"{path}:" + ",".join(sorted(f"{f.getLen()}-{f.getModificationTime()}" for f in files))
+
+
 _TABLES: dict[tuple[str, str], str] = {}
 
 

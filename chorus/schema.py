@@ -32,13 +32,6 @@ API_REVIEW = T.StructType([
     T.StructField("review_date_formated", S), T.StructField("vote_sum", S), T.StructField("vote_count", S),
     T.StructField("version", S), T.StructField("country", S), T.StructField("review_timestamp", L),
 ])
-API_RESPONSE_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("status", S), T.StructField("data", T.ArrayType(T.ArrayType(API_REVIEW))),
-]))
-API_OBJECT_SCHEMA = {
-    "nested": T.StructType([T.StructField("status", S), T.StructField("data", T.ArrayType(T.ArrayType(API_REVIEW)))]),
-    "flat": T.StructType([T.StructField("status", S), T.StructField("data", T.ArrayType(API_REVIEW))]),
-}
 
 # Landed store-review dump and forum shapes.
 STORE_REVIEW = T.StructType([

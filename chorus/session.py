@@ -47,14 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The folder comes from ``spark.checkpoint.dir`` (or one already set on the
-    context).  Only when neither is set -- local runs and tests -- a fresh
-    scratch folder is created.
+    context).  Only on a local master, where driver and tasks share one disk, a
+    fresh scratch folder is created when neither is set; a cluster must name one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="chorus-ckpt-", dir=os.environ.get("CHORUS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)

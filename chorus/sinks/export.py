@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType
 
 from chorus import lexicons as LX
+from chorus.operators.chunks import chunk_numbers
 from chorus.operators.dedup import BATCH
 from chorus.operators.reports import processed
-from chorus.schema import REVIEW_FIELDS
+from chorus.schema import REVIEW_FIELDS, REVIEW_SCHEMA
 
 
 def py_round(c, digits: int):
@@ -68,6 +69,35 @@ def write_reviews_json(df: DataFrame, path: str, partition_by: Sequence[str] = (
         *partition_by).json(path)
 
 
+def write_batch_json(flagged: DataFrame, path: str, exported_at: str, batch: Sequence[str] = BATCH,
+                     rows_per_document: int = LX.MAX_ROWS_PER_FILE) -> None:
+    """``{metadata, reviews}`` documents, one per file, that ``read_batch_json`` reads back.
+
+    A batch is cut into documents of at most ``rows_per_document`` reviews (by row number, so no batch is gathered into
+    one task); each carries the batch's totals and its own number.
+    """
+    totals = flagged.groupBy(*batch).agg(
+        F.count(F.lit(1)).alias("total_scraped"), F.count(F.when(processed(), 1)).alias("total_processed"),
+        F.count(F.when(F.col("is_spam"), 1)).alias("spam"), F.count(F.when(F.col("is_duplicate"), 1)).alias("duplicates"))
+    fields = [f for f in REVIEW_SCHEMA.fields]
+    record = F.struct(*[(F.col(f.name) if f.name in flagged.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in fields])
+    rows = chunk_numbers(flagged, list(batch), rows_per_document).select(*batch, "chunk", "ord", record.alias("r"))
+    documents = rows.groupBy(*batch, "chunk").agg(F.collect_list(F.struct("ord", "r")).alias("l"))
+    own = totals.select(*[F.col(b).alias(f"_t_{b}") for b in batch], "total_scraped", "total_processed", "spam",
+                        "duplicates")
+    joined = documents.join(own, [F.col(b).eqNullSafe(F.col(f"_t_{b}")) for b in batch])
+    stats = F.create_map(F.lit("document"), F.col("chunk"), F.lit("spam"), F.col("spam"), F.lit("duplicates"),
+                         F.col("duplicates"))
+    meta = F.struct(*[F.col(b) for b in batch], F.lit(exported_at).alias("scraped_at"), "total_scraped",
+                    "total_processed", stats.alias("processing_stats"))
+    out = joined.select(meta.alias("metadata"), F.transform(
+        # By ordinal alone: records hold maps, which have no order.
+        F.array_sort("l", lambda x, y: F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0)),
+        lambda x: x["r"]).alias("reviews"))
+    out.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Small report frames (a few rows) as a single file."""
     w = df.coalesce(1).write.mode("overwrite")
@@ -75,8 +105,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def export_results(flagged: DataFrame, out_dir: str, formats: Sequence[str] = ("csv", "json", "report"),
-                   batch: Sequence[str] = BATCH) -> dict[str, str]:
-    """Format dispatch: reviews as CSV/JSON, and the report set (summary, detail, analysis)."""
+                   batch: Sequence[str] = BATCH, exported_at: str = "") -> dict[str, str]:
+    """Format dispatch: reviews as CSV/JSON, ``batch`` documents, and the report set (summary, detail, analysis)."""
     from chorus.operators import reports as R
     out = {}
     final = flagged.where(processed())
@@ -86,6 +116,9 @@ def export_results(flagged: DataFrame, out_dir: str, formats: Sequence[str] = ("
     if "json" in formats:
         write_reviews_json(final, f"{out_dir}/reviews_json")
         out["json"] = f"{out_dir}/reviews_json"
+    if "batch" in formats:
+        write_batch_json(flagged, f"{out_dir}/batches", exported_at, batch)
+        out["batch"] = f"{out_dir}/batches"
     if "report" in formats:
         write_report(R.batch_stats(flagged, batch), f"{out_dir}/report/batch_summaries")
         write_report(R.overall_stats(flagged), f"{out_dir}/report/overall_stats")

@@ -40,6 +40,23 @@ def attach_app_config(reviews: DataFrame, spark: SparkSession, key: str = "app_k
     return reviews.join(F.broadcast(apps(spark)), key, "inner")
 
 
+def registered_fields(requested: DataFrame, spark: SparkSession) -> DataFrame:
+    """Requested (app_key, platform) pairs whose app has what the platform's collector needs.
+
+    The store needs a package id, the forum keywords, other platforms a page address; ``missing`` names the
+    absent field, NULL when the pair can be collected.  Unknown apps miss the app itself.
+    """
+    a = apps(spark).select("app_key", "package_id", "url", "keywords", F.lit(True).alias("known"))
+    j = requested.join(F.broadcast(a), "app_key", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    platform = F.lower("platform")
+    store, forum = platform.isin("android", "playstore"), platform == "reddit"
+    missing = (F.when(F.col("known").isNull(), "app").when(store & empty("package_id"), "package_id")
+               .when(forum & (F.coalesce(F.size("keywords"), F.lit(0)) <= 0), "keywords")
+               .when(~store & ~forum & empty("url"), "url"))
+    return j.select(*requested.columns, missing.alias("missing"))
+
+
 def requested_platforms(requested: DataFrame, spark: SparkSession) -> DataFrame:
     """Semi-join: requested (app_key, platform) pairs that the catalog registers."""
     reg = apps(spark).select("app_key", F.explode_outer("platforms").alias("platform"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus import lexicons as LX
@@ -31,6 +31,7 @@ def normalize_posts(posts: DataFrame, app_name: str, keywords, positive=None, ne
                                                          negative or LX.SIMPLE_NEGATIVE))
     author = F.coalesce(F.col("author"), F.lit("deleted"))
     return p.select(
+        *[F.col("ord")] * ("ord" in posts.columns),
         F.concat(F.lit("reddit_post_"), F.col("id")).alias("review_id"),
         F.lit("reddit").alias("platform"), F.lit(app_name).alias("app_name"),
         author.alias("user_id"), author.alias("username"),
@@ -58,6 +59,37 @@ def comments_with_parent(comments: DataFrame, posts: DataFrame, cut: int = LX.CO
         F.col("score").cast("long").alias("helpful_count"))
 
 
+def normalize_comments(comments: DataFrame, posts: DataFrame, app_name: str, keywords, per_post: int = 5, positive=None,
+                       negative=None, order: str = "ord", cut: int = LX.COMMENT_TITLE_CUT) -> DataFrame:
+    """The relevant ones of each post's first ``per_post`` comments, in the review schema.
+
+    ``row_number() <= per_post`` is a group limit in each task before the shuffle, so a hot thread ships a few rows
+    per task; the parent's title is joined to what is left.
+    """
+    first = (comments.withColumn("_rn", F.row_number().over(Window.partitionBy("parent_id").orderBy(order)))
+             .where(F.col("_rn") <= per_post).drop("_rn"))
+    parent = posts.select(F.col("id").alias("parent_id"), F.col("title").alias("parent_title"))
+    c = relevant_comments(first, keywords).join(parent, "parent_id")
+    c = c.withColumn("sentiment_score", simple_sentiment("body", positive or LX.SIMPLE_POSITIVE,
+                                                         negative or LX.SIMPLE_NEGATIVE))
+    author = F.coalesce(F.col("author"), F.lit("deleted"))
+    have = lambda name, kind: F.col(name) if name in comments.columns else F.lit(None).cast(kind)
+    return c.select(
+        F.col(order).alias("ord"), F.concat(F.lit("reddit_comment_"), F.col("id")).alias("review_id"),
+        F.lit("reddit").alias("platform"), F.lit(app_name).alias("app_name"),
+        author.alias("user_id"), author.alias("username"),
+        F.concat(F.lit("Comment on: "), F.substring(F.coalesce("parent_title", F.lit("")), 1, cut), F.lit("..."))
+         .alias("title"),
+        F.col("body").alias("content"), "sentiment_score",
+        sentiment_to_rating(F.col("sentiment_score")).alias("rating"),
+        epoch_to_iso(F.col("created_utc")).alias("review_date"),
+        F.col("score").cast("long").alias("helpful_count"),
+        F.coalesce(have("num_replies", "long"), F.lit(0)).cast("long").alias("reply_count"),
+        F.concat(F.lit("https://reddit.com"), have("permalink", "string")).alias("source_url"),
+        F.to_json(F.struct(have("subreddit", "string").alias("subreddit"), F.col("parent_id").alias("parent_post_id"),
+                           F.col("sentiment_score"), F.lit("comment").alias("post_type"))).alias("raw_data"))
+
+
 def relevant_sources(apps: DataFrame, category_sources: DataFrame, general=None) -> DataFrame:
     """Per app: category sources + its own name + the general sources, distinct (3.3 / 8.1)."""
     general = general or LX.GENERAL_SOURCES

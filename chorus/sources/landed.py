@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chorus.functions import normalize as N
-from chorus.schema import REVIEW_SCHEMA, API_RESPONSE_SCHEMA, API_OBJECT_SCHEMA
+from chorus.schema import API_REVIEW, REVIEW_SCHEMA
 
 CANONICAL_DEFAULTS = {"helpful_count": 0, "reply_count": 0, "verified": False, "raw_data": "{}"}
+#: Containers are never NULL in a record.
+CONTAINER_DEFAULTS = {"category_scores": lambda: F.create_map(), "keywords_found": lambda: F.array()}
 
 
 def canonical(df: DataFrame, platform: str | None = None, scraped_at: str | None = None) -> DataFrame:
@@ -40,6 +42,10 @@ def canonical(df: DataFrame, platform: str | None = None, scraped_at: str | None
             c = F.col(name)
             if name in CANONICAL_DEFAULTS:
                 c = F.coalesce(c, F.lit(CANONICAL_DEFAULTS[name]))
+            if name in CONTAINER_DEFAULTS:
+                c = F.coalesce(c, CONTAINER_DEFAULTS[name]().cast(f.dataType))
+        elif name in CONTAINER_DEFAULTS:
+            c = CONTAINER_DEFAULTS[name]()
         elif name in CANONICAL_DEFAULTS:
             c = F.lit(CANONICAL_DEFAULTS[name])
         else:
@@ -59,6 +65,48 @@ def reject_reason() -> Column:
             .when(rating.isNotNull() & ((rating < 1) | (rating > 5)), "rating_out_of_range"))
 
 
+def records_from_json(df: DataFrame, column: str = "json") -> DataFrame:
+    """Record JSON texts to review rows: known fields kept, containers filled; other columns of ``df`` go, but ``ord``.
+
+    A text that is no JSON object gives a row of NULLs, which ``reject_reason`` refuses.
+    """
+    keep = ["ord"] if "ord" in df.columns else []
+    return canonical(df.select(*keep, F.from_json(column, REVIEW_SCHEMA).alias("r")).select(*keep, "r.*"))
+
+
+def records_to_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """``df`` with each record as a JSON text: all record fields, NULLs written."""
+    fields = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+              for f in REVIEW_SCHEMA.fields]
+    return df.withColumn(name, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
+#: Landed app information: record field -> field of the store's answer.
+APP_FIELDS = {"package_id": "appId", "title": "title", "description": "description", "developer": "developer",
+              "category": "genre", "rating": "score", "reviews_count": "reviews", "installs": "installs",
+              "price": "price", "free": "free", "version": "version", "updated": "updated", "size": "size",
+              "screenshots": "screenshots", "url": "url"}
+SEARCH_FIELDS = {"package_id": "appId", "title": "title", "developer": "developer", "category": "genre",
+                 "rating": "score", "price": "price", "free": "free", "icon": "icon", "url": "url"}
+
+
+def _renamed(df: DataFrame, fields: dict[str, str]) -> list[Column]:
+    return [(F.col(src) if src in df.columns else F.lit(None).cast("string")).alias(name) for name, src in fields.items()]
+
+
+def app_metadata(info: DataFrame, scraped_at: str) -> DataFrame:
+    """Landed store answers to app metadata rows; absent fields are NULL, absent screenshots an empty array."""
+    out = info.select(*_renamed(info, APP_FIELDS), F.lit(scraped_at).alias("scraped_at"))
+    shots = F.col("screenshots") if "screenshots" in info.columns else F.lit(None)
+    return out.withColumn("screenshots", F.coalesce(shots.cast("array<string>"), F.array().cast("array<string>")))
+
+
+def app_search(results: DataFrame, query: str, limit: int = 10, order: str = "ord") -> DataFrame:
+    """The first ``limit`` landed search results of ``query`` as app rows."""
+    hits = results.where(F.col("query") == query).orderBy(order).limit(limit)
+    return hits.select(*_renamed(hits, SEARCH_FIELDS))
+
+
 def sentiment_reject() -> Column:
     s = F.col("sentiment")
     return F.when(s.isNotNull() & ~s.isin("positive", "negative", "neutral"), "bad_sentiment")
@@ -109,7 +157,11 @@ def read_batch_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         F.coalesce("metadata.total_processed", F.lit(0).cast("long")).alias("total_processed"),
         F.coalesce("metadata.processing_stats", F.create_map().cast("map<string,bigint>")).alias("processing_stats"),
     )
-    rows = raw.select(F.posexplode("reviews").alias("ord", "r")).select("ord", "r.*")
+    # One ordinal rule over all documents: the document's place in the sorted list of files, then the position.
+    files = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(raw.inputFiles()))], "file string, _k long")
+    rows = (raw.select(F.input_file_name().alias("file"), F.posexplode("reviews").alias("pos", "r"))
+            .join(F.broadcast(files), "file")
+            .select((F.col("_k") * F.lit(1 << 28) + F.col("pos")).alias("ord"), "r.*"))
     rows = rows.withColumns({
         "category_scores": F.coalesce("category_scores", F.create_map().cast("map<string,double>")),
         "keywords_found": F.coalesce("keywords_found", F.array().cast("array<string>")),
@@ -144,56 +196,61 @@ def flatten_api_responses(raw: DataFrame, json_col: str = "body", app_col: str =
     Array form ``[{status, data: [[review]]}]``: keep ``status = 'Success'``
     items and flatten the nested data.  Object form ``{status, data}``: if
     ``data[0]`` is an array use only ``data[0]``, else ``data`` itself.
-    ``ord`` becomes (response ord, item, group, position) so first-occurrence
-    rules see the original order.
+    One chain for all forms: the body is read as items whose ``data`` elements
+    stay JSON text, and an element, object or array, as an array of reviews.
+    ``ord`` is the response's ordinal, then the review's position in it, as one
+    number (2**24 reviews a response), so first-occurrence rules see the
+    original order.
     """
-    body = F.col(json_col)
-    is_array = F.ltrim(body).startswith("[")
-    arr = F.from_json(F.when(is_array, body), API_RESPONSE_SCHEMA)
-    obj_nested = F.from_json(F.when(~is_array, body), API_OBJECT_SCHEMA["nested"])
-    obj_flat = F.from_json(F.when(~is_array, body), API_OBJECT_SCHEMA["flat"])
-    base = raw.select(F.col(app_col).alias("app_name"), F.col(order_col).alias("resp_ord"),
-                      arr.alias("arr"), obj_nested.alias("on"), obj_flat.alias("of"), body.alias("_body"))
-
-    a = (base.select("app_name", "resp_ord", F.posexplode("arr").alias("i", "item"))
-         .where((F.col("item.status") == "Success") & F.col("item.data").isNotNull())
-         .select("app_name", "resp_ord", "i", F.posexplode("item.data").alias("j", "grp"))
-         .select("app_name", "resp_ord", "i", "j", F.posexplode("grp").alias("k", "r")))
-    first_is_array = F.ltrim(F.get_json_object("_body", "$.data[0]")).startswith("[")
-    o = base.where(F.col("of").isNotNull() & (F.col("of.status") == "Success"))
-    o_nested = (o.where(first_is_array)
-                .select("app_name", "resp_ord", F.lit(0).alias("i"), F.lit(0).alias("j"),
-                        F.posexplode(F.col("on.data")[0]).alias("k", "r")))
-    o_flat = (o.where(~first_is_array)
-              .select("app_name", "resp_ord", F.lit(0).alias("i"), F.lit(0).alias("j"),
-                      F.posexplode("of.data").alias("k", "r")))
-    rows = a.unionByName(o_nested).unionByName(o_flat)
-    return rows.select(F.struct("resp_ord", "i", "j", "k").alias("ord"), "app_name",
+    text = F.ltrim(F.col(json_col))
+    is_object = text.startswith("{")
+    items = F.from_json(F.when(is_object, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text),
+                        "array<struct<status:string,data:array<string>>>")
+    good = F.filter(items, lambda i: (i["status"] == "Success") & i["data"].isNotNull())
+    data = F.flatten(F.transform(good, lambda i: i["data"]))
+    first_only = is_object & F.coalesce(F.ltrim(F.get(data, F.lit(0))).startswith("["), F.lit(False))
+    groups = raw.select(F.col(app_col).alias("app_name"), F.col(order_col).cast("long").alias("resp_ord"),
+                        F.when(first_only, F.slice(data, 1, 1)).otherwise(data).alias("groups"))
+    parsed = groups.select("app_name", "resp_ord", F.flatten(F.transform(
+        "groups", lambda g: F.coalesce(F.from_json(g, T.ArrayType(API_REVIEW)), F.array().cast(T.ArrayType(API_REVIEW)))
+    )).alias("reviews"))
+    rows = parsed.select("app_name", "resp_ord", F.posexplode("reviews").alias("k", "r"))
+    return rows.select((F.col("resp_ord") * F.lit(1 << 24) + F.col("k")).alias("ord"), "app_name",
                        *[v.alias(k) for k, v in _api_review_row(F.col("r")).items()])
 
 
+def api_reviews(rows: DataFrame) -> DataFrame:
+    """Flattened API rows under the review schema's names; a rating of 0 (none given) is NULL."""
+    return rows.select("ord", "app_name", "platform", "review_id", F.nullif("rating", F.lit(0)).alias("rating"), "title",
+                       F.col("review_text").alias("content"), F.nullif("author", F.lit("")).alias("user_id"),
+                       F.nullif("date", F.lit("")).alias("review_date"), "helpful_count", "version", "country")
+
+
 def first_then_nonempty(df: DataFrame, keys=("review_id", "platform"), text: str = "review_text") -> DataFrame:
     """First row per key over *all* rows, then drop rows whose text is blank.
 
-    Grouped ``min(ord)`` (map-side pre-aggregated, skew-safe), a semi-join on
-    the ordinal, then the non-empty filter -- in that order.
+    A grouped ``min_by`` of the whole row (map-side pre-aggregated, so a hot key
+    ships one row per task): the source is read once.
     """
-    firsts = df.groupBy(*keys).agg(F.min("ord").alias("ord")).select("ord")
-    return (df.join(firsts, "ord", "left_semi")
-            .where(F.regexp_replace(F.col(text), f"{N.WS}", "") != ""))
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("_r")).select(*keys, "_r.*")
+    return first.select(df.columns).where(F.regexp_replace(F.col(text), f"{N.WS}", "") != "")
 
 
-def normalize_store_reviews(dump: DataFrame, app_name: str, app_info: dict | None = None) -> DataFrame:
+def normalize_store_reviews(dump: DataFrame, app_name: str | Column, app_info: dict | None = None) -> DataFrame:
     """Landed store-review dump -> review rows (``playstore_`` ids, verified, en/us, app info in raw_data).
 
+    ``app_name`` is a name or a column of the dump; ``ord`` is kept when the dump has it.
     ``app_info`` is the one app's metadata (a handful of fields, a literal).
     A missing score becomes 0 (and the record check rejects it), as in the original.
     """
     info = (F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in app_info.items()])) if app_info
             else F.lit("{}"))
+    name = app_name if isinstance(app_name, Column) else F.lit(app_name)
     return dump.select(
+        *[F.col("ord")] * ("ord" in dump.columns),
         F.concat(F.lit("playstore_"), F.col("reviewId").cast("string")).alias("review_id"),
-        F.lit("playstore").alias("platform"), F.lit(app_name).alias("app_name"),
+        F.lit("playstore").alias("platform"), name.alias("app_name"),
         F.col("reviewId").cast("string").alias("user_id"), F.col("userName").alias("username"),
         F.coalesce(F.col("score"), F.lit(0)).cast("int").alias("rating"),
         F.lit(None).cast("string").alias("title"), F.col("content"),
@@ -222,18 +279,52 @@ def flatten_struct(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*cols)
 
 
-def generic_hash(c) -> Column:
-    """md5 of a string, or of the key-sorted JSON of a map."""
-    return F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))))
+def generic_hash(df: DataFrame, column: str) -> Column:
+    """md5 of a string as it is, or of the JSON text of a map or array: keys sorted, ``", "`` and ``": "`` between
+    parts, characters beyond ASCII escaped."""
+    kind = df.schema[column].dataType
+    c = F.col(column)
+    if not isinstance(kind, (T.MapType, T.ArrayType)):
+        return F.md5(c.cast("string"))
+
+    def text(value: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.MapType):
+            entries = F.array_sort(F.map_entries(value))
+            parts = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(": "), text(e["value"], t.valueType)))
+            return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+        if isinstance(t, T.ArrayType):
+            return F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: text(v, t.elementType)), ", "), F.lit("]"))
+        shown = F.when(value.isNotNull(), quoted(value)) if isinstance(t, T.StringType) else value.cast("string")
+        return F.coalesce(shown, F.lit("null"))
+
+    def quoted(value: Column) -> Column:
+        raw = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', "")
+        units = F.transform(F.split(raw, ""), lambda ch: F.when(F.ascii(ch) < 128, ch).otherwise(escaped(ch)))
+        return F.array_join(units, "")
+
+    def escaped(ch: Column) -> Column:
+        code = F.hex(F.encode(ch, "UTF-16BE"))
+        both = F.concat(F.lit("\\u"), F.lower(F.substring(code, 1, 4)),
+                        F.when(F.length(code) > 4, F.concat(F.lit("\\u"), F.lower(F.substring(code, 5, 4))))
+                        .otherwise(F.lit("")))
+        return both
+
+    return F.md5(text(c, kind))
 
 
 def overlay(df: DataFrame, updates: DataFrame, key: str = "review_id", as_of: str | None = None) -> DataFrame:
-    """Each non-NULL update value replaces the current one; ``processed_at`` is stamped (4.16)."""
-    cols = [c for c in updates.columns if c != key and c in df.columns]
-    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in cols])
+    """Each non-NULL update value replaces the current one; ``processed_at`` is stamped on every updated row (4.16).
+
+    Several updates of a key apply in the order of ``updates.ord`` (or of all their values, without one): the last
+    non-NULL value of each column wins, and the row stays one row.
+    """
+    cols = [c for c in updates.columns if c not in (key, "ord") and c in df.columns]
+    order = F.struct("ord") if "ord" in updates.columns else F.struct(*[F.to_json(F.struct(*cols))])
+    u = updates.groupBy(key).agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)),
+                                            F.when(F.col(c).isNotNull(), order)).alias(f"_u_{c}") for c in cols],
+                                 F.lit(True).alias("_updated"))
     j = df.join(u, key, "left")
     j = j.withColumns({c: F.coalesce(F.col(f"_u_{c}"), F.col(c)) for c in cols})
-    stamped = F.when(F.col(f"_u_{cols[0]}").isNotNull() if cols else F.lit(False), F.lit(as_of))
-    j = j.withColumn("processed_at", F.coalesce(stamped, F.col("processed_at")) if "processed_at" in df.columns
-                     else stamped)
-    return j.drop(*[f"_u_{c}" for c in cols])
+    before = F.col("processed_at") if "processed_at" in df.columns else F.lit(None).cast("string")
+    j = j.withColumn("processed_at", F.when(F.col("_updated"), F.lit(as_of)).otherwise(before))
+    return j.drop("_updated", *[f"_u_{c}" for c in cols])

@@ -20,8 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def reviews_from_documents(spark: SparkSession, sf_dir: str, with_labels: bool = True) -> DataFrame:
-    """documents (+ labels) -> raw review rows with an ingest ordinal ``ord``."""
+#: Session setting: number of partitions that the review adapter deals rows to.  Unset, the scan's own splits are
+#: used; a local run over one small file sets it to use all cores.
+PARTITIONS = "spark.chorus.inputPartitions"
+
+
+def reviews_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> raw review rows with an ingest ordinal ``ord``."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     i = F.col("doc_id")
     out = d.select(
@@ -38,36 +43,8 @@ def reviews_from_documents(spark: SparkSession, sf_dir: str, with_labels: bool =
         (i % 4).cast("int").alias("reply_count"),
         F.date_add(F.lit("2023-01-01").cast("date"), (i % 730).cast("int")).cast("string").alias("review_date"),
     )
-    if with_labels:
-        labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic")
-        out = out.join(labels, "ord", "left")
-    return spread_for_cpu(out)
-
-
-def spread_for_cpu(df: DataFrame, key: str = "ord") -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
-
-    On a cluster the scan already yields far more splits than cores and this
-    is a no-op; a small input held in one split is hash-spread on ``key``.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
-
-
-ADAPTER_SQL = """
-SELECT d.doc_id AS ord, concat('doc_', CAST(d.doc_id AS VARCHAR)) AS review_id,
-  CASE d.doc_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'playstore' ELSE 'appstore' END AS platform,
-  d.lang AS app_name, substr(d.text, 1, 30) AS title, d.text AS content,
-  CASE WHEN d.doc_id % 7 = 6 THEN NULL ELSE CAST(1 + d.doc_id % 5 AS INTEGER) END AS rating,
-  CASE WHEN d.doc_id % 11 = 10 THEN NULL ELSE concat('u', CAST(d.doc_id % 97 AS VARCHAR)) END AS user_id,
-  d.doc_id % 3 = 1 AS verified, CAST(d.doc_id % 23 AS INTEGER) AS helpful_count,
-  CAST(d.doc_id % 4 AS INTEGER) AS reply_count,
-  CAST(DATE '2023-01-01' + CAST(d.doc_id % 730 AS INTEGER) AS VARCHAR) AS review_date,
-  l.quality, l.toxic
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
-"""
+    n = spark.conf.get(PARTITIONS, None)
+    return out.repartition(int(n), "ord") if n else out
 
 
 def forum_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +60,7 @@ def forum_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         (F.lit(1704067200) + F.col("conv_id") * 3600).alias("created_utc"),
         F.concat(F.lit("/r/src/comments/"), F.col("conv_id").cast("string")).alias("permalink"),
         F.lit("src").alias("subreddit"),
+        (F.col("conv_id") * F.lit(1 << 20)).alias("ord"),
     )
     comments = c.where(F.col("turn") > 0).select(
         F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"),
@@ -93,5 +71,6 @@ def forum_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_utc"),
         F.lit("src").alias("subreddit"),
         F.col("turn"),
+        (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("ord"),
     )
     return posts, comments

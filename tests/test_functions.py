@@ -117,14 +117,14 @@ def test_classification_summary_gold(spark):
     assert (r["total_reviews"], r["high_confidence_count"], r["unclassified_count"]) == (4, 3, 1)
 
 
-def test_parse_date_range():
-    from chorus.operators.select import parse_date_range
-    s, e = parse_date_range("last_7_days", "2024-01-31T00:00:00")
+def test_date_range():
+    from chorus.operators.select import date_range
+    s, e = date_range("last_7_days", "2024-01-31T00:00:00")
     assert (s.isoformat(), e.isoformat()) == ("2024-01-24T00:00:00", "2024-01-31T00:00:00")
-    s, e = parse_date_range("2024-01-05", "2024-01-31T00:00:00")
+    s, e = date_range("2024-01-05", "2024-01-31T00:00:00")
     assert (e - s).days == 1
     with pytest.raises(ValueError):
-        parse_date_range("2024-01-01T10:00:00:2024-01-02", "2024-01-31T00:00:00")
+        date_range("2024-01-01T10:00:00:2024-01-02", "2024-01-31T00:00:00")
 
 
 def test_lexicon_sizes():
@@ -143,3 +143,26 @@ def test_quality_score_gold(spark):
     got = [round(r[0], 6) for r in df.select(quality_score("content", "helpful_count", "verified", "title",
                                                            "review_date", "2025-01-01T00:00:00")).collect()]
     assert got == [round(1.5 + 2 + 1 + 0.5 + 335 / 365, 6), 0.3, round(0.3 + 375 / 365, 6), 0.3]
+
+
+def test_named_date_ranges():
+    from chorus.operators.select import date_range
+    now = "2024-03-10T12:30:00"
+    shown = {spec: tuple(t.isoformat() for t in date_range(spec, now))
+             for spec in ("today", "yesterday", "last_week", "last_month", "last_3_days", "2024-01-01:2024-02-01")}
+    assert shown == {
+        "today": ("2024-03-10T00:00:00", "2024-03-10T12:30:00"),
+        "yesterday": ("2024-03-09T00:00:00", "2024-03-09T23:59:59.999999"),
+        "last_week": ("2024-03-03T12:30:00", "2024-03-10T12:30:00"),
+        "last_month": ("2024-02-09T12:30:00", "2024-03-10T12:30:00"),
+        "last_3_days": ("2024-03-07T12:30:00", "2024-03-10T12:30:00"),
+        "2024-01-01:2024-02-01": ("2024-01-01T00:00:00", "2024-02-01T00:00:00")}
+
+
+def test_text_column_choice(spark):
+    from chorus.operators.select import text_key
+    def choose(row, schema):
+        return text_key(spark.createDataFrame([row], schema), ["pos"]).first().text_key
+    assert choose((1, "a", "longest of all"), "pos int, content string, other string") == "content"
+    assert choose((1, " ", "longest of all", "mid"), "pos int, content string, other string, x string") == "other"
+    assert choose((1, None, ""), "pos int, content string, other string") == "text"

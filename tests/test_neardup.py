@@ -1,5 +1,7 @@
 """Near-duplicate removal vs a brute-force greedy pass on a small fixture."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from bruteforce import greedy_near_dups
@@ -40,3 +42,51 @@ def test_near_dup_drift_agreement_small(spark):
     drift = greedy_near_dups(rows, 0.9, drift=True)
     same = sum(1 for o in truth if (truth[o] == o) == (drift[o] == o))
     assert same / len(truth) > 0.99
+
+
+def _edited(text, edits, rng):
+    chars = list(text)
+    for at in rng.sample(range(len(chars)), edits):
+        chars[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(chars)
+
+
+def test_short_texts_equal_bruteforce(spark):
+    """600 texts of 30 to 200 characters with 1 to 4 changed characters, and one text on a third of all rows."""
+    rng = random.Random(5)
+    rows = []
+    for base in range(150):
+        words = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+                         for _ in range(rng.randint(5, 25)))
+        rows += [words] + [_edited(words, rng.randint(1, 4), rng) for _ in range(3)]
+    rows += ["one hot text that many rows of the table share"] * 300
+    rng.shuffle(rows)
+    data = [("app", k, t, "", float(k % 7)) for k, t in enumerate(rows)]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    df = df.repartition(6)
+    texts = {r.ord: r for r in normalized(df).collect()}
+    truth = greedy_near_dups([{"batch": "app", "ord": o, "norm_content": texts[o].norm_content, "norm_title": "",
+                               "quality": q} for _, o, _, _, q in data if o == min(
+                                   p for _, p, t, _, _ in data if t == rows[o])], 0.9)
+    # Without a content_hash column the hash is computed: equal texts collapse, others stay.
+    got = {r.ord for r in near_duplicate_winners(df, ["app_name"], 0.9).collect()}
+    assert got == set(truth.values())
+
+
+def test_qgram_bound_never_drops_a_similar_pair():
+    from bruteforce import similarity
+    from chorus.functions.udfs import qgrams_allow
+    rng = random.Random(3)
+    for _ in range(400):
+        a = "".join(rng.choice("ab cd") for _ in range(rng.randint(1, 60)))
+        b = _edited(a, rng.randint(0, min(len(a), 6)), rng) + "x" * rng.randint(0, 3)
+        for need in (0.6, 0.875, 0.9):
+            if similarity(a, b, "", "") >= need:
+                assert qgrams_allow(a, b, need)
+
+
+def test_no_join_on_texts(spark):
+    v = Q.valid(spark, SF_SMALL)
+    plan = near_duplicate_clusters(v, ["app_name"], 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("norm_content" in j or "norm_title" in j for j in joins)

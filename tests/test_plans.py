@@ -8,9 +8,9 @@ def _plan(df):
 
 
 def test_no_cross_joins_in_registered_queries(spark):
-    import __spark_entry__ as E
+    from chorus.plans.queries import QUERIES
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = _plan(fn(spark, SF_SMALL))
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
@@ -24,6 +24,52 @@ def test_date_filter_reaches_parquet_scan(spark):
 
 
 def test_every_query_has_oracle_or_is_near_dup():
-    import __spark_entry__ as E
-    missing = set(E.queries()) - set(E.oracle_sql())
+    from chorus.plans.queries import ORACLE, QUERIES
+    missing = set(QUERIES) - set(ORACLE)
     assert missing == {"near_dup_pairs", "near_dup_clusters", "pipeline_full"}
+
+
+def test_api_flatten_reads_its_source_once(spark):
+    from chorus.plans.queries import QUERIES
+    plan = _plan(QUERIES["api_flatten_first"](spark, SF_SMALL))
+    assert plan.count("FileScan") == 1
+
+
+def test_flags_scan_the_narrow_table_only(spark):
+    """The flag steps read no text: one wide scan, joined once."""
+    from chorus.plans.pipeline import Settings, flag_stages, narrow, prepared
+    from chorus.plans.queries import cleaned
+    from chorus.plans.store import write_table
+    s = Settings()
+    rows = write_table(narrow(prepared(cleaned(spark, SF_SMALL), s), s.batch), "narrow-test")
+    plan = _plan(flag_stages(rows, s))
+    assert "content:string" not in plan and "raw_content" not in plan
+
+
+def test_stage_tables_follow_the_settings(spark):
+    from chorus.plans.pipeline import documents_pipeline
+    everything = documents_pipeline(spark, SF_SMALL).count()
+    longer = documents_pipeline(spark, SF_SMALL, min_length=400).count()
+    plain = documents_pipeline(spark, SF_SMALL, materialize=False, min_length=400).count()
+    assert longer == plain < everything
+
+
+def test_a_cluster_must_name_its_folder():
+    import pytest
+    from chorus.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())

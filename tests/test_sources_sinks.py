@@ -52,3 +52,109 @@ def test_partitioned_csv_export(spark):
     back = read_csv(spark, out)
     assert back.count() == flagged.where(F.col("processed_at").isNotNull()).count()
     assert {"review_id", "keywords_found", "verified"} <= set(back.columns)
+
+
+REVIEW = ("this is the review number {k} and it was good for the most part of what we do with the app on the phone "
+          "since the day that we got it in the shop")
+
+
+def _batch_document(path, app, texts):
+    reviews = [{"review_id": f"{app}{k}", "platform": "reddit", "app_name": app, "content": t, "rating": 4,
+                "user_id": f"u{app}{k}"} for k, t in enumerate(texts)]
+    with open(path, "w") as f:
+        json.dump({"metadata": {"app_name": app, "platform": "reddit"}, "reviews": reviews}, f)
+
+
+def test_two_documents_and_a_missing_one_go_through_the_pipeline(spark):
+    from chorus.plans.pipeline import run
+    d = tempfile.mkdtemp(prefix="chorus-run-")
+    texts = [REVIEW.format(k=k) + " " + " ".join(f"{w}{k}" for w in "abcdefghijkl") for k in range(3)]
+    _batch_document(f"{d}/one.json", "x", texts)
+    _batch_document(f"{d}/two.json", "y", texts)
+    meta, rows = read_batch_json(spark, f"{d}/*.json")
+    assert rows.count() == 6 and rows.select("ord").distinct().count() == 6 and meta.count() == 2
+    flagged = run(spark, [f"{d}/one.json", f"{d}/two.json", f"{d}/none.json"], f"{d}/out", near_dup=False,
+                  formats=("csv", "json", "batch", "report"))
+    assert flagged.count() == 6 and {r.stage for r in flagged.collect()} == {"kept"}
+    # Every export is there and reads back.
+    assert read_csv(spark, f"{d}/out/reviews_csv").count() == 6
+    assert spark.read.json(f"{d}/out/reviews_json").count() == 6
+    meta, again = read_batch_json(spark, f"{d}/out/batches/*.json")
+    assert sorted((m.app_name, m.total_scraped, m.total_processed) for m in meta.collect()) == [("x", 3, 3), ("y", 3, 3)]
+    assert {(r.review_id, r.content) for r in again.collect()} == {(r.review_id, r.content) for r in flagged.collect()}
+    for report in ("batch_summaries", "overall_stats", "category_analysis", "sentiment_trends", "quality_metrics", "insights"):
+        spark.read.json(f"{d}/out/report/{report}").count()
+    assert spark.read.option("header", True).csv(f"{d}/out/report/summary_csv").count() == 2
+
+
+def test_every_source_keeps_its_rows_in_the_pipeline(spark):
+    from chorus.plans.pipeline import Settings, process
+    from chorus.plans import queries as Q
+    from chorus.plans.store import write_table
+    from chorus.sources.landed import api_reviews
+    from chorus.sources.union import union_reviews
+    posts, comments = Q.forum_reviews(spark, SF_SMALL)
+    api = api_reviews(Q.api_first(spark, SF_SMALL))
+    rows = write_table(union_reviews([posts, comments, api]), "union-test")
+    n = rows.count()
+    assert n == posts.count() + comments.count() + api.count()
+    assert rows.select("ord").distinct().count() == n
+    cleaned = {}
+
+    def stage(name, build):
+        cleaned[name] = write_table(build(), name)
+        return cleaned[name]
+
+    flagged = process(rows, Settings(), near_dup=False, stage=stage)
+    assert cleaned["cleaned"].count() == n
+    assert flagged.count() == cleaned["cleaned"].where("drop_reason is null").count()
+
+
+def test_overlay_repeated_keys_and_hashes(spark):
+    import hashlib
+    from chorus.sources.landed import generic_hash, overlay
+    df = spark.createDataFrame([("a", "x", "c", None), ("b", "y", "d", None)],
+                               "review_id string, sentiment string, primary_category string, processed_at string")
+    updates = spark.createDataFrame([("a", None, "first", 1), ("a", "positive", None, 2), ("a", None, "last", 3)],
+                                    "review_id string, sentiment string, primary_category string, ord int")
+    got = {r.review_id: r for r in overlay(df, updates, as_of="2025").collect()}
+    assert len(got) == 2 and (got["a"].sentiment, got["a"].primary_category, got["a"].processed_at) == ("positive", "last", "2025")
+    assert got["b"].processed_at is None
+    m = {"b": "1", "a": "é 😀 \"q\""}
+    rows = spark.createDataFrame([(m, ["z", None, "é"], "text é", 5)], "m map<string,string>, l array<string>, s string, n int")
+    h = rows.select(*[generic_hash(rows, c).alias(c) for c in "mlsn"]).first()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert h.m == md5(json.dumps(m, sort_keys=True)) and h.l == md5(json.dumps(["z", None, "é"]))
+    assert h.s == md5("text é") and h.n == md5("5")
+
+
+def test_landed_app_information(spark):
+    from chorus.sources.landed import app_metadata, app_search, records_from_json, records_to_json
+    info = spark.createDataFrame([("p", "T", "tools", 4.5, None)], "appId string, title string, genre string, score double, screenshots array<string>")
+    m = app_metadata(info, "2025").first()
+    assert (m.package_id, m.category, m.rating, m.screenshots, m.version, m.scraped_at) == ("p", "tools", 4.5, [], None, "2025")
+    hits = spark.createDataFrame([(k, "q" if k % 2 else "r", f"a{k}") for k in range(20)], "ord int, query string, appId string")
+    assert [r.package_id for r in app_search(hits, "q", 3).collect()] == ["a1", "a3", "a5"]
+    texts = spark.createDataFrame([(1, '{"review_id": "1", "extra": 5, "rating": 3}'), (2, "no json")], "ord long, json string")
+    back = {r.ord: r for r in records_from_json(texts).collect()}
+    assert back[1].rating == 3 and back[1].keywords_found == [] and back[1].category_scores == {} and back[2].review_id is None
+    again = records_to_json(records_from_json(texts).where("ord = 1")).first().json
+    assert json.loads(again)["review_id"] == "1" and json.loads(again)["title"] is None
+
+
+def test_budgets_timestamps_and_fields(spark):
+    from chorus.operators.select import format_timestamp, keyword_budgets, per_group_budget
+    from chorus.sources.catalog import registered_fields
+    posts = spark.createDataFrame([(k, "s", f"about {'red' if k % 2 else 'blue'} things", "", k % 10) for k in range(40)]
+                                  + [(100, "t", "nothing", "", 99), (101, "t", "a RED one", "", 5)],
+                                  "ord int, source string, title string, selftext string, score int")
+    got = {(r.source, r.ord): r.found_by for r in keyword_budgets(posts, ["red", "blue"], 6).collect()}
+    assert {k for k, v in got.items() if v == "red"} == {("s", 1), ("s", 3), ("s", 5), ("t", 101)}
+    assert {k for k, v in got.items() if v == "blue"} == {("s", 0), ("s", 2), ("s", 4)}
+    assert {k for k, v in got.items() if v == "hot"} == {("s", 9), ("s", 19), ("s", 29)}
+    assert per_group_budget(posts, "source", 6).count() == 5
+    t = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("x",), (None,)], "t string")
+    assert [r.f for r in t.select(format_timestamp("t", "2025-01-01T00:00:00").alias("f")).collect()] == [
+        "2024-01-02 03:04:05", "2025-01-01 00:00:00", "2025-01-01 00:00:00"]
+    asked = spark.createDataFrame([("spotify", "android"), ("nobody", "reddit"), ("spotify", "reddit")], "app_key string, platform string")
+    assert {(r.app_key, r.platform): r.missing for r in registered_fields(asked, spark).collect()}[("nobody", "reddit")] == "app"
