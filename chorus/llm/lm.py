@@ -162,7 +162,7 @@ def joined_totals(rows: pd.DataFrame, level: int, n: int) -> np.ndarray:
     return np.concatenate([expand(t, "<u8") for t in own["totals"]]).astype(np.int64)
 
 
-def score_documents(docs: DataFrame, folds: int = 10, mu: float = 60.0, add: float = 0.1,
+def score_documents(docs: DataFrame, folds: int = 10, mu: float = 600.0, add: float = 0.1,
                     block_tokens: int = 2_000_000, shard_tokens: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     blocks = stage(cut_blocks(docs, folds, block_tokens), "lm-blocks")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from chorus.llm.ann import op1_multi_index_hashing
 from chorus.llm.containment import OP7_SQL, op7_containment_search
 from chorus.llm.dac import op6_directly_addressable_codes
@@ -24,9 +25,12 @@ QUERIES = {
     "op8_longest_match_counts": op8_longest_match_counts,
     "op9_backoff_automaton": op9_backoff_automaton,
     "op10_candidate_boosting": op10_candidate_boosting,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op2_tool_call_linking": OP2_SQL,
     "op7_containment_search": OP7_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
