@@ -57,56 +57,66 @@ def similarity(a_content: str, b_content: str, a_title: str, b_title: str) -> fl
     return sim
 
 
-def qgrams_allow(a: str, b: str, need: float, q: int = 4) -> bool:
+def gram_counts(text: str, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct q-grams of a text as numbers, sorted, and how often each occurs."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = points[: max(0, len(points) - q + 1)].copy()
+    for k in range(1, q):
+        grams = grams * np.uint64(0x110000) + points[k: len(points) - q + 1 + k]
+    return np.unique(grams, return_counts=True)
+
+
+def qgrams_allow(a: str, b: str, need: float, memo: dict | None = None) -> bool:
     """Whether the texts share enough q-grams for a ratio of ``need``; never False for a pair that reaches it.
 
     A ratio of ``need`` has M >= need * (la + lb) / 2 matched characters and u = la + lb - 2 M others.  Matched blocks are
     separated by at least one other character, so there are at most u + 1, and a block of length L holds L - q + 1
-    common q-grams: at least M - (q - 1) (u + 1) are common, counted with repeats.
+    common q-grams: at least M - (q - 1) (u + 1) are common, counted with repeats.  For q = 1 this is the bound of
+    ``quick_ratio``; longer grams ask for fewer but rarer ones.
     """
+    memo = {} if memo is None else memo
     total = len(a) + len(b)
     matched = need * total / 2
-    common = matched - (q - 1) * (total - 2 * matched + 1)
-    if common <= 0:
-        return True
-    counts = []
-    for text in (a, b):
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        grams = points[: len(points) - q + 1].copy()
-        for k in range(1, q):
-            grams = grams * np.uint64(0x110000) + points[k: len(points) - q + 1 + k]
-        counts.append(np.unique(grams, return_counts=True))
-    (ga, na), (gb, nb) = counts
-    at = np.minimum(np.searchsorted(gb, ga), max(0, len(gb) - 1))
-    same = gb[at] == ga if len(gb) else np.zeros(len(ga), bool)
-    return int(np.minimum(na, nb[at] if len(gb) else 0)[same].sum()) >= common - 1e-6
-
-
-def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float) -> float:
+    for q in (1, 2, 3):
+        common = matched - (q - 1) * (total - 2 * matched + 1)
+        if common <= 0:
+            return True
+        for text in (a, b):
+            if (text, q) not in memo:
+                memo[text, q] = gram_counts(text, q)
+        (ga, na), (gb, nb) = memo[a, q], memo[b, q]
+        if not len(ga) or not len(gb):
+            return False
+        at = np.minimum(np.searchsorted(gb, ga), len(gb) - 1)
+        if np.minimum(na, nb[at])[gb[at] == ga].sum() < common - 1e-6:
+            return False
+    return True
+
+
+def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float, memo: dict | None = None) -> float:
     """``similarity`` when it can reach ``threshold``, else 0.0.
 
-    ``quick_ratio`` (character multiset overlap) and the q-gram count bound ``ratio``
-    from above, so pairs whose bound misses the threshold skip the quadratic matcher.
+    Titles are short, so their ratio comes first: it fixes what the contents must
+    reach, often more than 1.  The q-gram bounds then spare most pairs the quadratic matcher.
     """
     if not a_content or not b_content:
         return 0.0
+    title, need = 0.0, threshold
     both_titles = bool(a_title) and bool(b_title)
-    if not qgrams_allow(a_content, b_content, (threshold - 0.2) / 0.8 if both_titles else threshold):
-        return 0.0
-    sm = SequenceMatcher(None, a_content, b_content)
-    bound = sm.quick_ratio()
-    if (bound * 0.8 + 0.2 if both_titles else bound) < threshold:
-        return 0.0
-    sim = sm.ratio()
     if both_titles:
-        sim = sim * 0.8 + SequenceMatcher(None, a_title, b_title).ratio() * 0.2
-    return sim
+        title = SequenceMatcher(None, a_title, b_title).ratio()
+        need = (threshold - 0.2 * title) / 0.8
+    if need > 1 + 1e-9 or not qgrams_allow(a_content, b_content, need - 1e-9, memo):
+        return 0.0
+    sim = SequenceMatcher(None, a_content, b_content).ratio()
+    return sim * 0.8 + title * 0.2 if both_titles else sim
 
 
 def ratio_pairs_at_least(threshold: float):
     """Arrow UDF: similarity of (later, earlier) pairs, 0.0 where it cannot reach ``threshold``."""
     @pandas_udf(DoubleType())
     def f(a_content: pd.Series, b_content: pd.Series, a_title: pd.Series, b_title: pd.Series) -> pd.Series:
-        return pd.Series([similarity_at_least(a, b, ta, tb, threshold)
+        memo: dict = {}  # of this Arrow batch
+        return pd.Series([similarity_at_least(a, b, ta, tb, threshold, memo)
                           for a, b, ta, tb in zip(a_content, b_content, a_title, b_title)], dtype="float64")
     return f
