@@ -6,8 +6,8 @@ benchmark  documents that contain a benchmark item (0.8 of its 5-word shingles o
 pii        personal data in texts is replaced by its kind; n_chars follows the text
 packing    documents are tokenised and packed into sequences of 1024 ids
 
-All but the last return the columns of documents; the last returns one row per piece with its place.  No stage has a
-form in SQL (a trained model, tokenizers), so ORACLE_SQL is None; tests check the stages against brute force.
+All but the last return the columns of documents; the last returns one row per piece with its place.  As a whole they have no
+form in SQL (trained models, tokenizers), so ORACLE_SQL is None; tests check the stages against brute force.
 """
 
 from __future__ import annotations
