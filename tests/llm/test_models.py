@@ -160,6 +160,22 @@ def test_finder_adds_spans_and_keeps_base_ones(spark, no_docs):
     assert pii.fit_finder(no_docs).thresholds == {}
 
 
+def test_chosen_spans_never_overlap():
+    class Even:
+        def __call__(self, x):
+            return np.linspace(0.6, 0.9, len(x))
+
+    finder = pii.Finder(Even(), {k: 0.5 for k in range(4)})
+    inside = "-".join(f"1.2.3.{k}" for k in range(9)) + "-319-555-5132@b.co"  # many base spans within one e-mail
+    many = " ".join(f"319-555-{k:04d} 4539 148803 {k:05d} +1 (319) 555-5132" for k in range(3000))
+    for text in (inside, many, inside + " " + many):
+        base, every = finder(text)
+        added = sorted(set(every) - set(base), key=lambda s: s[1])
+        assert set(base) <= set(every) and all(a[2] <= b[1] for a, b in zip(added, added[1:]))
+        assert all(e <= s or end <= a for _, a, e in added[:50] for _, s, end in base)
+    assert len(finder(many)[1]) > len(finder(many)[0])
+
+
 def test_spans_of_odd_rows(spark, odd_docs, no_docs):
     finder = pii.Finder()
     got = pii.find_spans(odd_docs, finder).collect()
