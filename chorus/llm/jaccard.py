@@ -1,9 +1,9 @@
 """N-gram Jaccard join: grouped prefix join.
 
-A document's set holds the 64-bit hashes of its distinct 3-word shingles.  Documents link when their sets' Jaccard
-similarity is at least ``percent`` hundredths; a link forces a common shingle among the first
-n - ceil(percent * n / 100) + 1 of each set in any fixed order (the prefix).  The order is rare first, by a table of
-hashed shingle counts of a fixed number of cells, then by hash.
+A document's set holds the 64-bit hashes of its distinct word shingles (five words and a similarity of 0.8 unless
+told otherwise).  Documents link when their sets' Jaccard similarity is at least ``percent`` hundredths; a link forces
+a common shingle among the first n - ceil(percent * n / 100) + 1 of each set in any fixed order (the prefix).  The
+order is rare first, by a table of hashed shingle counts of a fixed number of cells, then by hash.
 
 1. Documents with equal sets form a class; classes with equal prefix and size form a group.
 2. Group pairs come from common prefix shingles, with the size and position filters; pairs of classes then pass a
@@ -275,7 +275,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int
     return connected(links.union(new))
 
 
-def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     counts = shingle_counts(docs.select(text_bytes().alias("text")), width)
     sets = stage(set_rows(docs, counts, width, percent), "sets")
@@ -296,7 +296,7 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
 
 
-def keep_first(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: that with the smallest id, once if rows repeat it.  Rows with a null id stay."""
     found = stage(components(docs, width, percent), "components")
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("same"))
@@ -314,4 +314,4 @@ def keep_first(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of at least 0.9."""
-    return components(table(spark, sf_dir, "documents"))
+    return components(table(spark, sf_dir, "documents"), width=3, percent=90)

@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 quality    documents that the pairwise-ranking classifier rejects go
-jaccard    one document of each component of the 3-gram Jaccard join stays (similarity 0.9 or more)
+jaccard    one document of each component of the Jaccard join stays (5-word shingles, similarity 0.8 or more)
 benchmark  documents that contain a benchmark item (0.8 of its 5-word shingles or more) go
 pii        personal data in texts is replaced by its kind; n_chars follows the text
 packing    documents are tokenised and packed into sequences of 1024 ids

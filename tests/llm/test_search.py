@@ -59,7 +59,7 @@ def shingle_set(text, width):
     return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)}
 
 
-def brute_components(rows):
+def brute_components(rows, width=3, percent=90):
     parent = list(range(len(rows)))
 
     def find(x):
@@ -67,11 +67,11 @@ def brute_components(rows):
             x = parent[x]
         return x
 
-    sets = [shingle_set(t, 3) for _, t in rows]
+    sets = [shingle_set(t, width) for _, t in rows]
     for a in range(len(rows)):
         for b in range(a):
             same = len(sets[a] & sets[b])
-            if sets[a] and 100 * same >= 90 * (len(sets[a]) + len(sets[b]) - same):
+            if sets[a] and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
                 parent[find(a)] = find(b)
     out = []
     for a, (i, _) in enumerate(rows):
@@ -94,13 +94,13 @@ def near_copies(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, width, percent", [(1, 3, 90), (2, 3, 90), (3, 5, 80)])
+def test_components_equal_brute_force(spark, seed, width, percent):
     rows = near_copies(400, seed)
     rows += [(1000 + i, "one hot text of many copies in this table of rows") for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df).collect()), key=str)
-    assert got == brute_components(rows)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df, width, percent).collect()), key=str)
+    assert got == brute_components(rows, width, percent)
 
 
 def test_stars_alone_are_not_enough_and_no_link_is_lost(spark):
@@ -108,13 +108,13 @@ def test_stars_alone_are_not_enough_and_no_link_is_lost(spark):
     words = [f"c{k}" for k in range(60)]
     rows = [(k, " ".join(words[: 20 + k])) for k in range(30)] + [(100, "a b c"), (101, "A B C"), (102, "a b d")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df, 3, 90).collect()), key=str)
     assert got == brute_components(rows)
 
 
 def test_components_of_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(odd_docs).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(odd_docs, 3, 90).collect()), key=str)
     assert got == brute_components(rows)
     assert jaccard.components(no_docs).collect() == []
     kept = jaccard.keep_first(odd_docs)
