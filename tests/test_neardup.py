@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from bruteforce import greedy_near_dups
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from chorus.operators.dedup import hash_dedup
 from chorus.operators.neardup import near_duplicate_clusters, near_duplicate_winners, normalized
 from chorus.plans import queries as Q

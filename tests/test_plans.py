@@ -1,6 +1,6 @@
 """Plan-shape invariants for every registered query (small fixture)."""
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _plan(df):

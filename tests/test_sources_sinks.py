@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from chorus.sources.landed import first_then_nonempty, flatten_api_responses, read_batch_json, read_csv
 
 

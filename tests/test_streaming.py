@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from chorus.plans import queries as Q
 from chorus.streaming.stream import clean_classify_stream, read_review_stream, run_available_now
 
