@@ -3,13 +3,12 @@
 The original compares every review with every accepted one (quadratic).
 Here, per batch:
 
-1. rows whose normalised (content, title) are identical collapse to their
+1. rows of a batch whose normalised (content, title) are identical collapse to their
    first row -- exact, since such rows have similarity 1 with each other and
    identical similarities to everyone else; a grouped ``min(ord)`` on a hash,
    over rows without texts;
 2. MinHash signatures of character shingles (Arrow UDF, numpy) are cut
-   into bands; rows sharing a band bucket are candidates (equi-join on
-   ``(batch, layout, band, bucket)``, ``ord_a < ord_b``).  Short texts have a layout of
+   into bands; rows sharing a band bucket are candidates.  Short texts have a layout of
    their own (3-grams), as few edits change most of their longer shingles; texts
    near the border carry both layouts, so that any two texts whose lengths allow
    the threshold share one;
@@ -18,10 +17,9 @@ Here, per batch:
 4. survivors are verified with the original's similarity, arguments
    (later, earlier);
 5. leaders = lexicographically-first maximal independent set of the
-   verified graph by ``ord`` (the greedy pass, computed in rounds until no row
-   is open: a row becomes a leader once all its earlier neighbours are
-   non-leaders; a row with an earlier leader neighbour joins the lowest such
-   leader);
+   verified graph by ``ord`` (the greedy pass): a row becomes a leader once all its
+   earlier neighbours are non-leaders; a row with an earlier leader neighbour joins
+   the lowest such leader.  Not every pair of a bucket is compared, see ``leaders_in_layers``;
 6. the survivor of each cluster is its highest-quality row, earliest on ties
    (the original's strict ``>`` replacement).
 
@@ -37,7 +35,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
@@ -115,14 +113,29 @@ def with_signatures(reps: DataFrame, threshold: float, seed: int = 7) -> DataFra
     return reps.drop("_short", "_long")
 
 
-def candidate_pairs(signed: DataFrame, batch: Sequence[str]) -> DataFrame:
-    """(later, earlier) pairs sharing at least one LSH band bucket; one row per pair."""
-    buckets = signed.select(*batch, "ord", F.explode("bands").alias("b")).select(*batch, "ord", "b.band", "b.bucket")
-    a, b = buckets.alias("a"), buckets.alias("b")
-    cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*batch, "band", "bucket"]]
-    pairs = (a.join(b, cond).where(F.col("a.ord") > F.col("b.ord"))
-             .select(F.col("a.ord").alias("later"), F.col("b.ord").alias("earlier")))
-    return pairs.distinct()
+BUCKET = ["batch_key", "band", "bucket"]
+
+
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """One row per text and band; ``is_new`` and ``below`` stay, where there are any."""
+    rest = [c for c in ("is_new", "below") if c in signed.columns]
+    return (signed.select("batch_key", "ord", *rest, F.explode("bands").alias("b"))
+            .select("batch_key", "ord", *rest, "b.band", "b.bucket"))
+
+
+def bucket_pairs(later: DataFrame, earlier: DataFrame, extra: Column | None = None) -> DataFrame:
+    """(later, earlier) pairs of two sets of bucket rows that share a bucket; one row per pair."""
+    a, b = later.alias("a"), earlier.alias("b")
+    found = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in BUCKET]).where(F.col("a.ord") > F.col("b.ord"))
+    found = found if extra is None else found.where(extra)
+    return found.select(F.col("a.ord").alias("later"), F.col("b.ord").alias("earlier")).distinct()
+
+
+def star_pairs(rows: DataFrame, above: int) -> DataFrame:
+    """The rows of each bucket of more than ``above`` rows, paired with its first row only."""
+    first = rows.groupBy(*BUCKET).agg(F.min("ord").alias("earlier"), F.count("*").alias("n")).where(F.col("n") > above)
+    return (rows.join(first, BUCKET).where(F.col("ord") > F.col("earlier"))
+            .select(F.col("ord").alias("later"), "earlier").distinct())
 
 
 def verified_edges(signed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -209,35 +222,113 @@ def greedy_leaders(edges: DataFrame, stage=None) -> DataFrame:
     return st.select("ord", F.when(F.col("st") == "L", F.col("ord")).otherwise(F.col("leader")).alias("leader"))
 
 
-def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
-                            threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, seed: int = 7,
-                            hash_dedup_first: bool = True, return_edges: bool = False):
-    """(ord, cluster, quality_score) for the rows entering the similarity step.
+def leaders_in_layers(signed: DataFrame, threshold: float, stage, small: int = 32) -> DataFrame:
+    """(ord, leader) of the greedy pass over the texts of ``signed``, without comparing all pairs of a bucket.
 
-    ``cluster`` is the leader's ``ord``; rows outside every cluster lead
-    their own.
+    A row that is similar to its bucket's first row is most likely a member and never a leader, so it needs no
+    comparison with the many rows like it.  Each layer:
+    1. open rows (first all) are compared with the first open row of each of their buckets of more than ``small``
+       open rows; those similar to an earlier open row wait, the others become heads;
+    2. heads are compared with each other, which gives the leaders among them;
+    3. the waiting rows are compared with those leaders that come before their lowest known one;
+    4. waiting rows without an earlier similar leader are open in the next layer.
+    When none is open, every row that is no leader has an earlier similar leader, and no leader has one: only the
+    greedy pass's result is like that, so it is exact.  Each layer has at least one new head.
     """
-    batch = list(batch)
+    def pick(keys: DataFrame, how: str = "left_semi") -> DataFrame:
+        return signed.join(keys, "ord", how)
+
+    everyone = signed.select("ord")
+    compared = edges = heads = None
+    open_rows, layer = everyone, 0
+    while True:
+        def put(name: str, df: DataFrame, layer: int = layer) -> DataFrame:
+            return stage(f"{name}-{layer}", lambda: df)
+
+        def verify(name: str, pairs: DataFrame) -> None:
+            nonlocal compared, edges
+            fresh = put(f"pairs-{name}", pairs if compared is None else
+                        pairs.join(compared, ["later", "earlier"], "left_anti"))
+            found = put(f"edges-{name}", verified_edges(signed, fresh, threshold).select("later", "earlier"))
+            compared = fresh if compared is None else compared.unionByName(fresh)
+            edges = found if edges is None else edges.unionByName(found)
+
+        verify("star", star_pairs(bucket_rows(signed if layer == 0 else pick(open_rows)), small))
+        waiting = (edges.join(open_rows.select(F.col("ord").alias("later")), "later", "left_semi")
+                   .join(open_rows.select(F.col("ord").alias("earlier")), "earlier", "left_semi")
+                   .select(F.col("later").alias("ord")).distinct())
+        new = open_rows.join(waiting, "ord", "left_anti").withColumn("is_new", F.lit(True))
+        heads = put("heads", new if heads is None else
+                    heads.withColumn("is_new", F.lit(False)).unionByName(new))
+        head_rows = bucket_rows(signed.join(heads, "ord"))
+        verify("heads", bucket_pairs(head_rows, head_rows, F.col("a.is_new") | F.col("b.is_new")))
+
+        among = (edges.join(heads.select(F.col("ord").alias("later")), "later", "left_semi")
+                 .join(heads.select(F.col("ord").alias("earlier")), "earlier", "left_semi"))
+        status = greedy_leaders(among, lambda name, build: stage(f"{name}-{layer}", build))
+        members = status.where(F.col("ord") != F.col("leader"))
+        leaders = put("leaders", heads.join(members, "ord", "left_anti").select("ord"))
+
+        def lowest(rows: DataFrame) -> DataFrame:
+            """The lowest leader among the known earlier neighbours of each row."""
+            return (rows.join(leaders.select(F.col("ord").alias("earlier")), "earlier", "left_semi")
+                    .groupBy(F.col("later").alias("ord")).agg(F.min("earlier").alias("below")))
+
+        others = pick(heads, "left_anti").join(lowest(edges), "ord", "left")
+        verify("leaders", bucket_pairs(bucket_rows(others), bucket_rows(pick(leaders)),
+                                       F.col("a.below").isNull() | (F.col("b.ord") < F.col("a.below"))))
+        lead = lowest(edges)
+        open_rows = put("open", everyone.join(heads, "ord", "left_anti").join(lead, "ord", "left_anti"))
+        if open_rows.isEmpty():
+            known = leaders.withColumn("leads", F.lit(True))
+            return (everyone.join(known, "ord", "left").join(lead, "ord", "left")
+                    .select("ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("below")).alias("leader")))
+        layer += 1
+
+
+def representatives(v: DataFrame, batch: Sequence[str], threshold: float, stage, seed: int,
+                    hash_dedup_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows without texts, first row of each normalised text, the signed texts of those first rows)."""
     base = v
     if hash_dedup_first:
         h = v if "content_hash" in v.columns else with_content_hash(v)
         base = h.join(first_per_key(h, [*batch, "content_hash"]), "ord", "left_semi")
     texts = normalized(base).select(*batch, "ord", "norm_content", "norm_title", "quality_score")
-    texts = texts.withColumn("text_key", F.sha2(F.concat_ws("\u0000", "norm_content", "norm_title"), 256))
-    stage = stage or table_stage
+    # As JSON, so that batches with nulls are keys like others.
+    texts = texts.withColumn("batch_key", F.to_json(F.struct(*batch)) if batch else F.lit(""))
+    texts = texts.withColumn("text_key", F.sha2(F.concat_ws("\u0000", "batch_key", "norm_content", "norm_title"), 256))
     tag = f"{threshold}-{seed}-{'.'.join(batch)}-{hash_dedup_first}"
-    # 1. identical normalised texts: first row represents the group (grouped min over rows without texts)
     rows = stage(f"neardup-rows-{tag}", lambda: texts.select(*batch, "ord", "text_key", "quality_score"))
-    rep_of = rows.groupBy(*batch, "text_key").agg(F.min("ord").alias("rep"))
+    rep_of = rows.groupBy("text_key").agg(F.min("ord").alias("rep"))
     signed = stage(f"neardup-reps-{tag}", lambda: with_signatures(
-        texts.join(rep_of.select(F.col("rep").alias("ord")), "ord", "left_semi"), threshold, seed))
-    # 2-4. candidates and verified edges between representatives
-    edges = stage(f"neardup-edges-{tag}", lambda: verified_edges(signed, candidate_pairs(signed, batch), threshold))
-    # 5. greedy leaders among representatives
-    leader = greedy_leaders(edges, stage).select(F.col("ord").alias("rep"), "leader")
-    cluster_of = rep_of.join(leader, "rep", "left").select(*batch, "text_key", F.coalesce("leader", "rep").alias("cluster"))
-    out = rows.join(cluster_of, [*batch, "text_key"]).select(*batch, "ord", "cluster", "quality_score")
-    return (out, edges) if return_edges else out
+        texts.select("batch_key", "ord", "norm_content", "norm_title")
+        .join(rep_of.select(F.col("rep").alias("ord")), "ord", "left_semi"), threshold, seed))
+    return rows, rep_of, signed
+
+
+def similar_pairs(v: DataFrame, batch: Sequence[str] = BATCH, threshold: float = LX.SIMILARITY_THRESHOLD, stage=None,
+                  seed: int = 7, hash_dedup_first: bool = True) -> DataFrame:
+    """(later, earlier, similarity) of all similar pairs of different texts; each text stands for its copies."""
+    _, _, signed = representatives(v, list(batch), threshold, stage or table_stage, seed, hash_dedup_first)
+    rows = bucket_rows(signed)
+    return verified_edges(signed, bucket_pairs(rows, rows), threshold)
+
+
+def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,
+                            threshold: float = LX.SIMILARITY_THRESHOLD, stage=None, seed: int = 7,
+                            hash_dedup_first: bool = True) -> DataFrame:
+    """(ord, cluster, quality_score) for the rows entering the similarity step.
+
+    ``cluster`` is the leader's ``ord``; rows outside every cluster lead
+    their own.
+    """
+    batch, stage = list(batch), stage or table_stage
+    rows, rep_of, signed = representatives(v, batch, threshold, stage, seed, hash_dedup_first)
+    tag = f"{threshold}-{seed}-{'.'.join(batch)}-{hash_dedup_first}"
+    leader = leaders_in_layers(signed, threshold, lambda name, build: stage(f"neardup-{name}-{tag}", build))
+    cluster_of = rep_of.join(leader.select(F.col("ord").alias("rep"), "leader"), "rep", "left").select(
+        "text_key", F.coalesce("leader", "rep").alias("cluster"))
+    return rows.join(cluster_of, "text_key").select(*batch, "ord", "cluster", "quality_score")
 
 
 def near_duplicate_winners(v: DataFrame, batch: Sequence[str] = BATCH,

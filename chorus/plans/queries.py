@@ -473,10 +473,8 @@ def _nd_stage(spark, sf, name):
 @query("near_dup_pairs")
 def q_near_dup_pairs(spark, sf):
     """Verified (later, earlier, similarity) edges, batch = app_name."""
-    from chorus.operators.neardup import near_duplicate_clusters
-    _, edges = near_duplicate_clusters(valid(spark, sf), ["app_name"], stage=_nd_stage(spark, sf, "pairs"),
-                                       return_edges=True)
-    return edges.select("later", "earlier", r6("similarity").alias("similarity"))
+    from chorus.operators.neardup import similar_pairs
+    return similar_pairs(valid(spark, sf), ["app_name"], stage=_nd_stage(spark, sf, "pairs")).select("later", "earlier", r6("similarity").alias("similarity"))
 
 
 @query("near_dup_clusters")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from bruteforce import greedy_near_dups
@@ -9,6 +10,7 @@ from paths import SF_SMALL
 from chorus.operators.dedup import hash_dedup
 from chorus.operators.neardup import near_duplicate_clusters, near_duplicate_winners, normalized
 from chorus.plans import queries as Q
+from chorus.plans.store import table_stage
 
 
 def _fixture_rows(spark, sf):
@@ -33,12 +35,18 @@ def _check(spark, sf):
     return rows, truth
 
 
-def test_near_dup_matches_bruteforce_small(spark):
-    _check(spark, SF_SMALL)
+@pytest.fixture(scope="module")
+def checked(spark):
+    """Rows and brute-force result of the small documents, after Spark's result was found equal."""
+    return _check(spark, SF_SMALL)
 
 
-def test_near_dup_drift_agreement_small(spark):
-    rows, truth = _check(spark, SF_SMALL)
+def test_near_dup_matches_bruteforce_small(checked):
+    assert checked[0]
+
+
+def test_near_dup_drift_agreement_small(checked):
+    rows, truth = checked
     drift = greedy_near_dups(rows, 0.9, drift=True)
     same = sum(1 for o in truth if (truth[o] == o) == (drift[o] == o))
     assert same / len(truth) > 0.99
@@ -90,3 +98,32 @@ def test_no_join_on_texts(spark):
     plan = near_duplicate_clusters(v, ["app_name"], 0.9)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("norm_content" in j or "norm_title" in j for j in joins)
+
+
+def test_a_hot_group_of_different_similar_texts(spark):
+    """400 variants of one text, most of all rows: the greedy result without their all-pairs comparison."""
+    rng = random.Random(11)
+
+    def text():
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12))
+
+    base = text()
+    rows = [(True, _edited(base, rng.randint(0, 7), rng)) for _ in range(400)] + [(False, text()) for _ in range(40)]
+    rng.shuffle(rows)
+    data = [(None if k % 3 == 0 else "app", k, t, "", float(k % 7)) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    norm = {r.ord: r.norm_content for r in normalized(df).collect()}
+    truth = greedy_near_dups([{"batch": b, "ord": o, "norm_content": norm[o], "norm_title": "", "quality": q}
+                              for b, o, _, _, q in data], 0.9)
+    compared = []
+
+    def stage(name, build):
+        df = table_stage(name, build)
+        if "pairs-" in name:
+            compared.append(df.count())
+        return df
+
+    got = {r.ord for r in near_duplicate_winners(df, ["app_name"], 0.9, stage).collect()}
+    assert got == set(truth.values())
+    hot = [sum(is_hot and (k % 3 == 0) == null for k, (is_hot, _) in enumerate(rows)) for null in (True, False)]
+    assert sum(compared) < sum(n * (n - 1) // 2 for n in hot) / 3
