@@ -127,3 +127,35 @@ def test_a_hot_group_of_different_similar_texts(spark):
     assert got == set(truth.values())
     hot = [sum(is_hot and (k % 3 == 0) == null for k, (is_hot, _) in enumerate(rows)) for null in (True, False)]
     assert sum(compared) < sum(n * (n - 1) // 2 for n in hot) / 3
+
+
+def test_deletions_in_texts_of_middling_length(spark):
+    """Texts of 130 to 200 characters with evenly or randomly spread deletions, at a ratio of 0.90 to 0.92."""
+    from bruteforce import similarity
+    from chorus.operators.neardup import similar_pairs
+    rng = random.Random(17)
+    data, want = [], set()
+    while len(want) < 120:
+        text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(rng.randint(17, 24)))
+        gone = round(0.167 * len(text))
+        places = {int(k * len(text) / gone) for k in range(gone)} if len(want) % 2 else rng.sample(range(len(text)), gone)
+        less = " ".join("".join(c for k, c in enumerate(text) if k not in set(places)).split())
+        if 0.9 <= similarity(less, text, "", "") <= 0.92 and 130 <= len(text) <= 200:
+            want.add((len(data) + 1, len(data)))
+            data += [("app", len(data) + k, t, "", 0.0) for k, t in enumerate((text, less))]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    got = {(r.later, r.earlier) for r in similar_pairs(df, ["app_name"], 0.9).collect()}
+    assert got == want
+
+
+def test_long_texts_of_many_characters(spark):
+    from bruteforce import similarity
+    from chorus.operators.neardup import similar_pairs
+    rng = random.Random(19)
+    texts = ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(500)) for _ in range(20)]
+    less = ["".join(c for k, c in enumerate(t) if k % 6) for t in texts]
+    assert all(similarity(b, a, "", "") >= 0.9 for a, b in zip(texts, less))
+    data = [("app", k, t, "", 0.0) for k, t in enumerate(texts + less)]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    got = {(r.later, r.earlier) for r in similar_pairs(df, ["app_name"], 0.9).collect()}
+    assert got == {(k + 20, k) for k in range(20)}
