@@ -8,7 +8,8 @@ double precision.
 
 The rotation and the radius are fitted on a bounded sample (``sample`` vectors, chosen by a hash of vec_id): the
 radius is the smallest that keeps a share ``keep`` of the sample's own nearest neighbours, which lie farther apart
-than those of the whole table.  Every row is indexed.  Equal vectors are indexed once with their k + 1 smallest
+than those of the whole table.  A searched vector with fewer than k + 1 vectors within the radius (or all, if the table
+has fewer) is searched again with twice the radius, and so on up to all bits.  Every row is indexed.  Equal vectors are indexed once with their k + 1 smallest
 ids (no more can be among the k nearest), and searched once, so large groups of copies cost one search.
 Index rows are dealt by hash to shards of bounded size and queries to blocks of bounded size; each pair of a block
 and a shard is one task's work.
@@ -20,6 +21,7 @@ candidates than k all are returned; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -136,20 +138,16 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, vector: str = "embe
     n_heads = heads.count()
     if not n_heads:
         return spark.createDataFrame([], empty)
-    shards, blocks = ceil(n / shard_rows), ceil(n_heads / block_queries)
+    shards = ceil(n / shard_rows)
 
     def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         """Deal rows by hash to ``own`` and repeat them for every ``other``: work in blocks."""
         return (df.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(own_n)))
                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long")))))
 
-    index = spread(distinct, "shard", shards, "block", blocks)
-    # New column identities: both sides of the cogroup come from one table.
-    searched = distinct.join(heads, "key", "left_semi").select(F.col("key").alias("key"), F.col("v").alias("v"))
-    queries = spread(searched, "block", blocks, "shard", shards)
     found_schema = "key long, near long, score double, ids array<long>"
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(left: pd.DataFrame, right: pd.DataFrame, radius: int) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
             scaled, unit = unit_rows(left["v"].tolist())
@@ -164,11 +162,30 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, vector: str = "embe
                 out += [(key, keys[p], values[p], ids[p]) for p in best.tolist()]
         return pd.DataFrame(out, columns=["key", "near", "score", "ids"])
 
-    found = (index.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard"))
-             .applyInPandas(search, found_schema))
-    # The k + 1 nearest distinct vectors of each searched vector: at most that many rows come from a shard.
     order = F.struct((-F.col("score")).alias("far"), F.col("near"), F.col("score"), F.col("ids"))
-    best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("best"))
+
+    def best_within(asking: DataFrame, blocks: int, radius: int) -> DataFrame:
+        """(key, best): the k + 1 nearest distinct vectors within the radius of each asking key."""
+        index = spread(distinct, "shard", shards, "block", blocks)
+        # New column identities: both sides of the cogroup come from one table.
+        searched = distinct.join(asking, "key", "left_semi").select(F.col("key").alias("key"), F.col("v").alias("v"))
+        queries = spread(searched, "block", blocks, "shard", shards)
+        found = (index.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard"))
+                 .applyInPandas(lambda left, right: search(left, right, radius), found_schema))
+        # At most k + 1 rows of a key come from a shard.
+        return found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("best"))
+
+    all_bits, enough = 8 * codes(unit[:1]).shape[1], min(k + 1, n)
+    done: list[DataFrame] = []
+    while n_heads:
+        best = stage(best_within(heads, ceil(n_heads / block_queries), radius), "ann-best")
+        full = best if radius >= all_bits else best.where(F.size("best") >= enough)
+        done.append(full)
+        if radius >= all_bits:
+            break
+        heads = stage(heads.join(full.select("key"), "key", "left_anti"), "ann-short")
+        n_heads, radius = heads.count(), min(all_bits, max(2 * radius, 8))
+    best = reduce(DataFrame.unionByName, done)
     # Members of those vectors by score, then id; a query's own id goes, k stay.
     member = F.flatten(F.transform("best", lambda b: F.transform(
         b["ids"], lambda i: F.struct(b["far"].alias("far"), i.alias("vec_id"), b["score"].alias("score")))))

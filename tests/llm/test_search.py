@@ -52,6 +52,20 @@ def test_nearest_of_few_rows(spark):
     assert ann.nearest(df.where("vec_id < 0"), F.col("vec_id") == 0).collect() == []
 
 
+def test_nearest_of_far_outliers_beside_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    vectors = {i: centre + 1e-4 * rng.normal(size=24) for i in range(1, 800)}
+    vectors |= {50 * i: rng.normal(size=24) for i in range(1, 16)}  # each query is an outlier
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=300, block_queries=4).collect()
+    for q in range(50, 800, 50):
+        assert [r.rank for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [1, 2, 3, 4, 5]
+    want = brute_nearest(vectors, range(50, 800, 50), 5)
+    right = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert right >= 0.5 * len(got)
+
+
 def shingle_set(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     if len(w) < width:
