@@ -64,6 +64,14 @@ def hashed_sample(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(keys), key, "left_semi")
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written once with a unique number each, and the name of that column."""
+    key, taken = "row_key", {c.lower() for c in docs.columns}
+    while key in taken:
+        key = f"_{key}"
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def doc_bucket(*cols) -> F.Column:
     """crc32 of a key as text: the fold that contracts use to hold rows out."""
     return F.crc32(F.col(cols[0]).cast("string").cast("binary"))

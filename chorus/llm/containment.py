@@ -12,7 +12,7 @@ Words are maximal runs of letters and digits of the lower-cased text, so case an
 passage.  Texts with fewer than ``width`` words form one shingle of all their words.
 
 Defined cases: null, empty and wordless texts and items match nothing; rows with a null id take no part in the
-pairs, and ``decontaminate`` keeps them; repeated rows give one pair; an empty table gives an empty result; other
+pairs, and ``decontaminate`` keeps them (``decontaminate_rows`` judges them like all others); repeated rows give one pair; an empty table gives an empty result; other
 columns, whatever their names, are ignored by ``contained_items`` and kept by ``decontaminate``.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm.common import stage, table
+from chorus.llm.common import numbered, stage, table
 
 # Broadcast sides are counted first; beyond these rows the same joins run as shuffles.
 SKETCH_ROWS = 500_000
@@ -112,6 +112,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, wid
     return docs.join(maybe_broadcast(bad, bad.count(), CANDIDATE_ROWS), "doc_id", "left_anti").select(docs.columns)
 
 
+def decontaminate_rows(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows whose own text contains no item, whatever their ids: null and repeated ids are like all others."""
+    rows, key = numbered(docs, "numbered")
+    found = contained_items(rows.select(F.col(key).alias("doc_id"), "text"), items, threshold, width)
+    bad = stage(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return rows.join(maybe_broadcast(bad, bad.count(), CANDIDATE_ROWS), key, "left_anti").select(docs.columns)
+
+
 def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, with the share of its 5-word shingles they hold."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

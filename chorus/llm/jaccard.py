@@ -17,7 +17,7 @@ into one task: hot shingles are split by the skew handling of the joins.
 
 Defined cases: texts without words (null, empty) have an empty set, link with nothing and are their own component;
 documents with a null id take part, and a component's id is the smallest id that is not null; repeated rows are equal
-sets; an empty table gives an empty result; other columns are ignored by ``components`` and kept by ``keep_first``.
+sets; ``keep_first`` judges rows, whatever their ids; an empty table gives an empty result; other columns are ignored by ``components`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm.common import WordHashes, shingle_hashes, stage, table, text_bytes
+from chorus.llm.common import WordHashes, numbered, shingle_hashes, stage, table, text_bytes
 
 CELL_BITS = 20
 SEGMENTS = 64
@@ -297,19 +297,22 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: that with the smallest id, once if rows repeat it.  Rows with a null id stay."""
-    found = stage(components(docs, width, percent), "components")
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("same"))
-    repeated = stage(keep.where("same > 1").select("doc_id"), "repeated")
-    drop = stage(found.where("doc_id <> component_id")
-                 .select("doc_id").distinct(), "dropped")
-    n_drop, n_repeated = drop.count(), repeated.count()
-    stays = docs.join(F.broadcast(drop) if n_drop <= BROADCAST_ROWS else drop, "doc_id", "left_anti")
-    if n_repeated:
-        again = F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated
-        once = stays.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        stays = stays.join(again, "doc_id", "left_anti").unionByName(once.select(stays.columns))
-    return stays.select(docs.columns)
+    """One row of each component of rows: that with the smallest id (a null id comes last), then the first row.
+
+    Rows are judged by a number of their own, so rows with null or repeated ids are like all others.
+    """
+    rows, key = numbered(docs, "numbered")
+    found = stage(components(rows.select(F.col(key).alias("doc_id"), "text"), width, percent), "components")
+    several = found.where("doc_id <> component_id").select("component_id").distinct()
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+    members = stage(found.join(several, "component_id", "left_semi")
+                    .select("component_id", F.col("doc_id").alias("row")).join(ids, "row"), "members")
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    drop = stage(members.join(first, "component_id").where(F.col("row") != F.col("first.row"))
+                 .select(F.col("row").alias(key)), "dropped")
+    n_drop = drop.count()
+    return rows.join(F.broadcast(drop) if n_drop <= BROADCAST_ROWS else drop, key, "left_anti").select(docs.columns)
 
 
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

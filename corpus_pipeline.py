@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 quality    documents that the pairwise-ranking classifier rejects go
-jaccard    one document of each component of the Jaccard join stays (5-word shingles, similarity 0.8 or more)
+jaccard    one row of each component of the Jaccard join stays (5-word shingles, similarity 0.8 or more)
 benchmark  documents that contain a benchmark item (0.8 of its 5-word shingles or more) go
 pii        personal data in texts is replaced by its kind; n_chars follows the text
 packing    documents are tokenised and packed into sequences of 1024 ids
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorus.llm.common import new_folder, table, tokenizer_path
-from chorus.llm.containment import decontaminate
+from chorus.llm.containment import decontaminate_rows
 from chorus.llm.jaccard import keep_first
 from chorus.llm.packing import pack_documents
 from chorus.llm.pii import fit_finder, redact
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,19 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
             out = step(spark, docs, SMALL)
             out.collect()
             assert name == "packing" or out.columns == docs.columns
+
+
+def test_stages_judge_rows_not_ids(spark):
+    def text(word, n=30):
+        return " ".join(f"{word}{k}" for k in range(n))
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 60").first().text
+    rows = [(2, text("b")), (5, text("a")), (5, text("b")), (9, text("a")), (None, text("c")), (None, text("c")),
+            (None, text("b")), (7, text("d")), (7, text("e")), (7, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in left), key=str) == [(2, "b"), (5, "a"), (7, "d"), (7, "e"), (None, "c")]
+    rows = [(1, item), (1, text("a")), (None, item), (None, text("b"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    left = corpus_pipeline.benchmark(spark, docs, SMALL).collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in left), key=str) == [(1, "a"), (None, "b")]
