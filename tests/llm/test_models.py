@@ -189,6 +189,18 @@ def test_spans_of_odd_rows(spark, odd_docs, no_docs):
     assert pii.find_spans(no_docs, finder).collect() == [] and pii.redact(no_docs, finder).collect() == []
 
 
+def test_cards_beside_digits_and_long_addresses(spark):
+    finder = pii.fit_finder(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    one, two = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    for text, hidden in ((f"please pay by card {one} 123 today", [one]), (f"my cards are {one} {two} for you", [one, two]),
+                         (f"my card is {one}-2024 as of now", [one]),
+                         ("the host is 2001:db8:85a3:8d3:1319:8a2e:370:7348 now", ["2001:db8:85a3:8d3:1319:8a2e:370:7348"])):
+        clean = pii.redact_text(text, finder(text)[1])
+        assert not any(h in clean for h in hidden), (text, clean)
+    many = "+" + " ".join(["4111"] * 20_000)
+    assert len(pii.runs_within(many, pii.base_spans(many)[1])) <= 40_000
+
+
 def test_pii_digest_on_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in pii.op10_candidate_boosting(spark, SMALL).collect():
