@@ -201,6 +201,16 @@ def test_cards_beside_digits_and_long_addresses(spark):
     assert len(pii.runs_within(many, pii.base_spans(many)[1])) <= 40_000
 
 
+def test_finder_does_not_depend_on_ids_or_density(spark):
+    texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    whole = pii.fit_finder(texts).thresholds
+    assert whole
+    assert pii.fit_finder(texts.withColumn("doc_id", F.col("doc_id") * 2)).thresholds == whole
+    assert pii.fit_finder(texts.withColumn("doc_id", F.lit(None).cast("long"))).thresholds == whole
+    clean = spark.range(20_000).select((F.col("id") + 10**9).alias("doc_id"), F.concat(F.lit("plain words "), "id").alias("text"))
+    assert pii.fit_finder(texts.unionByName(clean)).thresholds == whole
+
+
 def test_pii_digest_on_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in pii.op10_candidate_boosting(spark, SMALL).collect():
