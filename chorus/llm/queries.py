@@ -12,6 +12,7 @@ from chorus.llm.packing import op3_best_fit_packing
 from chorus.llm.pii import op10_candidate_boosting
 from chorus.llm.quality import op4_bradley_terry_quality
 from chorus.llm.toolcalls import OP2_SQL, op2_tool_call_linking
+from chorus.llm.toxicity import op11_toxicity_grammar
 from chorus.llm.whitening import op13_qdwh_whitening
 from chorus.llm.wordpiece import op8_longest_match_counts
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_longest_match_counts": op8_longest_match_counts,
     "op9_backoff_automaton": op9_backoff_automaton,
     "op10_candidate_boosting": op10_candidate_boosting,
+    "op11_toxicity_grammar": op11_toxicity_grammar,
     "op13_qdwh_whitening": op13_qdwh_whitening,
     "pipeline": corpus_pipeline.run,
 }
