@@ -136,6 +136,8 @@ _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 # How byte-level vocabularies write each byte: printable ones as themselves, the others from 256 upwards.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sorted({*range(256)} - _PRINTABLE).index(b) for b in range(256)}
+#: The byte that a character of a byte-level token stands for.
+BYTE_OF = {chr(c): b for b, c in _BYTE_CHARS.items()}
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -148,18 +150,22 @@ class UnitEncoder(dict):
     encoded but not kept.
     ``leading_space``: the vocabulary sees the space in front of a word (byte-level pre-tokens);
     otherwise white space is dropped by the tokenizer.  ``lower``: the tokenizer lower-cases each character.
+    Texts that hold a special token's string are encoded as a whole, as the tokenizers library does; with ``plain`` such
+    strings are ordinary text.
     """
 
     _shared: dict = {}
 
     def __init__(self, path: str, leading_space: bool, lower: bool = False, room: int = 500_000,
-                 longest: int = 40) -> None:
+                 longest: int = 40, plain: bool = False) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        specials = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.space, self.lower, self.room, self.longest = " " if leading_space else "", lower, room, longest
         self.tails: dict[str, bytes] = {}
         self.word = self.tokenizer.model.tokenize
@@ -209,6 +215,8 @@ class UnitEncoder(dict):
     def __call__(self, text: str) -> bytes:
         """Ids of a text."""
         get = self.__getitem__
+        if self.special is not None and self.special.search(text):
+            return self.encode(text)
         if not self.space:
             if self.lower and "\u03a3" in text:  # the final form of this letter depends on its neighbours
                 return b"".join(map(self.encode, text.split(" ")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from chorus.llm.alignment import op12_pair_hash_alignment
 from chorus.llm.ann import op1_multi_index_hashing
 from chorus.llm.containment import OP7_SQL, op7_containment_search
 from chorus.llm.dac import op6_directly_addressable_codes
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_backoff_automaton": op9_backoff_automaton,
     "op10_candidate_boosting": op10_candidate_boosting,
     "op11_toxicity_grammar": op11_toxicity_grammar,
+    "op12_pair_hash_alignment": op12_pair_hash_alignment,
     "op13_qdwh_whitening": op13_qdwh_whitening,
     "pipeline": corpus_pipeline.run,
 }
