@@ -3,8 +3,7 @@
 A text (with a space in front) is encoded by a byte-level vocabulary (A) and a sentence-piece vocabulary (B).  Byte offsets
 where a token of A and one of B both end cut the tokens into groups; all pairs of an A and a B token in a group are links.
 
-1. Documents are encoded once, unit by unit (units start at a space, where neither vocabulary has a token across), and written
-   with their ids.  Units are memoised per Python worker, in a dictionary of bounded size.
+1. Documents are encoded once, as whole texts, and written with their ids.
 2. The distinct id pairs of all documents are dealt into buckets by hash.  Each bucket builds a minimal perfect hash (levels
    of bit sets; a key that collides goes to the next level; the index is the rank of its bit) and its keys in that order.
    A bucket has at most a 256th or so of the pairs that the two vocabularies allow, however many documents there are.
@@ -25,7 +24,6 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from array import array
 from collections.abc import Iterator
 from math import ceil
@@ -38,14 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm.common import BYTE_OF, MIX_A, UnitEncoder, finalise, stage, table, tokenizer_path
+from chorus.llm.common import BYTE_OF, MIX_A, ByteEncoder, finalise, stage, table, tokenizer_path
 
 ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, a binary, b binary")
 OUT = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
        "groups_sha256 string")
-#: Neither vocabulary has a token across such a place: a space after something else, before a character that is no space.
-CUT = re.compile(r"(?<=[^ ])(?= \S)")
-PLAIN = re.compile(r"  | [^\S ]|^ | $")
 BUCKETS, SEGMENT, FAN_IN = 256, 1 << 16, 64
 RUN_TOKENS, LARGE_GROUP = 400_000, 4096
 
@@ -56,7 +51,7 @@ class TokenBytes:
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
 
-        self.a = UnitEncoder(path_a, leading_space=True, room=50_000, plain=True)
+        self.a = ByteEncoder(path_a, plain=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         size_a, size_b = self.a.tokenizer.get_vocab_size(), self.b.get_piece_size()
         if size_a > 1 << 16 or size_b > 1 << 16:
@@ -66,6 +61,10 @@ class TokenBytes:
         self.bytes_b = [self._piece(k) for k in range(size_b)]
         self.bits = (size_b - 1).bit_length()
         self.length_a, self.length_b = (np.array([max(1, len(t)) for t in ts]) for ts in (self.bytes_a, self.bytes_b))
+        # Decimal forms of ids, with room for a separator.
+        texts = [str(k).encode() for k in range(max(size_a, size_b))]
+        self.width = np.array([*map(len, texts)])
+        self.digits = np.array([list(x.ljust(6)) for x in texts], np.uint8)
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -74,74 +73,89 @@ class TokenBytes:
         return b"" if self.b.is_control(k) or self.b.is_unknown(k) else piece.replace("▁", " ").encode()
 
 
-class Aligner(dict):
-    """From units (without the space before them) to (A ids, B ids, groups); None where tokens do not spell the unit."""
+class Encoder:
+    """(A ids, B ids) of texts as 16-bit numbers."""
 
     _shared: dict = {}
 
-    def __init__(self, path_a: str, path_b: str, room: int = 400_000, longest: int = 40) -> None:
-        super().__init__()
-        self.tokens, self.room, self.longest = TokenBytes(path_a, path_b), room, longest
+    def __init__(self, path_a: str, path_b: str) -> None:
+        self.tokens = TokenBytes(path_a, path_b)
 
     @classmethod
-    def shared(cls, path_a: str, path_b: str) -> Aligner:
+    def shared(cls, path_a: str, path_b: str) -> Encoder:
+        """The worker's encoder."""
         if (path_a, path_b) not in cls._shared:
             cls._shared[path_a, path_b] = cls(path_a, path_b)
         return cls._shared[path_a, path_b]
 
-    def __missing__(self, unit: str) -> tuple[bytes, bytes, bytes] | None:
-        simple = unit and " " not in unit and not unit[0].isspace()
-        got = self.align(unit, self.tokens.a[unit] if simple else self.tokens.a.encode(" " + unit))
-        if len(unit) <= self.longest:
-            if len(self) >= self.room:
-                self.clear()
-            self[unit] = got
-        return got
-
-    def align(self, unit: str, packed: bytes) -> tuple[bytes, bytes, bytes] | None:
-        t = self.tokens
-        a, b, spelled = array("I", packed), t.b.encode(unit), (" " + unit).encode()
-        if b"".join(map(t.bytes_a.__getitem__, a)) != spelled or b"".join(map(t.bytes_b.__getitem__, b)) != spelled:
-            return None
-        groups, i, j, next_a, next_b, end_a, end_b = [], 0, 0, 0, 0, 0, 0
-        while next_a < len(a) or next_b < len(b):
-            if end_a <= end_b:
-                end_a, next_a = end_a + len(t.bytes_a[a[next_a]]), next_a + 1
-            else:
-                end_b, next_b = end_b + len(t.bytes_b[b[next_b]]), next_b + 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[i:next_a])) + "|" + ",".join(map(str, b[j:next_b])))
-                i, j = next_a, next_b
-        return array("H", a).tobytes(), array("H", b).tobytes(), ";".join(groups).encode()
-
-    def __call__(self, text: str) -> tuple[bytes, bytes, bytes]:
-        """(A ids, B ids, groups) of a text; empty if its tokens do not spell it."""
+    def __call__(self, text: str) -> tuple[bytes, bytes]:
+        """Empty if the ids do not spell the text."""
         if not text:
-            return b"", b"", b""
-        units = text.split(" ") if not PLAIN.search(text) else [u[1:] for u in CUT.split(" " + text)]
-        got = list(map(self.__getitem__, units))
-        if None in got:
-            return b"", b"", b""
-        a, b, groups = zip(*got)
-        return b"".join(a), b"".join(b), b";".join(groups)
+            return b"", b""
+        t, spelled = self.tokens, " " + text
+        a, b, whole = array("H", t.a(spelled)).tobytes(), t.b.encode(text), spelled.encode()
+        # Byte-level tokens always spell their text; their lengths are enough.
+        if t.length_a[np.frombuffer(a, "<u2")].sum() != len(whole) or b"".join(map(t.bytes_b.__getitem__, b)) != whole:
+            return b"", b""
+        return a, array("H", b).tobytes()
+
+
+class Groups:
+    """Groups of the tokens of documents whose bytes follow each other on both sides."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, t: TokenBytes) -> None:
+        ends_a, ends_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
+        ends = np.zeros(int(max(ends_a[-1:].sum(), ends_b[-1:].sum())) + 1, np.int8)
+        ends[ends_a] = 1
+        ends[ends_b] += 2
+        closes_a, closes_b = ends[ends_a] == 3, ends[ends_b] == 3
+        self.of_a, self.of_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        self.in_a, self.in_b = np.bincount(self.of_a), np.bincount(self.of_b)
+        self.first_a, self.first_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, t: TokenBytes, sizes_a: np.ndarray, sizes_b: np.ndarray) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` of each document, of documents with so many tokens."""
+    g = Groups(a, b, t)
+    # A group's A tokens stand before its B tokens; each token is followed by its separator.
+    at_a, at_b = np.arange(len(a)) + g.first_b[g.of_a], np.arange(len(b)) + g.first_a[g.of_b] + g.in_a[g.of_b]
+    ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    marks[at_a[g.first_a + g.in_a - 1]], marks[at_b[g.first_b + g.in_b - 1]] = ord("|"), ord(";")
+    letters, width = t.digits[ids], t.width[ids]
+    letters[np.arange(len(ids)), width] = marks
+    data = letters[np.arange(letters.shape[1]) <= width[:, None]].tobytes()
+    cuts = np.concatenate([[0], np.cumsum(width + 1)])[np.concatenate([[0], np.cumsum(sizes_a + sizes_b)])]
+    return [data[i: max(i, j - 1)] for i, j in zip(cuts, cuts[1:])]
 
 
 def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Ids and groups of every row (ALIGNED)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = Aligner.shared(path_a, path_b)
-        names = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "a", "b"]
+        encode = Encoder.shared(path_a, path_b)
+        names = [c.split()[0] for c in ALIGNED.split(", ")]
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            rows, ids, a, b = zip(*held)
+            n_a, n_b = (np.array([len(x) // 2 for x in side]) for side in (a, b))
+            groups = group_texts(np.frombuffer(b"".join(a), "<u2"), np.frombuffer(b"".join(b), "<u2"), encode.tokens, n_a, n_b)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n_a), pa.array(n_b),
+                 pa.array([g.count(b";") + (g != b"") for g in groups], pa.int64()),
+                 pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
+                 pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=names)
+
+        held, size = [], 0
         for batch in batches:
-            got = []
-            for text in batch.column(2):
-                a, b, groups = align(text.as_py() or "")
-                got.append((len(a) // 2, len(b) // 2, groups.count(b";") + 1 if a else 0,
-                            hashlib.sha256(groups).hexdigest() if a else "", a, b))
-            n_a, n_b, n_groups, shas, a, b = zip(*got) if got else ((),) * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups)),
-                 pa.array(shas, pa.string()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=names)
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held.append((row, doc_id, *encode(text.as_py() or "")))
+                size += len(held[-1][2]) // 2
+                if size >= RUN_TOKENS or len(held) >= 2000:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, ALIGNED)
@@ -150,26 +164,22 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 def links(a: np.ndarray, b: np.ndarray, t: TokenBytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document << 32 | pair), sorted, and how many links each has, of documents whose A tokens begin at
     ``starts`` (their bytes follow each other on both sides)."""
-    ends_a, ends_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
-    closes_a = np.isin(ends_a, ends_b, assume_unique=True)
-    closes_b = np.isin(ends_b, ends_a, assume_unique=True)
-    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
-    in_a, in_b = np.bincount(group_a), np.bincount(group_b)
-    first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-    doc = (np.searchsorted(starts, np.arange(len(a)), "right") - 1).astype(np.uint64) << np.uint64(32)
+    g = Groups(a, b, t)
+    sizes = np.diff(starts, append=len(a))
+    doc = np.repeat(np.arange(len(starts), dtype=np.uint64) << np.uint64(32), sizes)
     keys_a, keys_b = doc | a.astype(np.uint64) << np.uint64(t.bits), b.astype(np.uint64)
-    large = in_a * in_b > LARGE_GROUP
+    large = g.in_a * g.in_b > LARGE_GROUP
     # Small groups: every pair of tokens.
-    reach = np.where(large[group_a], 0, in_b[group_a])
-    place = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-    keys, counts = np.unique(np.repeat(keys_a, reach) | keys_b[np.repeat(first_b[group_a], reach) + place], return_counts=True)
+    reach = np.where(large, 0, g.in_b)[g.of_a]
+    place = np.arange(reach.sum()) + np.repeat(g.first_b[g.of_a] - np.cumsum(reach) + reach, reach)
+    keys, counts = np.unique(np.repeat(keys_a, reach) | keys_b[place], return_counts=True)
     if not large.any():
         return keys, counts
     # Groups of very many tokens: every pair of distinct ids.
     more_keys, more_counts = [keys], [counts]
-    for g in np.flatnonzero(large):
-        x, nx = np.unique(keys_a[first_a[g]: first_a[g] + in_a[g]], return_counts=True)
-        y, ny = np.unique(keys_b[first_b[g]: first_b[g] + in_b[g]], return_counts=True)
+    for k in np.flatnonzero(large):
+        x, nx = np.unique(keys_a[g.first_a[k]: g.first_a[k] + g.in_a[k]], return_counts=True)
+        y, ny = np.unique(keys_b[g.first_b[k]: g.first_b[k] + g.in_b[k]], return_counts=True)
         more_keys.append((x[:, None] | y).reshape(-1))
         more_counts.append((nx[:, None] * ny).reshape(-1))
     keys, place = np.unique(np.concatenate(more_keys), return_inverse=True)
@@ -190,7 +200,6 @@ def runs(batch: pa.RecordBatch, t: TokenBytes) -> Iterator[tuple[int, int, np.nd
         tokens += sizes[-1]
         if tokens >= RUN_TOKENS or k + 1 == batch.num_rows:
             starts = np.cumsum(sizes) - sizes
-            # Documents without tokens begin where the next one does: its tokens are the last one's that begins there.
             yield (first, len(sizes), *links(np.concatenate(held_a), np.concatenate(held_b), t, starts))
             first, held_a, held_b, sizes, tokens = k + 1, [], [], [], 0
 
@@ -266,7 +275,7 @@ def distinct_pairs(rows: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(bucket, pair) of all documents: distinct within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, seen, size = Aligner.shared(*paths).tokens, [np.empty(0, np.uint64)], 0
+        t, seen, size = Encoder.shared(*paths).tokens, [np.empty(0, np.uint64)], 0
 
         def flush() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(seen))
@@ -328,7 +337,7 @@ def document_counts(rows: DataFrame, pairs: PairTable, paths: tuple[str, str], t
     shared = rows.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, pairs = Aligner.shared(*paths).tokens, shared.value
+        t, pairs = Encoder.shared(*paths).tokens, shared.value
         total = np.zeros(ceil(len(pairs) / SEGMENT) * SEGMENT, np.int64)
         for batch in batches:
             for _, _, keys, _ in runs(batch, t):
@@ -353,7 +362,7 @@ def looked_up(rows: DataFrame, pairs: PairTable, counts: np.ndarray, best: np.nd
     shared = rows.sparkSession.sparkContext.broadcast((pairs, counts, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, (pairs, counts, best) = Aligner.shared(*paths).tokens, shared.value
+        t, (pairs, counts, best) = Encoder.shared(*paths).tokens, shared.value
         for batch in batches:
             out = np.zeros((3, batch.num_rows), np.int64)
             for first, n, keys, times in runs(batch, t):
@@ -392,7 +401,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, round_pairs: int
         got = hashes.where(F.col("bucket").isin(buckets)).orderBy("bucket").collect() if buckets else []
         return PairTable([(r.bucket, list(r.sizes), bytes(r.words), bytes(r["keys"])) for r in got])
 
-    tokens = Aligner.shared(*paths).tokens
+    tokens = Encoder.shared(*paths).tokens
     best, kept = np.zeros(len(tokens.length_a), np.int64), []
     for buckets in rounds:
         pairs = table_of(buckets)

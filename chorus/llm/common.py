@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -229,6 +230,56 @@ class UnitEncoder(dict):
         return self.encode(first) + (b"".join(map(get, rest.split(" "))) if rest else b"")
 
 
+# The pre-token pattern of byte-level vocabularies (a fixed value).
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class ByteEncoder:
+    """Token ids of whole texts under a byte-level vocabulary file of the tokenizers library.
+
+    Where ids follow the order of the merges, as in the public files, tiktoken applies the same ranks to the same
+    pre-tokens; other vocabularies are encoded unit by unit.  Texts that hold a special token's string are encoded by
+    the tokenizers library; with ``plain`` such strings are ordinary text.
+    """
+
+    _shared: dict = {}
+
+    def __init__(self, path: str, plain: bool = False) -> None:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.units = UnitEncoder(path, leading_space=True, plain=plain)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        vocabulary, merges = model["vocab"], model.get("merges", [])
+        parts = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        in_order = all(vocabulary.get(a + b) == 256 + k for k, (a, b) in enumerate(parts))
+        usual = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+        self.ranks = None
+        if in_order and usual and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges"):
+            size = 256 + len(merges)
+            ranks = {bytes(map(BYTE_OF.get, t)): k for t, k in vocabulary.items() if k < size}
+            self.ranks = tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_PATTERN, mergeable_ranks=ranks,
+                                           special_tokens={})
+
+    @classmethod
+    def shared(cls, path: str, plain: bool = False) -> ByteEncoder:
+        """The worker's encoder."""
+        if (path, plain) not in cls._shared:
+            cls._shared[path, plain] = cls(path, plain)
+        return cls._shared[path, plain]
+
+    @property
+    def tokenizer(self):
+        return self.units.tokenizer
+
+    def __call__(self, text: str) -> array:
+        """Ids of a text, as unsigned 32-bit numbers."""
+        if self.ranks is None or self.units.special is not None and self.units.special.search(text):
+            return array("I", self.units(text))
+        return array("I", self.ranks.encode_ordinary(text))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer file lies on this machine."""
     import public_tokenizers

@@ -12,6 +12,11 @@ temporary name and then renamed, so a repeated task leaves the same file.
 Layout (little-endian): b"DAC1", u32 levels, u64 documents, u64 ids, u64 chunks per level; then doc ids (i64),
 null marks (u8), document starts (u64, one more than documents), and per level its chunks (u8), its bitmap
 (least significant bit first) and its ranks (u64).
+
+Defined cases: null and empty texts hold the end id alone; strings of special tokens give the tokenizer's special ids; very
+long texts are encoded whole, in memory that follows the one text; null ids come first; repeated ids and repeated rows are
+documents of their own, in an order by text and then by row number, so that equal rows are spread over tasks; an empty
+table writes no file and gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from chorus.llm.common import UnitEncoder, new_folder, stage, table, tokenizer_path
 
 BLOCK = 512
+BROADCAST_FILES = 10_000
 MANIFEST = "partition long, shard long, file string, n_docs long, n_ids long"
 
 
@@ -132,8 +138,8 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, le
               lower: bool = True, shard_ids: int = 4_000_000) -> DataFrame:
     """Write every document's ids (then ``end_id``) to files in ``folder``; returns the files' manifest.
 
-    Documents are range-partitioned and sorted by doc_id, and by a hash of the text, so one repeated id does
-    not fill one task.  A task holds one file's ids at a time.
+    Documents are range-partitioned and sorted by doc_id, by a hash of the text, and by row number, so repeated ids
+    and equal rows do not fill one task.  A task holds one file's ids at a time.
     """
     folder = "file:" + folder if folder.startswith("/") else folder
 
@@ -163,7 +169,8 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, le
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).orderBy(
+        F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row").select("doc_id", "text")
     return stage(ordered.mapInArrow(run, MANIFEST), "dac-manifest")
 
 
@@ -174,10 +181,12 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     its own partition.
     """
     spark = manifest.sparkSession
-    offsets, total = [], 0
-    for partition, n in manifest.groupBy("partition").agg(F.sum("n_ids")).orderBy("partition").collect():
+    offsets, total, n_files = [], 0, 0
+    sums = manifest.groupBy("partition").agg(F.sum("n_ids").alias("ids"), F.count("*").alias("files"))
+    for partition, n, files in sums.orderBy("partition").collect():
         offsets.append((partition, total))
         total += n
+        n_files += files
     before = F.sum("n_ids").over(Window.partitionBy("partition").orderBy("shard")) - F.col("n_ids")
     places = (manifest.withColumn("before", before)
               .join(spark.createDataFrame(offsets, "partition long, passed long"), "partition")
@@ -200,7 +209,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder)
     content = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return (content.join(F.broadcast(places), "file") if len(offsets) <= 10_000 else content.join(places, "file")) \
+    return (content.join(F.broadcast(places), "file") if n_files <= BROADCAST_FILES else content.join(places, "file")) \
         .select("offset", "content").mapInArrow(run, "doc_id long, start long, ids binary")
 
 

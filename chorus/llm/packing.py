@@ -5,8 +5,10 @@ An item goes where the sum, over all residual gaps, of the squared number of ope
 smallest.  Pieces are dealt to buckets by a hash, so packing runs on many tasks; a bucket holds a bounded
 number of narrow rows (never texts or ids) and loses at most a few part-filled sequences.
 
-Defined cases: null and empty texts hold the end id alone; repeated rows and null ids are packed as rows of
-their own; an empty table gives an empty result; other columns of the input are ignored.
+Defined cases: null and empty texts hold the end id alone; very long texts are encoded whole, in memory that follows the
+one text, and cut into pieces; strings of special tokens give the tokenizer's special ids; repeated rows and null ids are
+packed as rows of their own; pieces of equal length go by id; an empty table gives an empty result; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm.common import UnitEncoder, stage, table, tokenizer_path
+from chorus.llm.common import ByteEncoder, UnitEncoder, stage, table, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -35,13 +37,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder.shared(vocabulary, leading_space)
+        encoder = ByteEncoder.shared(vocabulary) if leading_space else UnitEncoder.shared(vocabulary, leading_space)
         tail, width = array("I", [end_id]).tobytes(), 4 * capacity
         for batch in batches:
             keys, pieces, starts, ids, held = [], [], [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = encoder(text.as_py())
-                got += tail
+                got = bytes(encoder(text.as_py())) + tail
                 cut = len(got) % width or width if len(got) > width else len(got)
                 ends = range(cut, len(got) + 1, width)
                 for piece, end in enumerate(ends):
@@ -106,14 +107,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) ->
     """Place pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id and offset.
 
     ``pieces`` is written once; its row count sets the number of buckets, about ``bucket_rows`` pieces each.
+    Pieces are dealt by a hash that takes in their row number in that table, so that equal rows spread like others.
     Within a bucket, longer pieces go first (then by id), so that results do not depend on arrival order.
     """
-    rows = stage(pieces, "pieces")
+    rows = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     buckets = max(1, ceil(rows.count() / bucket_rows))
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"],
-                                  ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"],
+                                  ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         where, offset = sum_of_squares(group["length"].to_numpy(), capacity)
         out = group[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
         out["doc_id"] = out["doc_id"].astype("Int64")
@@ -121,7 +123,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) ->
         out["offset"] = offset
         return out
 
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInPandas(place, PACKED)
 
 

@@ -61,7 +61,15 @@ class Plain:
 
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 plain = Plain()
-aligner = alignment.Aligner(*PATHS)
+encoder = alignment.Encoder(*PATHS)
+
+
+def aligner(*texts):
+    """(A ids, groups as text) of each text, aligned together."""
+    a, b = zip(*map(encoder, texts))
+    sizes = [np.array([len(x) // 2 for x in side]) for side in (a, b)]
+    ids = [np.frombuffer(b"".join(side), "<u2") for side in (a, b)]
+    return list(zip(a, alignment.group_texts(*ids, encoder.tokens, *sizes)))
 
 
 def same(rows, docs):
@@ -100,7 +108,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
 @given(st.text(alphabet=st.sampled_from(list(" \n\t  ab.Zé日x<s>|▁ 　\x1c'0١")), max_size=24)
        | st.text(max_size=12))
 def test_units_equal_whole_texts(text):
-    a, b, groups = aligner(text)
+    (_, _), (a, groups), _ = aligner("before", text, "after")
     expected = plain.groups(text)
     assert groups.decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in expected)
     assert np.frombuffer(a, "<u2").tolist() == [t for x, _ in expected for t in x]
@@ -108,7 +116,7 @@ def test_units_equal_whole_texts(text):
 
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "a  <s> b </s>", "<0x41> <unk>", "a▁b", " lead", "trail ", "  ", "\n\n x"])
 def test_special_strings_are_plain_text(text):
-    groups = aligner(text)[2].decode()
+    groups = aligner(text)[0][1].decode()
     assert groups == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in plain.groups(text))
 
 
@@ -129,7 +137,7 @@ def test_perfect_hash_is_minimal_and_verified():
 
 
 def test_large_groups_are_counted_by_distinct_ids():
-    t = aligner.tokens
+    t = encoder.tokens
     rng = np.random.default_rng(1)
     a, b = rng.choice([300, 400, 500], 200).astype(np.uint16), rng.choice([1000, 2000], 150).astype(np.uint16)
     t2 = type("T", (), {"bits": t.bits, "length_a": np.full(60000, 3), "length_b": np.full(40000, 4)})

@@ -1,26 +1,28 @@
 """Token ids, packing, directly addressable codes and word-piece counts."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chorus.llm import dac, packing, wordpiece
-from chorus.llm.common import UnitEncoder, new_folder, tokenizer_path
+from chorus.llm.common import ByteEncoder, UnitEncoder, new_folder, tokenizer_path
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 HARD = ["", " ", "  a", "a  b\n c \n\nd  ", "x \t y", "it's we'll  don't", "don't. we's, a' 'b x's!", "a.b. c.. ...",
         "Ünïcode é  ÉÇ ß İ", "é. é. ́x", "ﬁ ﬁ.", "ΑΣ. ΑΣ ς", "a_b_ _", "日本。 日本. テキスト　全角", "1234 5678  90",
-        "<|endoftext|> a <|endoftext|>", "a" * 3000, " \n", "\n a", "a\x1c b\x85 c  d", "\x01 \x00   x"]
+        "<|endoftext|> a <|endoftext|>", "a  <|endoftext|>.<|startoftext|> \n b", "a" * 3000, " \n", "\n a", "a\x1c b\x85 c  d", "\x01 \x00   x"]
 
 
-def whole(name, texts):
+def whole(name, texts, plain=False):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -30,6 +32,27 @@ def test_units_equal_whole_texts(name, space, lower):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == whole(name, HARD + HARD[::-1])
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_ranks_equal_the_vocabulary(plain):
+    encoder = ByteEncoder(tokenizer_path(BYTES), plain)
+    assert encoder.ranks is not None
+    assert [encoder(t).tolist() for t in HARD] == whole(BYTES, HARD, plain)
+    units = UnitEncoder(tokenizer_path(BYTES), True, plain=plain)
+    assert [np.frombuffer(units(t), "<u4").tolist() for t in HARD] == whole(BYTES, HARD, plain)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40) | st.text(alphabet=" \n\t.,'!sTaétßΣσ1́ x日<|>\x1c\x85\u00a0\u2003", max_size=40))
+def test_ranks_equal_the_vocabulary_on_any_text(text):
+    assert ByteEncoder.shared(tokenizer_path(BYTES))(text).tolist() == whole_one(text)
+
+
+def whole_one(text, made={}):
+    from tokenizers import Tokenizer
+    t = made.setdefault("t", None) or made.update(t=Tokenizer.from_file(tokenizer_path(BYTES))) or made["t"]
+    return t.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t.,'!sTaétßΣσ1́ x", max_size=30), max_size=5))
 def test_units_equal_whole_texts_on_any_text(texts):
@@ -75,6 +98,22 @@ def test_packing_covers_every_document(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs, tokenizer_path(BYTES)).collect() == []
 
 
+def test_equal_rows_spread_over_buckets_and_tasks(spark):
+    docs = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    rows = packing.token_pieces(docs, tokenizer_path(BYTES)).select("doc_id", "piece", "start", "length",
+                                                                   F.crc32("ids").alias("ids_crc32"))
+    sizes = Counter(r.sequence_id >> 32 for r in packing.pack(rows, bucket_rows=500).collect())
+    assert len(sizes) == 8 and max(sizes.values()) < 1000
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # the table is too small for several tasks otherwise
+    spark.conf.set(coalesce, "false")
+    try:
+        manifest = dac.write_ids(docs.repartition(4), new_folder(spark, "dac"), tokenizer_path(WORDS), shard_ids=500)
+    finally:
+        spark.conf.set(coalesce, "true")
+    tasks = [r["n"] for r in manifest.groupBy("partition").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(tasks) == 4000 and len(tasks) >= 4 and max(tasks) < 2500
+
+
 def test_codes_give_any_id_and_run():
     ids = np.random.default_rng(1).choice([0, 1, 255, 256, 49406, 65536, 2**31], 5000).astype("<u4")
     file = dac.DacFile(b"".join(dac.pack_file([5, None, 9], [2000, 0, 3000], ids)))
