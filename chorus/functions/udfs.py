@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StringType
 
 from chorus.functions.text import col, needs_decoding
 
@@ -93,11 +93,92 @@ def qgrams_allow(a: str, b: str, need: float, memo: dict | None = None) -> bool:
     return True
 
 
+def subsequence_allows(a: str, b: str, need: float, memo: dict | None = None) -> bool:
+    """Whether the longest common subsequence allows a ratio of ``need``; never False for a pair that reaches it, as matched
+    blocks lie in the same order in both texts.
+
+    One row of the table at a time, a bit per character of ``a``: a cleared bit is where the row steps up.  The walk
+    ends as soon as too many characters of ``b`` have found no place.
+    """
+    memo = {} if memo is None else memo
+    if ("bits", a) not in memo:
+        places: dict[str, int] = {}
+        for k, c in enumerate(a):
+            places[c] = places.get(c, 0) | 1 << k
+        memo["bits", a] = places
+    places, full = memo["bits", a], (1 << len(a)) - 1
+    least = need * (len(a) + len(b)) / 2 - 1e-6
+    row, spare = full, len(b) - least
+    for k, c in enumerate(b, 1):
+        hit = row & places.get(c, 0)
+        row = (row + hit) | (row - hit)
+        if k % 128 == 0 and k - len(a) + (row & full).bit_count() > spare:
+            return False
+    return len(a) - (row & full).bit_count() >= least
+
+
+#: Cells of a sketch: (q, cells) of the content's q-grams, and of the title's characters.
+SKETCH, TITLE_SKETCH = ((1, 32), (2, 128), (3, 512)), ((1, 32), (2, 64))
+SKETCH_CELLS = sum(n for _, n in SKETCH + TITLE_SKETCH)
+
+
+def sketch(content: str, title: str) -> bytes | None:
+    """Counts of a text's q-grams by hash cell: what two texts have in common is at most the sum of the smaller counts.
+
+    None if a count is beyond its 16 bits; such texts have no bound.
+    """
+    parts = []
+    for text, layout in ((content, SKETCH), (title, TITLE_SKETCH)):
+        for q, cells in layout:
+            grams, n = gram_counts(text, q)
+            cell = (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(cells)
+            parts.append(np.bincount(cell.astype(np.int64), weights=n, minlength=cells))
+    counts = np.concatenate(parts)
+    return counts.astype("<u2").tobytes() if counts.max(initial=0) < 1 << 16 else None
+
+
+@pandas_udf(BinaryType())
+def sketches(content: pd.Series, title: pd.Series) -> pd.Series:
+    return pd.Series([sketch(c, t) for c, t in zip(content, title)], dtype=object)
+
+
+def _room(data: pd.Series) -> np.ndarray:
+    full = np.full(SKETCH_CELLS, (1 << 16) - 1, "<u2").tobytes()
+    rows = [full if d is None else bytes(d) for d in data]
+    return np.frombuffer(b"".join(rows), "<u2").reshape(-1, SKETCH_CELLS)
+
+
+def sketches_allow(threshold: float):
+    """Arrow UDF: whether the sketches of two texts (with the lengths of contents and titles) let them reach ``threshold``;
+    never false for a pair that does.  The arithmetic is that of ``qgrams_allow``, on cells instead of q-grams."""
+    @pandas_udf(BooleanType())
+    def f(a: pd.Series, b: pd.Series, la: pd.Series, lb: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        common = np.minimum(_room(a), _room(b))
+        total, titles = (la + lb).to_numpy(float), (ta + tb).to_numpy(float)
+        both = ((ta > 0) & (tb > 0)).to_numpy()
+        # c common q-grams: c >= M - (q - 1) (T - 2 M + 1) bounds the M matched characters of the T of both titles.
+        at, matched = sum(n for _, n in SKETCH), np.full(len(a), np.inf)
+        for q, cells in TITLE_SKETCH:
+            matched = np.minimum(matched, (common[:, at: at + cells].sum(1, dtype=np.int64) + (q - 1) * (titles + 1)) / (2 * q - 1))
+            at += cells
+        title = np.minimum(1.0, 2 * matched / np.maximum(titles, 1))
+        need = np.where(both, (threshold - 0.2 * title) / 0.8, threshold) - 1e-9
+        fits, at = need <= 1 + 1e-9, 0
+        for q, cells in SKETCH:
+            least = need * total / 2 - (q - 1) * ((1 - need) * total + 1)
+            fits &= common[:, at: at + cells].sum(1, dtype=np.int64) >= least - 1e-6
+            at += cells
+        return pd.Series(fits)
+    return f
+
+
 def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float, memo: dict | None = None) -> float:
     """``similarity`` when it can reach ``threshold``, else 0.0.
 
     Titles are short, so their ratio comes first: it fixes what the contents must
-    reach, often more than 1.  The q-gram bounds then spare most pairs the quadratic matcher.
+    reach, often more than 1.  The q-gram and subsequence bounds then spare most pairs the quadratic matcher.
     """
     if not a_content or not b_content:
         return 0.0
@@ -108,6 +189,8 @@ def similarity_at_least(a_content, b_content, a_title, b_title, threshold: float
         need = (threshold - 0.2 * title) / 0.8
     if need > 1 + 1e-9 or not qgrams_allow(a_content, b_content, need - 1e-9, memo):
         return 0.0
+    if not subsequence_allows(a_content, b_content, need - 1e-9, memo):
+        return 0.0
     sim = SequenceMatcher(None, a_content, b_content).ratio()
     return sim * 0.8 + title * 0.2 if both_titles else sim
 

@@ -47,7 +47,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from chorus import lexicons as LX
 from chorus.functions.text import normalize_for_comparison
-from chorus.functions.udfs import ratio_pairs_at_least
+from chorus.functions.udfs import ratio_pairs_at_least, sketches, sketches_allow
 from chorus.operators.dedup import BATCH, first_per_key, with_content_hash
 from chorus.plans.store import table_stage
 
@@ -118,7 +118,8 @@ def with_signatures(reps: DataFrame, threshold: float, seed: int = 7) -> DataFra
             F.struct(F.lit(first + b).alias("band"), F.xxhash64(F.slice(f"_{name}", b * rows + 1, rows)).alias("bucket"))
             for b in range(bands)])), F.array().cast("array<struct<band:int,bucket:bigint>>")))
     reps = reps.where(F.col("norm_content") != "").withColumn("bands", F.concat(*parts))
-    return reps.drop("_short", "_long")
+    reps = reps.withColumn("sketch", sketches("norm_content", F.coalesce("norm_title", F.lit(""))))
+    return reps.drop("_short", "_long").withColumns({"len": n, "titled": F.coalesce(F.col("norm_title") != "", F.lit(False))})
 
 
 BUCKET = ["batch_key", "band", "bucket"]
@@ -127,14 +128,24 @@ BUCKET = ["batch_key", "band", "bucket"]
 def bucket_rows(signed: DataFrame) -> DataFrame:
     """One row per text and band; ``is_new`` and ``below`` stay, where there are any."""
     rest = [c for c in ("is_new", "below") if c in signed.columns]
-    return (signed.select("batch_key", "ord", *rest, F.explode("bands").alias("b"))
-            .select("batch_key", "ord", *rest, "b.band", "b.bucket"))
+    return (signed.select("batch_key", "ord", "len", "titled", *rest, F.explode("bands").alias("b"))
+            .select("batch_key", "ord", "len", "titled", *rest, "b.band", "b.bucket"))
 
 
-def bucket_pairs(later: DataFrame, earlier: DataFrame, extra: Column | None = None) -> DataFrame:
-    """(later, earlier) pairs of two sets of bucket rows that share a bucket; one row per pair."""
+def lengths_allow(a: str, b: str, threshold: float) -> Column:
+    """The length bound of two rows with the prefixes ``a`` and ``b``: a ratio is at most twice the shorter over both."""
+    both = F.col(f"{a}.titled") & F.col(f"{b}.titled")
+    need = F.when(both, F.lit(content_need(threshold))).otherwise(F.lit(threshold))
+    x, y = F.col(f"{a}.len"), F.col(f"{b}.len")
+    return 2.0 * F.least(x, y) / (x + y) >= need - 1e-12
+
+
+def bucket_pairs(later: DataFrame, earlier: DataFrame, threshold: float, extra: Column | None = None) -> DataFrame:
+    """(later, earlier) pairs of two sets of bucket rows that share a bucket and whose lengths allow ``threshold``; one row
+    per pair."""
     a, b = later.alias("a"), earlier.alias("b")
     found = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in BUCKET]).where(F.col("a.ord") > F.col("b.ord"))
+    found = found.where(lengths_allow("a", "b", threshold))
     found = found if extra is None else found.where(extra)
     return found.select(F.col("a.ord").alias("later"), F.col("b.ord").alias("earlier")).distinct()
 
@@ -149,15 +160,18 @@ def star_pairs(rows: DataFrame, above: int) -> DataFrame:
 def verified_edges(signed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs whose similarity (later, earlier) reaches ``threshold``.
 
-    The length bound runs natively; the Python matcher applies its own bounds first.
+    The length bound runs natively, the q-gram bounds on sketches of a fixed size first; the Python matcher then sees the
+    texts of the pairs that are left.
     """
-    txt = signed.select("ord", "norm_content", "norm_title", F.length("norm_content").alias("len"))
+    small = signed.select("ord", "sketch", "len", "titled", F.coalesce(F.length("norm_title"), F.lit(0)).alias("title_len"))
+    la, ea = small.alias("l"), small.alias("e")
+    j = pairs.join(la, F.col("later") == F.col("l.ord")).join(ea, F.col("earlier") == F.col("e.ord"))
+    allowed = sketches_allow(threshold)("l.sketch", "e.sketch", "l.len", "e.len", "l.title_len", "e.title_len")
+    near = j.where(lengths_allow("l", "e", threshold)).where(allowed).select("later", "earlier")
+    # Few pairs are left: only they carry texts.
+    txt = signed.select("ord", "norm_content", "norm_title")
     la, ea = txt.alias("l"), txt.alias("e")
-    j = (pairs.join(la, F.col("later") == F.col("l.ord")).join(ea, F.col("earlier") == F.col("e.ord")))
-    both_titles = (F.col("l.norm_title") != "") & (F.col("e.norm_title") != "")
-    need = F.when(both_titles, F.lit(content_need(threshold))).otherwise(F.lit(threshold))
-    bound = 2.0 * F.least("l.len", "e.len") / (F.col("l.len") + F.col("e.len"))
-    j = j.where(bound >= need - 1e-12)
+    j = near.join(la, F.col("later") == F.col("l.ord")).join(ea, F.col("earlier") == F.col("e.ord"))
     # CPU-heavy Python step: an explicit partition count (AQE keeps it) spreads
     # the surviving pairs over every core instead of a few coalesced tasks.
     sc = pairs.sparkSession.sparkContext
@@ -269,7 +283,7 @@ def leaders_in_layers(signed: DataFrame, threshold: float, stage, small: int = 3
         heads = put("heads", new if heads is None else
                     heads.withColumn("is_new", F.lit(False)).unionByName(new))
         head_rows = bucket_rows(signed.join(heads, "ord"))
-        verify("heads", bucket_pairs(head_rows, head_rows, F.col("a.is_new") | F.col("b.is_new")))
+        verify("heads", bucket_pairs(head_rows, head_rows, threshold, F.col("a.is_new") | F.col("b.is_new")))
 
         among = (edges.join(heads.select(F.col("ord").alias("later")), "later", "left_semi")
                  .join(heads.select(F.col("ord").alias("earlier")), "earlier", "left_semi"))
@@ -283,7 +297,7 @@ def leaders_in_layers(signed: DataFrame, threshold: float, stage, small: int = 3
                     .groupBy(F.col("later").alias("ord")).agg(F.min("earlier").alias("below")))
 
         others = pick(heads, "left_anti").join(lowest(edges), "ord", "left")
-        verify("leaders", bucket_pairs(bucket_rows(others), bucket_rows(pick(leaders)),
+        verify("leaders", bucket_pairs(bucket_rows(others), bucket_rows(pick(leaders)), threshold,
                                        F.col("a.below").isNull() | (F.col("b.ord") < F.col("a.below"))))
         lead = lowest(edges)
         open_rows = put("open", everyone.join(heads, "ord", "left_anti").join(lead, "ord", "left_anti"))
@@ -319,7 +333,7 @@ def similar_pairs(v: DataFrame, batch: Sequence[str] = BATCH, threshold: float =
     """(later, earlier, similarity) of all similar pairs of different texts; each text stands for its copies."""
     _, _, signed = representatives(v, list(batch), threshold, stage or table_stage, seed, hash_dedup_first)
     rows = bucket_rows(signed)
-    return verified_edges(signed, bucket_pairs(rows, rows), threshold)
+    return verified_edges(signed, bucket_pairs(rows, rows, threshold), threshold)
 
 
 def near_duplicate_clusters(v: DataFrame, batch: Sequence[str] = BATCH,

@@ -466,8 +466,10 @@ def q_app_sentiment_mix(spark, sf):
 
 # ------------------------------------------------------------------ near-duplicates (no SQL: difflib ratio)
 def _nd_stage(spark, sf, name):
-    from chorus.plans.store import stage_table
-    return lambda n, build: stage_table(spark, f"nd|{sf}|{name}|{n}", build)
+    """Stage tables of a query: a changed input, or other settings of cleaning, have tables of their own."""
+    from chorus.plans.store import input_stamp, stage_table
+    key = f"nd|{input_stamp(spark, f'{sf}/documents.parquet')}|{AS_OF}|{sorted(vars(Settings()).items())}|{name}"
+    return lambda n, build: stage_table(spark, f"{key}|{n}", build)
 
 
 @query("near_dup_pairs")

@@ -93,6 +93,45 @@ def test_qgram_bound_never_drops_a_similar_pair():
                 assert qgrams_allow(a, b, need)
 
 
+def test_sketch_and_subsequence_bounds_never_drop_a_similar_pair(spark):
+    from bruteforce import similarity
+    from chorus.functions.udfs import sketches, sketches_allow, subsequence_allows
+    rng = random.Random(23)
+    rows = []
+    for k in range(500):
+        letters = "ab cd" if k % 2 else "abcdefghijklmnopqrstuvwxyz 日本語éß"
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 400)))
+        b = _edited(a, rng.randint(0, len(a) // 12), rng) if k % 3 else "".join(c for c in a if rng.random() > 0.15) or "x"
+        title = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        other = title if k % 5 else _edited(title, min(2, len(title)), rng)
+        rows.append((k, a, b, title, other, similarity(a, b, title, other)))
+        plain = similarity(a, b, "", "")
+        for need in (0.6, 0.875, 0.9, plain):
+            assert plain < need or subsequence_allows(a, b, need)
+    assert not subsequence_allows("abc" * 100, "xyz" * 100, 0.5) and subsequence_allows("abcd", "xbcd", 0.75)
+    df = spark.createDataFrame(rows, "k long, a string, b string, ta string, tb string, sim double")
+    df = df.withColumns({"sa": sketches("a", "ta"), "sb": sketches("b", "tb")})
+    n = [F.length(c) for c in ("a", "b", "ta", "tb")]
+    for threshold in (0.7, 0.9):
+        lost = df.where(F.col("sim") >= threshold).where(~sketches_allow(threshold)("sa", "sb", *n))
+        assert lost.count() == 0 and df.where(F.col("sim") >= threshold).count() > 100
+
+
+def test_changed_input_gives_fresh_results(spark, tmp_path):
+    """The same folder, read again after its table was replaced: no answer from old stage tables."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").orderBy("doc_id")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["near_dup_pairs", "near_dup_clusters", "leaders_by_word_jaccard"]
+    docs.limit(60).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in names:
+        Q.QUERIES[name](spark, str(tmp_path)).collect()
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    for name in names:
+        again = sorted(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert again == sorted(map(tuple, Q.QUERIES[name](spark, SF_SMALL).collect())), name
+
+
 def test_no_join_on_texts(spark):
     v = Q.valid(spark, SF_SMALL)
     plan = near_duplicate_clusters(v, ["app_name"], 0.9)._jdf.queryExecution().optimizedPlan().toString()
