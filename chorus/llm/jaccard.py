@@ -17,7 +17,8 @@ into one task: hot shingles are split by the skew handling of the joins.
 
 Defined cases: texts without words (null, empty) have an empty set, link with nothing and are their own component;
 documents with a null id take part, and a component's id is the smallest id that is not null; repeated rows are equal
-sets; ``keep_first`` judges rows, whatever their ids; an empty table gives an empty result; other columns are ignored by ``components`` and kept by ``keep_first``.
+sets; rows with one id and different texts are one document, whose texts' classes belong together; very long texts are
+read whole, in memory that follows the one text; equal counts in the rare-first order go by hash; ``keep_first`` judges rows, whatever their ids; an empty table gives an empty result; other columns are ignored by ``components`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -221,8 +222,19 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(cid, label) of the classes that link to another class."""
+def same_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) that hold texts of one doc_id: each with the first class of that id."""
+    rows = sets.where("n > 0 and doc_id is not null").select("doc_id", "set_key")
+    several = (rows.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most"))
+               .where("least <> most").select("doc_id", "least"))
+    pairs = rows.join(several, "doc_id").where("set_key <> least").select("set_key", "least").distinct()
+    one = classes.select("set_key", F.col("cid").alias("a"))
+    two = classes.select(F.col("set_key").alias("least"), F.col("cid").alias("b"))
+    return pairs.join(one, "set_key").join(two, "least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, given: DataFrame) -> DataFrame:
+    """(cid, label) of the classes that link to another class; ``given`` holds pairs of classes known to belong together."""
     groups = classes.groupBy("prefix_key").agg(F.min("cid").alias("gid"), F.first("n").alias("n"),
                                                F.first("prefix").alias("prefix"), F.count("*").alias("members"))
     groups = stage(groups, "groups")
@@ -246,7 +258,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int
     first = (star.join(members, "gid").select(F.col("centre").alias("a"), F.col("cid").alias("b"))
              .union(members.where("gid <> cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))))
     first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
-    links = verified(first, classes, docs, width, percent)
+    links = verified(first, classes, docs, width, percent).union(given)
     labels = connected(links)
 
     # All pairs across components, of shingles that still have several.
@@ -282,10 +294,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = (sets.where("n > 0").groupBy("set_key")
                .agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
                     F.first("prefix_key").alias("prefix_key"), F.first("hist").alias("hist")))
-    # A class without any id gets a negative number of its own.
-    own = -F.lit(1) - F.pmod(F.xxhash64("set_key"), F.lit(1 << 62))
-    classes = stage(classes.withColumn("cid", F.coalesce("first_id", own)), "classes")
-    labels = linked_classes(docs, classes, width, percent)
+    # A class has a number of its own: several classes may have one smallest id, or none.
+    classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    labels = linked_classes(docs, classes, width, percent, stage(same_id(sets, classes), "same-id"))
     placed = classes.select("cid", "set_key", "first_id").join(labels, "cid", "left") \
         .select("set_key", "first_id", F.coalesce("label", "cid").alias("label"))
     placed = stage(placed, "placed")

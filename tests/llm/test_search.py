@@ -85,6 +85,8 @@ def brute_components(rows, width=3, percent=90):
     for a in range(len(rows)):
         for b in range(a):
             same = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and rows[a][0] is not None and rows[a][0] == rows[b][0]:
+                parent[find(a)] = find(b)
             if sets[a] and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
                 parent[find(a)] = find(b)
     out = []
@@ -94,6 +96,22 @@ def brute_components(rows, width=3, percent=90):
     return sorted(out, key=str)
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    rows = near_copies(300, 9)
+    rng = np.random.default_rng(4)
+    # Ids with two or three texts, nulls among ids and texts, and repeated rows.
+    rows = [(int(rng.integers(0, 130)) if rng.random() > 0.1 else None, t if rng.random() > 0.1 else None) for _, t in rows]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df, 3, 90).collect()), key=str)
+    assert got == brute_components(rows)
+    a, b = ("one two three four five six seven eight nine ten " * 3).split(), [f"x{k}" for k in range(40)]
+    for first, second in ((a, b), (b, a)):
+        rows = [(5, " ".join(first)), (5, " ".join(second)), (2, " ".join(b + ["y"])), (9, " ".join([*a, "y"]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.component_id for r in jaccard.components(df, 3, 80).collect()} == {2}
+
+
 def near_copies(n, seed):
     rng = np.random.default_rng(seed)
     vocabulary = [f"w{k}" for k in range(400)]
