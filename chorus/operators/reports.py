@@ -250,6 +250,81 @@ def cleaning_stats(cleaned: DataFrame) -> DataFrame:
                       "average_length_reduction")
 
 
+def length_reduction(cleaned: DataFrame) -> DataFrame:
+    """(ord, review_id, orig_len, cleaned_length, reduction) of the valid rows: each is joined with the original length of
+    its review_id, of which the last original row counts."""
+    orig = cleaned.groupBy("review_id").agg(
+        F.max_by(F.length(F.coalesce(F.col("raw_content"), F.lit(""))), F.col("ord")).alias("orig_len"))
+    valid = cleaned.where(F.col("drop_reason").isNull()).select("ord", "review_id", "cleaned_length")
+    share = F.when(F.col("orig_len") > 0, (F.col("orig_len") - F.col("cleaned_length")) / F.col("orig_len"))
+    return valid.join(orig, "review_id").select("ord", "review_id", "orig_len", "cleaned_length", share.alias("reduction"))
+
+
+def batch_counters(cleaned: DataFrame, flagged: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
+    """Per batch: rows collected, and rows that came through every step."""
+    collected = cleaned.groupBy(*batch).agg(F.count(F.lit(1)).alias("total_scraped"))
+    done = flagged.groupBy(*batch).agg(_count_if(processed()).alias("total_processed"))
+    on = [F.col(f"c.{b}").eqNullSafe(F.col(f"d.{b}")) for b in batch]
+    return collected.alias("c").join(done.alias("d"), on, "left").select(
+        *[F.col(f"c.{b}") for b in batch], "total_scraped", F.coalesce("total_processed", F.lit(0)).alias("total_processed"))
+
+
+def _gathered(rows: DataFrame, value, order, name: str) -> DataFrame:
+    """One row: the values of a small frame (one row per batch, category or the like) as a list, in order."""
+    pairs = rows.agg(F.collect_list(F.struct(F.struct(*order).alias("o"), value.alias("v"))).alias("l"))
+    # By the order alone: values may hold maps, which have none.
+    by_order = F.array_sort("l", lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
+    return pairs.select(F.transform(by_order, lambda x: x["v"]).alias(name))
+
+
+def summary_document(flagged: DataFrame, generated_at: str, batch: Sequence[str] = BATCH,
+                     scraped_at: str | None = None) -> DataFrame:
+    """One row, one JSON ``document``: report_metadata, overall_stats, and batch_summaries with their distributions.
+
+    The document has an entry per batch and label, as a report does; everything else is counted before it is gathered.
+    """
+    stats = batch_stats(flagged, batch).join(flagged.groupBy(*batch).agg(F.min("ord").alias("_first")), list(batch))
+    for hist, key in ((category_hist, "category"), (sentiment_hist, "sentiment"), (rating_hist, "rating")):
+        stats = stats.join(histogram_map(hist(flagged, batch), key, batch), list(batch), "left")
+        name = f"{key}_distribution"
+        stats = stats.withColumn(name, F.coalesce(name, F.create_map().cast("map<string,bigint>")))
+    entry = F.struct(*batch, "total_reviews", "processed_reviews", "high_quality_reviews", "spam_reviews", "duplicate_reviews",
+                     "category_distribution", "sentiment_distribution", "rating_distribution", "average_rating",
+                     "average_sentiment_score", F.lit(scraped_at).cast("string").alias("scraped_at"),
+                     F.create_map(F.lit("spam"), F.col("spam_reviews"), F.lit("duplicates"), F.col("duplicate_reviews"))
+                     .alias("processing_stats"))
+    listed = _gathered(stats, entry, ["_first", *batch], "batch_summaries")
+    overall = overall_stats(flagged).select(F.struct("*")).scalar().alias("overall_stats")
+    meta = F.struct(F.lit(generated_at).alias("generated_at"), F.size("batch_summaries").alias("total_batches"),
+                    F.lit("summary").alias("report_type"))
+    return listed.select(F.to_json(F.struct(meta.alias("report_metadata"), overall, "batch_summaries")).alias("document"))
+
+
+def analysis_document(flagged: DataFrame, generated_at: str, batch: Sequence[str] = BATCH) -> DataFrame:
+    """One row, one JSON ``document``: report_metadata, insights, category_analysis, sentiment_trends, quality_metrics."""
+    shown = F.when(F.col("kind") == "highest_rated_app",
+                   F.concat(F.lit("Highest rated app: "), F.col("subject"), F.lit(" ("),
+                            F.format_string("%.1f", F.bround("value", 1)), F.lit("/5)"))).otherwise(
+        F.concat(F.lit("Most discussed category: "), F.col("subject"), F.lit(" ("),
+                 F.col("value").cast("long").cast("string"), F.lit(" reviews)")))
+    texts = _gathered(insights(flagged, batch), shown, ["kind"], "insights")
+
+    def mapped(rows: DataFrame, key: str, value, name: str):
+        """A small frame as a map, as a scalar subquery."""
+        entries = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value")))).alias("l"))
+        return entries.select(F.map_from_entries("l")).scalar().alias(name)
+
+    measures = F.struct("count", "average_sentiment", "average_rating")
+    categories = mapped(category_analysis(flagged), "category", measures, "category_analysis")
+    trends = sentiment_by_grouping_sets(flagged).where(F.col("key").isNotNull())
+    by_platform = mapped(trends.where("dimension = 'platform'"), "key", F.col("average_sentiment"), "by_platform")
+    by_app = mapped(trends.where("dimension = 'app'"), "key", F.col("average_sentiment"), "by_app")
+    metrics = quality_metrics(flagged).select(F.struct("*")).scalar().alias("quality_metrics")
+    meta = F.struct(F.lit(generated_at).alias("generated_at"), F.lit("analysis").alias("report_type"))
+    return texts.select(F.to_json(F.struct(meta.alias("report_metadata"), "insights", categories, F.struct(by_platform, by_app)
+                                           .alias("sentiment_trends"), metrics)).alias("document"))
+
+
 def dedup_stats(flagged: DataFrame, threshold: float = LX.SIMILARITY_THRESHOLD) -> DataFrame:
     out = flagged.agg(F.count(F.lit(1)).alias("original_count"),
                       _count_if(F.col("stage") == "kept").alias("final_count"))
@@ -273,9 +348,11 @@ def theme_brief(df: DataFrame, quotes: int = 3) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy("section"))
     shares = cat.unionByName(sen).select("section", "key", (F.col("n") / total).alias("share"),
                                          F.lit(None).cast("string").alias("text"))
-    texts = p.groupBy("content").agg(F.min("ord").alias("ord"))
+    # Equal texts meet by a hash, without their texts; the few chosen rows then fetch theirs.
+    first = p.groupBy(F.sha2("content", 256).alias("_h"), F.length("content").alias("_n")).agg(F.min("ord").alias("ord"))
     # top-k: per-task partial top-k, then a merge of at most k rows per task
-    shortest = texts.orderBy(F.length("content"), "ord").limit(quotes)
+    chosen = first.orderBy("_n", "ord").limit(quotes).select("ord")
+    shortest = p.select("ord", "content").join(F.broadcast(chosen), "ord", "left_semi")
     q = (shortest.withColumn("rank", F.row_number().over(Window.orderBy(F.length("content"), "ord")))
          .select(F.lit("quote").alias("section"), F.col("rank").cast("string").alias("key"),
                  F.lit(None).cast("double").alias("share"), F.col("content").alias("text")))

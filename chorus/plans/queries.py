@@ -407,13 +407,8 @@ FROM cleaned v JOIN (SELECT review_id, arg_max(length(coalesce(raw_content, ''))
                      FROM cleaned GROUP BY review_id) o USING (review_id)
 WHERE v.drop_reason IS NULL"""))
 def q_length_reduction_join(spark, sf):
-    c = cleaned(spark, sf)
-    orig = c.groupBy("review_id").agg(
-        F.max_by(F.length(F.coalesce(F.col("raw_content"), F.lit(""))), F.col("ord")).alias("orig_len"))
-    v = c.where(F.col("drop_reason").isNull()).select("ord", "review_id", "cleaned_length")
-    j = v.join(orig, "review_id")
-    red = F.when(F.col("orig_len") > 0, (F.col("orig_len") - F.col("cleaned_length")) / F.col("orig_len"))
-    return j.select("ord", "review_id", "orig_len", "cleaned_length", r6(red).alias("reduction"))
+    from chorus.operators.reports import length_reduction
+    return length_reduction(cleaned(spark, sf)).withColumn("reduction", r6("reduction"))
 
 
 @query("dedup_stats", _rep("""
@@ -961,3 +956,229 @@ def q_leaders_by_word_jaccard(spark, sf):
     """The greedy pass over an edge rule that SQL can state: word sets with a Jaccard similarity of at least 0.9."""
     from chorus.operators.neardup import greedy_leaders, word_jaccard_edges
     return greedy_leaders(word_jaccard_edges(valid(spark, sf), ["app_name"], 90), _nd_stage(spark, sf, "words"))
+
+
+# ------------------------------------------------------------------ report documents (2.7, 2.9), counters (5.13), briefs (9.5)
+def _label_sql(name: str, value: str, where: str = "TRUE") -> str:
+    return f"""coalesce((SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (
+      SELECT {value} AS k, count(*) AS n FROM flagged f WHERE f.app_name IS NOT DISTINCT FROM b.app_name
+        AND f.platform IS NOT DISTINCT FROM b.platform AND f.processed_at IS NOT NULL AND {where} GROUP BY 1)), '') AS {name}"""
+
+
+@query("summary_report", _rep(f"""
+SELECT b.*, {_label_sql("category_distribution", "coalesce(primary_category, 'unclassified')")},
+  {_label_sql("sentiment_distribution", "coalesce(sentiment, 'neutral')")},
+  {_label_sql("rating_distribution", "CAST(rating AS VARCHAR)", "rating IS NOT NULL AND rating <> 0")},
+  (SELECT count(*) FROM flagged) AS all_reviews, count(*) OVER () AS total_batches
+FROM (SELECT app_name, platform, count(*) AS total_reviews,
+  count(*) FILTER (WHERE processed_at IS NOT NULL) AS processed_reviews,
+  count(*) FILTER (WHERE is_spam) AS spam_reviews, count(*) FILTER (WHERE is_duplicate) AS duplicate_reviews,
+  round(coalesce(avg(CAST(rating AS DOUBLE)) FILTER (WHERE processed_at IS NOT NULL AND rating IS NOT NULL
+        AND rating <> 0), 0.0), 6) AS average_rating
+  FROM flagged GROUP BY app_name, platform) b"""))
+def q_summary_report(spark, sf):
+    """The summary document, read back: one row per batch summary."""
+    from chorus.operators.reports import summary_document
+    doc = summary_document(flagged(spark, sf), AS_OF)
+    entry = ("app_name string, platform string, total_reviews long, processed_reviews long, spam_reviews long, "
+             "duplicate_reviews long, average_rating double, category_distribution map<string,long>, "
+             "sentiment_distribution map<string,long>, rating_distribution map<string,long>")
+    schema = (f"report_metadata struct<total_batches: long>, overall_stats struct<total_reviews: long>, "
+              f"batch_summaries array<struct<{', '.join(x.replace(' ', ': ', 1) for x in entry.split(', '))}>>")
+    read = doc.select(F.from_json("document", schema).alias("d"))
+    rows = read.select("d.report_metadata.total_batches", F.col("d.overall_stats.total_reviews").alias("all_reviews"),
+                       F.inline("d.batch_summaries"))
+    shown = {c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",")
+        for c in ("category_distribution", "sentiment_distribution", "rating_distribution")}
+    return rows.withColumns(shown | {"average_rating": r6("average_rating")})
+
+
+@query("analysis_report", _rep("""
+SELECT 'category' AS section, primary_category AS key, CAST(count(*) AS DOUBLE) AS amount,
+  round(avg(coalesce(sentiment_score, 0.0)), 6) AS average_sentiment
+FROM flagged WHERE processed_at IS NOT NULL AND coalesce(primary_category, 'unclassified') <> 'unclassified' GROUP BY ALL
+UNION ALL
+SELECT 'platform', platform, NULL, round(avg(coalesce(sentiment_score, 0.0)), 6) FROM flagged
+WHERE processed_at IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT 'app', app_name, NULL, round(avg(coalesce(sentiment_score, 0.0)), 6) FROM flagged
+WHERE processed_at IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT 'quality', 'spam_count', CAST(count(*) FILTER (WHERE is_spam) AS DOUBLE), NULL FROM flagged
+UNION ALL
+SELECT 'insight', 'Most discussed category: ' || primary_category || ' (' || n || ' reviews)', NULL, NULL FROM (
+  SELECT primary_category, count(*) AS n FROM flagged
+  WHERE processed_at IS NOT NULL AND coalesce(primary_category, 'unclassified') <> 'unclassified'
+  GROUP BY primary_category ORDER BY count(*) DESC, min(ord) LIMIT 1)"""))
+def q_analysis_report(spark, sf):
+    """The analysis document, read back as rows."""
+    from chorus.operators.reports import analysis_document
+    doc = analysis_document(flagged(spark, sf), AS_OF)
+    schema = ("insights array<string>, category_analysis map<string, struct<count: long, average_sentiment: double>>, "
+              "sentiment_trends struct<by_platform: map<string, double>, by_app: map<string, double>>, "
+              "quality_metrics struct<spam_count: long>")
+    d = doc.select(F.from_json("document", schema).alias("d")).select("d.*")
+    none = F.lit(None).cast("double")
+
+    def rows(section, exploded, key, amount, average):
+        return exploded.select(F.lit(section).alias("section"), key.alias("key"), amount.cast("double").alias("amount"),
+                               F.round(average, 6).alias("average_sentiment"))
+
+    kv, key = F.col("value"), F.col("key")
+    parts = [rows("category", d.select(F.explode("category_analysis")), key, kv["count"], kv["average_sentiment"]),
+             rows("platform", d.select(F.explode("sentiment_trends.by_platform")), key, none, kv),
+             rows("app", d.select(F.explode("sentiment_trends.by_app")), key, none, kv),
+             rows("quality", d, F.lit("spam_count"), F.col("quality_metrics.spam_count"), none),
+             rows("insight", d.select(F.explode("insights").alias("key")).where(F.col("key").startswith("Most")), key, none, none)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("batch_counters", S.with_base("""
+SELECT app_name, platform, count(*) AS total_scraped,
+  (SELECT count(*) FROM flagged f WHERE f.processed_at IS NOT NULL AND f.app_name IS NOT DISTINCT FROM c.app_name
+   AND f.platform IS NOT DISTINCT FROM c.platform) AS total_processed
+FROM cleaned c GROUP BY app_name, platform""", _FLAGGED))
+def q_batch_counters(spark, sf):
+    from chorus.operators.reports import batch_counters
+    return batch_counters(cleaned(spark, sf), flagged(spark, sf))
+
+
+@query("landed_briefs", _API_SQL + """
+SELECT app_name, count(*) AS count, string_agg('- [' || pos || '] ★' || rating || ': ' ||
+  CASE WHEN length(review_text) > 600 THEN substr(review_text, 1, 597) || '...' ELSE review_text END, chr(10) ORDER BY pos)
+  AS bullets, 'review_text' AS text_key
+FROM (SELECT *, row_number() OVER (PARTITION BY app_name ORDER BY md5('42' || review_id), ord) AS pos FROM firsts)
+WHERE pos <= 10 GROUP BY app_name""")
+def q_landed_briefs(spark, sf):
+    """Landed responses to rows to a seeded sample to the lines of a brief, per app."""
+    from chorus.plans.brief import app_briefs
+    return app_briefs(api_responses(spark, sf), sample=10)
+
+
+# ------------------------------------------------------------------ large keyword lists (3.7, 4.6, 10.19), unknown keys (10.26)
+def _lexicon_words(words: str) -> str:
+    """SQL: the words of a list column and its pairs of neighbours."""
+    return f"""list_distinct(list_concat({words}, list_transform(range(1, len({words})),
+        lambda i: {words}[i] || ' ' || {words}[i + 1])))"""
+
+
+@query("lexicon_hits", f"""
+WITH lexicon AS (SELECT DISTINCT unnest({_lexicon_words("w")}) AS keyword FROM (
+    SELECT regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark)),
+words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
+    AS keyword FROM words)
+SELECT keyword, count(DISTINCT doc_id) AS n_docs, count(*) AS hits FROM grams JOIN lexicon USING (keyword) GROUP BY keyword""")
+def q_lexicon_hits(spark, sf):
+    """Documents and occurrences of every word and pair of neighbouring words of the benchmark items."""
+    from chorus.operators.keywords import keyword_hits
+    from chorus.sources.testdata import read_table
+
+    def words(name):
+        return F.array_join(T.tokens("text"), " ")
+
+    items = read_table(spark, sf, "benchmark").select(T.tokens("text").alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(
+        " ", F.element_at("w", i), F.element_at("w", i + 1)))
+    lexicon = items.select(F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))))
+                           .alias("keyword"))
+    docs = read_table(spark, sf, "documents").select("doc_id", words("text").alias("words"))
+    return keyword_hits(docs, lexicon, "doc_id", "words").groupBy("keyword").agg(
+        F.countDistinct("doc_id").alias("n_docs"), F.sum("hits").alias("hits"))
+
+
+@query("flatten_json", """
+SELECT event_id, event_type || '.' || k AS path, json_extract_string(props, k) AS value
+FROM (SELECT event_id, event_type, props, unnest(json_keys(props)) AS k FROM events)
+UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events
+UNION ALL SELECT event_id, 'deep.at.least', 'x' || event_id FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'deep.list', '[1,2]' FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'none', NULL FROM events WHERE event_id % 5 = 1""")
+def q_flatten_json(spark, sf):
+    """Objects with unequal key sets, made of the events' properties, as rows of dotted paths."""
+    from chorus.sources.testdata import read_table
+    from chorus.sources.variant import flatten_json
+    deep = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"deep":{"at":{"least":"x'), F.col("event_id"),
+                                                       F.lit('"},"list":[1,2]}')))
+    none = F.when(F.col("event_id") % 5 == 1, F.lit(',"none":null'))
+    whole = F.concat(F.lit('{"'), "event_type", F.lit('":'), "props", F.lit(',"user":'), "user_id",
+                     F.coalesce(deep, F.lit("")), F.coalesce(none, F.lit("")), F.lit("}"))
+    events = read_table(spark, sf, "events").select("event_id", whole.alias("json"))
+    return flatten_json(events, ["event_id"], "json")
+
+
+# ------------------------------------------------------------------ catalog operators on tables (3.3, 8.1, 3.5), 4.3, 10.25
+@query("app_sources_union", """
+SELECT s_suppkey AS app_key, lower(n_name) AS source FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION SELECT s_suppkey, lower(s_name) FROM supplier
+UNION SELECT s_suppkey, unnest(['help', 'france']) FROM supplier""")
+def q_app_sources_union(spark, sf):
+    """Suppliers as apps, nations as categories with one source each: sources of the category, own name, general ones."""
+    from chorus.sources.forum import relevant_sources
+    from chorus.sources.testdata import read_table
+    apps = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("app_key"), F.col("s_name").alias("name"),
+                                                    F.col("s_nationkey").cast("string").alias("category"))
+    sources = read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("category"),
+                                                     F.lower("n_name").alias("source"))
+    return relevant_sources(apps, sources, ["help", "france"])
+
+
+def _catalog_sql() -> str:
+    from chorus import lexicons as LX
+    from chorus.sources.catalog import APP_SCHEMA
+    at = {f.name: k for k, f in enumerate(APP_SCHEMA.fields)}
+
+    def row(app) -> str:
+        texts = [("'" + str(app[at[c]]).replace("'", "''") + "'") if app[at[c]] else "NULL" for c in
+                 ("app_key", "package_id", "url")]
+        return f"({', '.join(texts)}, {len(app[at['keywords']] or [])})"
+    return f"(VALUES {', '.join(map(row, LX.APP_CATALOG))}) AS a(app_key, package_id, url, n_keywords)"
+
+
+def _app_keys() -> list[str]:
+    from chorus import lexicons as LX
+    return sorted(a[1] for a in LX.APP_CATALOG)
+
+
+@query("platform_requests", f"""
+WITH asked AS (SELECT event_id, coalesce({_app_keys()!r}[CAST(event_id % {len(_app_keys()) + 1} + 1 AS INT)], 'unknown') AS app_key,
+  CASE event_id % 4 WHEN 0 THEN 'android' WHEN 1 THEN 'Reddit' WHEN 2 THEN 'ios' ELSE 'web' END AS platform FROM events)
+SELECT event_id, asked.app_key, platform, CASE WHEN a.app_key IS NULL THEN 'app'
+  WHEN platform = 'android' THEN CASE WHEN package_id IS NULL THEN 'package_id' END
+  WHEN platform = 'Reddit' THEN CASE WHEN n_keywords = 0 THEN 'keywords' END
+  WHEN url IS NULL THEN 'url' END AS missing
+FROM asked LEFT JOIN {_catalog_sql()} ON a.app_key = asked.app_key""")
+def q_platform_requests(spark, sf):
+    """Events as requests to collect an app on a platform: what each lacks."""
+    from chorus.sources.catalog import registered_fields
+    from chorus.sources.testdata import read_table
+    keys = F.array(*[F.lit(k) for k in _app_keys()])
+    key = F.coalesce(F.get(keys, (F.col("event_id") % (len(_app_keys()) + 1)).cast("int")), F.lit("unknown"))
+    platform = F.get(F.array(*map(F.lit, ("android", "Reddit", "ios", "web"))), (F.col("event_id") % 4).cast("int"))
+    asked = read_table(spark, sf, "events").select("event_id", key.alias("app_key"), platform.alias("platform"))
+    return registered_fields(asked, spark)
+
+
+@query("sentiment_domain", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'bad_sentiment' END AS reject_reason FROM documents""")
+def q_sentiment_domain(spark, sf):
+    from chorus.sources.landed import sentiment_reject
+    from chorus.sources.testdata import read_table
+    label = F.get(F.array(*map(F.lit, ("positive", "great", None, "neutral"))), (F.col("doc_id") % 4).cast("int"))
+    return read_table(spark, sf, "documents").select("doc_id", label.alias("sentiment")).select(
+        "doc_id", sentiment_reject().alias("reject_reason"))
+
+
+@query("format_timestamp", f"""
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{AS_OF[:10]} {AS_OF[11:19]}'
+  ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS shown FROM events""")
+def q_format_timestamp(spark, sf):
+    from chorus.operators.select import format_timestamp
+    from chorus.sources.testdata import read_table
+    iso = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.lit("no time"))
+    return read_table(spark, sf, "events").select("event_id", iso.alias("t")).select(
+        "event_id", format_timestamp("t", AS_OF).alias("shown"))

@@ -104,6 +104,11 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     (w.json(path) if fmt == "json" else w.option("header", True).csv(path))
 
 
+def write_document(document: DataFrame, path: str) -> None:
+    """A one-row frame of JSON text as one file."""
+    document.coalesce(1).write.mode("overwrite").text(path)
+
+
 def export_results(flagged: DataFrame, out_dir: str, formats: Sequence[str] = ("csv", "json", "report"),
                    batch: Sequence[str] = BATCH, exported_at: str = "") -> dict[str, str]:
     """Format dispatch: reviews as CSV/JSON, ``batch`` documents, and the report set (summary, detail, analysis)."""
@@ -120,13 +125,9 @@ def export_results(flagged: DataFrame, out_dir: str, formats: Sequence[str] = ("
         write_batch_json(flagged, f"{out_dir}/batches", exported_at, batch)
         out["batch"] = f"{out_dir}/batches"
     if "report" in formats:
-        write_report(R.batch_stats(flagged, batch), f"{out_dir}/report/batch_summaries")
-        write_report(R.overall_stats(flagged), f"{out_dir}/report/overall_stats")
+        write_document(R.summary_document(flagged, exported_at, batch), f"{out_dir}/report/summary")
+        write_document(R.analysis_document(flagged, exported_at, batch), f"{out_dir}/report/analysis")
         write_reviews_csv(flagged.where(F.col("is_high_quality")), f"{out_dir}/report/high_quality")
-        write_report(R.category_analysis(flagged), f"{out_dir}/report/category_analysis")
-        write_report(R.sentiment_by_grouping_sets(flagged), f"{out_dir}/report/sentiment_trends")
-        write_report(R.quality_metrics(flagged), f"{out_dir}/report/quality_metrics")
-        write_report(R.insights(flagged, batch), f"{out_dir}/report/insights")
         write_report(summary_rows(flagged, batch), f"{out_dir}/report/summary_csv", fmt="csv")
         out["report"] = f"{out_dir}/report"
     return out

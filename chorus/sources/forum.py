@@ -93,7 +93,7 @@ def normalize_comments(comments: DataFrame, posts: DataFrame, app_name: str, key
 def relevant_sources(apps: DataFrame, category_sources: DataFrame, general=None) -> DataFrame:
     """Per app: category sources + its own name + the general sources, distinct (3.3 / 8.1)."""
     general = general or LX.GENERAL_SOURCES
-    by_cat = apps.join(F.broadcast(category_sources), "category", "left").select("app_key", "source")
+    by_cat = apps.join(category_sources, "category", "left").select("app_key", "source")
     own = apps.select("app_key", F.lower("name").alias("source"))
     gen = apps.select("app_key", F.explode(F.array(*[F.lit(g) for g in general])).alias("source"))
     return by_cat.where(F.col("source").isNotNull()).unionByName(own).unionByName(gen).distinct()

@@ -9,7 +9,7 @@ failing the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,17 +138,35 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def read_batch_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A batch document ``{metadata, reviews[]}`` -> (metadata row, review rows)."""
+def _batch_documents(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([
         T.StructField("metadata", T.StructType([
             T.StructField("app_name", T.StringType()), T.StructField("platform", T.StringType()),
             T.StructField("scraped_at", T.StringType()), T.StructField("total_scraped", T.LongType()),
             T.StructField("total_processed", T.LongType()),
             T.StructField("processing_stats", T.MapType(T.StringType(), T.LongType()))])),
-        T.StructField("reviews", T.ArrayType(REVIEW_SCHEMA)),
+        T.StructField("reviews", T.ArrayType(REVIEW_SCHEMA)), T.StructField("_corrupt_record", T.StringType()),
     ])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    return (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("file", F.input_file_name()))
+
+
+def _rejected(raw: DataFrame) -> Column:
+    """Documents that are no JSON, or have neither metadata nor reviews."""
+    return F.col("_corrupt_record").isNotNull() | (F.col("metadata").isNull() & F.col("reviews").isNull())
+
+
+def batch_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the documents that ``read_batch_json`` leaves out."""
+    raw = _batch_documents(spark, path)
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "corrupt_document").otherwise("no_batch")
+    return raw.where(_rejected(raw)).select("file", reason.alias("reason"))
+
+
+def read_batch_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Batch documents ``{metadata, reviews[]}`` -> (metadata rows, review rows); corrupt ones are left to ``batch_rejects``."""
+    raw = _batch_documents(spark, path)
+    raw = raw.where(~_rejected(raw)).drop("_corrupt_record")
     meta = raw.select(
         F.coalesce("metadata.app_name", F.lit("")).alias("app_name"),
         F.coalesce("metadata.platform", F.lit("")).alias("platform"),
@@ -158,9 +176,9 @@ def read_batch_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         F.coalesce("metadata.processing_stats", F.create_map().cast("map<string,bigint>")).alias("processing_stats"),
     )
     # One ordinal rule over all documents: the document's place in the sorted list of files, then the position.
-    files = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(raw.inputFiles()))], "file string, _k long")
-    rows = (raw.select(F.input_file_name().alias("file"), F.posexplode("reviews").alias("pos", "r"))
-            .join(F.broadcast(files), "file")
+    # (The names alone are ranked; the optimiser chooses the join.)
+    files = raw.select("file").distinct().withColumn("_k", F.row_number().over(Window.orderBy("file")).cast("long") - 1)
+    rows = (raw.select("file", F.posexplode("reviews").alias("pos", "r")).join(files, "file")
             .select((F.col("_k") * F.lit(1 << 28) + F.col("pos")).alias("ord"), "r.*"))
     rows = rows.withColumns({
         "category_scores": F.coalesce("category_scores", F.create_map().cast("map<string,double>")),

@@ -10,22 +10,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.sources.landed import canonical, read_batch_json, reject_reason, sentiment_reject
+from chorus.sources.landed import batch_rejects, canonical, read_batch_json, reject_reason, sentiment_reject
 
 log = logging.getLogger("chorus.sources")
 
 #: Ordinals of one source are below this; source number times it is added.
 SOURCE_WIDTH = 1 << 48
+#: Rejected documents of a path that are named in the log; ``batch_rejects`` has all.
+LOGGED_REJECTS = 100
 
 
 def collect(spark: SparkSession, inputs: Iterable[DataFrame | str]) -> list[DataFrame]:
-    """Frames as they are, paths as batch JSON documents; a missing path is logged and skipped."""
+    """Frames as they are, paths as batch JSON documents; a missing path and corrupt documents are logged and skipped."""
     frames = []
     for source in inputs:
         if isinstance(source, DataFrame):
             frames.append(source)
             continue
         try:
+            for reject in batch_rejects(spark, source).limit(LOGGED_REJECTS).collect():
+                log.warning("skipped %s: %s", reject.file, reject.reason)
             frames.append(read_batch_json(spark, source)[1])
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):

@@ -82,8 +82,17 @@ def test_two_documents_and_a_missing_one_go_through_the_pipeline(spark):
     meta, again = read_batch_json(spark, f"{d}/out/batches/*.json")
     assert sorted((m.app_name, m.total_scraped, m.total_processed) for m in meta.collect()) == [("x", 3, 3), ("y", 3, 3)]
     assert {(r.review_id, r.content) for r in again.collect()} == {(r.review_id, r.content) for r in flagged.collect()}
-    for report in ("batch_summaries", "overall_stats", "category_analysis", "sentiment_trends", "quality_metrics", "insights"):
-        spark.read.json(f"{d}/out/report/{report}").count()
+    summary, analysis = (json.loads(spark.read.text(f"{d}/out/report/{r}").first().value) for r in ("summary", "analysis"))
+    assert list(summary) == ["report_metadata", "overall_stats", "batch_summaries"]
+    assert summary["report_metadata"]["total_batches"] == 2 and summary["overall_stats"]["total_reviews"] == 6
+    first = summary["batch_summaries"][0]
+    assert (first["app_name"], first["total_reviews"], first["rating_distribution"]) == ("x", 3, {"4": 3})
+    assert sum(first["category_distribution"].values()) == sum(first["sentiment_distribution"].values()) == 3
+    assert list(analysis) == ["report_metadata", "insights", "category_analysis", "sentiment_trends", "quality_metrics"]
+    assert analysis["insights"][0] == "Highest rated app: x (4.0/5)" and set(analysis["sentiment_trends"]["by_app"]) == {"x", "y"}
+    assert analysis["quality_metrics"]["total_reviews"] == 6
+    detail = read_csv(spark, f"{d}/out/report/high_quality")
+    assert {r.review_id for r in detail.collect()} == {r.review_id for r in flagged.where("is_high_quality").collect()}
     assert spark.read.option("header", True).csv(f"{d}/out/report/summary_csv").count() == 2
 
 
@@ -158,3 +167,78 @@ def test_budgets_timestamps_and_fields(spark):
         "2024-01-02 03:04:05", "2025-01-01 00:00:00", "2025-01-01 00:00:00"]
     asked = spark.createDataFrame([("spotify", "android"), ("nobody", "reddit"), ("spotify", "reddit")], "app_key string, platform string")
     assert {(r.app_key, r.platform): r.missing for r in registered_fields(asked, spark).collect()}[("nobody", "reddit")] == "app"
+
+
+def test_corrupt_documents_are_reported_and_the_others_read(spark, caplog):
+    from chorus.plans.pipeline import run
+    from chorus.sources.landed import batch_rejects
+    d = tempfile.mkdtemp(prefix="chorus-run-")
+    texts = [REVIEW.format(k=k) + " " + " ".join(f"{w}{k}" for w in "abcdefghijkl") for k in range(3)]
+    _batch_document(f"{d}/one.json", "x", texts)
+    _batch_document(f"{d}/two.json", "y", texts)
+    for name, text in (("broken", '{"metadata": {"app_name": "z"'), ("other", '{"unrelated": 1}')):
+        with open(f"{d}/{name}.json", "w") as f:
+            f.write(text)
+    meta, rows = read_batch_json(spark, f"{d}/*.json")
+    assert sorted(m.app_name for m in meta.collect()) == ["x", "y"] and rows.count() == 6
+    rejects = {r.file.rsplit("/", 1)[1]: r.reason for r in batch_rejects(spark, f"{d}/*.json").collect()}
+    assert rejects == {"broken.json": "corrupt_document", "other.json": "no_batch"}
+    with caplog.at_level("WARNING", "chorus.sources"):
+        assert run(spark, [f"{d}/*.json"], near_dup=False).count() == 6
+    assert "broken.json" in caplog.text and "other.json" in caplog.text
+
+
+def test_read_json_keeps_corrupt_lines_and_missing_paths(spark):
+    from pyspark.sql import types as T
+    from chorus.sources.landed import read_json
+    d = tempfile.mkdtemp(prefix="chorus-json-")
+    with open(f"{d}/a.json", "w") as f:
+        f.write('{"a": 1}\nnot json\n{"a": 2}\n')
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    got = read_json(spark, f"{d}/a.json", schema).collect()
+    assert sorted((r.a or 0, r._corrupt_record) for r in got if r._corrupt_record is None) == [(1, None), (2, None)]
+    assert [r._corrupt_record for r in got if r._corrupt_record] == ["not json"]
+    assert read_json(spark, f"{d}/none.json", schema).count() == 0
+
+
+def test_flatten_json_opens_every_level(spark):
+    from chorus.sources.variant import flatten_json
+    rows = [(1, '{"a": {"b": {"c": 1.5, "d": null}}, "l": [{"x": 1}], "s": "t", "e": {}}'), (2, '{"z": true}'), (3, "[1]"),
+            (4, "broken {"), (5, None), (6, "{}"), (2, '{"z": true}')]
+    df = spark.createDataFrame(rows, "id long, json string")
+    got = sorted((r.id, r.path or "", r.value or "") for r in flatten_json(df, ["id"], "json").collect())
+    assert got == [(1, "a.b.c", "1.5"), (1, "a.b.d", ""), (1, "l", '[{"x":1}]'), (1, "s", "t"), (2, "z", "true"),
+                   (2, "z", "true"), (3, "", "[1]"), (4, "", "broken {"), (5, "", "")]
+    assert flatten_json(df.where("false"), ["id"], "json").collect() == []
+
+
+def test_keyword_hits_equal_plain_search(spark):
+    import random
+    import re
+    from chorus.operators.keywords import keyword_hits
+    rng = random.Random(3)
+    texts = [(k, "".join(rng.choice("ab _é.A1") for _ in range(rng.randint(0, 60)))) for k in range(80)] + [(90, None), (91, "")]
+    words = ["a", "ab", "b a", "é", "a1", "aa", "ba.", "_", "AB", None, "", "ab"]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    keywords = spark.createDataFrame([(w,) for w in words], "keyword string")
+    for whole in (True, False):
+        want = set()
+        for k, t in texts:
+            for w in {w.lower() for w in words if w}:
+                shape = f"(?={re.escape(w)})" if not whole else f"(?<!\\w)(?={re.escape(w)}(?!\\w))"
+                n = len(re.findall(shape, (t or "").lower()))
+                if n:
+                    want.add((k, w, n))
+        for block in (100, 3):  # in one block, and in several
+            got = keyword_hits(df, keywords, "id", "t", whole_words=whole, block_keywords=block).collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert keyword_hits(df, keywords.where("false"), "id", "t").collect() == []
+
+
+def test_briefs_through_csv_are_the_same(spark):
+    from chorus.plans import queries as Q
+    from chorus.plans.brief import app_briefs
+    responses = Q.api_responses(spark, SF_SMALL)
+    d = tempfile.mkdtemp(prefix="chorus-brief-")
+    direct, through = app_briefs(responses, sample=5), app_briefs(responses, f"{d}/rows", sample=5)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, through.collect()))
