@@ -8,13 +8,14 @@ double precision.
 
 The rotation and the radius are fitted on a bounded sample (``sample`` vectors, chosen by a hash of vec_id): the
 radius is the smallest that keeps a share ``keep`` of the sample's own nearest neighbours, which lie farther apart
-than those of the whole table.  A searched vector with fewer than k + 1 vectors within the radius (or all, if the table
-has fewer) is searched again with twice the radius, and so on up to all bits.  Every row is indexed.  Equal vectors are indexed once with their k + 1 smallest
+than those of the whole table.  The sample's pairs also say how far codes of a given cosine lie apart: a searched vector is
+done when its radius covers what its own k-th score asks for, else it is searched again with that radius, and with twice
+the radius as long as fewer than k + 1 vectors (or all, if the table has fewer) lie within it.  Every row is indexed.  Equal vectors are indexed once with their k + 1 smallest
 ids (no more can be among the k nearest), and searched once, so large groups of copies cost one search.
 Index rows are dealt by hash to shards of bounded size and queries to blocks of bounded size; each pair of a block
 and a shard is one task's work.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
+Defined cases: equal scores go to the smaller id; vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than most; rows with a null id take no part; repeated ids count once per distinct vector; with fewer
 candidates than k all are returned; an empty table gives an empty result.
 """
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from chorus.llm.common import hashed_sample, stage, table
 
+#: Cells of cosine in the calibration of radii.
+CELLS = 80
 POPCOUNT = np.array([bin(v).count("1") for v in range(256)], np.uint8)
 BYTE_DISTANCE = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
 
@@ -72,6 +75,24 @@ def fit_radius(codes: np.ndarray, unit: np.ndarray, k: int, keep: float, queries
     return int(far[min(len(far) - 1, ceil(keep * len(far)) - 1)])
 
 
+def calibrate(codes: np.ndarray, unit: np.ndarray, keep: float, queries: int = 1000) -> list[int]:
+    """By cell of cosine (from -1 up to 1): a radius that holds a share ``keep`` of the sample's pairs of each cell from there
+    up.  Cells without pairs take the radius of the next lower one, and the lowest all bits."""
+    n, bits = min(queries, len(unit)), 8 * codes.shape[1]
+    counts = np.zeros((CELLS, bits + 1), np.int64)
+    for i in range(n):
+        cell = np.clip(((unit @ unit[i] + 1) / 2 * CELLS).astype(np.int64), 0, CELLS - 1)
+        far = hamming(codes, codes[i])
+        others = np.arange(len(unit)) != i
+        np.add.at(counts, (cell[others], far[others]), 1)
+    radii, below = [], bits
+    for cell in counts:
+        if cell.sum():
+            below = int(np.searchsorted(np.cumsum(cell), keep * cell.sum()))
+        radii.append(below)
+    return np.maximum.accumulate(radii[::-1])[::-1].tolist()
+
+
 class SubstringIndex:
     """The substrings of a shard's codes, each sorted by value."""
 
@@ -129,7 +150,7 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, vector: str = "embe
     chosen = [r.v for r in hashed_sample(distinct, sample, "key").orderBy(F.xxhash64("key"), "key").collect()]
     _, unit = unit_rows(chosen)
     codes = RotatedCodes(unit, bits)
-    radius = fit_radius(codes(unit), unit, k, keep)
+    radius, radii = fit_radius(codes(unit), unit, k, keep), calibrate(codes(unit), unit, keep)
 
     n = distinct.count()
     asked = usual.where(is_query).join(distinct.select("v", "key"), "v").select("key", "vec_id")
@@ -147,14 +168,14 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, vector: str = "embe
 
     found_schema = "key long, near long, score double, ids array<long>"
 
-    def search(left: pd.DataFrame, right: pd.DataFrame, radius: int) -> pd.DataFrame:
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
             scaled, unit = unit_rows(left["v"].tolist())
             table_ = SubstringIndex(codes(unit))
             keys, ids, norms = left["key"].to_numpy(), left["ids"].tolist(), np.linalg.norm(scaled, axis=1)
             asked_scaled, asked_unit = unit_rows(right["v"].tolist())
-            for key, q, code in zip(right["key"].tolist(), asked_scaled, codes(asked_unit)):
+            for key, radius, q, code in zip(right["key"].tolist(), right["radius"].tolist(), asked_scaled, codes(asked_unit)):
                 at = table_.within(code, radius)
                 score = (scaled[at] @ q) / (norms[at] * np.linalg.norm(q))
                 best = at[np.lexsort((keys[at], -score))[: k + 1]]
@@ -164,27 +185,32 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, vector: str = "embe
 
     order = F.struct((-F.col("score")).alias("far"), F.col("near"), F.col("score"), F.col("ids"))
 
-    def best_within(asking: DataFrame, blocks: int, radius: int) -> DataFrame:
-        """(key, best): the k + 1 nearest distinct vectors within the radius of each asking key."""
+    def best_within(asking: DataFrame, blocks: int) -> DataFrame:
+        """(key, radius, best): the k + 1 nearest distinct vectors within the radius of each asking key."""
         index = spread(distinct, "shard", shards, "block", blocks)
         # New column identities: both sides of the cogroup come from one table.
-        searched = distinct.join(asking, "key", "left_semi").select(F.col("key").alias("key"), F.col("v").alias("v"))
+        searched = distinct.join(asking, "key").select(F.col("key").alias("key"), F.col("v").alias("v"), "radius")
         queries = spread(searched, "block", blocks, "shard", shards)
         found = (index.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard"))
-                 .applyInPandas(lambda left, right: search(left, right, radius), found_schema))
+                 .applyInPandas(search, found_schema))
         # At most k + 1 rows of a key come from a shard.
-        return found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("best"))
+        best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("best"))
+        return asking.join(best, "key", "left")
 
     all_bits, enough = 8 * codes(unit[:1]).shape[1], min(k + 1, n)
+    cell = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.element_at("best", -1)["score"] + 1) / 2 * CELLS)))
+    asks = F.element_at(F.array(*map(F.lit, radii)), (cell + 1).cast("int"))
+    wider = F.least(F.lit(all_bits), F.greatest(2 * F.col("radius"), F.lit(8)))
+    needed = F.when(F.size("best") >= enough, asks).otherwise(wider)
     done: list[DataFrame] = []
+    heads = heads.withColumn("radius", F.lit(radius))
     while n_heads:
-        best = stage(best_within(heads, ceil(n_heads / block_queries), radius), "ann-best")
-        full = best if radius >= all_bits else best.where(F.size("best") >= enough)
-        done.append(full)
-        if radius >= all_bits:
-            break
-        heads = stage(heads.join(full.select("key"), "key", "left_anti"), "ann-short")
-        n_heads, radius = heads.count(), min(all_bits, max(2 * radius, 8))
+        best = stage(best_within(heads, ceil(n_heads / block_queries)).withColumn("needed", F.coalesce(needed, wider)),
+                     "ann-best")
+        full = (F.col("radius") >= F.col("needed")) | (F.col("radius") >= all_bits)
+        done.append(best.where(full & F.col("best").isNotNull()).select("key", "best"))
+        heads = stage(best.where(~full).select("key", F.col("needed").alias("radius")), "ann-short")
+        n_heads = heads.count()
     best = reduce(DataFrame.unionByName, done)
     # Members of those vectors by score, then id; a query's own id goes, k stay.
     member = F.flatten(F.transform("best", lambda b: F.transform(

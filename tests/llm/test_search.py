@@ -62,8 +62,22 @@ def test_nearest_of_far_outliers_beside_a_dense_cluster(spark):
     for q in range(50, 800, 50):
         assert [r.rank for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [1, 2, 3, 4, 5]
     want = brute_nearest(vectors, range(50, 800, 50), 5)
-    right = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
-    assert right >= 0.5 * len(got)
+    right = {q: sum(r.vec_id in {i for i, _ in want[q]} for r in got if r.query_id == q) for q in want}
+    assert sum(right.values()) >= 0.9 * 5 * len(want) and min(right.values()) >= 3
+
+
+def test_nearest_in_mixed_dense_and_sparse_parts(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(3, 32))
+    vectors = {i: centres[i % 3] + 0.01 * rng.normal(size=32) for i in range(1, 3000)}
+    vectors |= {10 * i: rng.normal(size=32) for i in range(1, 120)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    queries = [i for i in vectors if i % 20 == 0]
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=1000, block_queries=64).collect()
+    want = brute_nearest(vectors, queries, 5)
+    for own in ([q for q in queries if q < 1200], [q for q in queries if q >= 1200]):
+        right = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got if r.query_id in own)
+        assert right >= 0.9 * 5 * len(own)
 
 
 def shingle_set(text, width):
