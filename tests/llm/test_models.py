@@ -237,11 +237,15 @@ def test_tool_calls(spark):
     results = [(1, "a", 1, "3", "s"), (1, "b", 2, "late", "s"), (1, "b", 1, "first \"q\"", "s"), (1, "c", 2, None, "s"),
                (1, "c", 2, None, "s"), (9, "a", 1, "other", "s"), (None, "a", 1, "x", "s")]
     got = toolcalls.link_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), schemas).collect()
-    assert len(got) == 17
+    assert len(got) == 19
+    orphans = sorted((str(r.conv_id), r.call_id, r.turn, r.level, r.more_results, r.record) for r in got if r.status == "no_call")
+    assert orphans == [("9", "a", 1, None, 0, '{"arguments":null,"id":"a","name":null,"result":"other"}'),
+                       ("None", "a", 1, None, 0, '{"arguments":null,"id":"a","name":null,"result":"x"}')]
+    got = [r for r in got if r.status != "no_call"]
     one = {r.call_id: r for r in got if r.conv_id == 1}
     assert {k: r.status for k, r in one.items()} == {
         "a": "linked", "b": "linked", "c": "linked", "d": "invalid", "e": "invalid", "f": "invalid", "g": "invalid",
-        "h": "bad_reference", "i": "bad_reference", "j": "cycle", "k": "cycle", "l": "cycle"}
+        "h": "bad_reference", "i": "bad_reference", "j": "cycle", "k": "cycle", "l": "blocked"}
     assert [one[k].level for k in "abc"] == [0, 1, 2]
     assert one["b"].more_results == 1 and one["c"].more_results == 0
     assert one["b"].record == '{"arguments":{"note":"é\\n","x":2},"id":"b","name":"add","result":"first \\"q\\""}'
@@ -251,7 +255,32 @@ def test_tool_calls(spark):
     two = sorted((str(r.call_id), r.status) for r in got if r.conv_id == 2)
     assert two == [("None", "no_id"), ("a", "duplicate_id"), ("a", "duplicate_id"), ("m", "unanswered")]
     none = spark.createDataFrame([], CALL)
-    assert toolcalls.link_calls(none, spark.createDataFrame(results, RESULT), schemas).collect() == []
+    assert toolcalls.link_calls(none, spark.createDataFrame(results, RESULT).where("false"), schemas).collect() == []
+    assert {r.status for r in toolcalls.link_calls(none, spark.createDataFrame(results, RESULT), schemas).collect()} == {"no_call"}
+
+
+def test_nested_arguments_are_canonical(spark):
+    schemas = spark.createDataFrame([("f", "o", "object", True), ("f", "l", "array", False)],
+                                    "name string, argument string, type string, required boolean")
+    long = json.dumps({"z": "word " * 200_000, "a": 1})
+    calls = [(1, "a", 1, "f", {"o": '{"b": 1, "a":{"d" : [1, {"y":2,"x":null}], "c":"\u00e9 \\n"}}', "l": "[ 1,2 ]"}, [], 9),
+             (1, "b", 1, "f", {"o": "[1]"}, [], 9), (1, "c", 1, "f", {"o": "{broken"}, [], 9), (1, "d", 1, "f", {"o": "{}", "l": "3"}, [], 9),
+             (1, "e", 1, "f", {"o": long}, [], 9), (1, "g", 1, "f", {"o": '{"b":1,"a":2}'}, ["h"], 9),
+             (1, "h", 1, "f", {"o": "{}"}, ["i"], 9), (1, "i", 1, "f", {"o": "{}"}, ["h"], 9), (1, "j", 1, "f", {"o": "{}"}, ["g"], 9)]
+    got = {r.call_id: r for r in toolcalls.link_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT),
+                                                      schemas).collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        "a": "unanswered", "b": "invalid", "c": "invalid", "d": "invalid", "e": "unanswered", "g": "blocked", "h": "cycle",
+        "i": "cycle", "j": "blocked"}
+    for k in "abdegh":
+        shape = json.dumps(json.loads(got[k].record), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert shape == got[k].record
+    assert '"o":{"a":{"c":"é \\n","d":[1,{"x":null,"y":2}]},"b":1}' in got["a"].record
+
+
+def test_every_status_occurs_in_the_query(spark):
+    got = toolcalls.op2_tool_call_linking(spark, SMALL).groupBy("status").count().collect()
+    assert {r.status for r in got} >= {"linked", "unanswered", "cycle", "blocked", "bad_reference", "invalid"}
 
 
 def test_turns_of_a_hot_conversation(spark):
@@ -262,5 +291,6 @@ def test_turns_of_a_hot_conversation(spark):
     schemas = spark.createDataFrame(toolcalls.REPLY_SCHEMAS, "name string, argument string, type string, required boolean")
     got = toolcalls.link_calls(calls, results, schemas).collect()
     assert sum(r.status == "linked" for r in got if r.conv_id == 1) == 200
-    assert {r.call_id: r.status for r in got if r.conv_id == 2} == {"0": "unanswered", "1": "unanswered"}
-    assert [r.status for r in got if r.conv_id is None] == ["no_id"]
+    assert {r.call_id: r.status for r in got if r.conv_id == 2} == {
+        "0": "unanswered", "1": "unanswered", "0n": "cycle", "0c": "blocked", "1n": "cycle", "1c": "blocked"}
+    assert {r.status for r in got if r.conv_id is None} == {"no_id"}
