@@ -42,7 +42,7 @@ ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha
 OUT = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
        "groups_sha256 string")
 BUCKETS, SEGMENT, FAN_IN = 256, 1 << 16, 64
-RUN_TOKENS, LARGE_GROUP = 400_000, 4096
+RUN_TOKENS, LARGE_GROUP = 50_000, 4096
 
 
 class TokenBytes:
