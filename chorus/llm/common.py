@@ -165,8 +165,7 @@ class UnitEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        specials = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.specials = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.space, self.lower, self.room, self.longest = " " if leading_space else "", lower, room, longest
         self.tails: dict[str, bytes] = {}
         self.word = self.tokenizer.model.tokenize
@@ -180,6 +179,10 @@ class UnitEncoder(dict):
             cls._shared[key] = cls(path, leading_space, lower)
         return cls._shared[key]
 
+    def has_special(self, text: str) -> bool:
+        """Whether a text holds a special token's string."""
+        return any(s in text for s in self.specials)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as it is."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -216,7 +219,7 @@ class UnitEncoder(dict):
     def __call__(self, text: str) -> bytes:
         """Ids of a text."""
         get = self.__getitem__
-        if self.special is not None and self.special.search(text):
+        if self.has_special(text):
             return self.encode(text)
         if not self.space:
             if self.lower and "\u03a3" in text:  # the final form of this letter depends on its neighbours
@@ -275,7 +278,7 @@ class ByteEncoder:
 
     def __call__(self, text: str) -> array:
         """Ids of a text, as unsigned 32-bit numbers."""
-        if self.ranks is None or self.units.special is not None and self.units.special.search(text):
+        if self.ranks is None or self.units.has_special(text):
             return array("I", self.units(text))
         return array("I", self.ranks.encode_ordinary(text))
 
