@@ -6,6 +6,10 @@ benchmark  documents that contain a benchmark item (0.8 of its 5-word shingles o
 pii        personal data in texts is replaced by its kind; n_chars follows the text
 packing    documents are tokenised and packed into sequences of 1024 ids
 
+Defined cases: null and empty texts are scored like others, link with nothing, hold no item, and pack as the end id alone;
+rows with null or repeated ids are judged as rows of their own; very long texts are read whole; extra columns are kept up to
+the last stage, whatever their names; an empty table gives an empty result.
+
 All but the last return the columns of documents; the last returns one row per piece with its place.  As a whole they have no
 form in SQL (trained models, tokenizers), so ORACLE_SQL is None; tests check the stages against brute force.
 """
