@@ -66,38 +66,51 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) + [None]
 
 
-def brute_scores(rows, mu):
+def brute_scores(rows, mu, order=2):
     train = [i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
     texts = [(i, words(t)) for i, t in rows]
-    one, two = Counter(), Counter()
-    for i, t in texts:
-        if i in train:
-            one.update(t)
-            two.update(zip(t, t[1:]))
+    counts = Counter(tuple(t[k - n: k]) for i, t in texts if i in train for n in range(1, order + 1)
+                     for k in range(n, len(t) + 1))
+    one = {g: c for g, c in counts.items() if len(g) == 1}
     n, v = sum(one.values()), len(one)
-    out = []
-    for i, t in texts:
-        root = [(one[w] + 0.1) / (n + 0.1 * (v + 1)) for w in t]
-        score = math.log10(root[0])
-        for p, h, w in zip(root[1:], t, t[1:]):
-            score += math.log10((two[h, w] + mu * p) / (one[h] + mu))
-        out.append((i, len(t), sum(one[w] > 0 for w in t), n, sum(map(math.log10, root)), score))
-    return out
 
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 0.1) / (n + 0.1 * (v + 1))
+        return (counts[gram] + mu * p(gram[1:])) / (counts[gram[:-1]] + mu)
+
+    return [(i, len(t), sum(counts[w,] > 0 for w in t), n, sum(math.log10(p((w,))) for w in t),
+             sum(math.log10(p(tuple(t[max(0, k - order): k]))) for k in range(1, len(t) + 1))) for i, t in texts]
 
-def test_automaton_equals_brute_force(spark, odd_docs, no_docs):
-    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
-    got = lm.score_documents(odd_docs, mu=7.0, block_tokens=500, shard_tokens=9000).collect()
-    want = brute_scores(rows, 7.0)
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_automaton_equals_brute_force(spark, odd_docs, no_docs, order):
+    again = spark.createDataFrame([(k, t) for k, t in enumerate(["a b c d", "b c d", "x a b c", "a b", "c d a b c d"] * 5, 100)],
+                                  "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").unionByName(again)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = lm.score_documents(docs, mu=7.0, block_tokens=500, shard_tokens=9000, order=order).collect()
+    want = brute_scores(rows, 7.0, order)
     key = lambda r: (str(r[0]), r[1], round(r[4], 6))
     got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
     for g, w in zip(got, sorted(want, key=key), strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
-    assert lm.score_documents(no_docs).collect() == []
-    untrained = lm.score_documents(odd_docs.where("doc_id is null")).collect()
+    assert lm.score_documents(no_docs, order=order).collect() == []
+    untrained = lm.score_documents(odd_docs.where("doc_id is null"), order=order).collect()
     assert [(r.train_tokens, r.n_known, r.base_score, r.held_out) for r in untrained] == [(0, 0, 0.0, True)]
 
 
+def test_arcs_of_a_state_and_its_failure_sum_to_one():
+    tokens = np.array([0, 1, 2, 0, 1, 1, 0, 1, 2])
+    root = np.log10(np.bincount(tokens) / len(tokens))
+    pairs, two = np.unique(tokens[:-1] * 3 + tokens[1:], return_inverse=True)
+    machine = lm.Automaton(tokens, root, {1: tokens, 2: np.append(-1, two)}, {1: np.bincount(tokens[:-1]), 2: np.bincount(two)}, 5.0)
+    for h in range(3):
+        arcs = {int(p) % 3: 10 ** machine.arc[2][k] for k, p in enumerate(pairs) if p // 3 == h}
+        rest = 10 ** machine.failure[1][h] * sum(10 ** root[w] for w in range(3) if w not in arcs)
+        assert sum(arcs.values()) + rest == pytest.approx(1)
+
+
 def test_bigrams_beat_the_base_on_held_out_text(spark):
     got = lm.op9_backoff_automaton(spark, SMALL).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > got[0]
