@@ -1,4 +1,4 @@
-"""LM scoring: weighted backoff automaton over smoothed n-grams (words; order 2 by default).
+"""LM scoring: weighted backoff automaton over smoothed n-grams (trigrams by default).
 
 Tokens are a text's words (A-Z lower-cased) and one end.  The root state has an arc for every word with its add-0.1
 probability p(w).  Each n-gram h of the training texts below the highest order is a state with an arc for every word w
@@ -14,7 +14,8 @@ sends each block its totals back in the same order.  A block then builds the par
 documents can reach and traverses them.  What is shuffled follows the distinct n-grams of blocks, so it grows with
 the input; blocks and shards stay bounded.
 
-64-bit hashes stand for words and n-grams.
+64-bit hashes stand for words, 52 bits of such hashes for longer n-grams: of 10**12 distinct ones, one in 4,500 would
+meet another.
 
 Defined cases: null and empty texts hold the end only; rows with a null id are scored, held out and not learned from;
 repeated rows count each; without training texts p1 is 1 for any word (its one unseen class); an empty table gives an
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from chorus.llm.common import MIX_A, WordHashes, doc_bucket, finalise, stage, table, text_bytes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+GRAM_BITS = np.uint64((1 << 64) - (1 << 12))
 BLOCKS = ("block string, doc_ids array<long>, held_out array<boolean>, lengths array<long>, tokens binary, "
           "words binary, counts binary, n_tokens long, n_train long")
 TOTALS = "block string, level int, shard int, totals binary, seen long"
@@ -102,6 +104,8 @@ def grams_of(tokens: np.ndarray, words: np.ndarray, lengths: np.ndarray, n: int)
         before = np.zeros(len(tokens), np.uint64)
         before[1:] = keys[:-1]
         keys = finalise(before * MIX_A + own)
+    if n > 1:
+        keys &= GRAM_BITS
     return keys, np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths) >= n - 1
 
 
@@ -210,7 +214,7 @@ class Automaton:
 
 
 def score_documents(docs: DataFrame, folds: int = 10, mu: float = 600.0, add: float = 0.1, block_tokens: int = 2_000_000,
-                    shard_tokens: int = 4_000_000, order: int = 2, fold: int = 0) -> DataFrame:
+                    shard_tokens: int = 4_000_000, order: int = 3, fold: int = 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     ``order``: words of the longest n-grams, 2 or more; ``fold``: the one of ``folds`` that is held out.
@@ -256,5 +260,5 @@ def score_documents(docs: DataFrame, folds: int = 10, mu: float = 600.0, add: fl
 
 
 def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of every document under the bigram automaton of the training documents."""
+    """Log10 probability of every document under the trigram automaton of the training documents."""
     return score_documents(table(spark, sf_dir, "documents"))

@@ -111,9 +111,11 @@ def test_arcs_of_a_state_and_its_failure_sum_to_one():
         assert sum(arcs.values()) + rest == pytest.approx(1)
 
 
-def test_bigrams_beat_the_base_on_held_out_text(spark):
-    got = lm.op9_backoff_automaton(spark, SMALL).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert got[1] > got[0]
+def test_longer_grams_beat_shorter_ones_on_held_out_text(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    total = lambda rows: rows.where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    three, two = total(lm.op9_backoff_automaton(spark, SMALL)), total(lm.score_documents(docs, order=2))
+    assert three[1] > two[1] > two[0]
 
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
