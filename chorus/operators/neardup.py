@@ -26,12 +26,12 @@ Here, per batch:
    (the original's strict ``>`` replacement).
 
 Deviation: the original compares later rows with a slot's *replacement*
-text; we compare with the leader (no drift).  Only step 2 can miss a pair.  The worst case for 3-grams
-are evenly spread deletions between equal titles (content ratio 0.875, every 4.5th character): the
-3-gram sets have a similarity of 0.23, so 96 bands of 2 miss such a pair with a chance of 0.005 (64
-bands: 0.03); at a ratio of 0.9 it is under 0.0001.  Repetitive texts have few distinct 3-grams and
-are missed more often, and so are long texts of many different characters whose partner has fewer
-than ``RICH`` of them.
+text; we compare with the leader (no drift).  Only step 2 can miss a pair.  Shingles are counted with repeats, so the
+q-gram bound gives the worst case of all texts below ``BORDER``, repetitive ones too: at the least content ratio of equal
+titles (0.875) the 3-grams have a similarity of at least 0.1875 / 0.8125 = 0.23 (less by what a few grams of very short
+texts weigh), which evenly spread deletions (every 4.5th character) reach; 96 bands of 2 miss such a pair with a chance
+of 0.005, and at a ratio of 0.9 (0.33) with under 0.0001.  Long texts of many different characters whose partner has
+fewer than ``RICH`` of them are missed more often.
 """
 
 from __future__ import annotations
@@ -61,7 +61,11 @@ def _hash_params(n_hashes: int, seed: int):
 
 
 def minhash(text: str, shingle: int, n_hashes: int, seed: int, params=None) -> list[int] | None:
-    """MinHash signature (``n_hashes`` values) of a text's character shingles; None for empty text."""
+    """MinHash signature (``n_hashes`` values) of a text's character shingles; None for empty text.
+
+    The k-th occurrence of a shingle is an element of its own, so two texts' similarity counts repeats, as the q-gram
+    bound of ``qgrams_allow`` does: a repetitive text is found no less often than others.
+    """
     if not text:
         return None
     a, b = params if params is not None else _hash_params(n_hashes, seed)
@@ -72,7 +76,10 @@ def minhash(text: str, shingle: int, n_hashes: int, seed: int, params=None) -> l
         windows = np.lib.stride_tricks.sliding_window_view(cps, shingle)
     powers = np.array([pow(1_000_003, k, 2**64) for k in range(windows.shape[1])], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        sh = np.unique((windows * powers).sum(axis=1, dtype=np.uint64))
+        sh = np.sort((windows * powers).sum(axis=1, dtype=np.uint64))
+        new = np.append(True, sh[1:] != sh[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        sh += (np.arange(len(sh)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         sig = ((sh[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).min(axis=1)
     return sig.astype(np.int64).tolist()
 

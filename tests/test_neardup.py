@@ -198,3 +198,25 @@ def test_long_texts_of_many_characters(spark):
     df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
     got = {(r.later, r.earlier) for r in similar_pairs(df, ["app_name"], 0.9).collect()}
     assert got == {(k + 20, k) for k in range(20)}
+
+
+def test_repetitive_texts_share_a_band():
+    """Pairs of texts of few distinct 3-grams: repeats count, so the bands find them like others."""
+    from bruteforce import similarity
+    from chorus.operators.neardup import SHORT, _hash_params, minhash
+    _, shingle, bands, rows = SHORT
+    params, rng = _hash_params(bands * rows, 7), random.Random(31)
+    pairs = missed = 0
+    for k in range(1500):
+        unit = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 4)))
+        a = (unit * 200)[: rng.randint(60, 190)]
+        letters = list(a)
+        for spot in rng.sample(range(len(a)), max(1, len(a) // rng.choice((9, 12, 20, 40)))):
+            letters[spot] = "" if k % 2 else rng.choice("mnopqrstuvw")
+        b = "".join(letters)
+        if similarity(a, b, "", "") < 0.875:
+            continue
+        x, y = (minhash(t, shingle, bands * rows, 7, params) for t in (a, b))
+        pairs += 1
+        missed += not any(x[i: i + rows] == y[i: i + rows] for i in range(0, bands * rows, rows))
+    assert pairs > 300 and missed == 0
