@@ -47,9 +47,9 @@ def batch_stats(df: DataFrame, batch: Sequence[str] = BATCH) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, value, name: str, batch: Sequence[str] = BATCH, where=processed()) -> DataFrame:
-    """Long-form histogram ``(batch..., name, count)`` over rows matching ``where``."""
-    return (df.where(where).groupBy(*batch, value.alias(name)).agg(F.count(F.lit(1)).alias("count")))
+def histogram(df: DataFrame, value, name: str, batch: Sequence[str] = BATCH, where=None) -> DataFrame:
+    """Long-form histogram ``(batch..., name, count)`` over rows matching ``where`` (processed rows by default)."""
+    return (df.where(processed() if where is None else where).groupBy(*batch, value.alias(name)).agg(F.count(F.lit(1)).alias("count")))
 
 
 def category_hist(df, batch=BATCH):

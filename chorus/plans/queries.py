@@ -213,6 +213,16 @@ def q_batch_stats(spark, sf):
                           "average_sentiment_score": r6("average_sentiment_score")})
 
 
+@query("merged_report", ORACLE["batch_stats"])
+def q_merged_report(spark, sf):
+    """``batch_stats`` from the merged states of the rows of even and of odd ordinals."""
+    from chorus.operators.state import merged, report_of, report_state
+    rows = flagged(spark, sf)
+    halves = [report_state(rows.where(F.col("ord") % 2 == k)) for k in (0, 1)]
+    return report_of(merged(halves, ["app_name", "platform"])).drop("users").withColumns({
+        "average_rating": r6("average_rating"), "average_sentiment_score": r6("average_sentiment_score")})
+
+
 @query("category_hist", _rep("""
 SELECT app_name, platform, coalesce(primary_category, 'unclassified') AS category, count(*) AS count
 FROM flagged WHERE processed_at IS NOT NULL GROUP BY ALL"""))
