@@ -48,6 +48,19 @@ def daily_sentiment(classified: DataFrame, event_time: str = "review_ts", waterm
             .agg(F.count(F.lit(1)).alias("reviews"), F.avg("sentiment_score").alias("average_sentiment")))
 
 
+def best_rows_stream(scored: DataFrame, batch: Sequence[str] = ("app_name", "platform")) -> DataFrame:
+    """(batch, user_id, ord, quality_score): the best row per user so far, the first on ties; for update mode.
+
+    Each micro-batch emits the users whose best row has changed, so the last row of a key is the correction that holds;
+    the final rows are those of ``user_dedup``.  The state is one number pair a user, kept for good: use the
+    RocksDB state store where users are many.
+    """
+    keys = list(dict.fromkeys([*batch, "user_id"]))
+    best = F.max(F.struct(F.col("quality_score").alias("s"), (-F.col("ord")).alias("neg")))
+    return scored.groupBy(*keys).agg(best.alias("b")).select(
+        *keys, (-F.col("b.neg")).alias("ord"), F.col("b.s").alias("quality_score"))
+
+
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
                       mode: str = "append"):
     """Process everything available, then stop (restartable from ``checkpoint``)."""
