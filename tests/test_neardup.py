@@ -220,3 +220,53 @@ def test_repetitive_texts_share_a_band():
         pairs += 1
         missed += not any(x[i: i + rows] == y[i: i + rows] for i in range(0, bands * rows, rows))
     assert pairs > 300 and missed == 0
+
+
+def test_word_leaders_equal_bruteforce_and_copies_are_not_paired(spark):
+    """The greedy pass over word sets: equal sets are one entry, so 200 copies of a text make no pairs."""
+    from chorus.operators.neardup import word_jaccard_leaders
+    rng = random.Random(37)
+    sets = [{0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11}] * 200
+    for size in (1, 3, 9, 10, 19, 20, 21, 40, 100, 130):
+        for _ in range(6):
+            base = rng.sample(range(300), size)
+            for _ in range(4):
+                near = set(base) - set(rng.sample(base, rng.randint(0, max(0, size // 9 - 1))))
+                sets.append(near | set(rng.sample(range(300), rng.randint(0, max(1, size // 15)))))
+    rng.shuffle(sets)
+    apps = [rng.choice(["a", "b"]) for _ in sets]
+    data = [(a, k, " ".join(f"w{x}" for x in rng.sample(sorted(s), len(s)))) for k, (a, s) in enumerate(zip(apps, sets))]
+    # Without an app a row has no pairs; an ord that comes with two texts is one row of the greedy pass.
+    data += [(None, 900, "w1 w2"), (None, 901, "w1 w2"), ("a", 902, "x y z"), ("a", 902, "u v w"), ("a", 903, "u v w")]
+    rows = [(a, k, frozenset(t.split())) for a, k, t in data if a]
+    earlier: dict[int, set[int]] = {}
+    for a, k, s in rows:
+        for b, j, t in rows:
+            if a == b and k > j and 100 * len(s & t) >= 90 * len(s | t):
+                earlier.setdefault(k, set()).add(j)
+    nodes, leads, want = sorted(set(earlier) | {j for e in earlier.values() for j in e}), set(), {}
+    for k in nodes:
+        above = earlier.get(k, set()) & leads
+        want[k] = min(above, default=k)
+        if not above:
+            leads.add(k)
+    kept = {}
+
+    def stage(name, build):
+        kept[name] = table_stage(name, build)
+        return kept[name]
+
+    df = spark.createDataFrame(data, "app_name string, ord long, content string").repartition(5)
+    got = word_jaccard_leaders(df, ["app_name"], 90, stage).collect()
+    assert {r.ord: r.leader for r in got} == want and len(got) == len(want)
+    assert kept["word-edges"].count() < sum(map(len, earlier.values())) / 10
+
+
+def test_size_classes_hold_every_allowed_pair():
+    from chorus.functions.udfs import size_classes
+    for percent in (50, 80, 90, 95):
+        least = size_classes(percent, 3000)
+        of = [sum(x <= n for x in least) - 1 for n in range(1, 2001)]
+        for n in range(1, 1000):
+            most = n * 100 // percent
+            assert most > 2000 or of[most - 1] - of[n - 1] <= 1
