@@ -166,3 +166,37 @@ def test_text_column_choice(spark):
     assert choose((1, "a", "longest of all"), "pos int, content string, other string") == "content"
     assert choose((1, " ", "longest of all", "mid"), "pos int, content string, other string, x string") == "other"
     assert choose((1, None, ""), "pos int, content string, other string") == "text"
+
+
+def test_faster_forms_equal_the_plain_ones(spark):
+    """Trimming, collapsing, decoding tests, upper-case shares and literal patterns without a regular expression per row."""
+    import re
+    from pyspark.sql import functions as F
+    from chorus.functions import scores as SC
+    from chorus.functions import text as T
+    texts = ["", " ", "a", "　a  b\x85", "a  b\t\nc d", "a\t", "\x1c \x1dx", "a@b.c d@e  f@g.h.", "@a@b.c", "x@y z.w",
+             "straße & co", "naïve", "ﬁne", "日本 語", "é", "A1b2C", "....1a2b3c", "ABC def ÄÖ", "www.x", "wwwx", "a.com", "acom",
+             "visit  my website", "visit me", "earn $5", "earnings", "http://x", "https://x", "httpx://", "free money", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain_ws = F.regexp_replace("t", T.WS + "+", " ")
+    stable = T._nfkc_stable_letters()
+    pairs = {
+        "collapse": (F.regexp_replace("t", T.COLLAPSE_RE, " "), plain_ws),
+        "strip": (T.py_strip("t"), F.regexp_replace("t", f"^{T.WS}+|{T.WS}+$", "")),
+        "emails": (T.drop_emails("t"), F.regexp_replace("t", T.EMAIL_RE, "")),
+        "decode": (T.needs_decoding("t"), F.col("t").rlike(f"[&]|[^\\x00-\\x7F{stable}]")),
+        "alnum": (T.has_alnum("t", 3), T.alnum_count("t") >= 3),
+        "caps": (SC.caps_ratio("t"), F.when(F.length("t") > 0, F.length(F.regexp_replace("t", r"[^\p{Lu}]", "")).cast("double")
+                                            / F.length("t"))),
+    }
+    for p in SC.review_spam_patterns() + SC.LX.CLEANER_SPAM_PATTERNS:
+        pairs[p] = (SC.matches(F.col("t"), SC._to_java(p)), F.col("t").rlike(SC._to_java(p)))
+    for name, (fast, plain) in pairs.items():
+        assert not df.where(~fast.eqNullSafe(plain)).collect(), name
+    assert set(re.findall(r"\s", "".join(map(chr, range(0x10000))))) == set(T.WS_CHARS)
+
+
+def test_plain_patterns_need_no_regular_expression(spark):
+    from chorus.functions.scores import cleaner_spam
+    shown = cleaner_spam("t")._jc.toString()
+    assert shown.count("rlike(") == 2 and shown.count("contains(") == 6
