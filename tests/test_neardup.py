@@ -270,3 +270,57 @@ def test_size_classes_hold_every_allowed_pair():
         for n in range(1, 1000):
             most = n * 100 // percent
             assert most > 2000 or of[most - 1] - of[n - 1] <= 1
+
+
+def test_block_bounds_never_drop_a_similar_pair():
+    """Texts beyond 200 characters, where ``difflib`` leaves popular characters out."""
+    from difflib import SequenceMatcher
+    import numpy as np
+    from chorus.functions.udfs import bitmaps_fit, gram_bits, most_blocks, qgrams_allow, ratio_at_least
+    rng = random.Random(29)
+    seen = 0
+    for k in range(300):
+        letters = "ab cd" * 40 + "xyzqwjk" if k % 2 else "abcdefghijklmnopqrstuvwxyz      "
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(150, 700)))
+        b = _edited(a, rng.randint(0, 12), rng) if k % 3 else a[:len(a) // 2] + a[len(a) // 2 + rng.randint(0, 60):]
+        matcher = SequenceMatcher(None, a, b)
+        assert most_blocks(b) >= sum(m.size > 0 for m in matcher.get_matching_blocks())
+        for need in (0.3, 0.6, 0.875, matcher.ratio()):
+            if matcher.ratio() >= need:
+                seen += 1
+                words = [np.frombuffer(gram_bits(t), np.uint64)[None] for t in (a, b)]
+                la, lb = np.array([len(a)]), np.array([len(b)])
+                assert qgrams_allow(a, b, need - 1e-9)
+                assert bitmaps_fit(*words, la, lb, np.array([need]), np.array([most_blocks(b)]))[0]
+                assert ratio_at_least(a, b, need - 1e-9) == matcher.ratio()
+            else:
+                assert ratio_at_least(a, b, need) in (0.0, matcher.ratio())
+    assert seen > 400
+
+
+def test_candidates_that_cannot_be_similar_are_not_written(spark):
+    """Texts of one small vocabulary share buckets by chance: blocks of any size write few of these pairs and lose none that is similar."""
+    from bruteforce import similarity
+    from chorus.operators.neardup import block_pairs, bucket_keys, representatives, similar_pairs, with_part
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(40, 160))) for _ in range(240)]
+    texts += [_edited(t, 4, rng) for t in texts[:40]]
+    data = [("app" if k % 240 % 2 else "other", k, t, "", 0.0) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    _, _, signed = representatives(df, ["app_name"], 0.9, table_stage, 7, True)
+    keys = signed.select("ord", F.explode(bucket_keys()).alias("key"))
+    shared = (keys.alias("a").join(keys.alias("b"), "key").where("a.ord > b.ord")
+              .select(F.col("a.ord").alias("later"), F.col("b.ord").alias("earlier")).distinct().count())
+    found = [{(r.later, r.earlier) for r in block_pairs(with_part(signed), 0.9, size).collect()} for size in (12_000, 9)]
+    text = {r.ord: (r.batch_key, r.norm_content) for r in signed.collect()}
+    similar = {(240 + k, k) for k in range(40) if similarity(text[240 + k][1], text[k][1], "", "") >= 0.9}
+    assert found[0] == found[1] and similar <= found[0] and len(similar) > 3
+    assert shared > 1000 and 10 * len(found[0]) < shared
+    assert {(r.later, r.earlier) for r in similar_pairs(df, ["app_name"], 0.9).collect()} == similar
+    # Parts: only some rows are the later one, and of one row only rows before ``below`` are the earlier one.
+    first = min(similar)
+    part = with_part(signed.withColumns({"is_later": F.col("ord") != max(similar)[0],
+                                         "below": F.when(F.col("ord") == first[0], first[1]).cast("long")}))
+    got = {(r.later, r.earlier) for r in block_pairs(part, 0.9, 50).collect()}
+    assert got == {p for p in found[0] if p[0] != max(similar)[0] and (p[0] != first[0] or p[1] < first[1])}
