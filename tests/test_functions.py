@@ -200,3 +200,38 @@ def test_plain_patterns_need_no_regular_expression(spark):
     from chorus.functions.scores import cleaner_spam
     shown = cleaner_spam("t")._jc.toString()
     assert shown.count("rlike(") == 2 and shown.count("contains(") == 6
+
+
+def _odd_texts():
+    import random
+    rng = random.Random(7)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "\x00", "\x7f", "\x90", "!", "!!", "?", "??", ".", "....", "@",
+             "x@y.z", "http://a.b/c", "https:", "//", "/", "$", "[", "]", "\\", "^", "-", "é", "ß", "Ä", "日本", "’", "😀", "𝐀", "ﬁ", "&amp;", "_",
+             "9", "²", "İ", "é", "visit", " my ", "website", "act", "fast", "contact me", "the", "of", "#", "'", '"']
+    return ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)] + ["", " ", None, "ÄÖÜ" * 9, "𝐀" * 12 + "b"]
+
+
+def test_texts_in_need_of_no_step_are_told_without_losing_a_change(spark):
+    """Every step over every text gives what the guarded steps give, on texts of odd characters."""
+    from pyspark.sql import functions as F
+    from chorus.functions import text as T
+    df = spark.createDataFrame([(t,) for t in _odd_texts()], "t string")
+    plain = F.regexp_replace("t", T.WS + "+", " ")
+    drop = f"[^{T.W_CLASS}{T.WS_CLASS}.,!?;:()\\-'\"@#]"
+    full = plain
+    for pattern, by in ((r"\p{Cc}", ""), (T.URL_RE, ""), (T.EMAIL_RE, ""), ("!{2,}", "!"), (r"\?{2,}", "?"), (r"\.{3,}", "..."), (drop, "")):
+        full = F.regexp_replace(full, pattern, by)
+    strip = lambda c: F.regexp_replace(c, f"^{T.WS}+|{T.WS}+$", "")
+    words = F.when(F.coalesce(strip(F.col("t")), F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+        F.split(strip(F.col("t")), T.WS + "+"))
+    pairs = {
+        "collapse": (T.collapse_ws("t"), plain),
+        "clean": (T.clean_text_native("t"), F.coalesce(strip(full), F.lit(""))),
+        "simple": (T.clean_text_simple("t"), F.coalesce(strip(F.regexp_replace(plain, drop, "")), F.lit(""))),
+        "decode": (T.needs_decoding("t"), F.col("t").rlike(f"[&]|[^\\x00-\\x7F{T._nfkc_stable_letters()}]")),
+        "words": (T.ws_words("t"), words),
+        "count": (T.ws_word_count("t"), F.size(words)),
+        "tokens": (T.tokens("t"), F.regexp_extract_all(F.lower("t"), F.lit(T.W + "+"), F.lit(0))),
+    }
+    for name, (fast, slow) in pairs.items():
+        assert not df.where(~fast.eqNullSafe(slow)).collect(), name
