@@ -235,3 +235,19 @@ def test_texts_in_need_of_no_step_are_told_without_losing_a_change(spark):
     }
     for name, (fast, slow) in pairs.items():
         assert not df.where(~fast.eqNullSafe(slow)).collect(), name
+
+
+def test_spam_looks_for_plain_words_before_patterns(spark):
+    from pyspark.sql import functions as F
+    from chorus.functions import scores as SC
+    texts = _odd_texts() + ["act fast", "fast act", "visit my website", "visit website my", "contact me"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in [*SC.review_spam_patterns(), "(?!ab[x]+cd[x]+e)act", "act[ ]*fast", "[a]+ct|fast"]:
+        assert not df.where(~SC.matches(F.col("t"), p).eqNullSafe(F.col("t").rlike(p))).collect(), p
+    shown = SC.matches(F.col("t"), "visit[ ]+my[ ]+website")._jc.toString()
+    assert shown.count("contains(") == 3
+    low = F.lower(F.coalesce("t", F.lit("")))
+    caps = F.coalesce(SC.caps_ratio(low), F.lit(0.0)) > 0.7
+    rule = (F.length(F.coalesce("t", F.lit(""))) > 10) & caps
+    got = SC.is_review_spam(F.lit(""), F.col("t"), hits=F.lit(0), words=F.array().cast("array<string>"))
+    assert not df.where(got != rule).collect() and df.where(got).count() == 1
