@@ -251,3 +251,13 @@ def test_spam_looks_for_plain_words_before_patterns(spark):
     rule = (F.length(F.coalesce("t", F.lit(""))) > 10) & caps
     got = SC.is_review_spam(F.lit(""), F.col("t"), hits=F.lit(0), words=F.array().cast("array<string>"))
     assert not df.where(got != rule).collect() and df.where(got).count() == 1
+
+
+def test_classification_counts_only_listed_tokens_but_reads_all(spark):
+    from chorus.functions.scores import add_classification
+    df = spark.createDataFrame([("t", "the Of zzz the and customer care customer-care that at this q")], "title string, content string")
+    r = add_classification(df, lexicon={"a": ["the", "of"], "b": ["and", "customer care"]}, positive={"that": 3, "this": 0.5},
+                           negative={"at": 2, "that": 9}, keep_helpers=True).first()
+    assert r._hits == ["the", "of", "the", "and", "that", "at", "this"] and len(r._toks) == r.n_tokens == 14
+    assert (r._pos, r._neg, r.keywords_found) == (3.5, 2.0, ["and", "customer care", "of", "the"])
+    assert r._s0 == 1.0 and r._s1 == 1.0
