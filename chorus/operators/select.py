@@ -158,9 +158,13 @@ def format_timestamp(ts: Column | str, as_of: str, pattern: str = "yyyy-MM-dd HH
     return F.date_format(F.coalesce(text.try_cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz")), pattern)
 
 
+def content_preview(cut: int = LX.PREVIEW_CUT) -> Column:
+    """A ``cut``-character preview of the display content."""
+    return truncate_ellipsis(F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("raw_content")), cut)
+
+
 def record_summary(df: DataFrame, cut: int = LX.PREVIEW_CUT) -> DataFrame:
-    """One-line summary per record with a ``cut``-character preview of the display content."""
-    display = F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("raw_content"))
-    return df.select("review_id", "platform", "app_name", "rating", "sentiment", "primary_category",
-                     truncate_ellipsis(display, cut).alias("content_preview"), "review_date", "is_high_quality",
-                     "helpful_count")
+    """One-line summary per record with a preview of the display content; rows without texts hold it as ``content_preview``."""
+    preview = content_preview(cut).alias("content_preview") if "content" in df.columns else F.col("content_preview")
+    return df.select("review_id", "platform", "app_name", "rating", "sentiment", "primary_category", preview, "review_date",
+                     "is_high_quality", "helpful_count")

@@ -73,3 +73,53 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_flagged_rows_are_written_without_texts_and_cleaning_is_shared(spark):
+    """No text is shuffled or written again for a report, and the cleaned rows are one table for all queries."""
+    from chorus.plans import store
+    from chorus.plans.queries import QUERIES
+    store.forget(spark)
+    QUERIES["category_hist"](spark, SF_SMALL).collect()
+    previews = QUERIES["record_preview"](spark, SF_SMALL)
+    QUERIES["clean_text"](spark, SF_SMALL)
+    tables = {key.split("|")[0]: path for (_, key), path in store._TABLES.items()}
+    assert len(tables) == len(store._TABLES) and set(tables) == {"cleaned", "narrow", "flagged"}
+    for name in ("narrow", "flagged"):
+        assert not {"content", "raw_content", "cleaned_content"} & set(spark.read.parquet(tables[name]).columns), name
+    shuffled = [line for line in _plan(previews).splitlines() if "Exchange" in line]
+    assert not [line for line in shuffled if "content#" in line]
+
+
+def _odd_reviews(spark):
+    rows = [(1, "the phone and the app work on it", "a"), (1, "speed and price of the crash on it", "a"), (1, "the phone and the app work on it", "b"),
+            (2, "the phone and the app work on it", "a"), (None, "price and support of the thing on it", "a"), (3, None, "b"),
+            (4, "  The\nbattery and the price & the speed on it ", None), (4, "  The\nbattery and the price & the speed on it ", None)]
+    return spark.createDataFrame([(o, f"r{o}", t and t[:9], t, a, "web", "u", True, "2024-01-01", 4, 2, 1) for o, t, a in rows],
+                                 "ord long, review_id string, title string, content string, app_name string, platform string, "
+                                 "user_id string, verified boolean, review_date string, rating int, helpful_count int, reply_count int")
+
+
+def test_stage_tables_change_no_row_even_if_ordinals_repeat_or_are_null(spark):
+    from chorus.operators.select import content_preview, record_summary
+    from chorus.plans.pipeline import TEST_SETTINGS, Settings, process
+    from chorus.plans.store import write_table
+    reviews, s = _odd_reviews(spark), Settings(**TEST_SETTINGS)
+    listed = lambda df: sorted(map(repr, df.collect()))
+    lazy = process(reviews, s, near_dup=False)
+    plain = spark.createDataFrame(lazy.collect(), lazy.schema)
+    tables = {}
+
+    def stage(name, build):
+        tables[name] = tables[name] if name in tables else write_table(build(), name)
+        return tables[name]
+
+    staged = process(reviews, s, near_dup=False, stage=stage)
+    assert plain.columns == staged.columns and plain.count() > 6
+    assert listed(plain) == listed(staged)
+    without = [c for c in plain.columns if c not in ("content", "raw_content", "cleaned_content")]
+    assert set(process(reviews, s, near_dup=False, texts={}).columns) == set(without)
+    narrow = process(reviews, s, near_dup=False, stage=stage, texts={})
+    assert listed(narrow.select(without)) == listed(plain.select(without)) and set(narrow.columns) == set(without)
+    previews = process(reviews, s, near_dup=False, stage=stage, texts={"content_preview": content_preview(12)})
+    assert listed(record_summary(previews)) == listed(record_summary(plain, 12))
