@@ -105,7 +105,8 @@ def test_stage_tables_change_no_row_even_if_ordinals_repeat_or_are_null(spark):
     from chorus.plans.pipeline import TEST_SETTINGS, Settings, process
     from chorus.plans.store import write_table
     reviews, s = _odd_reviews(spark), Settings(**TEST_SETTINGS)
-    listed = lambda df: sorted(map(repr, df.collect()))
+    flat = lambda row: repr([sorted(v.items()) if isinstance(v, dict) else v for v in row])
+    listed = lambda df: sorted(map(flat, df.collect()))
     lazy = process(reviews, s, near_dup=False)
     plain = spark.createDataFrame(lazy.collect(), lazy.schema)
     tables = {}
