@@ -324,3 +324,65 @@ def test_candidates_that_cannot_be_similar_are_not_written(spark):
                                          "below": F.when(F.col("ord") == first[0], first[1]).cast("long")}))
     got = {(r.later, r.earlier) for r in block_pairs(part, 0.9, 50).collect()}
     assert got == {p for p in found[0] if p[0] != max(similar)[0] and (p[0] != first[0] or p[1] < first[1])}
+
+
+def test_pairs_that_share_no_band_are_found(spark):
+    """Long texts of 60 characters, 40 of them rare, without every seventh one: similar, but most of their 5-grams are not the same."""
+    from bruteforce import similarity
+    from chorus.operators.neardup import similar_pairs
+    rng = random.Random(41)
+
+    def text():
+        signs = [chr(0x430 + k // 4) for k in range(128)] + [c for c in "01234567" * 4] + rng.choices("abcdefghijklmnopqrst", k=140)
+        rng.shuffle(signs)
+        return "".join(signs)
+
+    texts = [text() for _ in range(20)]
+    less = ["".join(c for k, c in enumerate(t) if k % 7) for t in texts]
+    assert all(similarity(b, a, "", "") >= 0.9 for a, b in zip(texts, less))
+    data = [("app", k, t, "", 0.0) for k, t in enumerate(texts + less)]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    assert {(r.later, r.earlier) for r in similar_pairs(df, ["app_name"], 0.9).collect()} == {(k + 20, k) for k in range(20)}
+    clusters = {r.ord: r.cluster for r in near_duplicate_clusters(df, ["app_name"], 0.9).collect()}
+    assert clusters == {k: k % 20 for k in range(40)}
+
+
+def test_blocks_and_cells_equal_all_pairs(spark):
+    """Blocks and cells of any size give the pairs of a plain loop; titles and batches as they come."""
+    from bruteforce import similarity
+    from chorus.operators.neardup import block_pairs, representatives, verified_edges, with_part
+    rng = random.Random(43)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    texts = []
+    for _ in range(40):
+        text = "".join(rng.choice(letters) for _ in range(rng.choice((8, 60, 190, 205, 240, 300, 700, 1100)))).strip() or "q"
+        texts += [(text, "one title here"), (_edited(text, len(text) // 25, rng), "one title here"),
+                  (_edited(text, len(text) // 30, rng), rng.choice(("", "one title there", "quite another")))]
+    data = [("app" if k % 5 else None, k, c, t, 0.0) for k, (c, t) in enumerate(texts)]
+    df = spark.createDataFrame(data, "app_name string, ord long, content string, title string, quality_score double")
+    _, _, signed = representatives(df, ["app_name"], 0.9, table_stage, 7, True, bands=False)
+    rows = sorted(signed.collect(), key=lambda r: r.ord)
+    want = {(a.ord, b.ord) for a in rows for b in rows if a.ord > b.ord and a.batch_key == b.batch_key
+            and similarity(a.norm_content, b.norm_content, a.norm_title, b.norm_title) >= 0.9}
+    assert len(want) > 20
+    for size, cell in ((24_000, 8_000), (7, 9)):
+        found = table_stage("pairs", lambda size=size: block_pairs(with_part(signed), 0.9, size))
+        got = verified_edges(signed, found, 0.9, cell).collect()
+        assert {(r.later, r.earlier) for r in got} == want and len(got) == len(want)
+
+
+def test_matcher_equals_difflib():
+    from difflib import SequenceMatcher
+    from chorus.functions.udfs import ratio_at_least
+    rng = random.Random(47)
+    alphabets = ["abcd ", "abcdefghijklmnopqrstuvwxyz      eeeetttaaa", "".join(chr(0x4E00 + k) for k in range(300))]
+    for k in range(400):
+        letters = alphabets[k % 3]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 500)))
+        b = list(a)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randrange(len(b) + 1)
+            b[at: at + rng.randint(0, 9)] = rng.choice(letters) * rng.randint(0, 9)
+        b = "".join(b) or "x"
+        ratio = SequenceMatcher(None, a, b).ratio()
+        assert ratio_at_least(a, b, 0.0) == ratio == ratio_at_least(a, b, ratio)
