@@ -226,6 +226,34 @@ def test_finder_does_not_depend_on_ids_or_density(spark):
     assert pii.fit_finder(texts.unionByName(clean)).thresholds == whole
 
 
+def test_finder_learns_from_every_document(spark):
+    """More documents than any sample held: first score, trees and thresholds are those of all their candidates."""
+    texts = [f"call +49 30 {k:05d} {k % 7} or mail user{k}@example{k % 9}.com" + (f" and +1 {k}" if k % 3 else f" of 300.{k % 400}.1.1")
+             for k in range(1500)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], "doc_id long, text string").repartition(5)
+    rows = [(r.h >> 20 & 1 == 0, *row) for r in docs.select("text").distinct().select(F.xxhash64("text").alias("h"), "text").collect()
+            for row in pii.training_rows(r.text, r.h % (1 << 32))]
+    train = np.array([r[0] for r in rows])
+    x, y, kind = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    finder = pii.fit_finder(docs)
+    share = y[train].mean()
+    assert finder.trees.start == pytest.approx(np.log(share / (1 - share)))
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[:-1], method="lower")) for c in x[train].T]
+    assert all(np.array_equal(a, b) for a, b in zip(edges, finder.trees.edges, strict=True))
+    plain = pii.BoostedTrees()
+    plain.edges = edges
+    bins = plain.bins(x)
+    plain.fit(edges, share, lambda tree, nodes: plain.sums(bins[train], y[train], np.ones(train.sum(), np.int64), tree, nodes))
+    assert plain.trees == finder.trees.trees and np.array_equal(plain.raw(x), plain.raw(bins, "bin"))
+    scores, want = plain(x), {}
+    for k in range(4):
+        own = ~train & (kind == k)
+        fine = [s for s in set(scores[own]) if y[own & (scores >= s)].mean() >= 0.98]
+        if fine:
+            want[k] = max(0.5, min(fine))
+    assert want and finder.thresholds == pytest.approx(want)
+
+
 def test_pii_digest_on_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in pii.op10_candidate_boosting(spark, SMALL).collect():
